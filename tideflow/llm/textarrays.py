@@ -77,6 +77,7 @@ class Chunk:
         self.first, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.word_at = np.searchsorted(self.first, offsets)
         self._hash: np.ndarray | None = None
+        self._sums: np.ndarray | None = None
 
     @property
     def counts(self) -> np.ndarray:
@@ -92,12 +93,17 @@ class Chunk:
     def hashes(self) -> np.ndarray:
         """Each word's hash."""
         if self._hash is None:
-            up, down = _LETTERS.upto(len(self.data) + 1)
-            sums = np.zeros(len(self.data) + 1, U)
-            np.cumsum(_BYTES[self.data] * up[: len(self.data)], out=sums[1:])
-            self._hash = mix((sums[self.end] - sums[self.first]) * down[self.first])
+            self._hash = self.hash_between(self.first, self.end)
         return self._hash
 
+    def hash_between(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the bytes from each first to before each end."""
+        up, down = _LETTERS.upto(len(self.data) + 1)
+        if self._sums is None:
+            self._sums = np.zeros(len(self.data) + 1, U)
+            np.cumsum(_BYTES[self.data] * up[: len(self.data)], out=self._sums[1:])
+        return mix((self._sums[end] - self._sums[first]) * down[first])
+
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Word indices at which n words of one document start, and the hashes of those n words."""
         at = np.flatnonzero(np.arange(len(self.first)) + n <= np.repeat(self.word_at[1:], self.counts))
