@@ -4,16 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tideflow.llm import mixing
 from tideflow.llm.common import table
+from tideflow.llm.license_scan import license_scan
+from tideflow.llm.lm_mixing import lm_scores
 from tideflow.llm.ngram_join import jaccard_components
+from tideflow.llm.substring_dedup import remove_repeats
+from tideflow.llm.toxicity import toxicity_scores
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
+    "op3_mixing": op3_mixing,
+    "op4_lm_scores": op4_lm_scores,
+    "op7_toxicity": op7_toxicity,
     "op9_ngram_jaccard": op9_ngram_jaccard,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE}
