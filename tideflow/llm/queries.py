@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideflow.llm import mixing
+from tideflow.llm import decontamination, mixing
 from tideflow.llm.common import table
 from tideflow.llm.license_scan import license_scan
 from tideflow.llm.lm_mixing import lm_scores
 from tideflow.llm.ngram_join import jaccard_components
+from tideflow.llm.pii import find_pii
+from tideflow.llm.quality_rules import quality
+from tideflow.llm.secret_scan import find_secrets
 from tideflow.llm.substring_dedup import remove_repeats
 from tideflow.llm.toxicity import toxicity_scores
 
@@ -17,6 +20,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -25,10 +32,22 @@ def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_near")
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -38,12 +57,19 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_license_scan": op1_license_scan,
-    "op3_mixing": op3_mixing,
-    "op4_lm_scores": op4_lm_scores,
-    "op7_toxicity": op7_toxicity,
-    "op9_ngram_jaccard": op9_ngram_jaccard,
-    "op10_substring_dedup": op10_substring_dedup,
+    f.__name__: f
+    for f in (
+        op1_license_scan,
+        op2_pii,
+        op3_mixing,
+        op4_lm_scores,
+        op5_quality_rules,
+        op6_secret_scan,
+        op7_toxicity,
+        op8_decontamination,
+        op9_ngram_jaccard,
+        op10_substring_dedup,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE, "op8_decontamination": decontamination.ORACLE}
