@@ -1,18 +1,83 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read back as the next one's input."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read back as the next one's input.
+
+Toxic documents go, one document of each near-duplicate group stays, documents with benchmark passages go, secrets are
+masked, and sources are mixed to their target weights. All stages but the last return the columns of documents; the last
+returns them once for each time that the mix takes the document, with the copy's number.
+"""
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tideflow.llm.common import small_or_shuffled, checkpointed, table
+from tideflow.llm.decontamination import contamination
+from tideflow.llm.mixing import mix
+from tideflow.llm.ngram_join import jaccard_components
+from tideflow.llm.secret_scan import redact
+from tideflow.llm.toxicity import toxicity_scores
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs but for those with one of the ids (doc_id)."""
+    return docs.select(*COLUMNS).join(small_or_shuffled(checkpointed(ids.distinct())), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't hold toxic."""
+    scores = toxicity_scores(docs, table(spark, sf_dir, "labels"))
+    return _without(docs, scores.where("predicted = 1").select("doc_id"))
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near copies the document with the least doc_id; of rows that repeat a doc_id, one."""
+    classes = jaccard_components(docs)
+    kept = _without(docs, classes.where("component_id != doc_id").select("doc_id"))
+    repeated = kept.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    repeated = small_or_shuffled(checkpointed(repeated))
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    return kept.join(repeated, "doc_id", "left_anti").select(*COLUMNS).unionByName(once)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark window."""
+    hits = contamination(docs, table(spark, sf_dir, "benchmark"))
+    return _without(docs, hits.where("contaminated").select("doc_id"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked."""
+    return redact(docs).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mix(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("n-gram Jaccard join", keep_one_of_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("secret scans", mask_secrets),
+    ("mixing sources", mix_sources),
+]
 
 #: A trained classifier is a stage, so SQL can't express the rows.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows that the last stage returns."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows that the last stage returns; what stages write goes to the shared checkpoint folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        path = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}/{k}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
