@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +34,17 @@ def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def collected_longs(df: DataFrame, *columns: str) -> list[np.ndarray]:
+    """The long columns of a table of bounded size, as arrays, sent to the driver in packed form."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy().astype(np.int64).tobytes()], pa.binary()) for c in b.columns], list(columns))
+
+    rows = df.select(*columns).mapInArrow(pack, ", ".join(f"{c} binary" for c in columns)).collect()
+    return [np.frombuffer(b"".join(bytes(r[c]) for r in rows), np.int64) for c in columns]
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else; lower() does the same where all characters are ASCII, and is faster there."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -37,4 +52,6 @@ def ascii_lower(text: Column) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # Python workers import this package by name; where they run beside the driver, they find it here.
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -28,7 +28,11 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         edges = checkpointed(small.select("e.u", "e.v").where("u != v").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        if not now[0]:
+            break
         if now == before:
-            return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("doc_id"), F.col("v").alias("component")).distinct())
+            break
         before = now
-    raise RuntimeError(f"links did not settle in {most} rounds")
+    else:
+        raise RuntimeError(f"links did not settle in {most} rounds")
+    return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("doc_id"), F.col("v").alias("component")).distinct())

@@ -21,13 +21,12 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideflow.llm import textarrays as ta
-from tideflow.llm.common import checkpointed
+from tideflow.llm.common import checkpointed, collected_longs
 
 #: Log2 of each context order's table size.
 SLOT_BITS = (16, 20, 21, 21)
@@ -98,6 +97,8 @@ def _events(chunk: ta.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     key = padded[at]
     for back in (1, 2, 3, 4):
         key |= padded[at - back] << np.uint64(8 * back)
+    import pandas as pd  # on workers only
+
     codes, grams = pd.factorize(key)
     return grams, codes, starts
 
@@ -161,14 +162,14 @@ def _count_tables(train: DataFrame) -> np.ndarray:
     """Zeros and ones in each slot over all training texts: (SLOTS, 2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(2 * SLOTS, np.int64)
+        counts = np.zeros(2 * SLOTS, np.int32)
         any_ = 0
         for b in batches:
             for c in ta.chunks(b.column(0), ta.PLAIN, lower=True):
                 grams, codes, _ = _events(c)
                 n = np.bincount(codes, minlength=len(grams))
                 _, bit, slots = _bits(grams)
-                every = np.broadcast_to(n, bit.shape).ravel()
+                every = np.broadcast_to(n.astype(np.int32), bit.shape).ravel()
                 for k in range(4):
                     np.add.at(counts, (2 * slots[k].astype(np.int64) + bit).ravel(), every)
                 any_ += c.n
@@ -179,7 +180,7 @@ def _count_tables(train: DataFrame) -> np.ndarray:
             for part in range(-(-2 * SLOTS // PART)):
                 own = counts[part * PART : (part + 1) * PART]
                 if len(at := np.flatnonzero(own)):
-                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([salt], pa.int32()), pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([own[at].tobytes()], pa.binary())], ["part", "salt", "at", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([salt], pa.int32()), pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([own[at].astype(np.int64).tobytes()], pa.binary())], ["part", "salt", "at", "n"])
 
     out = np.zeros(-(-2 * SLOTS // PART) * PART, np.float32)
     for r in _summed(train.select("text").mapInArrow(run, "part int, salt int, at binary, n binary")).toLocalIterator():  # of fixed size
@@ -252,9 +253,9 @@ def lm_scores(docs: DataFrame) -> DataFrame:
         if (held := held + r["count"]) > FREQUENT:
             break
         cut = r["level"]
-    often = counts.where(level >= cut).toPandas()
-    often = often.assign(word=often["word"].to_numpy(np.int64).view(np.uint64)).sort_values("word")
-    frequent, logs = often["word"].to_numpy(), np.log10(often["n"].to_numpy(np.float64) + 1)
+    frequent, often = collected_longs(counts.where(level >= cut), "word", "n")
+    order = np.argsort(frequent.view(np.uint64))
+    frequent, logs = frequent.view(np.uint64)[order], np.log10(often[order].astype(np.float64) + 1)
     rare = _rare_parts(docs, counts.where(level < cut), frequent)
 
     tables = _count_tables(train)

@@ -1,14 +1,18 @@
-"""N-gram Jaccard join: exact links between documents whose word-shingle sets are similar, and their components.
-
-Two sets with Jaccard similarity of at least t share a shingle among their first |x| - ceil(t|x|) + 1 shingles in any
-common order, so documents meet in tiles of (shared prefix shingle, size band). The order puts shingles that are frequent
-in the corpus last; their frequencies come from a table of fixed size counted over all documents, which bears on speed
-alone. In a tile, parity bitmaps bound the overlap from above (each differing shingle flips one bit, so the sets differ in
-at least as many shingles as their bitmaps in bits), and pairs that pass are settled by intersecting the sorted arrays.
-
-A large tile isn't expanded into all pairs: first each document is compared with the tile's smallest-keyed one only and
-the links are merged into components; then only documents of a tile that still lie in different components are compared,
-in blocks of bounded size. Pairs inside one component can't change it, so no component loses a link.
+"""N-gram Jaccard join: links between documents whose word-shingle sets are similar, and their components.
+
+Documents meet in tiles of equal band signatures: BANDS bands of ROWS minimum hashes each. Sets with Jaccard similarity s
+share no tile with probability (1 - s**ROWS)**BANDS, below 3e-15 at 0.8 and less above, which is of the order of what the
+64-bit hashes of shingles allow anyway; sets that merely share passages seldom meet, however frequent the passage is.
+In a tile, documents are ordered by size and compared inside the size band that the threshold allows. Parity bitmaps bound
+the overlap from above (each differing shingle flips one bit, so the sets differ in at least as many shingles as their
+bitmaps in bits), and pairs that pass are settled by intersecting the sorted arrays.
+
+A large tile isn't expanded into all pairs. Documents of one batch that share a signature send one of them, their head,
+to the tile and are compared with it; the others go along under a salted key, so a signature that a third of all documents
+have is spread out. Then each document is compared with one document only, the nearest by bitmap of its tiles' heads, and
+the links are merged into components. Documents of a tile that still lie in different components are compared in blocks
+of bounded size: first the nearest pair of each two components, and, after merging again, all pairs that are left. Pairs
+inside one component can't change it, so no component loses a link.
 
 Null texts and texts without a word have no shingles and link with nothing. Equal texts, and rows that repeat a doc_id,
 share a class. Texts of any length are read whole. Rows with a null doc_id are dropped: there's nothing to link them by.
@@ -16,7 +20,6 @@ share a class. Texts of any length are read whole. Rows with a null doc_id are d
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,13 +31,16 @@ from tideflow.llm import textarrays as ta
 from tideflow.llm.common import checkpointed, small_or_shuffled
 from tideflow.llm.components import components
 
-#: Bits of the hashed frequency table's size; one byte an entry is broadcast (4 MB).
-TABLE_BITS = 22
+#: Signatures of a document, and minimum hashes in each.
+BANDS, ROWS = 64, 4
 #: 64-bit words of a bitmap.
 BITMAP = 16
 #: Documents of a tile that are compared with one another in one group.
 BLOCK = 1024
 
+_HASHES = ta.mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_XOR, _TIMES = _HASHES[: BANDS * ROWS], _HASHES[BANDS * ROWS :] | np.uint64(1)
+
 
 def _sets(chunk: ta.Chunk, n: int) -> list[np.ndarray]:
     """Each document's sorted distinct shingles; a shorter document is one shingle, an empty one none."""
@@ -75,56 +81,75 @@ def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, h1 long, h2 long, bits binary")
 
 
-def _frequencies(docs: DataFrame, n: int) -> np.ndarray:
-    """Log2 of how many documents' shingles fall into each of the table's entries (uint8, fixed size)."""
-    size, parts = 1 << TABLE_BITS, 1 << 6
+def _signatures(s: np.ndarray) -> np.ndarray:
+    """A set's BANDS signatures."""
+    least = np.full(BANDS * ROWS, np.uint64(2**64 - 1))
+    for lo in range(0, len(s), 1024):
+        np.minimum(least, ((s[lo : lo + 1024, None] ^ _XOR) * _TIMES).min(axis=0), out=least)
+    rows = least.reshape(BANDS, ROWS)
+    out = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for k in range(ROWS):
+        out = ta.mix(out ^ rows[:, k])
+    return out
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(size, np.uint32)
-        for b in batches:
-            for c in ta.chunks(b.column(0), ta.PLAIN, lower=True):
-                if sets := _sets(c, n):
-                    counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - TABLE_BITS)).astype(np.int64), minlength=size).astype(np.uint32)
-        if counts.any():
-            # Counts are rounded up to powers of two once per task: the table only orders shingles.
-            logs = np.where(counts > 0, np.ceil(np.log2(np.maximum(counts, 1))) + 1, 0).astype(np.uint8).reshape(parts, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), _blob(list(logs))], ["part", "logs"])
-
-    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size // parts)
-        for b in batches:
-            for x in b.column(1):
-                logs = np.frombuffer(x.as_buffer(), np.uint8)
-                total += np.where(logs > 0, np.exp2(logs.astype(np.float64) - 1), 0)
-        logs = np.where(total > 0, np.ceil(np.log2(np.maximum(total, 1))) + 1, 0).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), _blob([logs])], ["part", "logs"])
 
-    found = docs.select("text").mapInArrow(count, "part int, logs binary").groupBy("part").applyInArrow(add, "part int, logs binary")
-    out = np.zeros((parts, size // parts), np.uint8)
-    for r in found.collect():  # 64 rows of a fixed size
-        out[r["part"]] = np.frombuffer(r["logs"], np.uint8)
-    return out.reshape(-1)
+_ROW = "token long, salt int, size int, doc_id long, head long, head_size int, keep boolean"
 
 
-def _prefixes(docs: DataFrame, n: int, percent: int, table: np.ndarray) -> DataFrame:
-    """(token, doc_id, size) for the prefix shingles of each document."""
-    logs = docs.sparkSession.sparkContext.broadcast(table)
+def _banded(docs: DataFrame, n: int) -> DataFrame:
+    """A row a document and signature. Heads and single documents of a batch have salt 0; keep: the batch has others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for c in ta.chunks(b.column(1), ta.PLAIN, lower=True):
                 sets, ids = _sets(c, n), b.column(0)[c.lo : c.hi].to_numpy(zero_copy_only=False)
-                tokens = []
-                for s in sets:
-                    k = len(s) - -(-percent * len(s) // 100) + 1
-                    rank = logs.value[(s >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
-                    tokens.append(s[np.argsort(rank, kind="stable")[: k if len(s) else 0]])
-                each = np.array([len(t) for t in tokens])
-                if each.sum():
-                    size = np.repeat(np.array([len(s) for s in sets], np.int32), each)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(ids, each)), pa.array(size)], ["token", "doc_id", "size"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "token long, doc_id long, size int")
+                some = [i for i in range(c.n) if len(sets[i])]
+                if not some:
+                    continue
+                token = np.concatenate([_signatures(sets[i]) for i in some])
+                doc = np.repeat(ids[some], BANDS).astype(np.int64)
+                size = np.repeat(np.array([len(sets[i]) for i in some], np.int64), BANDS)
+                order = np.lexsort((doc, size, token))
+                token, doc, size = token[order], doc[order], size[order]
+                new = np.concatenate([[True], token[1:] != token[:-1]])
+                head = np.flatnonzero(new)[np.cumsum(new) - 1]
+                salt = np.where(new, 0, 1 + (ta.mix(doc.astype(np.uint64)) >> np.uint64(40)).astype(np.int64) % 1024)
+                keep = new & ~np.concatenate([new[1:], [True]])
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(doc), pa.array(doc[head]), pa.array(size[head].astype(np.int32)), pa.array(keep)], ["token", "salt", "size", "doc_id", "head", "head_size", "keep"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, _ROW)
+
+
+def _tiles(rows: DataFrame) -> DataFrame:
+    """(token, doc_id, size, head, head_size): rows whose token comes twice at least; head: its least row, or the batch's."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows come in order, so a tile's first row is its head; it is held until it's known whether a second one comes.
+        held: np.ndarray | None = None
+        told = False
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns])
+            carried = held is not None
+            if carried:
+                x = np.concatenate([held, x], axis=1)
+            new = np.concatenate([[True], (x[0, 1:] != x[0, :-1]) | (x[1, 1:] != x[1, :-1])])
+            at = np.flatnonzero(new)
+            tile = np.cumsum(new) - 1
+            salted = x[1] > 0
+            out = (np.bincount(tile)[tile] > 1) | salted | (x[6] > 0)
+            emitted = bool(out[-1]) or (carried and told and len(at) == 1)
+            if carried and told:
+                out[0] = False  # it is out already
+            heads = at[tile]
+            head, head_size = np.where(salted, x[4], x[3, heads]), np.where(salted, x[5], x[2, heads])
+            if out.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[0, out]), pa.array(x[3, out]), pa.array(x[2, out].astype(np.int32)), pa.array(head[out]), pa.array(head_size[out].astype(np.int32))], ["token", "doc_id", "size", "head", "head_size"])
+            told, held = emitted, x[:, at[-1] : at[-1] + 1]
+
+    ordered = rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "size", "doc_id")
+    return ordered.mapInArrow(mark, "token long, doc_id long, size int, head long, head_size int")
 
 
 def _overlap_ok(size_a: str, size_b: str, differ: F.Column | str, percent: int) -> F.Column:
@@ -135,30 +160,93 @@ def _overlap_ok(size_a: str, size_b: str, differ: F.Column | str, percent: int)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b, size_a, size_b) whose sets pass, by intersecting their sorted arrays."""
-    wanted = small_or_shuffled(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-
-    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for c in ta.chunks(b.column(1), ta.PLAIN, lower=True):
-                yield pa.RecordBatch.from_arrays([b.column(0)[c.lo : c.hi], _blob(_sets(c, n))], ["doc_id", "set"])
+    """The pairs (a, b) whose sets pass, by intersecting their sorted arrays."""
+    wanted = small_or_shuffled(checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()))
+    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
-    sets = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(arrays, "doc_id long, set binary")
+    def sets_of(text: pa.Array) -> list[np.ndarray]:
+        return [s for c in ta.chunks(text, ta.PLAIN, lower=True) for s in _sets(c, n)]
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort()
-                same = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(100 * same >= percent * (len(both) - same))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 500):
+                b = whole.slice(lo, 500)
+                ids = b.column(0).to_numpy()
+                new = np.concatenate([[True], ids[1:] != ids[:-1]])
+                lefts, which = sets_of(b.column(2).take(pa.array(np.flatnonzero(new)))), np.cumsum(new) - 1
+                keep = []
+                for i, y in enumerate(sets_of(b.column(3))):
+                    both = np.concatenate([lefts[which[i]], y])
+                    both.sort()
+                    same = int(np.count_nonzero(both[1:] == both[:-1]))
+                    keep.append(100 * same >= percent * (len(both) - same))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(settle, "a long, b long")
+
+
+def _across(tiles: DataFrame, label: DataFrame, bits: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of a token's documents in different components that their bitmaps allow.
+
+    nearest: of each two components, only the pair whose bitmaps differ least.
+    """
+    named = tiles.select("token", "doc_id", "size").distinct().join(label, "doc_id", "left").select("token", "doc_id", "size", F.coalesce("component", "doc_id").alias("component"))
+    split = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("g")).where("lo < hi").select("token", "g")
+    open_ = named.join(split, "token").join(bits, "doc_id")
+    blocks = F.ceil(F.col("g") / BLOCK).cast("int")
+    dealt = open_.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "size", "component", "bits")
 
-    left = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b"))
-    return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b").mapInArrow(settle, "a long, b long")
+    def pairs_of(x: dict[str, np.ndarray]) -> pa.RecordBatch:
+        """Pairs inside whole groups, rows ordered by group and size: each row with the next, the one after, and so on."""
+        group = np.cumsum(np.concatenate([[True], (np.diff(x["token"]) != 0) | (np.diff(x["i"]) != 0) | (np.diff(x["j"]) != 0)]))
+        bitmaps = x["bits"]
+        active, found, lag = np.arange(len(group)), [[np.zeros(0, np.int64)] * 3], 0
+        while True:
+            lag += 1
+            active = active[active + lag < len(group)]
+            active = active[(group[active] == group[active + lag]) & (x["size"][active + lag] * percent <= x["size"][active] * 100)]
+            if not len(active):
+                break
+            for lo in range(0, len(active), 1 << 16):
+                a = active[lo : lo + (1 << 16)]
+                a = a[(x["component"][a] != x["component"][a + lag]) & ((x["own"][a] != x["own"][a + lag]) | (x["i"][a] == x["j"][a]))]
+                differ = np.bitwise_count(bitmaps[a] ^ bitmaps[a + lag]).sum(axis=1, dtype=np.int64)
+                total = x["size"][a] + x["size"][a + lag]
+                ok = (100 + percent) * (total - differ) >= 2 * percent * total
+                found.append([a[ok], a[ok] + lag, differ[ok]])
+        a, b, differ = (np.concatenate(c) for c in zip(*found))
+        lo, hi = np.minimum(x["component"][a], x["component"][b]), np.maximum(x["component"][a], x["component"][b])
+        left, right = np.minimum(x["doc_id"][a], x["doc_id"][b]), np.maximum(x["doc_id"][a], x["doc_id"][b])
+        best = np.lexsort((right, left, differ, hi, lo)) if nearest else np.lexsort((right, left))
+        keys = (lo, hi) if nearest else (left, right)
+        best = best[np.concatenate([[True], (np.diff(keys[0][best]) != 0) | (np.diff(keys[1][best]) != 0)])] if len(best) else best
+        return pa.RecordBatch.from_arrays([pa.array(v[best]) for v in (left, right, differ, lo, hi)], ["a", "b", "differ", "lo", "hi"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] | None = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = {k: b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("token", "i", "j", "own", "doc_id", "size", "component")}
+            x["bits"] = np.frombuffer(b"".join(b.column("bits").to_pylist()), np.uint64).reshape(-1, BITMAP)
+            if held is not None:
+                x = {k: np.concatenate([held[k], x[k]]) for k in x}
+            # The last group may go on in the next batch; a group has a bounded number of rows.
+            last = (x["token"] == x["token"][-1]) & (x["i"] == x["i"][-1]) & (x["j"] == x["j"][-1])
+            held = {k: v[last] for k, v in x.items()}
+            if not last.all():
+                yield pairs_of({k: v[~last] for k, v in x.items()})
+        if held is not None:
+            yield pairs_of(held)
+
+    ordered = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "size", "doc_id")
+    pairs = ordered.mapInArrow(compare, "a long, b long, differ long, lo long, hi long")
+    if nearest:
+        return pairs.groupBy("lo", "hi").agg(F.min(F.struct("differ", "a", "b")).alias("m")).select("m.a", "m.b")
+    return pairs.select("a", "b").distinct()
 
 
 def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -172,66 +260,23 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80) ->
     classes = checkpointed(sets.where("size > 0").groupBy("h1", "h2", "size").agg(F.min(F.struct("doc_id", "bits")).alias("m")).select("h1", "h2", "size", F.col("m.doc_id").alias("rep"), F.col("m.bits").alias("bits")))
     others = sets.where("size > 0").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti").select("doc_id").distinct()
     others = small_or_shuffled(checkpointed(others))
-    rows = _prefixes(docs, shingle, percent, _frequencies(docs, shingle)).join(others, "doc_id", "left_anti")
-    shared = rows.groupBy("token").agg(F.count("*").alias("g"), F.min(F.struct("size", "doc_id")).alias("first")).where("g > 1")
-    tiles = checkpointed(rows.join(shared, "token").select("token", "doc_id", "size", F.col("first.doc_id").alias("head"), F.col("first.size").alias("head_size"), "g"))
+    tiles = checkpointed(_tiles(_banded(docs.join(others, "doc_id", "left_anti"), shingle)))
     bits = classes.select(F.col("rep").alias("doc_id"), "bits")
     unpacked = bits.select("doc_id", *[F.conv(F.hex(F.substring("bits", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"b{i}") for i in range(BITMAP)])
 
-    def bounded(pairs: DataFrame) -> DataFrame:
-        """Pairs whose bitmaps allow the threshold."""
-        a = unpacked.select(F.col("doc_id").alias("a"), *[F.col(f"b{i}").alias(f"a{i}") for i in range(BITMAP)])
-        b = unpacked.withColumnRenamed("doc_id", "b")
-        differ = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(BITMAP)), F.lit(0))
-        return pairs.join(b, "b").join(a, "a").where(_overlap_ok("size_a", "size_b", differ, percent)).select("a", "b", "size_a", "size_b")
-
-    fits = (100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")) & (F.col("a") != F.col("b"))
-    star = tiles.select(F.col("head").alias("a"), F.col("doc_id").alias("b"), F.col("head_size").alias("size_a"), F.col("size").alias("size_b")).where(fits).distinct()
-    links = checkpointed(_verified(checkpointed(bounded(star)), docs, shingle, percent))
+    # Each document and the nearest of its tiles' heads.
+    star = tiles.select(F.col("head").alias("a"), F.col("doc_id").alias("b"), F.col("head_size").alias("size_a"), F.col("size").alias("size_b"))
+    star = star.where((100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")) & (F.col("a") != F.col("b"))).distinct()
+    a = unpacked.select(F.col("doc_id").alias("a"), *[F.col(f"b{i}").alias(f"a{i}") for i in range(BITMAP)])
+    differ = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(BITMAP)), F.lit(0))
+    star = star.join(unpacked.withColumnRenamed("doc_id", "b"), "b").join(a, "a").withColumn("differ", differ).where(_overlap_ok("size_a", "size_b", F.col("differ"), percent))
+    star = star.groupBy("b").agg(F.min(F.struct("differ", "a")).alias("m")).select("m.a", "b")
+    links = checkpointed(_verified(checkpointed(star), docs, shingle, percent))
     label = components(links)
-
-    # Documents of a tile that lie in different components, in blocks.
-    named = tiles.where("g > 2").join(label, "doc_id", "left").select("token", "doc_id", "size", "g", F.coalesce("component", "doc_id").alias("component"))
-    split = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    open_ = named.join(split, "token").join(bits, "doc_id")
-    blocks = F.ceil(F.col("g") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-    dealt = open_.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "size", "component", "bits")
-
-    def compare(key: tuple, table_: pa.Table) -> pa.Table:
-        size, comp, own_ = (table_.column(k).to_numpy() for k in ("size", "component", "own"))
-        ids, i, j = table_.column("doc_id").to_numpy(), key[1].as_py(), key[2].as_py()
-        bitmaps = np.frombuffer(b"".join(table_.column("bits").to_pylist()), np.uint64).reshape(-1, BITMAP)
-        order = np.argsort(size, kind="stable")
-        size, comp, own_, ids, bitmaps = size[order], comp[order], own_[order], ids[order], bitmaps[order]
-        upto = np.searchsorted(size, size * 100 // percent, "right")
-        found_a, found_b = [], []
-        for x in range(len(size) - 1):
-            y = slice(x + 1, upto[x])
-            maybe = comp[y] != comp[x]
-            if i != j:
-                maybe &= own_[y] != own_[x]
-            if maybe.any():
-                at = np.flatnonzero(maybe) + x + 1
-                differ = np.bitwise_count(bitmaps[at] ^ bitmaps[x]).sum(axis=1, dtype=np.int64)
-                total = size[at].astype(np.int64) + int(size[x])
-                at = at[(100 + percent) * (total - differ) >= 2 * percent * total]
-                found_a.append(np.full(len(at), x))
-                found_b.append(at)
-        a = np.concatenate(found_a) if found_a else np.zeros(0, np.int64)
-        b = np.concatenate(found_b) if found_b else a
-        a, b = (np.where(ids[a] < ids[b], a, b), np.where(ids[a] < ids[b], b, a))
-        return pa.table({"a": ids[a], "b": ids[b], "size_a": size[a].astype(np.int32), "size_b": size[b].astype(np.int32)})
-
-    rest = dealt.groupBy("token", "i", "j").applyInArrow(compare, "a long, b long, size_a int, size_b int").distinct()
-    more = _verified(checkpointed(rest), docs, shingle, percent)
-    label = components(checkpointed(links.unionByName(more)))
+    for nearest in (True, False):
+        pairs = checkpointed(_across(tiles, label, bits, percent, nearest))
+        links = checkpointed(links.unionByName(_verified(pairs, docs, shingle, percent)))
+        label = components(links)
     of_class = classes.join(label.withColumnRenamed("doc_id", "rep"), "rep", "left").select("h1", "h2", "size", F.coalesce("component", "rep").alias("component_id"))
     own_class = sets.join(of_class, ["h1", "h2", "size"], "left")
     return own_class.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-
-
-def prefix_length(size: int, percent: int) -> int:
-    """Shingles of a set of this size of which one is shared with every set that is similar enough."""
-    return size - math.ceil(percent * size / 100) + 1 if size else 0

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideflow.llm import textarrays as ta
-from tideflow.llm.common import checkpointed, small_or_shuffled
+from tideflow.llm.common import checkpointed, collected_longs, small_or_shuffled
 
 #: Words of a seed. Longer seeds are rarer by chance; shorter ones give fewer anchors.
 SEED = 11
@@ -166,7 +166,7 @@ def repeats(docs: DataFrame, window: int = 35, broadcast_anchors: int = BROADCAS
     anchors = _selected(docs, window)
     shared = checkpointed(anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"))
     if shared.limit(broadcast_anchors + 1).count() <= broadcast_anchors:
-        values = np.sort(shared.toPandas()["anchor"].to_numpy(np.int64).view(np.uint64))
+        values = np.sort(collected_longs(shared, "anchor")[0].view(np.uint64))
         rows = _windows(docs, window, values)
     else:
         of_doc = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
