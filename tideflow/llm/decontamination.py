@@ -58,10 +58,19 @@ def matches(docs: DataFrame, items: DataFrame, window: int = 10, broadcast_windo
 
     # How far each stored term's windows reach to either side of it.
     reach = ranked.select("terms", F.explode(F.array("one", "two")).alias("t")).groupBy("t.term").agg(F.max("t.offset").alias("left"), F.max(F.size("terms") - 1 - F.col("t.offset")).alias("right"))
-    reach = small_or_shuffled(checkpointed(reach), broadcast_windows)
-    postings = tokens.select("doc_id", "w", F.posexplode("w").alias("pos", "term")).join(reach, "term")
-    around = F.slice("w", F.greatest(F.col("pos") + 1 - F.col("left"), F.lit(1)), F.least(F.col("left"), F.col("pos")) + 1 + F.col("right"))
-    index = checkpointed(postings.select("term", "doc_id", "pos", F.least("left", "pos").alias("at"), around.alias("around")))
+    reach = checkpointed(reach)
+    few = reach.limit(broadcast_windows + 1).count() <= broadcast_windows
+    far = F.least(F.lit(window - 1), F.col("pos"))
+    postings = tokens.select("doc_id", "w", F.posexplode("w").alias("pos", "term"))
+    if few:
+        postings = postings.join(F.broadcast(reach), "term")
+    # A posting takes along the words that a window can reach; where terms are shuffled, before that, and never the whole text.
+    postings = postings.select("doc_id", "pos", "term", far.alias("far"), F.slice("w", F.col("pos") + 1 - far, far + window).alias("near"), *(["left", "right"] if few else []))
+    if not few:
+        postings = postings.join(reach, "term")
+    left = F.least("left", "far")
+    around = F.slice("near", F.col("far") + 1 - left, left + 1 + F.col("right"))
+    index = checkpointed(postings.select("term", "doc_id", "pos", left.alias("at"), around.alias("around")))
 
     small = small_or_shuffled(ranked.select("window", "terms", F.col("one.term").alias("term"), F.col("one.offset").alias("offset"), F.col("two.term").alias("other"), (F.col("two.offset") - F.col("one.offset")).alias("apart")), broadcast_windows)
     entered = index.join(small, "term").where(F.col("pos") >= F.col("offset"))
