@@ -163,11 +163,11 @@ def link_confidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 _CC = "cc AS (SELECT member, min(cluster) AS cluster FROM (WITH RECURSIVE g AS (SELECT a AS x, b AS y FROM lk UNION SELECT b, a FROM lk), r AS (SELECT x AS member, x AS cluster FROM g UNION SELECT r.member, g.y FROM r JOIN g ON g.x = r.cluster) SELECT * FROM r) GROUP BY 1)"
-_CLUSTERS = _LINKS + ", lk AS (SELECT a, b FROM lc WHERE confidence >= 61 AND (a + b) % 5 = 0), " + _CC
+_CLUSTERS = _LINKS + ", lk AS (SELECT a, b FROM lc WHERE confidence >= 61), " + _CC
 
 
 def _clusters(spark: SparkSession, d: str) -> DataFrame:
-    return fl.components(_links(spark, d).where("confidence >= 61 and (a + b) % 5 = 0").select("a", "b"))
+    return fl.components(_links(spark, d).where("confidence >= 61").select("a", "b"))
 
 
 @query(_CLUSTERS + "SELECT member, cluster FROM cc")
@@ -262,7 +262,7 @@ def srt_connected_wallets(spark: SparkSession, d: str) -> DataFrame:
     return flow.orderBy(F.desc("net_flow"), "wallet_id").limit(500)
 
 
-@query(_ROT + "SELECT exit_id, [CAST(exit_id AS VARCHAR), CAST(edge_id AS VARCHAR), CAST(buy_id AS VARCHAR)] AS nodes FROM rt WHERE exit_id % 10 = 0")
+@query(_ROT + "SELECT exit_id, concat_ws('>', exit_id, edge_id, buy_id) AS nodes FROM rt")
 def sankey(spark: SparkSession, d: str) -> DataFrame:
     """One chain of nodes a rotation."""
-    return rotation_match(spark, d).where("exit_id % 10 = 0").select("exit_id", F.array(*[F.col(c).cast("string") for c in ("exit_id", "edge_id", "buy_id")]).alias("nodes"))
+    return rotation_match(spark, d).select("exit_id", F.concat_ws(">", *[F.col(c).cast("string") for c in ("exit_id", "edge_id", "buy_id")]).alias("nodes"))

@@ -67,7 +67,7 @@ def win_latest_elapsed(spark: SparkSession, d: str) -> DataFrame:
     lim = F.element_at(F.create_map(*[x for k, v in oc.HORIZONS.items() for x in (F.lit(k), F.lit(v))]), F.col("horizon"))
     h = oc.horizon_slices(_points(spark, d)).join(p.signals(spark, d).select("signal_id", "fired_at"), "signal_id").withColumn("lim", lim)
     gone = F.expr("unix_micros(cast(TIMESTAMP_NTZ '2024-01-28 00:00:00' as timestamp)) - unix_micros(cast(fired_at as timestamp))")
-    return tm.nth_by(h.where(gone >= F.col("lim") * 60_000_000), ["signal_id"], [F.desc("lim")]).select("signal_id", "horizon", "roi_pct")
+    return tm.nth_by(h.where(gone >= F.col("lim") * F.lit(60_000_000).cast("long")), ["signal_id"], [F.desc("lim")]).select("signal_id", "horizon", "roi_pct")
 
 
 @query(_S + f"SELECT {_SUM} FROM ev2")
