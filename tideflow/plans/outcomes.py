@@ -62,7 +62,7 @@ def win_best_horizon(spark: SparkSession, d: str) -> DataFrame:
     return tm.nth_by(oc.horizon_slices(_points(spark, d)), ["signal_id"], [rank.desc()]).select("signal_id", "horizon", "roi_pct")
 
 
-@query(_HZ + "SELECT signal_id, horizon, roi_pct FROM hz JOIN signals USING (signal_id) JOIN (VALUES ('M15', 15), ('H1', 60), ('H6', 360), ('H24', 1440), ('D3', 4320), ('D7', 10080)) h(horizon, lim) USING (horizon) WHERE epoch_us(TIMESTAMP '2024-01-28') - epoch_us(fired_at) >= lim * 60000000 QUALIFY row_number() OVER (PARTITION BY signal_id ORDER BY lim DESC) = 1")
+@query(_HZ + "SELECT signal_id, horizon, roi_pct FROM hz JOIN signals USING (signal_id) JOIN (VALUES ('M15', 15), ('H1', 60), ('H6', 360), ('H24', 1440), ('D3', 4320), ('D7', 10080)) h(horizon, lim) USING (horizon) WHERE epoch_us(TIMESTAMP '2024-01-28') - epoch_us(fired_at) >= CAST(lim AS BIGINT) * 60000000 QUALIFY row_number() OVER (PARTITION BY signal_id ORDER BY lim DESC) = 1")
 def win_latest_elapsed(spark: SparkSession, d: str) -> DataFrame:
     lim = F.element_at(F.create_map(*[x for k, v in oc.HORIZONS.items() for x in (F.lit(k), F.lit(v))]), F.col("horizon"))
     h = oc.horizon_slices(_points(spark, d)).join(p.signals(spark, d).select("signal_id", "fired_at"), "signal_id").withColumn("lim", lim)
