@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 from tideflow.operators.temporal import within
 
-BUY, SELL = F.col("action") == "BUY", F.col("action") == "SELL"
+
+def bought() -> Column:
+    return F.col("action") == "BUY"
+
+
+def sold() -> Column:
+    return F.col("action") == "SELL"
 
 
 def side_sum(side: Column) -> Column:
@@ -18,13 +24,13 @@ def side_sum(side: Column) -> Column:
 def overlap_wallets(trades: DataFrame, tokens: list[int], least: int) -> DataFrame:
     """wallet_id, n_tokens (distinct ones bought), buy_usd, sell_usd, pnl (null without sells), trades, first_buy."""
     g = trades.where(F.col("token_id").isin(*tokens)).groupBy("wallet_id")
-    out = g.agg(F.count_distinct(F.when(BUY, F.col("token_id"))).alias("n_tokens"), side_sum(BUY).alias("buy_usd"), side_sum(SELL).alias("sell_usd"), F.count("*").alias("trades"), F.min(F.when(BUY, F.col("ts"))).alias("first_buy"))
+    out = g.agg(F.count_distinct(F.when(bought(), F.col("token_id"))).alias("n_tokens"), side_sum(bought()).alias("buy_usd"), side_sum(sold()).alias("sell_usd"), F.count("*").alias("trades"), F.min(F.when(bought(), F.col("ts"))).alias("first_buy"))
     return out.where(F.col("n_tokens") >= least).withColumn("pnl", F.when(F.col("sell_usd") > 0, F.round(F.col("sell_usd") - F.col("buy_usd"), 4)))
 
 
 def overlap_groups(trades: DataFrame, tokens: list[int]) -> DataFrame:
     """token_set, size, first_wallet: wallets that bought the same tokens, two or more. A set has at most all tokens."""
-    sets = trades.where(BUY & F.col("token_id").isin(*tokens)).groupBy("wallet_id").agg(F.array_join(F.array_sort(F.collect_set("token_id")), "|").alias("token_set"))
+    sets = trades.where(bought() & F.col("token_id").isin(*tokens)).groupBy("wallet_id").agg(F.array_join(F.array_sort(F.collect_set("token_id")), "|").alias("token_set"))
     return sets.groupBy("token_set").agg(F.count("*").alias("size"), F.min("wallet_id").alias("first_wallet")).where("size >= 2")
 
 
@@ -48,5 +54,5 @@ def cotraders(trades: DataFrame, seconds: int = 3600, least: int = 2) -> DataFra
 def early_buyers(trades: DataFrame, hours: int = 24, least: int = 2) -> DataFrame:
     """wallet_id, n_tokens: wallets that bought within so many hours of a token's first trade, in `least` tokens or more."""
     launch = trades.groupBy("token_id").agg(F.min("ts").alias("launch"))  # one row a token
-    early = trades.where(BUY).join(launch, "token_id").where(F.col("ts") <= F.col("launch") + F.expr(f"INTERVAL {hours} HOURS"))
+    early = trades.where(bought()).join(launch, "token_id").where(F.col("ts") <= F.col("launch") + F.expr(f"INTERVAL {hours} HOURS"))
     return early.groupBy("wallet_id").agg(F.count_distinct("token_id").alias("n_tokens")).where(F.col("n_tokens") >= least)

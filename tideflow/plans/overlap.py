@@ -65,7 +65,7 @@ def set_union_all(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT coalesce(b.wallet_id, s.wallet_id) AS wallet_id, coalesce(bought, 0) AS bought, coalesce(sold, 0) AS sold FROM (SELECT wallet_id, count(*) AS bought FROM trades WHERE action = 'BUY' GROUP BY 1) b FULL JOIN (SELECT wallet_id, count(*) AS sold FROM trades WHERE action = 'SELL' GROUP BY 1) s ON b.wallet_id = s.wallet_id")
 def jn_full_outer_buys_sells(spark: SparkSession, d: str) -> DataFrame:
     """One conditional aggregate gives what a full join of both sides would, with one shuffle."""
-    return p.trades(spark, d).groupBy("wallet_id").agg(F.count_if(ov.BUY).alias("bought"), F.count_if(ov.SELL).alias("sold"))
+    return p.trades(spark, d).groupBy("wallet_id").agg(F.count_if(ov.bought()).alias("bought"), F.count_if(ov.sold()).alias("sold"))
 
 
 @query(", c AS (SELECT DISTINCT a.wallet_id AS a, b.wallet_id AS b, a.token_id FROM trades a JOIN trades b ON a.token_id = b.token_id AND a.wallet_id < b.wallet_id AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 3600000000) SELECT a, b, count(*) AS n_tokens FROM c GROUP BY 1, 2")
@@ -98,12 +98,12 @@ def agg_token_overlap_sql(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT wallet_id, {_SIDES}, count(*) AS trades FROM trades WHERE token_id = 1 GROUP BY 1")
 def agg_top_traders_sql(spark: SparkSession, d: str) -> DataFrame:
-    return p.trades(spark, d).where("token_id = 1").groupBy("wallet_id").agg(ov.side_sum(ov.BUY).alias("buy_usd"), ov.side_sum(ov.SELL).alias("sell_usd"), F.count("*").alias("trades"))
+    return p.trades(spark, d).where("token_id = 1").groupBy("wallet_id").agg(ov.side_sum(ov.bought()).alias("buy_usd"), ov.side_sum(ov.sold()).alias("sell_usd"), F.count("*").alias("trades"))
 
 
 @query(", b AS (SELECT token_id, wallet_id, CAST(sum(usd) AS DOUBLE) AS buy_usd FROM trades WHERE token_id = 1 AND action = 'BUY' GROUP BY ALL) SELECT wallet_id, buy_usd FROM b ORDER BY buy_usd DESC, wallet_id LIMIT 20")
 def srt_token_top_buyers(spark: SparkSession, d: str) -> DataFrame:
-    b = p.trades(spark, d).where((F.col("token_id") == 1) & ov.BUY).groupBy("wallet_id").agg(F.sum("usd").cast("double").alias("buy_usd"))
+    b = p.trades(spark, d).where((F.col("token_id") == 1) & ov.bought()).groupBy("wallet_id").agg(F.sum("usd").cast("double").alias("buy_usd"))
     return b.orderBy(F.desc("buy_usd"), "wallet_id").limit(20)
 
 
@@ -111,12 +111,12 @@ def srt_token_top_buyers(spark: SparkSession, d: str) -> DataFrame:
 def agg_wallet_pnl_30d(spark: SparkSession, d: str) -> DataFrame:
     t = p.trades(spark, d)
     since = F.broadcast(t.agg((F.max("ts") - F.expr("INTERVAL 30 DAYS")).alias("since")))  # one row
-    return t.join(since, F.col("ts") >= F.col("since")).groupBy("wallet_id").agg(ov.side_sum(ov.BUY).alias("buy_usd"), ov.side_sum(ov.SELL).alias("sell_usd"), F.count_distinct(F.date_trunc("day", "ts")).alias("active_days"))
+    return t.join(since, F.col("ts") >= F.col("since")).groupBy("wallet_id").agg(ov.side_sum(ov.bought()).alias("buy_usd"), ov.side_sum(ov.sold()).alias("sell_usd"), F.count_distinct(F.date_trunc("day", "ts")).alias("active_days"))
 
 
 @query(f", b AS (SELECT token_id, wallet_id, {_SIDES} FROM trades GROUP BY ALL) SELECT token_id, b.wallet_id, buy_usd, sell_usd, score, array_to_string(labels, ',') AS labels FROM b JOIN wallets USING (wallet_id) WHERE buy_usd > 0")
 def agg_buyer_table(spark: SparkSession, d: str) -> DataFrame:
-    b = p.trades(spark, d).groupBy("token_id", "wallet_id").agg(ov.side_sum(ov.BUY).alias("buy_usd"), ov.side_sum(ov.SELL).alias("sell_usd")).where("buy_usd > 0")
+    b = p.trades(spark, d).groupBy("token_id", "wallet_id").agg(ov.side_sum(ov.bought()).alias("buy_usd"), ov.side_sum(ov.sold()).alias("sell_usd")).where("buy_usd > 0")
     return b.join(p.wallets(spark, d), "wallet_id").select("token_id", "wallet_id", "buy_usd", "sell_usd", "score", F.array_join("labels", ",").alias("labels"))
 
 
@@ -177,7 +177,7 @@ def set_distinct(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT DISTINCT wallet_id FROM trades WHERE action = 'BUY' EXCEPT SELECT wallet_id FROM trades WHERE action = 'SELL'")
 def set_difference(spark: SparkSession, d: str) -> DataFrame:
     t = p.trades(spark, d)
-    return t.where(ov.BUY).select("wallet_id").distinct().join(t.where(ov.SELL).select("wallet_id"), "wallet_id", "left_anti")
+    return t.where(ov.bought()).select("wallet_id").distinct().join(t.where(ov.sold()).select("wallet_id"), "wallet_id", "left_anti")
 
 
 @query("SELECT DISTINCT dst AS wallet_id FROM edges WHERE dst NOT IN (SELECT wallet_id FROM wallets)")
