@@ -82,6 +82,23 @@ def test_licence_places(docs: DataFrame, texts: dict) -> None:
         assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(","))
 
 
+def test_licences_beside_others_and_in_prose(spark: SparkSession) -> None:
+    notices = defaultdict(list)
+    for label, notice, _ in license_scan.TEMPLATES:
+        notices[label].append(notice)
+    prose = "waived copying eclipse creative prohibited unencumbered domain mozilla affero redistribution accompanying provided strictly noncommercial"
+    rows = {i: (f"mine {notice} yours", {label}) for i, (label, notice, _) in enumerate(license_scan.TEMPLATES)}
+    rows[100] = (" and ".join(n for ns in notices.values() for n in ns), set(notices))
+    rows[101] = (f"{prose} licensed under cc by 4 0 {prose}", {"cc-by"})
+    rows[102] = (" x ".join(notices[k][0] for k in ("bsd", "epl", "isc", "unlicense")), {"bsd", "epl", "isc", "unlicense"})
+    # A quarter of the words may differ, the rarest ones, too; a key phrase may not.
+    rows[103] = ("redistribution and use in source and binary forms with or without changes is allowed provided that the following conditions hold", {"bsd"})
+    rows[104] = ("redistribution and use in source and object forms with or without modification are permitted provided that the following conditions are met", set())
+    got = by_id(license_scan.license_scan(spark.createDataFrame([(i, t) for i, (t, _) in rows.items()], "doc_id long, text string")))
+    wrong = {i: (got[i]["labels"], want) for i, (_, want) in rows.items() if not want <= set(filter(None, got[i]["labels"].split(","))) or (not want and got[i]["labels"])}
+    assert not wrong
+
+
 def _luhn(d: str) -> bool:
     return sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
 

@@ -1,10 +1,10 @@
-"""Licence scans: a positional index of licence templates, entered by a document's rarest licence words.
+"""Licence scans: a positional index of licence templates, entered by each template's rarest words.
 
 Templates are short licence notices as word lists. The documents are read once to count how many hold each template word
-(the words' IDF over all documents). A document's highest-IDF licence words are looked up in the templates' postings; each
-hit votes for (template, document position - template position), and a template with enough votes for one offset is
-aligned there. The alignment counts only if enough template words stand at their places and every mandatory key phrase
-of the template stands inside it. Base phrases are the same search with phrases as templates: from each place of the
+(the words' IDF over all documents). A template is looked up by its places of highest IDF, one more of them than an
+alignment may miss, so that each alignment with enough words has a hit; a hit names the start (document position -
+template position) at which the template is aligned. The alignment counts only if enough template words stand at their
+places and every mandatory key phrase of the template stands inside it. Base phrases are the same search with phrases as templates: from each place of the
 phrase's rarest word, the other words must stand at their relative positions.
 
 Null and empty texts have no words and no labels. Texts are read whole; rows are independent, so equal rows get equal
@@ -14,7 +14,6 @@ results. Templates are a fixed list, so nothing that is broadcast grows with the
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,8 +50,6 @@ TEMPLATES = [
     ("proprietary", "all rights reserved unauthorized copying of this file via any medium is strictly prohibited", ["all rights reserved", "strictly prohibited"]),
 ]
 
-#: A document's highest-IDF licence words that are looked up.
-LOOKUPS = 12
 #: Part of a template's words that must stand at their places.
 MATCHED = 0.75
 
@@ -72,10 +69,11 @@ class Index:
         self.base = {k: _hash_words(v.split()) for k, v in base.items()}
         self.vocabulary = np.unique(np.concatenate([*self.words, *self.base.values(), *(k for ks in self.keys for k in ks)]))
         self.idf = np.zeros(len(self.vocabulary))
-        self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for t, words in enumerate(self.words):
-            for i, w in enumerate(words):
-                self.postings[self.at(w)].append((t, i))
+        self.ids = [np.array([self.at(w) for w in words]) for words in self.words]
+        self.key_ids = [[[self.at(w) for w in k] for k in keys] for keys in self.keys]
+        #: Words that an alignment needs, and the template's places that are looked up.
+        self.needed = [math.ceil(MATCHED * len(words)) for words in self.words]
+        self.lookups: list[np.ndarray] = []
 
     def at(self, word: np.uint64) -> int:
         return int(np.searchsorted(self.vocabulary, word))
@@ -87,6 +85,8 @@ class Index:
 
     def weigh(self, found: dict[int, int], documents: int) -> None:
         self.idf = np.array([math.log((documents + 1) / (found.get(i, 0) + 1)) for i in range(len(self.vocabulary))])
+        # All but the places that an alignment may miss, and one: an alignment has a hit among them.
+        self.lookups = [np.argsort(-self.idf[ids], kind="stable")[: len(ids) - n + 1] for ids, n in zip(self.ids, self.needed)]
         # A template is entered by its rarest words; a document without any of those can't hold it.
         self.entries = np.unique([max((self.at(w) for w in words), key=lambda i: (self.idf[i], -i)) for k in self.keys for words in k] + [self.rarest(p) for p in self.base.values()])
 
@@ -106,26 +106,26 @@ def phrase_starts(ids: np.ndarray, phrase: list[int], idf: np.ndarray) -> np.nda
 
 def scan_one(ids: np.ndarray, index: Index) -> dict[str, float]:
     """Labels with the matched part of the best alignment, for one document's vocabulary ids (-1: other words)."""
-    places = np.flatnonzero(ids >= 0)
-    own = np.unique(ids[places])
-    rare = set(own[np.argsort(-index.idf[own], kind="stable")][:LOOKUPS].tolist())
-    votes: dict[tuple[int, int], int] = defaultdict(int)
-    for p in places[np.isin(ids[places], list(rare))].tolist():
-        for t, i in index.postings.get(int(ids[p]), ()):
-            votes[t, p - i] += 1
+    own = set(np.unique(ids).tolist())
     best: dict[str, float] = {}
-    for (t, start), n in votes.items():
-        words = index.words[t]
-        if n < min(3, len(words)):
+    for label, words, keys, lookups, needed in zip(index.labels, index.ids, index.key_ids, index.lookups, index.needed):
+        if not own.issuperset(w for k in keys for w in k):
             continue
-        i = np.arange(max(0, -start), min(len(words), len(ids) - start))
-        there = ids[i + start]
-        matched = int(np.count_nonzero(there == [index.at(words[k]) for k in i])) / len(words)
-        if matched < MATCHED or matched <= best.get(index.labels[t], 0):
-            continue
-        inside = ids[max(0, start) : start + len(words)]
-        if all(len(phrase_starts(inside, [index.at(w) for w in k], index.idf)) for k in index.keys[t]):
-            best[index.labels[t]] = matched
+        starts = np.unique(np.concatenate([np.flatnonzero(ids == words[i]) - i for i in lookups]))
+        matched = np.zeros(len(starts), np.int64)
+        for i, w in enumerate(words):
+            at = starts + i
+            matched += (ids[np.clip(at, 0, len(ids) - 1)] == w) & (at >= 0) & (at < len(ids))
+        good = matched >= needed
+        # From the best alignment on, the first with all key phrases inside decides.
+        for k in np.argsort(-matched[good], kind="stable").tolist():
+            start, part = int(starts[good][k]), int(matched[good][k]) / len(words)
+            if part <= best.get(label, 0):
+                break
+            inside = ids[max(0, start) : start + len(words)]
+            if all(len(phrase_starts(inside, phrase, index.idf)) for phrase in keys):
+                best[label] = part
+                break
     return best
 
 
