@@ -158,6 +158,25 @@ def test_quality_counts(docs: DataFrame, texts: dict) -> None:
     assert not any(r["kept"] and r["base_failed"] for r in got.values())
 
 
+def test_quality_cutoffs_follow_the_documents(spark: SparkSession) -> None:
+    rng = random.Random(4)
+    # Of one source no document has symbols, of the other each has one a four words; long words are common in the other, too.
+    rows = []
+    for i in range(600):
+        words = [f"{rng.choice('bcdfg')}{rng.randrange(10**5)}" for _ in range(200)]
+        if i % 2:
+            words = [w + w + w + w + w + "#" * (k % 4 == 0) for k, w in enumerate(words)]
+        rows.append((i, " ".join(words), "en", ("plain", "code")[i % 2], 0))
+    plain = [r[1].split() for r in rows[0:20:2]]
+    rows += [(1000, " ".join(w + "#" * (k % 4 == 0) for k, w in enumerate(plain[0])), "en", "plain", 0)]  # as many as in the other source
+    rows += [(1001, " ".join(w * 3 for w in plain[1]), "en", "plain", 0)]  # words of 15 characters or more
+    rows += [(1002, " ".join(plain[2]) + "\none more line\none more line", "en", "plain", 0)]  # one repeated line
+    rows += [(1003, " ".join(sum(plain[3:6], [])) + "\none more line" * 16, "en", "plain", 0)]  # 15 repeated lines
+    got = by_id(quality_rules.quality(spark.createDataFrame(rows, SCHEMA)))
+    assert all(got[i]["kept"] for i in range(600)) and got[1002]["kept"]
+    assert not any(got[i]["kept"] for i in (1000, 1001, 1003))
+
+
 def test_language_model(docs: DataFrame, texts: dict) -> None:
     held = {i: crc32(str(i).encode()) % 7 == 2 for i in texts}
     words = {i: [*PLAIN.findall((t or "").translate(LOWER)), "\n"] for i, t in texts.items()}

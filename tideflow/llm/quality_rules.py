@@ -1,10 +1,13 @@
 """Quality rules with adaptive thresholds: KLL sketches by language and source instead of fixed cutoffs.
 
-Statistics of each text: words, characters in words, symbols, repeated lines, words in repeated three-word windows. Rates
-of these get upper fences (and the mean word length a lower one, too) for each language and source, from the quartiles of
-mergeable KLL sketches that tasks build and a shuffle of sketches merges: a fence lies FENCE interquartile ranges beyond
-the quartile, and never inside what the fixed floor allows. Groups with few documents use their language's fence, built
-by merging the same sketches. The statistics are joined with the fences and filtered.
+Statistics of each text: words, characters in words, symbols, repeated lines, words in repeated three-word windows. Their
+fences come from mergeable KLL sketches for each language and source, which tasks build and a shuffle of sketches merges;
+no fixed cutoff takes part. Most documents have rates of nothing, so that quartiles tell nothing of them: a rate's fence
+lies FENCE times the distance of median and 0.9 quantile beyond the latter, and a document is beyond it only if its
+count is by more than ERRORS standard errors of a count (one repeated line is no outlier where nobody repeats any). The
+mean word length has a fence on each side, FENCE interquartile ranges beyond the quartile. All fences are shrunk to
+their language's (the same sketches merged), which weighs as much as PRIOR documents. The statistics are joined with the
+fences and filtered.
 
 DataFrame functions only; the words of a text are compared inside its row, so no word leaves its task. Windows are
 compared by 64-bit hashes inside one text. Null texts have no words; null languages and sources are groups of their own.
@@ -19,11 +22,13 @@ from pyspark.sql import functions as F
 from tideflow.llm.common import checkpointed, small_or_shuffled
 
 SPACE = "[\\x20\\x09-\\x0D]+"
-#: Rates and the least upper fence of each.
-RATES = {"symbol_rate": 0.1, "dup_line_rate": 0.3, "repeat_rate": 0.3}
+#: Rates, the count of each, and its weight.
+RATES = {"symbol_rate": ("n_symbols", 1.0), "dup_line_rate": ("n_dup_lines", 10.0), "repeat_rate": ("n_repeat_words", 1.0)}
 FENCE = 6.0
-#: Documents from which a language and source have fences of their own.
-LEAST = 30
+#: Standard errors of a count by which it must be beyond the fence.
+ERRORS = 3.0
+#: Documents as which a language's fence weighs in that of a language and source.
+PRIOR = 10
 SKETCH_K = 400
 
 
@@ -65,14 +70,7 @@ def measured(docs: DataFrame) -> DataFrame:
 
 def with_rates(stats: DataFrame) -> DataFrame:
     n = F.greatest("n_words", F.lit(1))
-    return stats.withColumns(
-        {
-            "symbol_rate": F.col("n_symbols") / n,
-            "dup_line_rate": 10.0 * F.col("n_dup_lines") / n,
-            "repeat_rate": F.col("n_repeat_words") / n,
-            "word_length": F.col("word_chars") / n,
-        }
-    )
+    return stats.withColumns({x: weight * F.col(count) / n for x, (count, weight) in RATES.items()} | {"word_length": F.col("word_chars") / n})
 
 
 def fences(stats: DataFrame) -> DataFrame:
@@ -80,21 +78,20 @@ def fences(stats: DataFrame) -> DataFrame:
     names = [*RATES, "word_length"]
     sketched = checkpointed(stats.groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(x, SKETCH_K).alias(x) for x in names]))
 
-    def quartiles() -> list[Column]:
-        out = []
-        for x in names:
-            lo, hi = F.kll_sketch_get_quantile_double(x, F.lit(0.25)), F.kll_sketch_get_quantile_double(x, F.lit(0.75))
-            out.append((hi + FENCE * (hi - lo)).alias(f"max_{x}"))
-            if x == "word_length":
-                out.append((lo - FENCE * (hi - lo)).alias(f"min_{x}"))
-        return out
-
-    by_lang = sketched.groupBy("lang").agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(x).alias(x) for x in names])
-    by_lang = by_lang.select("lang", F.struct(*quartiles()).alias("wide"))
-    own = sketched.select("lang", "source", "n", F.struct(*quartiles()).alias("own"))
+    def limits() -> list[Column]:
+        def quantile(x: str, q: float) -> Column:
+            return F.kll_sketch_get_quantile_double(x, F.lit(q))
+
+        upper = [(quantile(x, 0.9) + FENCE * (quantile(x, 0.9) - quantile(x, 0.5))).alias(f"max_{x}") for x in RATES]
+        lo, hi = quantile("word_length", 0.25), quantile("word_length", 0.75)
+        return [*upper, (hi + FENCE * (hi - lo)).alias("max_word_length"), (lo - FENCE * (hi - lo)).alias("min_word_length")]
+
+    by_lang = sketched.groupBy("lang").agg(*[F.kll_merge_agg_double(x).alias(x) for x in names])
+    by_lang = by_lang.select("lang", F.struct(*limits()).alias("wide"))
+    own = sketched.select("lang", "source", (F.col("n") / (F.col("n") + PRIOR)).alias("weight"), F.struct(*limits()).alias("own"))
     both = own.join(F.broadcast(by_lang.withColumnRenamed("lang", "of")), F.col("lang").eqNullSafe(F.col("of")), "left")
-    chosen = both.select("lang", "source", F.when(F.col("n") >= LEAST, F.col("own")).otherwise(F.col("wide")).alias("f"))
-    return checkpointed(chosen.select("lang", "source", *[F.greatest(f"f.max_{x}", F.lit(low)).alias(f"max_{x}") for x, low in RATES.items()], F.greatest("f.max_word_length", F.lit(20.0)).alias("max_word_length"), F.least("f.min_word_length", F.lit(2.0)).alias("min_word_length")))
+    fenced = [*[f"max_{x}" for x in names], "min_word_length"]
+    return checkpointed(both.select("lang", "source", *[(F.col("weight") * F.col(f"own.{x}") + (1 - F.col("weight")) * F.col(f"wide.{x}")).alias(x) for x in fenced]))
 
 
 def quality(docs: DataFrame) -> DataFrame:
@@ -107,7 +104,7 @@ def quality(docs: DataFrame) -> DataFrame:
     joined = stats.join(limits, F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source")), "left")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     fine = F.lit(True)
-    for x in RATES:
-        fine = fine & (F.col(x) <= F.col(f"max_{x}"))
+    for x, (count, weight) in RATES.items():
+        fine = fine & (F.col(count) - ERRORS * F.sqrt(count) <= F.col(f"max_{x}") * F.col("n_words") / weight)
     fine = fine & F.col("word_length").between(F.col("min_word_length"), F.col("max_word_length"))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.coalesce(fine, F.lit(True))).alias("kept"))
