@@ -29,9 +29,9 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't hold toxic."""
+    """Documents that the classifier doesn't flag as toxic at their language's threshold."""
     scores = toxicity_scores(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, scores.where("predicted = 1").select("doc_id"))
+    return _without(docs, scores.where("flagged").select("doc_id"))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,11 +7,13 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 from zlib import crc32
 
 import pytest
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from tideflow.llm import decontamination, license_scan, lm_mixing, mixing, ngram_join, pii, quality_rules, secret_scan, substring_dedup, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -292,6 +294,40 @@ def test_toxicity_on_held_out_labels(spark: SparkSession) -> None:
     assert auc > 0.9, auc
 
 
+def test_toxicity_learns_from_the_end_of_long_texts(spark: SparkSession) -> None:
+    rng = random.Random(6)
+    words = [f"wort{i}" for i in range(300)]
+    rows = [(i, " ".join(rng.choices(words, k=2500)) + " vile slurs here" * (i % 2), "de") for i in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(160)], "doc_id long, toxic int")
+    got = by_id(toxicity.toxicity_scores(docs, labels))
+    assert all(r["predicted"] == i % 2 and r["flagged"] == bool(i % 2) for i, r in got.items())
+
+
+def test_toxicity_thresholds_count_all_labels(spark: SparkSession) -> None:
+    # Of each language about 20 rows fit the model; clean texts of one use toxic words, which its threshold alone can tell.
+    rng = random.Random(7)
+    words = [f"wort{i}" for i in range(300)]
+    texts, labels = [], []
+    for i in range(1500):
+        lang, toxic = ("de", "en", "fr")[i % 3], int(i % 5 == 0)
+        bad = toxic or (lang == "en" and i % 4 == 0)
+        texts.append((i, " ".join(rng.choices(words, k=40)) + " vile slurs here" * bad, lang))
+        labels.append((i, 0 if lang == "en" else toxic))
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    got = by_id(toxicity.toxicity_scores(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), 30))
+    limits = {lang: {got[i]["threshold"] for i, _, x in texts if x == lang} for lang in ("de", "en", "fr")}
+    assert all(len(x) == 1 for x in limits.values()) and min(limits["en"]) > max(limits["de"] | limits["fr"])
+
+
+def test_pipeline_drops_what_is_flagged(spark: SparkSession, monkeypatch: pytest.MonkeyPatch, tmp_path: Path) -> None:
+    docs = spark.createDataFrame([(1, "a", "de", "s", 1), (2, "b", "en", "s", 1), (3, "c", "en", "s", 1)], SCHEMA)
+    scores = spark.createDataFrame([(1, 1, False), (2, 0, True), (3, 0, False)], "doc_id long, predicted int, flagged boolean")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(corpus_pipeline, "toxicity_scores", lambda docs, labels: scores)
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()) == [1, 3]
+
+
 ALL = {
     "op1": lambda d, l, b: license_scan.license_scan(d),
     "op2": lambda d, l, b: pii.find_pii(d),

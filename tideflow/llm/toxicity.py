@@ -6,10 +6,12 @@ filter's largest response is pooled, and a logistic layer gives the score. One c
 the training sample's log-odds (a lower bound of them, so that rare words start at nothing); everything is then trained
 by Adam, and the scores are rescaled on rows that the training left out, with the labels' share of toxic rows as prior.
 
-The fit uses at most `fit_rows` labelled documents of each class, those with the least hash of doc_id, and FIT_WORDS words
-of each (a bound on driver memory and time); scoring covers all words of all documents. Labels of one doc_id that differ
-count as toxic. Only the text goes into a score; language chooses `threshold` alone, which decides `flagged`, never score
-or predicted.
+The fit uses at most `fit_rows` labelled documents of each class, those with the least hash of doc_id (a bound on driver
+memory and time), and all words of each; scoring covers all words of all documents. Thresholds by language come from
+counts of scores over all labelled documents that aren't held out; a language's own errors count beside those of all
+languages, so few labels move it little and a language without labels has the threshold of all. Labels of one doc_id that
+differ count as toxic. Only the text goes into a score; language chooses `threshold` alone, which decides `flagged`,
+never score or predicted.
 
 A null or empty text has a score from the bias. With no usable labels of both classes every score is the labels' share
 of toxic rows, or 0 without labels.
@@ -25,15 +27,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideflow.llm import textarrays as ta
+from tideflow.llm.common import checkpointed
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 8, 6, (1, 2, 3)
 #: Labelled documents of each class that the fit uses at most.
 FIT_ROWS = 2000
-#: Words of a document that the fit reads at most; scoring reads all.
-FIT_WORDS = 2000
 PAD = max(WIDTHS) - 1
 #: Bytes of the beginnings of a word that count, besides the word.
 STEMS = (3, 4, 5, 6, 7, 8)
+#: Scores that a threshold may take.
+TRIES = np.linspace(0.05, 0.95, 91)
+#: Labelled documents as which all languages' errors count beside a language's own.
+PRIOR = 40
+
+#: A document's distinct words' features, and each word's index among them.
+Doc = tuple[np.ndarray, np.ndarray]
 
 
 def held_out(doc_id: F.Column) -> F.Column:
@@ -64,6 +72,13 @@ def _padded(words: np.ndarray, counts: np.ndarray, pad: int) -> tuple[np.ndarray
     return out, starts
 
 
+def _joined(docs: list[Doc]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The documents' features end to end, their padded words, and where each document starts."""
+    features = np.concatenate([f for f, _ in docs])
+    at = np.cumsum([0, *(len(f) for f, _ in docs)])
+    return features, *_padded(np.concatenate([codes + k for (_, codes), k in zip(docs, at)]), np.array([len(codes) for _, codes in docs]), len(features))
+
+
 class Network:
     """embed (BUCKETS, DIM), filters by width (DIM, width, FILTERS), their biases, and the last layer."""
 
@@ -107,8 +122,8 @@ class Network:
     def score(self, raw: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale * raw + self.shift, -30, 30)))
 
-    def gradients(self, features: np.ndarray, counts: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-        words, starts = _padded(np.arange(len(features)), counts, len(features))
+    def gradients(self, docs: list[Doc], y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        features, words, starts = _joined(docs)
         vectors = self.vectors(features)
         pooled, at = self.pooled(words, starts, vectors, where=True)
         p = 1 / (1 + np.exp(-np.clip(self.raw(pooled), -30, 30)))
@@ -130,10 +145,10 @@ class Network:
         return g
 
 
-def _log_odds(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+def _log_odds(docs: list[Doc], y: np.ndarray) -> np.ndarray:
     """Each bucket's log-odds of a toxic document, two standard errors nearer to 0."""
     df = np.zeros((2, BUCKETS))
-    for features, label in zip(docs, y):
+    for (features, _), label in zip(docs, y):
         df[int(label), np.unique(features)] += 1
     n = np.array([(y == 0).sum(), (y == 1).sum()])
     odds = np.log((df[1] + 0.5) / (n[1] + 1)) - np.log((df[0] + 0.5) / (n[0] + 1))
@@ -141,7 +156,7 @@ def _log_odds(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     return (np.sign(odds) * np.clip(np.abs(odds) - 2 * error, 0, 3)).astype(np.float32)
 
 
-def train(docs: list[np.ndarray], y: np.ndarray, share: float, seed: int = 7, epochs: int = 12) -> Network:
+def train(docs: list[Doc], y: np.ndarray, share: float, seed: int = 7, epochs: int = 12) -> Network:
     """A network fitted to documents of word features; share: of toxic rows among all labels."""
     rng = np.random.default_rng(seed)
     y = np.asarray(y, np.float64)
@@ -158,7 +173,7 @@ def train(docs: list[np.ndarray], y: np.ndarray, share: float, seed: int = 7, ep
     for _ in range(epochs if len(rest) > 1500 else 3 * epochs):
         for part in np.array_split(rng.permutation(rest), -(-len(rest) // 128)):
             t += 1
-            for k, g in net.gradients(np.concatenate([docs[i] for i in part]), np.array([len(docs[i]) for i in part]), y[part], weight[part]).items():
+            for k, g in net.gradients([docs[i] for i in part], y[part], weight[part]).items():
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.99 * v[k] + 0.01 * g * g
                 net.p[k] -= ((0.002 if k == "embed" else 0.01) * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-6) + 1e-4 * net.p[k]).astype(np.float32)
@@ -178,34 +193,48 @@ def train(docs: list[np.ndarray], y: np.ndarray, share: float, seed: int = 7, ep
     return net
 
 
-def raw_scores(net: Network, docs: list[np.ndarray]) -> np.ndarray:
+def raw_scores(net: Network, docs: list[Doc]) -> np.ndarray:
     out = []
     for lo in range(0, len(docs), 256):
-        features = np.concatenate(docs[lo : lo + 256])
-        words, starts = _padded(np.arange(len(features)), np.array([len(d) for d in docs[lo : lo + 256]]), len(features))
+        features, words, starts = _joined(docs[lo : lo + 256])
         out.append(net.raw(net.pooled(words, starts, net.vectors(features))[0]))
     return np.concatenate(out)
 
 
-def thresholds(scores: np.ndarray, y: np.ndarray, lang: np.ndarray, share: float, least: int = 40) -> dict[str, float]:
-    """By language, the score from which a document is flagged: the one with least weighted error; 0.5 for few rows."""
-    out = {}
-    for name in {x for x in lang if x is not None}:
-        s, z = scores[lang == name], y[lang == name]
-        if len(z) < least or not 0 < z.sum() < len(z):
-            continue
-        w1, w0 = share / z.mean(), (1 - share) / (1 - z.mean())
-        tries = np.linspace(0.05, 0.95, 91)
-        errors = np.array([w1 * ((s < x) & (z == 1)).sum() + w0 * ((s >= x) & (z == 0)).sum() for x in tries])
-        good = np.flatnonzero(errors <= errors.min() + 1e-9)
-        out[name] = float(tries[good[np.argmin(np.abs(tries[good] - 0.5))]])
-    return out
+def thresholds(scores: DataFrame, usable: DataFrame) -> tuple[dict[str | None, float], float]:
+    """By language, the score from which a document is flagged, and that of all languages: those with the least errors.
+
+    scores has doc_id, lang and score, of which those with a row in usable (doc_id, toxic) count; 0.5 without any.
+    """
+    bins = F.aggregate(F.array(*[F.lit(float(x)) for x in TRIES]), F.lit(0), lambda a, x: a + (F.col("score") >= x).cast("int"))
+    counted = scores.join(usable, "doc_id").groupBy("lang", "toxic", bins.alias("bin")).count().collect()  # languages * 2 * 92 rows at most
+    # errors[k]: of rows in bins up to k, toxic ones are missed at try k; of those beyond, clean ones are flagged.
+    by_lang: dict[str | None, np.ndarray] = {}
+    for r in counted:
+        by_lang.setdefault(r["lang"], np.zeros((2, len(TRIES) + 1)))[r["toxic"], r["bin"]] += r["count"]
+
+    def errors(n: np.ndarray) -> np.ndarray:
+        return np.cumsum(n[1])[:-1] + n[0].sum() - np.cumsum(n[0])[:-1]
 
+    def best(e: np.ndarray) -> float:
+        good = np.flatnonzero(e <= e.min() + 1e-9)
+        return float(TRIES[good[np.argmin(np.abs(TRIES[good] - 0.5))]])
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[Network | None, dict[str, float], float]:
-    """The network, thresholds by language, and the labels' share of toxic rows."""
+    if not by_lang:
+        return {}, 0.5
+    every = sum(by_lang.values())
+    rate = errors(every) / every.sum()
+    return {k: best(errors(n) + PRIOR * rate) for k, n in by_lang.items()}, best(rate)
+
+
+def usable_labels(labels: DataFrame) -> DataFrame:
+    """doc_id and toxic, a row for each labelled document that isn't held out."""
     usable = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
-    usable = usable.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    return usable.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+
+
+def fit(docs: DataFrame, usable: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[Network | None, float]:
+    """The network, and the share of toxic rows among usable labels."""
     sizes = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
     share = sizes.get(1, 0) / max(1, sum(sizes.values()))
     parts = [usable.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows) for k in (0, 1)]
@@ -215,18 +244,21 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[N
         for b in batches:
             for c in ta.chunks(b.column(1), ta.ALNUM, lower=True):
                 features, codes = _features(c)
-                blobs = [features[codes[c.word_at[i] : min(c.word_at[i + 1], c.word_at[i] + FIT_WORDS)]].tobytes() for i in range(c.n)]
-                yield pa.RecordBatch.from_arrays([b.column(0)[c.lo : c.hi], pa.array(blobs, pa.binary()), b.column(2)[c.lo : c.hi], b.column(3)[c.lo : c.hi]], ["doc_id", "ids", "lang", "toxic"])
-
-    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang")
-    rows = docs.select("doc_id", "text", lang).join(chosen, "doc_id").select("doc_id", "text", "lang", "toxic").mapInArrow(ids, "doc_id long, ids binary, lang string, toxic int")
-    got = sorted({r["doc_id"]: r for r in rows.collect()}.values(), key=lambda r: r["doc_id"])  # at most 2 * fit_rows
+                blobs, own = [], []
+                for i in range(c.n):
+                    some, at = np.unique(codes[c.word_at[i] : c.word_at[i + 1]], return_inverse=True)
+                    blobs.append(features[some].tobytes())
+                    own.append(at.astype(np.int32).tobytes())
+                yield pa.RecordBatch.from_arrays([b.column(0)[c.lo : c.hi], pa.array(blobs, pa.binary()), pa.array(own, pa.binary()), b.column(2)[c.lo : c.hi]], ["doc_id", "features", "codes", "toxic"])
+
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "toxic").mapInArrow(ids, "doc_id long, features binary, codes binary, toxic int")
+    # At most 2 * fit_rows; of rows that repeat a doc_id the same one in any order.
+    got = sorted({r["doc_id"]: r for r in sorted(rows.collect(), key=lambda r: (r["doc_id"], r["codes"], r["features"]))}.values(), key=lambda r: r["doc_id"])
     y = np.array([r["toxic"] for r in got], np.float64)
     if not 0 < y.sum() < len(y):
-        return None, {}, share
-    words = [np.frombuffer(x, np.uint16).reshape(-1, 1 + len(STEMS)) for x in (r["ids"] for r in got)]
-    net = train(words, y, share)
-    return net, thresholds(net.score(raw_scores(net, words)), y, np.array([r["lang"] for r in got], object), share), share
+        return None, share
+    words = [(np.frombuffer(r["features"], np.uint16).reshape(-1, 1 + len(STEMS)), np.frombuffer(r["codes"], np.int32).astype(np.int64)) for r in got]
+    return train(words, y, share), share
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -234,7 +266,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS
 
     docs has doc_id and text, and lang if there are thresholds by language; labels has doc_id and toxic.
     """
-    net, by_lang, share = fit(docs, labels, fit_rows)
+    usable = checkpointed(usable_labels(labels))
+    net, share = fit(docs, usable, fit_rows)
     model = docs.sparkSession.sparkContext.broadcast(net)
     if "lang" not in docs.columns:
         docs = docs.withColumn("lang", F.lit(None).cast("string"))
@@ -249,8 +282,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS
                     features, codes = _features(c)
                     words, starts = _padded(codes, c.counts, len(features))
                     score = net.score(net.raw(net.pooled(words, starts, net.vectors(features))[0])).astype(np.float64)
-                limit = np.array([by_lang.get(x, 0.5) for x in b.column(2)[c.lo : c.hi].to_pylist()])
-                yield pa.RecordBatch.from_arrays([b.column(0)[c.lo : c.hi], pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(limit), pa.array(score >= limit)], ["doc_id", "score", "predicted", "threshold", "flagged"])
+                yield pa.RecordBatch.from_arrays([b.column(0)[c.lo : c.hi], b.column(2)[c.lo : c.hi], pa.array(score)], ["doc_id", "lang", "score"])
 
-    out = docs.select("doc_id", "text", "lang").mapInArrow(run, "doc_id long, score double, predicted int, threshold double, flagged boolean")
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "threshold", "flagged")
+    scores = checkpointed(docs.select("doc_id", "text", "lang").mapInArrow(run, "doc_id long, lang string, score double"))
+    by_lang, general = thresholds(scores, usable) if net is not None else ({}, 0.5)
+    limits = F.broadcast(docs.sparkSession.createDataFrame(list(by_lang.items()), "of string, own double"))  # a row a language
+    out = scores.join(limits, F.col("lang").eqNullSafe(F.col("of")), "left").withColumn("threshold", F.coalesce("own", F.lit(general)))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "threshold", (F.col("score") >= F.col("threshold")).alias("flagged"))
