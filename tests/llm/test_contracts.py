@@ -135,6 +135,41 @@ def test_secrets(docs: DataFrame, texts: dict) -> None:
     assert not differing(got, want)
 
 
+def test_random_keys_are_found_beside_names(spark: SparkSession) -> None:
+    rng = random.Random(1)
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    alphabets = {"base64": lower + lower.upper() + digits + "+/", "mixed": lower + lower.upper() + digits, "lower": lower + digits, "base32": lower.upper() + "234567", "hex": digits + "ABCDEF"}
+    keys = [(a, n, "".join(rng.choices(x, k=n))) for a, x in alphabets.items() for n in (24, 32, 40, 64) for _ in range(40)]
+    stock = [w.lower() for _, t, _ in license_scan.TEMPLATES for w in t.split() if len(w) > 3]
+    names = [rng.choice(["_", "-", "/", ""]).join(rng.choices(stock, k=6))[:60] + str(rng.randrange(2000)) for _ in range(300)]
+    rows = [(i, f"see {k} here") for i, (*_, k) in enumerate(keys)] + [(10_000 + i, f"see {x} here") for i, x in enumerate(names)]
+    got = by_id(secret_scan.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")))
+    found = Counter((a, n) for i, (a, n, k) in enumerate(keys) if got[i]["spans"] in (f"random:4:{4 + len(k)}", f"assign:4:{4 + len(k)}"))
+    assert sum(found.values()) >= 0.9 * len(keys), found
+    assert all(found[a, n] >= 38 for a in ("base64", "mixed", "hex") for n in (40, 64)), found
+    assert sum(bool(got[10_000 + i]["spans"]) for i in range(len(names))) <= 6
+    # One key alone is found as well, and names alone are not.
+    alone = by_id(secret_scan.find_secrets(spark.createDataFrame([rows[45]], "doc_id long, text string")))
+    assert alone[45]["spans"] == f"random:4:{4 + len(keys[45][2])}"
+    assert not any(r["spans"] for r in by_id(secret_scan.find_secrets(spark.createDataFrame(rows[len(keys) :], "doc_id long, text string"))).values())
+
+
+def test_bins_accepted_by_false_discovery_control() -> None:
+    """Against Benjamini and Hochberg's rule applied to single p-values."""
+    rng = random.Random(2)
+    bins, classes = secret_scan.BINS, range(len(secret_scan.CLASSES))
+    for _ in range(20):
+        null = {(e, c): [rng.randrange(1 + b * b) for b in range(bins)] for e in (0, 5) for c in classes}
+        tokens = {k: [rng.randrange(1 + (bins - b) // 8 if rng.random() < 0.5 else 3) for b in range(bins)] for k in null}
+        got = secret_scan.accepted_bins(null, tokens)
+        for c in classes:
+            p = sorted((1 + sum(null[k][: b + 1])) / (1 + sum(null[k])) for k in tokens if k[1] == c for b, n in enumerate(tokens[k]) for _ in range(n))
+            limit = max((x for i, x in enumerate(p, 1) if x <= secret_scan.FDR * i / len(p)), default=-1)
+            for k in (k for k in tokens if k[1] == c):
+                fit = [b for b in range(bins) if (1 + sum(null[k][: b + 1])) / (1 + sum(null[k])) <= limit and 10 ** (-b / 8) >= secret_scan.REJECT]
+                assert got.get(k, -1) == max(fit, default=-1)
+
+
 def test_redaction_masks_secrets_and_keeps_the_rest(docs: DataFrame, texts: dict) -> None:
     got = by_id(secret_scan.redact(docs))
     assert got.keys() == texts.keys()
