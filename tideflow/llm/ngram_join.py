@@ -1,26 +1,30 @@
 """N-gram Jaccard join: links between documents whose word-shingle sets are similar, and their components.
 
-Documents meet in tiles of equal band signatures: BANDS bands of ROWS minimum hashes each. Sets with Jaccard similarity s
-share no tile with probability (1 - s**ROWS)**BANDS, below 3e-15 at 0.8 and less above, which is of the order of what the
-64-bit hashes of shingles allow anyway; sets that merely share passages seldom meet, however frequent the passage is.
-In a tile, documents are ordered by size and compared inside the size band that the threshold allows. Parity bitmaps bound
-the overlap from above (each differing shingle flips one bit, so the sets differ in at least as many shingles as their
-bitmaps in bits), and pairs that pass are settled by intersecting the sorted arrays.
-
-A large tile isn't expanded into all pairs. Documents of one batch that share a signature send one of them, their head,
-to the tile and are compared with it; the others go along under a salted key, so a signature that a third of all documents
-have is spread out. Then each document is compared with one document only, the nearest by bitmap of its tiles' heads, and
-the links are merged into components. Documents of a tile that still lie in different components are compared in blocks
-of bounded size: first the nearest pair of each two components, and, after merging again, all pairs that are left. Pairs
+A set's shingles are put in one order for all sets, rare ones first. If 100 * overlap >= percent * union, the two sets
+share a shingle among the first size - ceil(percent * size / 100) + 1 of each, so those are a set's prefix, and each
+(size band, prefix shingle) is a tile in which every pair that can pass meets. Bands are a factor of four wide; a set
+whose partners may be of the next band goes into that band's tiles, too. Rarity is read from a hashed table of counts of
+fixed size: it only decides the order, so that a passage which many documents share stands in few prefixes; no pair hangs
+on it. In a tile, documents are ordered by size and compared inside the sizes that the threshold allows. Parity bitmaps
+bound the overlap from above (each differing shingle flips one bit, so the sets differ in at least as many shingles as
+their bitmaps in bits), and pairs that pass are settled by intersecting the sorted arrays.
+
+A large tile isn't expanded into all pairs. Documents of one batch that share a token send one of them, their head, to the
+tile and are compared with it; the others go along under a salted key, so a token that a third of all documents have is
+spread out. Then each document is compared with one document only, the nearest by bitmap of its tiles' heads, and the
+links are merged into components. Documents of a tile that still lie in different components are compared in blocks of
+bounded size: first the nearest pair of each two components, and, after merging again, all pairs that are left. Pairs
 inside one component can't change it, so no component loses a link.
 
-Null texts and texts without a word have no shingles and link with nothing. Equal texts, and rows that repeat a doc_id,
-share a class. Texts of any length are read whole. Rows with a null doc_id are dropped: there's nothing to link them by.
+Equal sets are one node, named by a 64-bit hash of the set; rows are told apart by doc_id and a hash of the text. Null
+texts and texts without a word have no shingles and link with nothing. Rows that repeat a doc_id link each by its own
+text. A row with a null doc_id links as others do and doesn't name a component: its component_id is the smallest doc_id
+that it reaches, null if there is none. Texts of any length are read whole; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,97 +35,149 @@ from tideflow.llm import textarrays as ta
 from tideflow.llm.common import checkpointed, small_or_shuffled
 from tideflow.llm.components import components
 
-#: Signatures of a document, and minimum hashes in each.
-BANDS, ROWS = 64, 4
+#: Log2 of the number of hashed counts, and of the parts in which they are added up.
+LOAD_BITS, PART_BITS = 22, 16
+#: Factor between the least and the largest size of a band.
+BAND = 4
 #: 64-bit words of a bitmap.
 BITMAP = 16
 #: Documents of a tile that are compared with one another in one group.
 BLOCK = 1024
+#: Rows of one set from which it is joined apart from others.
+HOT_ROWS = 100_000
 
-_HASHES = ta.mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_XOR, _TIMES = _HASHES[: BANDS * ROWS], _HASHES[BANDS * ROWS :] | np.uint64(1)
+_MIX_BAND = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _sets(chunk: ta.Chunk, n: int) -> list[np.ndarray]:
-    """Each document's sorted distinct shingles; a shorter document is one shingle, an empty one none."""
+def _flat(chunk: ta.Chunk, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The documents' distinct shingles end to end, each document's sorted: (document, shingle), and offsets by document.
+
+    A shorter document is one shingle, an empty one none.
+    """
     at, grams = chunk.grams(n)
-    ends = ta.per_doc(at, chunk)
-    counts, out = chunk.counts, []
-    for i in range(chunk.n):
-        if counts[i] >= n:
-            out.append(np.unique(grams[ends[i] : ends[i + 1]]))
-        elif counts[i]:
-            out.append(ta.gram_hash(chunk.hashes[chunk.word_at[i] : chunk.word_at[i + 1]], np.zeros(1, np.int64), int(counts[i])))
-        else:
-            out.append(np.zeros(0, np.uint64))
-    return out
+    short = np.flatnonzero((chunk.counts > 0) & (chunk.counts < n))
+    doc = np.concatenate([np.searchsorted(chunk.word_at, at, "right") - 1, short])
+    shingle = np.concatenate([grams, ta.gram_hash(chunk.hashes, chunk.word_at[short], chunk.counts[short])]) if len(short) else grams
+    order = np.lexsort((shingle, doc))
+    doc, shingle = doc[order], shingle[order]
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (shingle[1:] != shingle[:-1])]) if len(doc) else np.zeros(0, bool)
+    doc, shingle = doc[new], shingle[new]
+    return doc, shingle, np.searchsorted(doc, np.arange(chunk.n + 1))
+
+
+def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums modulo 2**64 between offsets."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
+    return sums[at[1:]] - sums[at[:-1]]
 
 
 def _blob(values: list[np.ndarray]) -> pa.Array:
     return pa.array([v.tobytes() for v in values], pa.binary())
 
 
-def _bitmap(s: np.ndarray) -> np.ndarray:
-    bits = np.bincount((s >> np.uint64(20)).astype(np.int64) % (64 * BITMAP), minlength=64 * BITMAP) & 1
-    return np.packbits(bits.astype(np.uint8))
+def _bitmaps(doc: np.ndarray, shingle: np.ndarray, n: int) -> list[np.ndarray]:
+    at = doc * (64 * BITMAP) + (shingle >> np.uint64(20)).astype(np.int64) % (64 * BITMAP)
+    bits = (np.bincount(at, minlength=n * 64 * BITMAP) & 1).astype(np.uint8)
+    return list(np.packbits(bits).reshape(n, 8 * BITMAP))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, row, text. doc_id and row (a hash of the text) tell rows apart but for equal ones."""
+    return docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
 
 
 def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, size, h1 and h2 (a 128-bit value of the set), bits (parity bitmap)."""
+    """doc_id, row, size, node (a hash of the set), bits (parity bitmap)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c in ta.chunks(b.column(2), ta.PLAIN, lower=True):
+                doc, shingle, at = _flat(c, n)
+                node = ta.mix(_sums(ta.mix(shingle), at)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0)[c.lo : c.hi], b.column(1)[c.lo : c.hi], pa.array(np.diff(at)), pa.array(node), _blob(_bitmaps(doc, shingle, c.n))], ["doc_id", "row", "size", "node", "bits"])
+
+    return _keyed(docs).mapInArrow(run, "doc_id long, row long, size long, node long, bits binary")
+
+
+def _loads(docs: DataFrame, n: int) -> np.ndarray:
+    """How many documents hold the shingles of each of 2**LOAD_BITS hashes; a task counts 255 at most."""
+    part = 1 << PART_BITS
+    kind = "part int, salt int, n binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        counts, some = np.zeros(1 << LOAD_BITS, np.uint8), False
         for b in batches:
-            for c in ta.chunks(b.column(1), ta.PLAIN, lower=True):
-                sets = _sets(c, n)
-                h1 = np.array([ta.mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-                h2 = np.array([ta.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-                size = np.array([len(s) for s in sets], np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0)[c.lo : c.hi], pa.array(size), pa.array(h1), pa.array(h2), _blob([_bitmap(s) for s in sets])], ["doc_id", "size", "h1", "h2", "bits"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, h1 long, h2 long, bits binary")
-
-
-def _signatures(s: np.ndarray) -> np.ndarray:
-    """A set's BANDS signatures."""
-    least = np.full(BANDS * ROWS, np.uint64(2**64 - 1))
-    for lo in range(0, len(s), 1024):
-        np.minimum(least, ((s[lo : lo + 1024, None] ^ _XOR) * _TIMES).min(axis=0), out=least)
-    rows = least.reshape(BANDS, ROWS)
-    out = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for k in range(ROWS):
-        out = ta.mix(out ^ rows[:, k])
+            for c in ta.chunks(b.column(0), ta.PLAIN, lower=True):
+                at, more = np.unique(_flat(c, n)[1] >> np.uint64(64 - LOAD_BITS), return_counts=True)
+                at = at.astype(np.int64)
+                counts[at] = np.minimum(counts[at] + more, 255)
+                some = True
+        for k in range(len(counts) // part if some else 0):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([TaskContext.get().partitionId() % 32], pa.int32()), pa.array([counts[k * part : (k + 1) * part].tobytes()], pa.binary())], ["part", "salt", "n"])
+
+    def add(wide: bool) -> Callable[[tuple, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(part, np.int64)
+            for b in batches:
+                for x in b.column("n"):
+                    total += np.frombuffer(x.as_buffer(), np.int64 if wide else np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "salt", "n"])
+
+        return run
+
+    rows = docs.select("text").mapInArrow(run, kind).groupBy("part", "salt").applyInArrow(add(False), kind).groupBy("part").applyInArrow(add(True), kind)
+    out = np.zeros(1 << LOAD_BITS, np.uint32)
+    for r in rows.toLocalIterator():  # of fixed size
+        out[r["part"] * part : (r["part"] + 1) * part] = np.minimum(np.frombuffer(r["n"], np.int64), 2**32 - 1)
     return out
 
 
-_ROW = "token long, salt int, size int, doc_id long, head long, head_size int, keep boolean"
+_ROW = "token long, salt int, size int, node long, head long, head_size int, keep boolean"
 
 
-def _banded(docs: DataFrame, n: int) -> DataFrame:
-    """A row a document and signature. Heads and single documents of a batch have salt 0; keep: the batch has others."""
+def _prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """A row a set, band and prefix shingle. Heads and single sets of a batch have salt 0; keep: the batch has others."""
+    shared = docs.sparkSession.sparkContext.broadcast(_loads(docs, n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for c in ta.chunks(b.column(1), ta.PLAIN, lower=True):
-                sets, ids = _sets(c, n), b.column(0)[c.lo : c.hi].to_numpy(zero_copy_only=False)
-                some = [i for i in range(c.n) if len(sets[i])]
-                if not some:
+            for c in ta.chunks(b.column(0), ta.PLAIN, lower=True):
+                doc, shingle, at = _flat(c, n)
+                size, node = np.diff(at), ta.mix(_sums(ta.mix(shingle), at))
+                # One document of each set.
+                one = np.zeros(c.n, bool)
+                one[np.unique(node, return_index=True)[1]] = True
+                length = np.where(one & (size > 0), size + 1 - -(-percent * size // 100), 0)
+                keep = length[doc] > 0
+                doc, shingle = doc[keep], shingle[keep]
+                if not len(doc):
                     continue
-                token = np.concatenate([_signatures(sets[i]) for i in some])
-                doc = np.repeat(ids[some], BANDS).astype(np.int64)
-                size = np.repeat(np.array([len(sets[i]) for i in some], np.int64), BANDS)
-                order = np.lexsort((doc, size, token))
-                token, doc, size = token[order], doc[order], size[order]
+                order = np.lexsort((shingle, shared.value[(shingle >> np.uint64(64 - LOAD_BITS)).astype(np.int64)], doc))
+                place = np.arange(len(doc)) - np.searchsorted(doc, doc)
+                first = place < length[doc]
+                doc, shingle = doc[first], shingle[order][first]
+                level = (np.log(np.maximum(size, 1)) / np.log(BAND) + 1e-9).astype(np.int64)
+                most = (np.log(np.maximum(size * 100 // percent, 1)) / np.log(BAND) + 1e-9).astype(np.int64)
+                # A set whose partners may be of the next band is a guest there.
+                guest = np.flatnonzero((most > level)[doc])
+                doc, shingle, band = np.concatenate([doc, doc[guest]]), np.concatenate([shingle, shingle[guest]]), np.concatenate([level[doc], level[doc[guest]] + 1])
+                token = ta.mix(shingle ^ (band.astype(np.uint64) * _MIX_BAND))
+                own, many = node[doc].view(np.int64), size[doc]
+                order = np.lexsort((own, many, token))
+                token, own, many = token[order], own[order], many[order]
                 new = np.concatenate([[True], token[1:] != token[:-1]])
                 head = np.flatnonzero(new)[np.cumsum(new) - 1]
-                salt = np.where(new, 0, 1 + (ta.mix(doc.astype(np.uint64)) >> np.uint64(40)).astype(np.int64) % 1024)
-                keep = new & ~np.concatenate([new[1:], [True]])
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(doc), pa.array(doc[head]), pa.array(size[head].astype(np.int32)), pa.array(keep)], ["token", "salt", "size", "doc_id", "head", "head_size", "keep"])
+                salt = np.where(new, 0, 1 + (ta.mix(own.view(np.uint64)) >> np.uint64(40)).astype(np.int64) % 1024)
+                others = new & ~np.concatenate([new[1:], [True]])
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(many.astype(np.int32)), pa.array(own), pa.array(own[head]), pa.array(many[head].astype(np.int32)), pa.array(others)], ["token", "salt", "size", "node", "head", "head_size", "keep"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, _ROW)
+    return docs.select("text").mapInArrow(run, _ROW)
 
 
 def _tiles(rows: DataFrame) -> DataFrame:
-    """(token, doc_id, size, head, head_size): rows whose token comes twice at least; head: its least row, or the batch's."""
+    """(token, node, size, head, head_size): rows whose token comes twice at least; head: its least row, or the batch's."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Rows come in order, so a tile's first row is its head; it is held until it's known whether a second one comes.
@@ -134,6 +190,9 @@ def _tiles(rows: DataFrame) -> DataFrame:
             carried = held is not None
             if carried:
                 x = np.concatenate([held, x], axis=1)
+            # Batches that hold the same set send the same row; the first that has others in its batch stands for them.
+            again = np.concatenate([[False], (x[:4, 1:] == x[:4, :-1]).all(axis=0) & (x[6, 1:] <= x[6, :-1]) & (x[1, 1:] == 0)])
+            x = x[:, ~again]
             new = np.concatenate([[True], (x[0, 1:] != x[0, :-1]) | (x[1, 1:] != x[1, :-1])])
             at = np.flatnonzero(new)
             tile = np.cumsum(new) - 1
@@ -145,11 +204,11 @@ def _tiles(rows: DataFrame) -> DataFrame:
             heads = at[tile]
             head, head_size = np.where(salted, x[4], x[3, heads]), np.where(salted, x[5], x[2, heads])
             if out.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[0, out]), pa.array(x[3, out]), pa.array(x[2, out].astype(np.int32)), pa.array(head[out]), pa.array(head_size[out].astype(np.int32))], ["token", "doc_id", "size", "head", "head_size"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[0, out]), pa.array(x[3, out]), pa.array(x[2, out].astype(np.int32)), pa.array(head[out]), pa.array(head_size[out].astype(np.int32))], ["token", "node", "size", "head", "head_size"])
             told, held = emitted, x[:, at[-1] : at[-1] + 1]
 
-    ordered = rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "size", "doc_id")
-    return ordered.mapInArrow(mark, "token long, doc_id long, size int, head long, head_size int")
+    ordered = rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "size", "node", F.desc("keep"))
+    return ordered.mapInArrow(mark, "token long, node long, size int, head long, head_size int")
 
 
 def _overlap_ok(size_a: str, size_b: str, differ: F.Column | str, percent: int) -> F.Column:
@@ -159,13 +218,19 @@ def _overlap_ok(size_a: str, size_b: str, differ: F.Column | str, percent: int)
     return (100 + percent) * (total - differ) >= 2 * percent * total
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets pass, by intersecting their sorted arrays."""
-    wanted = small_or_shuffled(checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()))
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets pass, by intersecting their sorted arrays."""
+    wanted = small_or_shuffled(checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+    rows = checkpointed(classes.join(wanted, "node").select("node", F.col("doc_id").alias("of_id"), F.col("row").alias("of_row")))
+    same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("row") == F.col("of_row"))
+    texts = _keyed(docs).join(small_or_shuffled(rows), same).select("node", "text").dropDuplicates(["node"])
 
     def sets_of(text: pa.Array) -> list[np.ndarray]:
-        return [s for c in ta.chunks(text, ta.PLAIN, lower=True) for s in _sets(c, n)]
+        out: list[np.ndarray] = []
+        for c in ta.chunks(text, ta.PLAIN, lower=True):
+            _, shingle, at = _flat(c, n)
+            out.extend(np.split(shingle, at[1:-1]))
+        return out
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -182,22 +247,22 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
                     keep.append(100 * same >= percent * (len(both) - same))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(settle, "a long, b long")
 
 
 def _across(tiles: DataFrame, label: DataFrame, bits: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """Pairs (a, b) of a token's documents in different components that their bitmaps allow.
+    """Pairs (a, b) of a token's sets in different components that their bitmaps allow.
 
     nearest: of each two components, only the pair whose bitmaps differ least.
     """
-    named = tiles.select("token", "doc_id", "size").distinct().join(label, "doc_id", "left").select("token", "doc_id", "size", F.coalesce("component", "doc_id").alias("component"))
+    named = tiles.select("token", "node", "size").distinct().join(label, "node", "left").select("token", "node", "size", F.coalesce("component", "node").alias("component"))
     split = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("g")).where("lo < hi").select("token", "g")
-    open_ = named.join(split, "token").join(bits, "doc_id")
+    open_ = named.join(split, "token").join(bits, "node")
     blocks = F.ceil(F.col("g") / BLOCK).cast("int")
-    dealt = open_.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "size", "component", "bits")
+    dealt = open_.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "size", "component", "bits")
 
     def pairs_of(x: dict[str, np.ndarray]) -> pa.RecordBatch:
         """Pairs inside whole groups, rows ordered by group and size: each row with the next, the one after, and so on."""
@@ -219,7 +284,7 @@ def _across(tiles: DataFrame, label: DataFrame, bits: DataFrame, percent: int, n
                 found.append([a[ok], a[ok] + lag, differ[ok]])
         a, b, differ = (np.concatenate(c) for c in zip(*found))
         lo, hi = np.minimum(x["component"][a], x["component"][b]), np.maximum(x["component"][a], x["component"][b])
-        left, right = np.minimum(x["doc_id"][a], x["doc_id"][b]), np.maximum(x["doc_id"][a], x["doc_id"][b])
+        left, right = np.minimum(x["node"][a], x["node"][b]), np.maximum(x["node"][a], x["node"][b])
         best = np.lexsort((right, left, differ, hi, lo)) if nearest else np.lexsort((right, left))
         keys = (lo, hi) if nearest else (left, right)
         best = best[np.concatenate([[True], (np.diff(keys[0][best]) != 0) | (np.diff(keys[1][best]) != 0)])] if len(best) else best
@@ -230,7 +295,7 @@ def _across(tiles: DataFrame, label: DataFrame, bits: DataFrame, percent: int, n
         for b in batches:
             if not b.num_rows:
                 continue
-            x = {k: b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("token", "i", "j", "own", "doc_id", "size", "component")}
+            x = {k: b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("token", "i", "j", "own", "node", "size", "component")}
             x["bits"] = np.frombuffer(b"".join(b.column("bits").to_pylist()), np.uint64).reshape(-1, BITMAP)
             if held is not None:
                 x = {k: np.concatenate([held[k], x[k]]) for k in x}
@@ -242,7 +307,7 @@ def _across(tiles: DataFrame, label: DataFrame, bits: DataFrame, percent: int, n
         if held is not None:
             yield pairs_of(held)
 
-    ordered = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "size", "doc_id")
+    ordered = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "size", "node")
     pairs = ordered.mapInArrow(compare, "a long, b long, differ long, lo long, hi long")
     if nearest:
         return pairs.groupBy("lo", "hi").agg(F.min(F.struct("differ", "a", "b")).alias("m")).select("m.a", "m.b")
@@ -254,29 +319,44 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80) ->
 
     docs has doc_id and text; other columns are ignored.
     """
-    docs = docs.where(F.col("doc_id").isNotNull())
+    out = shingle_components(docs, shingle, percent)
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
+def shingle_components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, row (xxhash64 of the text), n_shingles, component_id and lead (of the component's rows the first: its doc_id and row)."""
     sets = checkpointed(shingle_sets(docs, shingle))
-    # Equal sets are one class, kept by its smallest doc_id; only these take part below.
-    classes = checkpointed(sets.where("size > 0").groupBy("h1", "h2", "size").agg(F.min(F.struct("doc_id", "bits")).alias("m")).select("h1", "h2", "size", F.col("m.doc_id").alias("rep"), F.col("m.bits").alias("bits")))
-    others = sets.where("size > 0").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti").select("doc_id").distinct()
-    others = small_or_shuffled(checkpointed(others))
-    tiles = checkpointed(_tiles(_banded(docs.join(others, "doc_id", "left_anti"), shingle)))
-    bits = classes.select(F.col("rep").alias("doc_id"), "bits")
-    unpacked = bits.select("doc_id", *[F.conv(F.hex(F.substring("bits", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"b{i}") for i in range(BITMAP)])
-
-    # Each document and the nearest of its tiles' heads.
-    star = tiles.select(F.col("head").alias("a"), F.col("doc_id").alias("b"), F.col("head_size").alias("size_a"), F.col("size").alias("size_b"))
+    some = sets.where("size > 0")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    classes = some.groupBy("node").agg(F.min(F.struct(*[F.col("doc_id").isNull().alias("none"), "doc_id", "row", "size", "bits"])).alias("m"), F.count("*").alias("rows"))
+    classes = checkpointed(classes.select("node", "m.doc_id", "m.row", "m.size", "m.bits", "rows"))
+    tiles = checkpointed(_tiles(_prefixes(docs, shingle, percent)))
+    bits = classes.select("node", "bits")
+    unpacked = bits.select("node", *[F.conv(F.hex(F.substring("bits", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"b{i}") for i in range(BITMAP)])
+
+    # Each set and the nearest of its tiles' heads.
+    star = tiles.select(F.col("head").alias("a"), F.col("node").alias("b"), F.col("head_size").alias("size_a"), F.col("size").alias("size_b"))
     star = star.where((100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")) & (F.col("a") != F.col("b"))).distinct()
-    a = unpacked.select(F.col("doc_id").alias("a"), *[F.col(f"b{i}").alias(f"a{i}") for i in range(BITMAP)])
+    a = unpacked.select(F.col("node").alias("a"), *[F.col(f"b{i}").alias(f"a{i}") for i in range(BITMAP)])
     differ = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(BITMAP)), F.lit(0))
-    star = star.join(unpacked.withColumnRenamed("doc_id", "b"), "b").join(a, "a").withColumn("differ", differ).where(_overlap_ok("size_a", "size_b", F.col("differ"), percent))
+    star = star.join(unpacked.withColumnRenamed("node", "b"), "b").join(a, "a").withColumn("differ", differ).where(_overlap_ok("size_a", "size_b", F.col("differ"), percent))
     star = star.groupBy("b").agg(F.min(F.struct("differ", "a")).alias("m")).select("m.a", "b")
-    links = checkpointed(_verified(checkpointed(star), docs, shingle, percent))
-    label = components(links)
+    links = checkpointed(_verified(checkpointed(star), classes, docs, shingle, percent))
+    label = components(links).withColumnRenamed("doc_id", "node")
     for nearest in (True, False):
         pairs = checkpointed(_across(tiles, label, bits, percent, nearest))
-        links = checkpointed(links.unionByName(_verified(pairs, docs, shingle, percent)))
-        label = components(links)
-    of_class = classes.join(label.withColumnRenamed("doc_id", "rep"), "rep", "left").select("h1", "h2", "size", F.coalesce("component", "rep").alias("component_id"))
-    own_class = sets.join(of_class, ["h1", "h2", "size"], "left")
-    return own_class.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        links = checkpointed(links.unionByName(_verified(pairs, classes, docs, shingle, percent)))
+        label = components(links).withColumnRenamed("doc_id", "node")
+
+    # Classes of one row without links are their own component; the others are joined, those of many rows apart.
+    label = checkpointed(label)
+    linked = classes.join(label, "node", "left").where("rows > 1 or component is not null").select("node", "rows", F.coalesce("component", "node").alias("component"), first.alias("lead"))
+    least = linked.groupBy("component").agg(F.min("lead").alias("lead"))
+    named = checkpointed(linked.select("node", "rows", "component").join(least, "component").select("node", "rows", "lead"))
+    hot = small_or_shuffled(named.where(F.col("rows") >= HOT_ROWS).select(F.col("node").alias("hot_node"), F.col("lead").alias("hot_lead")))
+    rest = small_or_shuffled(named.where(F.col("rows") < HOT_ROWS).select(F.col("node").alias("rest_node"), F.col("lead").alias("rest_lead")))
+    out = some.join(hot, F.col("node") == F.col("hot_node"), "left")
+    key = F.when(F.col("hot_node").isNull(), F.col("node")).otherwise(F.xxhash64("doc_id", "row"))
+    out = out.withColumn("key", key).join(rest, F.col("key") == F.col("rest_node"), "left").select("doc_id", "row", "size", F.coalesce("hot_lead", "rest_lead", first).alias("lead"))
+    out = out.unionByName(sets.where("size = 0").select("doc_id", "row", "size", first.alias("lead")))
+    return out.select("doc_id", "row", F.col("size").alias("n_shingles"), F.col("lead.doc_id").alias("component_id"), F.struct("lead.doc_id", "lead.row").alias("lead"))
