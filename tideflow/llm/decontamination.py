@@ -9,8 +9,10 @@ is compared word by word with the words kept in the posting, which gives exact p
 rarest terms stand near their places, but not at them or without the whole phrase, are proximity matches.
 
 DataFrame functions only. The windows are broadcast behind a check of their number; beyond it, the same joins shuffle.
-Null texts have no words. Rows that repeat a doc_id are one document with the hits of all of them; so are rows with a
-null doc_id.
+Each row is a document: rows are told apart by doc_id and a hash of the text, so rows that share a doc_id or have none
+have hits of their own, and equal rows have equal ones. Null and empty texts have no words and no hits; texts are read
+whole; repeated items count once; an item with a null id counts for hits but can't be named; empty tables give no rows or
+no hits.
 """
 
 from __future__ import annotations
@@ -44,15 +46,18 @@ def windows_of(items: DataFrame, window: int) -> DataFrame:
 
 
 def matches(docs: DataFrame, items: DataFrame, window: int = 10, broadcast_windows: int = BROADCAST_WINDOWS) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, item_id, first, n): the places of items' windows in documents; and (doc_id, item_id): proximity matches."""
+    """(doc_id, row, item_id, first, n): items' windows in documents; and (doc_id, row, item_id): proximity matches.
+
+    row is a hash of the text.
+    """
     owned = checkpointed(windows_of(items, window))
     ids = owned.select("terms").distinct().select(F.xxhash64("terms").alias("window"), "terms")
     vocabulary = small_or_shuffled(checkpointed(ids.select(F.explode("terms").alias("term")).distinct()), broadcast_windows)
-    tokens = docs.select("doc_id", words(F.col("text")).alias("w"))
+    tokens = docs.select("doc_id", F.xxhash64("text").alias("row"), words(F.col("text")).alias("w"))
 
-    counts = tokens.select(F.explode("w").alias("term")).join(vocabulary, "term").groupBy("term").agg(F.count("*").alias("n"))
+    counts = checkpointed(tokens.select(F.explode("w").alias("term")).join(vocabulary, "term").groupBy("term").agg(F.count("*").alias("n")))
     # A window's terms from the rarest; a term that no document holds makes its window impossible.
-    placed = ids.select("window", "terms", F.posexplode("terms").alias("offset", "term")).join(counts, "term", "left")
+    placed = ids.select("window", "terms", F.posexplode("terms").alias("offset", "term")).join(small_or_shuffled(counts, broadcast_windows), "term", "left")
     ranked = placed.groupBy("window", "terms").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "offset"))).alias("r"))
     ranked = checkpointed(ranked.where(F.col("r")[0]["n"] > 0).select("window", "terms", F.col("r")[0].alias("one"), F.coalesce(F.get("r", F.lit(1)), F.col("r")[0]).alias("two")))
 
@@ -61,16 +66,16 @@ def matches(docs: DataFrame, items: DataFrame, window: int = 10, broadcast_windo
     reach = checkpointed(reach)
     few = reach.limit(broadcast_windows + 1).count() <= broadcast_windows
     far = F.least(F.lit(window - 1), F.col("pos"))
-    postings = tokens.select("doc_id", "w", F.posexplode("w").alias("pos", "term"))
+    postings = tokens.select("doc_id", "row", "w", F.posexplode("w").alias("pos", "term"))
     if few:
         postings = postings.join(F.broadcast(reach), "term")
     # A posting takes along the words that a window can reach; where terms are shuffled, before that, and never the whole text.
-    postings = postings.select("doc_id", "pos", "term", far.alias("far"), F.slice("w", F.col("pos") + 1 - far, far + window).alias("near"), *(["left", "right"] if few else []))
+    postings = postings.select("doc_id", "row", "pos", "term", far.alias("far"), F.slice("w", F.col("pos") + 1 - far, far + window).alias("near"), *(["left", "right"] if few else []))
     if not few:
         postings = postings.join(reach, "term")
     left = F.least("left", "far")
     around = F.slice("near", F.col("far") + 1 - left, left + 1 + F.col("right"))
-    index = checkpointed(postings.select("term", "doc_id", "pos", left.alias("at"), around.alias("around")))
+    index = postings.select("term", "doc_id", "row", "pos", left.alias("at"), around.alias("around"))
 
     small = small_or_shuffled(ranked.select("window", "terms", F.col("one.term").alias("term"), F.col("one.offset").alias("offset"), F.col("two.term").alias("other"), (F.col("two.offset") - F.col("one.offset")).alias("apart")), broadcast_windows)
     entered = index.join(small, "term").where(F.col("pos") >= F.col("offset"))
@@ -78,31 +83,33 @@ def matches(docs: DataFrame, items: DataFrame, window: int = 10, broadcast_windo
     other = F.transform(F.filter(F.transform("around", lambda w, i: F.when(w == F.col("other"), i - F.col("at") - F.col("apart"))), lambda d: d.isNotNull() & (F.abs(d) <= SLOP)), lambda d: F.abs(d))
     met = entered.withColumn("miss", F.array_min(other)).where("miss is not null")
     met = met.withColumn("exact", F.slice("around", F.greatest(F.col("at") - F.col("offset") + 1, F.lit(1)), F.size("terms")) == F.col("terms"))
-    met = checkpointed(met.select("doc_id", "window", (F.col("pos") - F.col("offset")).alias("first"), F.size("terms").alias("n"), "exact").distinct())
+    met = checkpointed(met.select("doc_id", "row", "window", (F.col("pos") - F.col("offset")).alias("first"), F.size("terms").alias("n"), "exact").distinct())
     of_items = small_or_shuffled(checkpointed(owned.select("item_id", F.xxhash64("terms").alias("window"))), broadcast_windows)
-    exact = met.where("exact").join(of_items, "window").select("doc_id", "item_id", "first", "n")
-    near = met.where("not exact").join(of_items, "window").select("doc_id", "item_id").distinct()
+    exact = met.where("exact").join(of_items, "window").select("doc_id", "row", "item_id", "first", "n")
+    near = met.where("not exact").join(of_items, "window").select("doc_id", "row", "item_id").distinct()
     return exact, near
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near, for each row of docs.
+    """doc_id, row (a hash of the text), n_words, n_hit, n_items, items_sha256, contaminated, n_near, for each row of docs.
 
     docs has doc_id and text, items item_id and text; other columns are ignored.
     """
     exact, near = matches(docs, items, window, broadcast_windows)
-    places = exact.groupBy("doc_id").agg(F.collect_set(F.struct("first", "n")).alias("p"), F.collect_set(F.col("item_id").cast("string")).alias("items"))
+    places = exact.groupBy("doc_id", "row").agg(F.collect_set(F.struct("first", "n")).alias("p"), F.collect_set(F.col("item_id").cast("string")).alias("items"))
     covered = F.aggregate(
         F.array_sort("p"),
         F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("hit")),
         lambda a, x: F.struct(F.greatest(a["end"], x["first"] + x["n"]).alias("end"), (a["hit"] + F.greatest(x["first"] + x["n"] - F.greatest(a["end"], x["first"]), F.lit(0))).alias("hit")),
     )["hit"]
-    hits = places.select("doc_id", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_join(F.array_sort("items"), ",").alias("items"))
-    hits = hits.join(near.groupBy("doc_id").agg(F.count("*").alias("n_near")).withColumnRenamed("doc_id", "near_id"), F.col("doc_id").eqNullSafe(F.col("near_id")), "full")
-    hits = hits.select(F.coalesce("doc_id", "near_id").alias("hit_id"), "n_hit", "n_items", "items", "n_near")
-    out = docs.select("doc_id", word_count(F.col("text")).alias("n_words")).join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
+    hits = places.select("doc_id", "row", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_join(F.array_sort("items"), ",").alias("items"), F.lit(0).alias("n_near"))
+    none = near.groupBy("doc_id", "row").agg(F.count("*").alias("n_near"))
+    none = none.select("doc_id", "row", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.lit("").alias("items"), "n_near")
+    hits = hits.unionByName(none).groupBy(F.col("doc_id").alias("hit_id"), F.col("row").alias("hit_row")).agg(F.max("n_hit").alias("n_hit"), F.max("n_items").alias("n_items"), F.max("items").alias("items"), F.max("n_near").alias("n_near"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("row"), word_count(F.col("text")).alias("n_words"))
+    out = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("row") == F.col("hit_row")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
+    return out.select("doc_id", "row", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
 
 
 ORACLE = """
