@@ -235,7 +235,8 @@ def test_language_model_learns(spark: SparkSession) -> None:
     assert sum(r["score"] for i, r in by_id(lm_mixing.lm_scores(docs)).items() if i in own) > 0.8 * plain
 
 
-def test_jaccard_components(docs: DataFrame, texts: dict) -> None:
+def _components(texts: dict) -> tuple[dict, dict]:
+    """Each key's shingle set, and its component's first key, by comparing all pairs that share a shingle."""
     sets, posting = {}, defaultdict(list)
     for i, t in texts.items():
         w = PLAIN.findall((t or "").translate(LOWER))
@@ -244,7 +245,7 @@ def test_jaccard_components(docs: DataFrame, texts: dict) -> None:
             posting[s].append(i)
     root = {i: i for i in sets}
 
-    def find(x: int) -> int:
+    def find(x):
         while root[x] != x:
             x = root[x]
         return x
@@ -254,11 +255,83 @@ def test_jaccard_components(docs: DataFrame, texts: dict) -> None:
         if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
             x, y = sorted((find(a), find(b)))
             root[y] = x
-    want = {i: {"n_shingles": len(s), "component_id": find(i)} for i, s in sets.items()}
+    return sets, {i: find(i) for i in sets}
+
+
+def test_jaccard_components(docs: DataFrame, texts: dict) -> None:
+    sets, of = _components(texts)
+    want = {i: {"n_shingles": len(s), "component_id": of[i]} for i, s in sets.items()}
     assert len({r["component_id"] for r in want.values()}) < len(want)
     assert not differing(by_id(ngram_join.jaccard_components(docs)), want)
 
 
+def test_jaccard_links_at_the_threshold_and_across_size_bands(spark: SparkSession) -> None:
+    """Sizes on both sides of the bands' edges, and overlaps of the threshold and one shingle less."""
+    rng, texts = random.Random(8), {}
+    for size in (4, 13, 15, 16, 17, 60, 63, 64, 65, 80, 250, 257, 300):
+        base = [f"v{size}x{rng.randrange(10**9)}" for _ in range(size + 4)]
+        for cut in range(-(-size // 4) + 2):  # prefixes: overlap size - cut of size
+            texts[len(texts)] = " ".join(base[: size + 4 - cut])
+            if cut > 8 and cut < size // 5 - 2:
+                del texts[len(texts) - 1]
+    _, of = _components(texts)
+    got = by_id(ngram_join.jaccard_components(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)))
+    assert {i: r["component_id"] for i, r in got.items()} == of
+    # Pairs alone: what 80 percent allows and what it doesn't.
+    for size, cut, linked in ((10, 2, True), (11, 2, True), (9, 2, False), (100, 20, True), (99, 20, False)):
+        w = [f"p{k}" for k in range(size + 4)]
+        two = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(w[: size + 4 - cut]))], "doc_id long, text string")
+        assert {r["component_id"] for r in by_id(ngram_join.jaccard_components(two)).values()} == ({1} if linked else {1, 2})
+
+
+def _rows_without_ids() -> list[tuple[int | None, str | None]]:
+    """Rows of one id with two texts, rows without an id, equal rows, and copies and passages between them."""
+    rng = random.Random(5)
+    words = [f"wort{i}" for i in range(300)]
+    a, b, c, d = (rng.choices(words, k=120) for _ in range(4))
+    near = [*a[:50], "neu", *a[51:]]
+    texts = [(1, a), (1, ["kurz", "wort1", "wort2"]), (2, near), (None, a), (None, b), (None, ["nur", "wort1", "wort2"]), (3, b), (4, c), (4, c), (4, d), (5, d[:60]), (None, d[30:]), (6, b[:80] + c[:40])]
+    return [(i, " ".join(t)) for i, t in texts] + [(None, None), (None, ""), (7, None), (7, None), (7, "ein text")]
+
+
+def _told(rows: list[dict], *columns: str) -> list:
+    return sorted((tuple(r[c] for c in columns) for r in rows), key=repr)
+
+
+def test_rows_are_documents_whatever_their_ids(spark: SparkSession) -> None:
+    given = _rows_without_ids()
+    docs = spark.createDataFrame(given, "doc_id long, text string").repartition(4)
+    texts = dict(enumerate(t for _, t in given))
+    # Repeats.
+    want = [{"doc_id": given[k][0]} | r for k, r in _without_repeats(texts).items()]
+    columns = ("doc_id", "n_words", "n_removed", "kept_sha256")
+    assert _told(substring_dedup.remove_repeats(docs).collect(), *columns) == _told(want, *columns)
+    # Near copies: components over rows, named by the least doc_id.
+    sets, of = _components(texts)
+    least = {}
+    for k, root in of.items():
+        ids = [i for i in (least.get(root), given[k][0]) if i is not None]
+        least[root] = min(ids) if ids else None
+    want = [{"doc_id": given[k][0], "n_shingles": len(sets[k]), "component_id": least[of[k]] if sets[k] else given[k][0]} for k in texts]
+    columns = ("doc_id", "n_shingles", "component_id")
+    assert _told(ngram_join.jaccard_components(docs).collect(), *columns) == _told(want, *columns)
+    # Benchmark windows.
+    bench = spark.createDataFrame([("x", "wort1 wort2"), ("y", " ".join(given[0][1].split()[10:25])), (None, "ein text")], "item_id string, text string")
+    windows = {("wort1", "wort2"): "x", ("ein", "text"): None} | {tuple(given[0][1].split()[k : k + 10]): "y" for k in range(10, 16)}
+    want = []
+    for i, t in given:
+        w, hit, items = (t or "").split(), set(), set()
+        for j in range(len(w)):
+            for n in (2, 10):
+                if tuple(w[j : j + n]) in windows and j + n <= len(w):
+                    hit.update(range(j, j + n))
+                    items.add(windows[tuple(w[j : j + n])])
+        items -= {None}
+        want.append({"doc_id": i, "n_words": len(w), "n_hit": len(hit), "n_items": len(items), "items_sha256": sha(",".join(sorted(items))), "contaminated": bool(hit)})
+    columns = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert _told(decontamination.contamination(docs, bench).collect(), *columns) == _told(want, *columns)
+
+
 def _without_repeats(texts: dict) -> dict:
     seen, words = Counter(), {i: PLAIN.findall(t or "") for i, t in texts.items()}
     for w in words.values():
@@ -270,11 +343,10 @@ def _without_repeats(texts: dict) -> dict:
     return want
 
 
-@pytest.mark.parametrize("broadcast", [4_000_000, 0])
-def test_substring_dedup(docs: DataFrame, texts: dict, broadcast: int) -> None:
+def test_substring_dedup(docs: DataFrame, texts: dict) -> None:
     want = _without_repeats(texts)
     assert sum(r["n_removed"] for r in want.values())
-    assert not differing(by_id(substring_dedup.remove_repeats(docs, broadcast_anchors=broadcast)), want)
+    assert not differing(by_id(substring_dedup.remove_repeats(docs)), want)
 
 
 @pytest.mark.parametrize("broadcast", [200_000, 0])
@@ -393,4 +465,4 @@ def test_empty_tables_and_nulls_everywhere(spark: SparkSession, name: str) -> No
     got = ALL[name](wide, labels, bench).collect()
     ids = Counter(r["doc_id"] for r in got)
     if name != "mix":
-        assert (ids[1], ids[2], ids[3]) == (2, 1, 1), ids
+        assert (ids[1], ids[2], ids[3], ids[None]) == (2, 1, 1, 1), ids

@@ -6,10 +6,11 @@ repeat. Extend: around such anchors, all windows to both sides that hold the anc
 with equal hashes meet by a shuffle; the union of a document's repeated windows is its set of maximal repeats.
 
 Copies within one batch are settled there, and one of them stands for all in the shuffle, so that a passage found in a
-third of all documents sends one row per batch.
+third of all documents sends one row per batch. Shared anchors are joined to documents, never collected.
 
-Null texts have no words. A doc_id names one text: rows that repeat a doc_id with the same text are copies of each other.
-Rows with a null doc_id are returned unchanged and not searched.
+Each row is a document: rows are told apart by doc_id and a hash of the text, so rows that share a doc_id or have none are
+searched by their own texts, and equal rows are copies of each other with equal results. Null and empty texts have no
+words. Texts of any length are read whole; a longer repeat is the union of its windows; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -23,12 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideflow.llm import textarrays as ta
-from tideflow.llm.common import checkpointed, collected_longs, small_or_shuffled
+from tideflow.llm.common import checkpointed, small_or_shuffled
 
 #: Words of a seed. Longer seeds are rarer by chance; shorter ones give fewer anchors.
 SEED = 11
-#: Shared anchors up to which they are broadcast (8 bytes each); beyond, they are joined to documents.
-BROADCAST_ANCHORS = 4_000_000
 
 
 def _slide(a: np.ndarray, n: int, f: np.ufunc) -> np.ndarray:
@@ -49,46 +48,50 @@ def _anchors(chunk: ta.Chunk, window: int) -> Iterator[tuple[int, np.ndarray, np
         yield i, seeds, _slide(seeds, window - SEED + 1, np.minimum)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, row (a hash of the text), text."""
+    return docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
+
+
 def _selected(docs: DataFrame, window: int) -> DataFrame:
-    """(anchor, doc_id, n): anchors by document with the number of places they stand in."""
+    """(anchor, doc_id, row, n): documents' anchors with the number of places in the document's batch, 2 for any more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = window - SEED + 1
         for b in batches:
-            for c in ta.chunks(b.column(1), ta.PLAIN, lower=False):
-                ids, found, doc, n = b.column(0)[c.lo : c.hi].to_numpy(zero_copy_only=False), [], [], []
+            for c in ta.chunks(b.column(2), ta.PLAIN, lower=False):
+                found, doc, n = [], [], []
                 for i, seeds, least in _anchors(c, window):
                     # A seed is an anchor if some window over it has no lesser one.
                     padded = np.concatenate([np.zeros(span - 1, np.uint64), least, np.zeros(span - 1, np.uint64)])
                     values, places = np.unique(seeds[_slide(padded, span, np.maximum) == seeds], return_counts=True)
                     found.append(values)
-                    n.append(np.minimum(places, 2))
-                    doc.append(np.full(len(values), ids[i]))
+                    n.append(places)
+                    doc.append(np.full(len(values), i))
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(doc)), pa.array(np.concatenate(n).astype(np.int32))], ["anchor", "doc_id", "n"])
+                    anchor, doc = np.concatenate(found), np.concatenate(doc)
+                    _, back = np.unique(anchor, return_inverse=True)
+                    places = np.minimum(np.bincount(back, np.concatenate(n))[back], 2)
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), b.column(0)[c.lo : c.hi].take(pa.array(doc)), b.column(1)[c.lo : c.hi].take(pa.array(doc)), pa.array(places.astype(np.int32))], ["anchor", "doc_id", "row", "n"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "anchor long, doc_id long, n int")
+    return _keyed(docs).mapInArrow(run, "anchor long, doc_id long, row long, n int")
 
 
-def _windows(docs: DataFrame, window: int, shared: np.ndarray | None) -> DataFrame:
-    """(k1, k2, doc_id, first, n): windows that may repeat, n 0; runs of n windows that are known to repeat.
+def _windows(docs: DataFrame, window: int) -> DataFrame:
+    """(k1, k2, doc_id, row, first, n): windows that may repeat, n 0; runs of n windows that are known to repeat.
 
-    shared: all shared anchors; else docs has them by document, as the array column anchors.
+    docs has doc_id, row, text and anchors, the array of a document's shared anchors.
     """
-    every = docs.sparkSession.sparkContext.broadcast(shared) if shared is not None else None
-    columns = ["doc_id", "text"] + ([] if every else ["anchors"])
 
     def isin(values: np.ndarray, among: np.ndarray) -> np.ndarray:
-        if not len(among):
-            return np.zeros(len(values), bool)
         return among[np.minimum(np.searchsorted(among, values), len(among) - 1)] == values
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for c in ta.chunks(b.column(1), ta.PLAIN, lower=False):
-                ids, at, doc = b.column(0)[c.lo : c.hi].to_numpy(zero_copy_only=False), [], []
+            for c in ta.chunks(b.column(2), ta.PLAIN, lower=False):
+                at, doc = [], []
                 for i, _, least in _anchors(c, window):
-                    among = every.value if every else np.sort(np.asarray(b.column(2)[c.lo + i].values, np.int64).view(np.uint64))
+                    among = np.sort(np.asarray(b.column(3)[c.lo + i].values, np.int64).view(np.uint64))
                     values, back = np.unique(least, return_inverse=True)
                     hits = np.flatnonzero(isin(values, among)[back])
                     at.append(hits + c.word_at[i])
@@ -112,94 +115,82 @@ def _windows(docs: DataFrame, window: int, shared: np.ndarray | None) -> DataFra
                     [
                         pa.array(np.concatenate([k1[one], ta.mix(k1[starts])]).view(np.int64)),
                         pa.array((np.concatenate([k2[one], k2[starts]]) >> np.uint64(1)).astype(np.int64)),
-                        pa.array(ids[doc[rows]].astype(np.int64)),
+                        b.column(0)[c.lo : c.hi].take(pa.array(doc[rows])),
+                        b.column(1)[c.lo : c.hi].take(pa.array(doc[rows])),
                         pa.array(first[rows].astype(np.int32)),
                         pa.array(np.concatenate([np.zeros(len(one)), lengths]).astype(np.int32)),
                     ],
-                    ["k1", "k2", "doc_id", "first", "n"],
+                    ["k1", "k2", "doc_id", "row", "first", "n"],
                 )
 
-    return docs.select(*columns).mapInArrow(run, "k1 long, k2 long, doc_id long, first int, n int")
+    return docs.select("doc_id", "row", "text", "anchors").mapInArrow(run, "k1 long, k2 long, doc_id long, row long, first int, n int")
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in the order of their keys: (doc_id, run) of those whose key comes twice, and all known runs."""
-
-    def out(rows: np.ndarray, keep: np.ndarray) -> pa.RecordBatch:
-        rows = rows[:, keep]
-        return pa.RecordBatch.from_arrays([pa.array(rows[2]), pa.array((rows[3] << 32) | np.maximum(rows[4], 1))], ["doc_id", "run"])
-
-    held, held_hit = np.zeros((5, 0), np.int64), False
+    """From rows in the order of their keys: (doc_id, row, run) of those whose key comes twice, and all known runs."""
+    held: pa.RecordBatch | None = None
+    held_hit = False
     for b in batches:
         if not b.num_rows:
             continue
-        rows = np.concatenate([held, np.stack([b.column(k).to_numpy().astype(np.int64) for k in range(5)])], axis=1)
-        same = (rows[0, 1:] == rows[0, :-1]) & (rows[1, 1:] == rows[1, :-1]) & (rows[4, 1:] == 0) & (rows[4, :-1] == 0)
-        hit = rows[4] > 0
+        if held is not None:
+            b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+        k1, k2, first, n = (b.column(k).to_numpy().astype(np.int64) for k in ("k1", "k2", "first", "n"))
+        same = (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1]) & (n[1:] == 0) & (n[:-1] == 0)
+        hit = n > 0
         hit[1:] |= same
         hit[:-1] |= same
-        hit[0] |= held_hit and held.shape[1] > 0
-        yield out(rows[:, :-1], hit[:-1])
-        held, held_hit = rows[:, -1:], bool(hit[-1])
-    if held.shape[1] and held_hit:
-        yield out(held, np.ones(1, bool))
+        hit[0] |= held_hit and held is not None
+        every = pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array((first << 32) | np.maximum(n, 1))], ["doc_id", "row", "run"])
+        yield every.slice(0, len(hit) - 1).filter(pa.array(hit[:-1]))
+        held, held_hit = b.slice(len(hit) - 1), bool(hit[-1])
+        last = every.slice(len(hit) - 1)
+    if held is not None and held_hit:
+        yield last
 
 
-def _plain(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, whole_sha256 of each row as if nothing were removed."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n, sha = [], []
-            for x in b.column(1):
-                words = (x.as_py() or "").encode().split()
-                n.append(len(words))
-                sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "whole_sha256"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, whole_sha256 string")
-
-
-def repeats(docs: DataFrame, window: int = 35, broadcast_anchors: int = BROADCAST_ANCHORS) -> DataFrame:
-    """doc_id, runs: runs of repeated windows, each as (first word << 32) + number of windows, for documents with any."""
-    docs = docs.where(F.col("doc_id").isNotNull())
+def repeats(docs: DataFrame, window: int = 35) -> DataFrame:
+    """doc_id, row, runs: runs of repeated windows, each as (first word << 32) + number of windows, where there are any."""
     anchors = _selected(docs, window)
     shared = checkpointed(anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"))
-    if shared.limit(broadcast_anchors + 1).count() <= broadcast_anchors:
-        values = np.sort(collected_longs(shared, "anchor")[0].view(np.uint64))
-        rows = _windows(docs, window, values)
-    else:
-        of_doc = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-        rows = _windows(docs.select("doc_id", "text").join(of_doc, "doc_id"), window, None)
-    hits = rows.repartition("k1").sortWithinPartitions("k1", "k2").mapInArrow(_repeated, "doc_id long, run long")
-    return hits.groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
+    # What a batch holds twice needs no join, so a frequent anchor sends a row a batch at most.
+    single = anchors.where("n = 1").join(shared, "anchor")
+    of_doc = anchors.where("n > 1").select("anchor", "doc_id", "row").unionByName(single.select("anchor", "doc_id", "row"))
+    of_doc = of_doc.groupBy(F.col("doc_id").alias("of_id"), F.col("row").alias("of_row")).agg(F.collect_set("anchor").alias("anchors"))
+    same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("row") == F.col("of_row"))
+    rows = _windows(_keyed(docs).join(of_doc, same), window)
+    hits = rows.repartition("k1").sortWithinPartitions("k1", "k2").mapInArrow(_repeated, "doc_id long, row long, run long")
+    return hits.groupBy("doc_id", "row").agg(F.collect_set("run").alias("runs"))
 
 
-def remove_repeats(docs: DataFrame, window: int = 35, broadcast_anchors: int = BROADCAST_ANCHORS) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and kept_text (null where nothing was removed), for each row of docs.
+def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
+    """doc_id, row (a hash of the text), n_words, n_removed, kept_sha256, kept_text (null: nothing removed), for each row of docs.
 
     docs has doc_id and text; other columns are ignored.
     """
-    runs = checkpointed(repeats(docs, window, broadcast_anchors))
-    ids = small_or_shuffled(runs.select("doc_id"))
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).join(runs, "doc_id")
+    runs = checkpointed(repeats(docs, window))
+    runs = small_or_shuffled(runs.select(F.col("doc_id").alias("of_id"), F.col("row").alias("of_row"), "runs"), 20_000)
+    same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("row") == F.col("of_row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            removed, sha, kept = [], [], []
-            for text, of in zip(b.column(1), b.column(2)):
+            n, removed, sha, kept = [], [], [], []
+            for text, of in zip(b.column(2), b.column(3)):
                 words = (text.as_py() or "").encode().split()
-                of = np.asarray(of.values, np.int64)
-                edge = np.zeros(len(words) + 1, np.int64)
-                np.add.at(edge, of >> 32, 1)
-                np.add.at(edge, (of >> 32) + (of & 0xFFFFFFFF) - 1 + window, -1)
-                out = np.cumsum(edge)[:-1] > 0
-                rest = b" ".join(w for w, x in zip(words, out) if not x)
-                removed.append(int(out.sum()))
-                sha.append(hashlib.sha256(rest).hexdigest())
-                kept.append(rest.decode())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], ["doc_id", "n_removed", "sha", "kept_text"])
-
-    cut = texts.mapInArrow(run, "doc_id long, n_removed long, sha string, kept_text string")
-    out = _plain(docs).join(cut, "doc_id", "left")
-    return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("sha", "whole_sha256").alias("kept_sha256"), "kept_text")
+                rest, gone = words, 0
+                if of.is_valid:
+                    of = np.asarray(of.values, np.int64)
+                    edge = np.zeros(len(words) + 1, np.int64)
+                    np.add.at(edge, of >> 32, 1)
+                    np.add.at(edge, (of >> 32) + (of & 0xFFFFFFFF) - 1 + window, -1)
+                    out = np.cumsum(edge)[:-1] > 0
+                    rest, gone = [w for w, x in zip(words, out) if not x], int(out.sum())
+                joined = b" ".join(rest)
+                n.append(len(words))
+                removed.append(gone)
+                sha.append(hashlib.sha256(joined).hexdigest())
+                kept.append(joined.decode() if gone else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], ["doc_id", "row", "n_words", "n_removed", "kept_sha256", "kept_text"])
+
+    rows = _keyed(docs).join(runs, same, "left").select("doc_id", "row", "text", "runs")
+    return rows.mapInArrow(run, "doc_id long, row long, n_words long, n_removed long, kept_sha256 string, kept_text string")
