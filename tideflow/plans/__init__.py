@@ -1,6 +1,6 @@
 """Importing the families registers their queries."""
 
-from tideflow.plans import flows, outcomes, overlap, pnl, scalars, social, windows  # noqa: F401
+from tideflow.plans import flows, ingest, outcomes, overlap, pnl, scalars, social, windows  # noqa: F401
 from tideflow.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
