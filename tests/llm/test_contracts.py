@@ -214,25 +214,81 @@ def test_quality_cutoffs_follow_the_documents(spark: SparkSession) -> None:
     assert not any(got[i]["kept"] for i in (1000, 1001, 1003))
 
 
-def test_language_model(docs: DataFrame, texts: dict) -> None:
-    held = {i: crc32(str(i).encode()) % 7 == 2 for i in texts}
-    words = {i: [*PLAIN.findall((t or "").translate(LOWER)), "\n"] for i, t in texts.items()}
-    counts = Counter(w for i, ws in words.items() if not held[i] for w in ws)
+def _unigram(rows: list[tuple[int | None, str | None]]) -> list[dict]:
+    """Each row's base columns."""
+    held = [i is not None and crc32(str(i).encode()) % 7 == 2 for i, _ in rows]
+    words = [[*PLAIN.findall((t or "").translate(LOWER)), "\n"] for _, t in rows]
+    counts = Counter(w for h, ws in zip(held, words) if not h for w in ws)
     n, v = sum(counts.values()), len(counts)
-    want = {i: {"held_out": held[i], "n_tokens": len(ws), "n_known": sum(counts[w] > 0 for w in ws), "train_tokens": n, "base_score": sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws)} for i, ws in words.items()}
-    got = by_id(lm_mixing.lm_scores(docs))
-    assert not differing(got, want)
+    return [{"doc_id": i, "held_out": h, "n_tokens": len(ws), "n_known": sum(counts[w] > 0 for w in ws), "train_tokens": n, "base_score": sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws)} for (i, _), h, ws in zip(rows, held, words)]
+
+
+@pytest.mark.parametrize("frequent", [1 << 19, 300])
+def test_language_model(docs: DataFrame, texts: dict, frequent: int) -> None:
+    got = by_id(lm_mixing.lm_scores(docs, frequent))
+    assert not differing(got, {r["doc_id"]: r for r in _unigram(list(texts.items()))})
     assert all(r["score"] < 0 for r in got.values())
 
 
-def test_language_model_learns(spark: SparkSession) -> None:
-    """Held-out bytes cost less than under the training bytes' own frequencies."""
+def _byte_model(texts: list[str], train: list[bool]) -> list[float]:
+    """log10 probabilities by the mixing model with its starting weights and an untouched map: what no tuning text changes."""
+    data = [t.translate(LOWER).encode() for t in texts]
+    contexts = []
+    for d in data:
+        events = []
+        for i, byte in enumerate([*d, lm_mixing.END]):
+            j = i
+            while j > 0 and i - j < lm_mixing.ORDERS and not (j < i and d[j] in b" \t\n\v\f\r"):
+                j -= 1
+            # Bytes from the white space before the word on; shorter contexts of the same, with nothing in front.
+            events.append(([bytes(d[max(j, i - k) : i]).rjust(k, b"\0") for k in range(1, lm_mixing.ORDERS + 1)], byte))
+        contexts.append(events)
+    seen: Counter = Counter()
+    for events, own in zip(contexts, train):
+        for before, byte in events if own else []:
+            for ctx in before:
+                for depth in range(8):
+                    seen[ctx, depth, byte >> (8 - depth), (byte >> (7 - depth)) & 1] += 1
+    out = []
+    for events in contexts:
+        total = 0.0
+        for before, byte in events:
+            for depth in range(8):
+                z = 0.0
+                for w, ctx in zip(lm_mixing.START, before):
+                    zeros, ones = (seen[ctx, depth, byte >> (8 - depth), x] for x in (0, 1))
+                    z += w * math.log((ones + lm_mixing.DELTA) / (zeros + lm_mixing.DELTA))
+                z = max(-12.0, min(12.0, z))
+                cell = math.floor((z + 12) * (lm_mixing.MAP - 1) / 24 + 0.5)
+                p = (1 / (1 + math.exp(-z)) + 1 / (1 + math.exp(-(cell * 24 / (lm_mixing.MAP - 1) - 12)))) / 2
+                p = p * (1 - 2.0**-16) + 2.0**-17
+                total += math.log10(p if (byte >> (7 - depth)) & 1 else 1 - p)
+        out.append(total)
+    return out
+
+
+def test_language_model_against_plain_python(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    # With no text left for tuning, the weights stay where they start, and a byte-by-byte model gives the same scores.
+    monkeypatch.setattr(lm_mixing, "TUNE", 2**31 - 1)
+    rng = random.Random(9)
+    words = ["anna", "anbau", "ohne", "über", "x1", "Haus"]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randrange(12))) + rng.choice(["", "\n", "  end"])) for i in range(40)]
+    want = _byte_model([t for _, t in rows], [crc32(str(i).encode()) % 7 != 2 for i, _ in rows])
+    got = by_id(lm_mixing.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), 20))
+    assert all(math.isclose(got[i]["score"], x, rel_tol=5e-3, abs_tol=1e-3) for (i, _), x in zip(rows, want))
+
+
+def test_language_model_learns_and_repeats(spark: SparkSession) -> None:
+    """Held-out bytes cost less than under the training bytes' own frequencies, however documents are dealt out."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null")
     texts = {r.doc_id: r.text.translate(LOWER).encode() for r in docs.select("doc_id", "text").collect()}
     own = {i for i in texts if crc32(str(i).encode()) % 7 == 2}
     letters = Counter(b for i, t in texts.items() if i not in own for b in t)
     plain = sum(math.log10(letters[b] / letters.total()) for i in own for b in texts[i])
-    assert sum(r["score"] for i, r in by_id(lm_mixing.lm_scores(docs)).items() if i in own) > 0.8 * plain
+    one, many = by_id(lm_mixing.lm_scores(docs.repartition(1))), by_id(lm_mixing.lm_scores(docs.repartition(7)))
+    bits = sum(one[i]["score"] for i in own) / -math.log10(2) / sum(len(texts[i]) + 1 for i in own)
+    assert bits < 2.42 and sum(one[i]["score"] for i in own) > 0.6 * plain, bits
+    assert all(math.isclose(r["score"], many[i]["score"], rel_tol=1e-6) for i, r in one.items())
 
 
 def _components(texts: dict) -> tuple[dict, dict]:
@@ -315,6 +371,15 @@ def test_rows_are_documents_whatever_their_ids(spark: SparkSession) -> None:
     want = [{"doc_id": given[k][0], "n_shingles": len(sets[k]), "component_id": least[of[k]] if sets[k] else given[k][0]} for k in texts]
     columns = ("doc_id", "n_shingles", "component_id")
     assert _told(ngram_join.jaccard_components(docs).collect(), *columns) == _told(want, *columns)
+    # Language model: small tables of frequent words and events, so that the others are joined.
+    for frequent in (1 << 19, 40):
+        got = [r.asDict() | {c: round(r[c], 6) for c in ("base_score", "score")} for r in lm_mixing.lm_scores(docs, frequent).collect()]
+        want = [r | {"base_score": round(r["base_score"], 6)} for r in _unigram(given)]
+        columns = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score")
+        assert _told(got, *columns) == _told(want, *columns)
+        if frequent > 40:
+            scores = _told(got, "doc_id", "score")
+    assert scores == _told(got, "doc_id", "score")
     # Benchmark windows.
     bench = spark.createDataFrame([("x", "wort1 wort2"), ("y", " ".join(given[0][1].split()[10:25])), (None, "ein text")], "item_id string, text string")
     windows = {("wort1", "wort2"): "x", ("ein", "text"): None} | {tuple(given[0][1].split()[k : k + 10]): "y" for k in range(10, 16)}
