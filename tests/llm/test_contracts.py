@@ -492,12 +492,77 @@ def test_toxicity_thresholds_count_all_labels(spark: SparkSession) -> None:
     assert all(len(x) == 1 for x in limits.values()) and min(limits["en"]) > max(limits["de"] | limits["fr"])
 
 
-def test_pipeline_drops_what_is_flagged(spark: SparkSession, monkeypatch: pytest.MonkeyPatch, tmp_path: Path) -> None:
-    docs = spark.createDataFrame([(1, "a", "de", "s", 1), (2, "b", "en", "s", 1), (3, "c", "en", "s", 1)], SCHEMA)
-    scores = spark.createDataFrame([(1, 1, False), (2, 0, True), (3, 0, False)], "doc_id long, predicted int, flagged boolean")
-    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    monkeypatch.setattr(corpus_pipeline, "toxicity_scores", lambda docs, labels: scores)
-    assert sorted(r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()) == [1, 3]
+def _corpus(spark: SparkSession, folder: Path) -> tuple[list[tuple], DataFrame]:
+    """Rows with nulls and repeated ids, near copies, benchmark passages, secrets and toxic texts; and the tables beside them."""
+    rng = random.Random(11)
+    words = [f"wort{i}" for i in range(2000)]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    passage, a, b = text(14), text(100), text(100)
+    key = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=40))
+    texts = [(1, a), (1, text(60)), (2, a + " mehr"), (None, a), (None, text(50)), (None, None), (None, ""), (3, b), (3, b), (4, b + " dazu"), (5, f"{text(30)} {passage} {text(5)}"), (None, f"{passage} {text(20)}"), (6, f"{text(20)} password = hunter22 {text(9)}"), (None, f"{text(12)} {key} {text(9)}"), (7, f"{text(30)} vile slurs here"), (None, f"{text(31)} vile slurs here"), (7, text(40)), (8, "kurz")]
+    texts += [(100 + i, text(40) + " vile slurs here" * (i % 2)) for i in range(160)]
+    rows = [(i, t, ("de", "en", None)[k % 3], ("a", "b", None)[k % 3], None if t is None else len(t)) for k, (i, t) in enumerate(texts)]
+    spark.createDataFrame([(100 + i, i % 2) for i in range(160)], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([("x", passage), ("y", None)], "item_id string, text string").write.parquet(f"{folder}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, SCHEMA)
+    docs.repartition(3).write.parquet(f"{folder}/documents.parquet")
+    return rows, docs
+
+
+def _rows(df: DataFrame, *columns: str) -> list:
+    return _told(df.collect(), *(columns or corpus_pipeline.COLUMNS))
+
+
+def _near_copies_kept(rows: list[tuple]) -> list[tuple]:
+    """Of each component the row with the least doc_id, null last; of equal ones the first."""
+    sets, of = _components({k: r[1] for k, r in enumerate(rows)})
+    best: dict = {}
+    for k, r in enumerate(rows):
+        best.setdefault(of[k] if sets[k] else ("alone", k), []).append(r)
+    return best
+
+
+def test_pipeline_stages_row_by_row(spark: SparkSession, tmp_path: Path) -> None:
+    """Each stage by itself against plain Python: rows without ids and of one id are judged by their own texts."""
+    rows, docs = _corpus(spark, tmp_path)
+    d = str(tmp_path)
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    order = lambda rs: sorted(rs, key=repr)
+    toxic = [r for r in rows if r[1] and "vile slurs" in r[1]]
+    assert _rows(corpus_pipeline.drop_toxic(spark, docs, d)) == order(r for r in rows if r not in toxic)
+    # Of each component one row stays, one with the least doc_id.
+    got = corpus_pipeline.keep_one_of_near_copies(spark, docs, d).collect()
+    left = Counter(tuple(r[c] for c in corpus_pipeline.COLUMNS) for r in got)
+    for group in _near_copies_kept(rows).values():
+        kept = [r for r in set(group) if left[r]]
+        assert sum(left[r] for r in kept) == (1 if len(set(r[1] for r in group)) > 1 or (group[0][1] or "").split() else len(group)), group
+        assert min((r[0] is None, r[0] or 0) for r in group) in [(r[0] is None, r[0] or 0) for r in kept]
+    assert sum(left.values()) == len(_near_copies_kept(rows))
+    bench = spark.read.parquet(f"{d}/benchmark.parquet").where("text is not null").first().text.split()
+    windows = {tuple(bench[k : k + 10]) for k in range(len(bench) - 9)}
+    hit = lambda t: any(tuple(w[k : k + 10]) in windows for w in [(t or "").split()] for k in range(len(w)))
+    assert _rows(corpus_pipeline.drop_contaminated(spark, docs, d)) == order(r for r in rows if not hit(r[1]))
+    masked = {tuple(r[c] for c in ("doc_id", "text")): r for r in corpus_pipeline.mask_secrets(spark, docs, d).collect()}
+    plain = {(i, re.sub(r"\b[A-Za-z0-9]{40}\b", "<SECRET>", re.sub(r"password = \w+", "<SECRET>", t)) if t else t) for i, t, *_ in rows}
+    assert masked.keys() == plain and all(r["n_chars"] == (None if t is None else len(t)) for (_, t), r in masked.items())
+    # The mix: each row as often as the report says, equal rows alike.
+    report = mixing.mix_report(docs).groupBy().sum("copies").first()[0]
+    mixed = corpus_pipeline.mix_sources(spark, docs, d)
+    assert mixed.count() == report and set(_rows(mixed)) <= {tuple(r) for r in rows}
+
+
+def test_pipeline_as_a_whole(spark: SparkSession, tmp_path: Path) -> None:
+    rows, _ = _corpus(spark, tmp_path)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    texts = [r["text"] or "" for r in got]
+    assert got and not any("vile slurs" in t or "hunter22" in t for t in texts) and any("<SECRET>" in t for t in texts)
+    # Of the two families of near copies at most one text each is left.
+    assert len({t for t in texts if t.startswith(rows[0][1][:60])}) <= 1 and len({t for t in texts if t.startswith(rows[7][1][:60])}) <= 1
+    empty = tmp_path / "empty"
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{empty}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{empty}/labels.parquet")
+    spark.createDataFrame([], "item_id string, text string").write.parquet(f"{empty}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(empty)).collect() == []
 
 
 ALL = {
@@ -527,7 +592,9 @@ def test_empty_tables_and_nulls_everywhere(spark: SparkSession, name: str) -> No
     wide = spark.createDataFrame([(*r, 1, "x", 2, "y") for r in rows], f"{SCHEMA}, size int, word string, n int, a string")
     labels = spark.createDataFrame([(1, None, None), (None, 1, 1), (2, 0, 1)], "doc_id long, quality int, toxic int")
     bench = spark.createDataFrame([(None, words), ("x", None), ("x", None)], "item_id string, text string")
-    got = ALL[name](wide, labels, bench).collect()
+    out = ALL[name](wide, labels, bench)
+    assert "word" not in out.columns and out.columns.count("doc_id") == 1
+    got = out.collect()
     ids = Counter(r["doc_id"] for r in got)
     if name != "mix":
         assert (ids[1], ids[2], ids[3], ids[None]) == (2, 1, 1, 1), ids

@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
 from pathlib import Path
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,14 +12,19 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write df to the session's shared checkpoint folder and read it back, cutting its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where a local session has none (tests), a temporary folder. A cluster must name one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (folder or tempfile.mkdtemp(prefix="checkpoints")).rstrip("/")
 
-    The folder is spark.checkpoint.dir; a temporary one is made only where the session names none (tests).
-    """
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write df to the session's shared checkpoint folder and read it back, cutting its lineage."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -34,17 +36,6 @@ def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def collected_longs(df: DataFrame, *columns: str) -> list[np.ndarray]:
-    """The long columns of a table of bounded size, as arrays, sent to the driver in packed form."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy().astype(np.int64).tobytes()], pa.binary()) for c in b.columns], list(columns))
-
-    rows = df.select(*columns).mapInArrow(pack, ", ".join(f"{c} binary" for c in columns)).collect()
-    return [np.frombuffer(b"".join(bytes(r[c]) for r in rows), np.int64) for c in columns]
-
-
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else; lower() does the same where all characters are ASCII, and is faster there."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

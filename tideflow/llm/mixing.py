@@ -46,7 +46,7 @@ def source_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     by = Window.orderBy(F.col("limit") / F.col("weight"), "i")
     total = F.lit(share) * F.sum("source_size").over(Window.partitionBy())
     before = F.coalesce(F.sum("limit").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    left = F.sum("weight").over(by.rowsBetween(0, Window.unboundedFollowing))
+    left = F.sum("weight").over(Window.partitionBy()) - F.coalesce(F.sum("weight").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     leveled = ranked.withColumn("level", (total - before) / left)
     common = F.min(F.when(F.col("level") * F.col("weight") <= F.col("limit"), F.struct((F.col("limit") / F.col("weight")).alias("r"), "i", "level"))).over(Window.partitionBy())["level"]
     target = F.when(F.col("level") * F.col("weight") > F.col("limit"), F.col("limit")).otherwise(F.least("limit", F.coalesce(common, F.lit(0.0)) * F.col("weight")))
@@ -54,7 +54,8 @@ def source_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     rated = rated.select("source", "source_size", "target", F.floor("rate").cast("long").alias("whole"), (F.col("target") - F.floor("rate") * F.col("source_size")).alias("missing"))
     along = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     filled = buckets.withColumn("before", F.coalesce(F.sum("size").over(along), F.lit(0))).withColumnRenamed("source", "of")
-    cut = filled.join(F.broadcast(rated), F.col("of").eqNullSafe(F.col("source"))).where(F.col("before") + F.col("size") / 2 <= F.col("missing"))
+    rated = checkpointed(rated)
+    cut = filled.join(small_or_shuffled(rated), F.col("of").eqNullSafe(F.col("source"))).where(F.col("before") + F.col("size") / 2 <= F.col("missing"))
     cut = cut.groupBy("of").agg((F.max("bucket") + 1).alias("cut"))
     return checkpointed(rated.join(cut, F.col("of").eqNullSafe(F.col("source")), "left").select("source", "source_size", "target", "whole", F.coalesce("cut", F.lit(0)).alias("cut")))
 

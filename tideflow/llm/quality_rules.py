@@ -87,9 +87,9 @@ def fences(stats: DataFrame) -> DataFrame:
         return [*upper, (hi + FENCE * (hi - lo)).alias("max_word_length"), (lo - FENCE * (hi - lo)).alias("min_word_length")]
 
     by_lang = sketched.groupBy("lang").agg(*[F.kll_merge_agg_double(x).alias(x) for x in names])
-    by_lang = by_lang.select("lang", F.struct(*limits()).alias("wide"))
+    by_lang = small_or_shuffled(checkpointed(by_lang.select(F.col("lang").alias("of"), F.struct(*limits()).alias("wide"))))
     own = sketched.select("lang", "source", (F.col("n") / (F.col("n") + PRIOR)).alias("weight"), F.struct(*limits()).alias("own"))
-    both = own.join(F.broadcast(by_lang.withColumnRenamed("lang", "of")), F.col("lang").eqNullSafe(F.col("of")), "left")
+    both = own.join(by_lang, F.col("lang").eqNullSafe(F.col("of")), "left")
     fenced = [*[f"max_{x}" for x in names], "min_word_length"]
     return checkpointed(both.select("lang", "source", *[(F.col("weight") * F.col(f"own.{x}") + (1 - F.col("weight")) * F.col(f"wide.{x}")).alias(x) for x in fenced]))
 

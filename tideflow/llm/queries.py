@@ -17,42 +17,52 @@ from tideflow.llm.toxicity import toxicity_scores
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence labels of every document. Nulls, repeats and empty tables: see the operator."""
     return license_scan(table(spark, sf_dir, "documents"))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document. Nulls, repeats and empty tables: see the operator."""
     return find_pii(table(spark, sf_dir, "documents"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the mix takes each document. Nulls, repeats and empty tables: see the operator."""
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
 def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and mixing-model scores of every document. Nulls, repeats and empty tables: see the operator."""
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every document. Nulls, repeats and empty tables: see the operator."""
     return quality(table(spark, sf_dir, "documents"))
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document. Nulls, repeats and empty tables: see the operator."""
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    """Toxicity score of every document. Nulls, repeats and empty tables: see the operator."""
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in benchmark windows. Nulls, repeats and empty tables: see the operator."""
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_near", "row")
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under links of a similarity of 0.8 or more on five-word shingles. Nulls, repeats and empty tables: see the operator."""
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that passages of 35 words or more, found elsewhere, cover. Nulls, repeats and empty tables: see the operator."""
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text", "row")
 
 

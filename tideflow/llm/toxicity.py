@@ -13,7 +13,8 @@ languages, so few labels move it little and a language without labels has the th
 differ count as toxic. Only the text goes into a score; language chooses `threshold` alone, which decides `flagged`,
 never score or predicted.
 
-A null or empty text has a score from the bias. With no usable labels of both classes every score is the labels' share
+A null or empty text has a score from the bias. Each row is scored by its own text, so rows that share a doc_id may differ
+and equal rows don't; very long texts are read whole; an empty table gives an empty one. With no usable labels of both classes every score is the labels' share
 of toxic rows, or 0 without labels.
 """
 
@@ -262,7 +263,7 @@ def fit(docs: DataFrame, usable: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[N
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """doc_id, held_out, score, predicted, threshold, flagged, for each row of docs.
+    """doc_id, row (a hash of text and language), held_out, score, predicted, threshold, flagged, for each row of docs.
 
     docs has doc_id and text, and lang if there are thresholds by language; labels has doc_id and toxic.
     """
@@ -282,10 +283,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS
                     features, codes = _features(c)
                     words, starts = _padded(codes, c.counts, len(features))
                     score = net.score(net.raw(net.pooled(words, starts, net.vectors(features))[0])).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([b.column(0)[c.lo : c.hi], b.column(2)[c.lo : c.hi], pa.array(score)], ["doc_id", "lang", "score"])
+                yield pa.RecordBatch.from_arrays([b.column(0)[c.lo : c.hi], b.column(2)[c.lo : c.hi], b.column(3)[c.lo : c.hi], pa.array(score)], ["doc_id", "lang", "row", "score"])
 
-    scores = checkpointed(docs.select("doc_id", "text", "lang").mapInArrow(run, "doc_id long, lang string, score double"))
+    scores = checkpointed(docs.select("doc_id", "text", "lang", F.xxhash64("text", "lang").alias("row")).mapInArrow(run, "doc_id long, lang string, row long, score double"))
     by_lang, general = thresholds(scores, usable) if net is not None else ({}, 0.5)
     limits = F.broadcast(docs.sparkSession.createDataFrame(list(by_lang.items()), "of string, own double"))  # a row a language
     out = scores.join(limits, F.col("lang").eqNullSafe(F.col("of")), "left").withColumn("threshold", F.coalesce("own", F.lit(general)))
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "threshold", (F.col("score") >= F.col("threshold")).alias("flagged"))
+    return out.select("doc_id", "row", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "threshold", (F.col("score") >= F.col("threshold")).alias("flagged"))
