@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tideflow.operators import flows as fl
 from tideflow.operators import pnl
 from tideflow.operators import temporal as tm
+from tideflow.plans.pnl import _FIFO as FIFO
 from tideflow.plans.registry import query
 from tideflow.sources import projection as p
 
@@ -75,9 +76,10 @@ def jn_bridge_pair_evidence(spark: SparkSession, d: str) -> DataFrame:
     return b.select(F.least("dep_src", "wd_dst").alias("a"), F.greatest("dep_src", "wd_dst").alias("b")).distinct()
 
 
-_ROT = """,
-mv AS (SELECT x.trade_id AS exit_id, e.edge_id, e.dst, e.ts AS move_ts FROM trades x JOIN edges e ON e.src = x.wallet_id AND e.action = 'transfer' AND e.ts BETWEEN x.ts AND x.ts + INTERVAL 24 HOUR
-  WHERE x.action = 'SELL' AND x.usd >= 5 AND CAST(e.usd AS DOUBLE) / CAST(x.usd AS DOUBLE) * 100 BETWEEN 80 AND 105),
+_ROT = FIFO + """,
+xp AS (SELECT trade_id, CAST(sum(CAST(round(realized, 7) AS DECIMAL(28,7))) OVER (PARTITION BY wallet_id, token_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS DOUBLE) AS profit FROM sells),
+mv AS (SELECT x.trade_id AS exit_id, e.edge_id, e.dst, e.ts AS move_ts FROM trades x JOIN xp ON xp.trade_id = x.trade_id AND xp.profit >= 5 JOIN edges e ON e.src = x.wallet_id AND e.action = 'transfer' AND e.ts BETWEEN x.ts AND x.ts + INTERVAL 24 HOUR
+  WHERE x.action = 'SELL' AND x.usd > 0 AND CAST(e.usd AS DOUBLE) / CAST(x.usd AS DOUBLE) * 100 BETWEEN 80 AND 105),
 rt AS (SELECT exit_id, edge_id, b.trade_id AS buy_id FROM mv JOIN trades b ON b.wallet_id = mv.dst AND b.action = 'BUY' AND b.mcap IS NOT NULL AND b.mcap <= 5000000 AND b.ts BETWEEN move_ts AND move_ts + INTERVAL 360 MINUTE
   QUALIFY row_number() OVER (PARTITION BY exit_id, edge_id ORDER BY b.ts, b.trade_id) = 1)
 """
@@ -85,10 +87,15 @@ rt AS (SELECT exit_id, edge_id, b.trade_id AS buy_id FROM mv JOIN trades b ON b.
 
 @query(_ROT + "SELECT exit_id, edge_id, buy_id FROM rt")
 def rotation_match(spark: SparkSession, d: str) -> DataFrame:
+    return rotation_rows(spark, d).select("exit_id", "edge_id", "buy_id")
+
+
+def rotation_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Exits of enough realized profit whose proceeds move on and buy another token."""
     t = p.trades(spark, d)
-    exits = t.where("action = 'SELL'").withColumn("profit", F.col("usd").cast("double"))
-    out = fl.rotations(exits, p.edges(spark, d).where("action = 'transfer'"), t.where("action = 'BUY'"), min_profit=5.0, buy_minutes=360)
-    return out.select("exit_id", "edge_id", "buy_id")
+    profit = pnl.profit_at_exit(pnl.fifo_sells(t)).select("trade_id", "profit")
+    exits = t.where("action = 'SELL'").join(profit, "trade_id")
+    return fl.rotations(exits, p.edges(spark, d).where("action = 'transfer'"), t.where("action = 'BUY'"), min_profit=5.0, buy_minutes=360)
 
 
 @query("SELECT r.edge_id, s.edge_id AS receipt_id FROM edges r JOIN edges s ON s.src = r.src AND s.dst = r.dst AND s.edge_id <> r.edge_id AND s.ts BETWEEN r.ts AND r.ts + INTERVAL 10 DAY AND CAST(s.usd AS DOUBLE) BETWEEN 0.8 * CAST(r.usd AS DOUBLE) AND 1.05 * CAST(r.usd AS DOUBLE) QUALIFY row_number() OVER (PARTITION BY r.edge_id ORDER BY s.ts, s.edge_id) = 1")
@@ -128,10 +135,7 @@ def rule_e(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_ROT + "SELECT DISTINCT b.token_id, true AS fired FROM rt JOIN trades b ON b.trade_id = rt.buy_id")
 def rule_f(spark: SparkSession, d: str) -> DataFrame:
-    t = p.trades(spark, d)
-    exits = t.where("action = 'SELL'").withColumn("profit", F.col("usd").cast("double"))
-    out = fl.rotations(exits, p.edges(spark, d).where("action = 'transfer'"), t.where("action = 'BUY'"), min_profit=5.0, buy_minutes=360)
-    return out.select(F.col("to_token").alias("token_id"), F.lit(True).alias("fired")).distinct()
+    return rotation_rows(spark, d).select(F.col("to_token").alias("token_id"), F.lit(True).alias("fired")).distinct()
 
 
 _LINKS = """,
