@@ -18,12 +18,13 @@ def series(signals: DataFrame, market: DataFrame, days: int = 7) -> DataFrame:
     """
     width = days * 86400
     bucket = lambda c: F.expr(f"unix_micros(cast({c} as timestamp)) div {width * 1_000_000}")
-    s = signals.select("signal_id", "token_id", "fired_at", "entry_price", F.explode(F.array(bucket("fired_at"), bucket("fired_at") + 1)).alias("b"))
+    more = [c for c in ("entry_liquidity",) if c in signals.columns]
+    s = signals.select("signal_id", "token_id", "fired_at", "entry_price", *more, F.explode(F.array(bucket("fired_at"), bucket("fired_at") + 1)).alias("b"))
     m = market.select("token_id", "ts", "point_id", "price", "liquidity", bucket("ts").alias("b"))
     gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("fired_at").cast("timestamp"))
     j = s.join(m, ["token_id", "b"]).withColumn("gap", gap).where(F.col("gap").between(0, width * 1_000_000))
     multiple = F.when(F.col("entry_price") > 0, F.col("price") / F.col("entry_price"))
-    return j.select("signal_id", "ts", "point_id", (F.col("gap") / 60_000_000.0).alias("minutes"), multiple.alias("multiple"), "liquidity")
+    return j.select("signal_id", "ts", "point_id", (F.col("gap") / 60_000_000.0).alias("minutes"), multiple.alias("multiple"), "liquidity", *more)
 
 
 def extremes(points: DataFrame, within: float | None = None) -> DataFrame:
@@ -45,23 +46,35 @@ def extremes(points: DataFrame, within: float | None = None) -> DataFrame:
     return g.select("signal_id", pct(F.col("top")).alias("max_upside_pct"), pct(F.col("low")).alias("max_drawdown_pct"), pct(F.col("end.multiple")).alias("roi_pct"), F.round("peak.minutes", 6).alias("to_peak"), F.round("to_2x", 6).alias("to_2x"), F.round("to_5x", 6).alias("to_5x"), F.round("to_10x", 6).alias("to_10x"))
 
 
-def labels(points: DataFrame) -> DataFrame:
-    """signal_id, label: wins lock unless a deep enough fall came before; losing the liquidity before 2x overrides all."""
-    by = Window.partitionBy("signal_id").orderBy("ts", "point_id")
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
-    p = points.withColumn("low_before", F.min("multiple").over(before)).withColumn("top_before", F.max("multiple").over(before)).withColumn("entry_liquidity", F.first("liquidity").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    no2x = F.coalesce(F.col("top_before") < GOOD, F.lit(True))
-    no_fall = lambda x: F.coalesce(F.col("low_before") > x, F.lit(True))
+def judged(points: DataFrame) -> DataFrame:
+    """The columns of extremes and label, for each signal with points: wins lock unless a deep enough fall came before.
+
+    One pass over a signal's points in order: the first times at which the multiple, or the liquidity, reaches a mark come
+    from aggregates, and a win counts if its first time is before the fall that would spoil it. No frame is scanned anew.
+    points has entry_liquidity, the first point's.
+    """
+    at, m = F.struct("ts", "point_id"), F.col("multiple")
+    first = lambda c: F.min(F.when(c, at))
+    hit = lambda x: F.min(F.when(m >= x, F.col("minutes")))
     gone = F.coalesce((F.col("entry_liquidity") > 0) & (F.col("liquidity") <= F.col("entry_liquidity") * LIQUIDITY_LEFT), F.lit(False)) | (F.col("liquidity") < LEAST_LIQUIDITY)
-    m = F.col("multiple")
-    g = p.groupBy("signal_id").agg(
-        F.coalesce(F.bool_or(F.col("liquidity").isNotNull() & no2x & gone), F.lit(False)).alias("hard"),
-        F.coalesce(F.bool_or((m >= MAJOR) & no_fall(MAJOR_DROP)), F.lit(False)).alias("major"),
-        F.coalesce(F.bool_or((m >= GOOD) & no_fall(SMALL_DROP)), F.lit(False)).alias("good"),
-        F.coalesce(F.bool_or((m >= PLUS_50) & no_fall(SMALL_DROP)), F.lit(False)).alias("small"),
-        F.coalesce(F.bool_or((m <= MAJOR_DROP) & no2x & (m < GOOD)), F.lit(False)).alias("fail"),
+    g = points.groupBy("signal_id").agg(
+        F.max("multiple").alias("top"),
+        F.min("multiple").alias("low"),
+        F.max(F.when(m.isNotNull(), F.struct("ts", "point_id", "multiple"))).alias("end"),
+        F.min(F.when(m.isNotNull(), F.struct((-m).alias("m"), "minutes"))).alias("peak"),
+        *[hit(x).alias(k) for k, x in (("to_2x", GOOD), ("to_5x", MAJOR), ("to_10x", TEN))],
+        first(m >= GOOD).alias("good_at"),
+        first(m >= MAJOR).alias("major_at"),
+        first(m >= PLUS_50).alias("small_at"),
+        first(m <= SMALL_DROP).alias("fall_at"),
+        first(m <= MAJOR_DROP).alias("deep_at"),
+        first(F.col("liquidity").isNotNull() & gone).alias("gone_at"),
     )
-    return g.select("signal_id", F.when(F.col("hard"), "hard_failure").when(F.col("major"), "major_win").when(F.col("good"), "good_win").when(F.col("small"), "small_win").when(F.col("fail"), "failure").otherwise("neutral_pending").alias("label"))
+    # a comes before b, or b doesn't come: equal places are one point, which neither spoils nor is spoiled.
+    free = lambda a, b: F.col(a).isNotNull() & (F.col(b).isNull() | (F.col(a) <= F.col(b)))
+    label = F.when(free("gone_at", "good_at"), "hard_failure").when(free("major_at", "deep_at"), "major_win").when(free("good_at", "fall_at"), "good_win").when(free("small_at", "fall_at"), "small_win").when(free("deep_at", "good_at"), "failure").otherwise("neutral_pending")
+    pct = lambda x: F.round((x - 1) * 100, 6)
+    return g.select("signal_id", label.alias("label"), pct(F.col("top")).alias("max_upside_pct"), pct(F.col("low")).alias("max_drawdown_pct"), pct(F.col("end.multiple")).alias("roi_pct"), F.round("peak.minutes", 6).alias("to_peak"), F.round("to_2x", 6).alias("to_2x"), F.round("to_5x", 6).alias("to_5x"), F.round("to_10x", 6).alias("to_10x"))
 
 
 def horizon_slices(points: DataFrame) -> DataFrame:

@@ -24,12 +24,12 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right
     """
     row = F.struct(F.col(right_ts).alias("_rt"), *values)
     empty = F.lit(None).cast(right.select(row.alias("x")).schema["x"].dataType)
-    a = left.select(*keys, F.col(left_ts).alias("_t"), F.lit(0 if forward else 1).alias("_side"), F.lit(None).cast("long").alias("_tie"), F.struct(*left.columns).alias("_left"), empty.alias("_row"))
-    b = right.select(*keys, F.col(right_ts).alias("_t"), F.lit(1 if forward else 0).alias("_side"), F.col(tie).cast("long").alias("_tie"), F.lit(None).cast(a.schema["_left"].dataType).alias("_left"), row.alias("_row"))
-    by = Window.partitionBy(*keys).orderBy("_t", "_side", "_tie")
-    frame = by.rowsBetween(0, Window.unboundedFollowing) if forward else by.rowsBetween(Window.unboundedPreceding, 0)
-    pick = (F.first if forward else F.last)("_row", ignorenulls=True).over(frame)
-    out = a.unionByName(b).withColumn("_found", pick).where("_left is not null")
+    a = left.select(*keys, F.col(left_ts).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast("long").alias("_tie"), F.struct(*left.columns).alias("_left"), empty.alias("_row"))
+    b = right.select(*keys, F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), F.col(tie).cast("long").alias("_tie"), F.lit(None).cast(a.schema["_left"].dataType).alias("_left"), row.alias("_row"))
+    # Forward is the same walk from the end, so that the frame grows with each row instead of being scanned anew.
+    order = [F.desc("_t"), "_side", F.desc("_tie")] if forward else ["_t", "_side", "_tie"]
+    frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = a.unionByName(b).withColumn("_found", F.last("_row", ignorenulls=True).over(frame)).where("_left is not null")
     return out.select("_left.*", *[F.col(f"_found.{v}").alias(v) for v in values])
 
 

@@ -28,12 +28,13 @@ _SUM = """count(*) AS signals, round(count(*) FILTER (max_upside_pct >= 50) / co
 
 
 def _points(spark: SparkSession, d: str) -> DataFrame:
-    return oc.series(p.signals(spark, d), p.market(spark, d).withColumn("liquidity", F.col("liquidity") * 10))
+    m = p.market(spark, d).withColumn("liquidity", F.col("liquidity") * 10)
+    first = tm.asof(p.signals(spark, d), m.withColumn("entry_liquidity", F.col("liquidity")), ["token_id"], "fired_at", "ts", "point_id", ["entry_liquidity"], forward=True)
+    return oc.series(first, m)
 
 
 def _evaluated(spark: SparkSession, d: str) -> DataFrame:
-    pts = _points(spark, d)
-    return p.signals(spark, d).join(oc.labels(pts), "signal_id").join(oc.extremes(pts), "signal_id", "left")
+    return p.signals(spark, d).join(oc.judged(_points(spark, d)), "signal_id")
 
 
 @query(_S + "SELECT * FROM ex")
@@ -43,7 +44,7 @@ def win_outcome_extremes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_S + "SELECT * FROM lb")
 def win_outcome_label(spark: SparkSession, d: str) -> DataFrame:
-    return oc.labels(_points(spark, d))
+    return oc.judged(_points(spark, d)).select("signal_id", "label")
 
 
 _HZ = _S + """, hz AS (SELECT signal_id, horizon, round((max(multiple) - 1) * 100, 6) AS max_upside_pct, round((min(multiple) - 1) * 100, 6) AS max_drawdown_pct, round((arg_max(multiple, (ts, point_id)) - 1) * 100, 6) AS roi_pct
