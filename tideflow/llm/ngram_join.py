@@ -115,22 +115,23 @@ def _loads(docs: DataFrame, n: int) -> np.ndarray:
                 counts[at] = np.minimum(counts[at] + more, 255)
                 some = True
         for k in range(len(counts) // part if some else 0):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([TaskContext.get().partitionId() % 32], pa.int32()), pa.array([counts[k * part : (k + 1) * part].tobytes()], pa.binary())], ["part", "salt", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([TaskContext.get().partitionId() // 256], pa.int32()), pa.array([counts[k * part : (k + 1) * part].tobytes()], pa.binary())], ["part", "salt", "n"])
 
-    def add(wide: bool) -> Callable[[tuple, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def add(kind: type) -> Callable[[tuple, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(part, np.int64)
             for b in batches:
                 for x in b.column("n"):
-                    total += np.frombuffer(x.as_buffer(), np.int64 if wide else np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "salt", "n"])
+                    total += np.frombuffer(x.as_buffer(), kind)
+            sums = np.minimum(total, 2**32 - 1).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([0], pa.int32()), pa.array([sums.tobytes()], pa.binary())], ["part", "salt", "n"])
 
         return run
 
-    rows = docs.select("text").mapInArrow(run, kind).groupBy("part", "salt").applyInArrow(add(False), kind).groupBy("part").applyInArrow(add(True), kind)
+    rows = docs.select("text").mapInArrow(run, kind).groupBy("part", "salt").applyInArrow(add(np.uint8), kind).groupBy("part").applyInArrow(add(np.uint32), kind)
     out = np.zeros(1 << LOAD_BITS, np.uint32)
     for r in rows.toLocalIterator():  # of fixed size
-        out[r["part"] * part : (r["part"] + 1) * part] = np.minimum(np.frombuffer(r["n"], np.int64), 2**32 - 1)
+        out[r["part"] * part : (r["part"] + 1) * part] = np.frombuffer(r["n"], np.uint32)
     return out
 
 
@@ -138,7 +139,10 @@ _ROW = "token long, salt int, size int, node long, head long, head_size int, kee
 
 
 def _prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """A row a set, band and prefix shingle. Heads and single sets of a batch have salt 0; keep: the batch has others."""
+    """A row a set, band and prefix shingle.
+
+    Heads and single sets of a batch have salt 0 and name no head; keep: the batch has others.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(_loads(docs, n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +175,7 @@ def _prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 head = np.flatnonzero(new)[np.cumsum(new) - 1]
                 salt = np.where(new, 0, 1 + (ta.mix(own.view(np.uint64)) >> np.uint64(40)).astype(np.int64) % 1024)
                 others = new & ~np.concatenate([new[1:], [True]])
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(many.astype(np.int32)), pa.array(own), pa.array(own[head]), pa.array(many[head].astype(np.int32)), pa.array(others)], ["token", "salt", "size", "node", "head", "head_size", "keep"])
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(many.astype(np.int32)), pa.array(own), pa.array(np.where(new, 0, own[head])), pa.array(np.where(new, 0, many[head]).astype(np.int32)), pa.array(others)], ["token", "salt", "size", "node", "head", "head_size", "keep"])
 
     return docs.select("text").mapInArrow(run, _ROW)
 
