@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideflow.operators.temporal import within
+from tideflow.sources.shared import shared_folder
 
 # The weight of each kind of evidence for a link between two wallets.
 LINK_WEIGHTS = {
@@ -21,7 +21,7 @@ def saved(df: DataFrame) -> DataFrame:
     """df from the shared checkpoint folder, its lineage cut."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -30,11 +30,16 @@ def relationship(action: Column, asset: Column) -> Column:
 
 
 def aggregate_edges(edges: DataFrame, per_node: int = 500) -> DataFrame:
-    """One row a (src, dst, relationship, asset), the per_node largest of each source."""
+    """One row a (src, dst, relationship, asset), the per_node largest of each source: samples, its five first ids."""
     e = edges.withColumn("relationship", relationship(F.col("action"), F.col("asset")))
-    g = e.groupBy("src", "dst", "relationship", "asset").agg(F.sum("usd").alias("usd"), F.count("*").alias("txs"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.slice(F.array_sort(F.collect_set("edge_id")), 1, 5).alias("samples"))
+    keys = ["src", "dst", "relationship", "asset"]
+    g = e.groupBy(*keys).agg(F.sum("usd").alias("usd"), F.count("*").alias("txs"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
     by = Window.partitionBy("src").orderBy(F.desc("usd"), "dst", "relationship", "asset")
-    return g.withColumn("n", F.row_number().over(by)).where(F.col("n") <= per_node).drop("n")
+    g = g.withColumn("n", F.row_number().over(by)).where(F.col("n") <= per_node).drop("n")
+    # Ranked before they are listed, so that a list never holds more than five.
+    ranked = e.select(*keys, "edge_id").withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("edge_id"))).where("n <= 5")
+    samples = ranked.groupBy(*keys).agg(F.array_sort(F.collect_list("edge_id")).alias("samples"))
+    return g.join(samples, keys)
 
 
 def bridge_candidates(edges: DataFrame, minutes: int = 60, ratio: float = 0.95) -> DataFrame:
@@ -55,27 +60,20 @@ def mutual_best(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("x", F.row_number().over(a)).withColumn("y", F.row_number().over(b)).where("x = 1 and y = 1").drop("x", "y")
 
 
-def greedy_match(pairs: DataFrame) -> DataFrame:
-    """dep_id, wd_id, ratio: one-to-one by ratio, then ids; sequential inside one connected set of candidates only.
+def greedy_match(pairs: DataFrame, rounds: int = 1000) -> DataFrame:
+    """dep_id, wd_id, ratio: one-to-one by ratio, then ids.
 
-    Groups are cut where consecutive deposits or withdrawals of an asset and protocol lie further apart than any pair can.
+    Each round keeps the pairs that are the best of both ends and takes both ends out. A best pair of both ends is what the
+    greedy walk would take whatever it took before, so the rounds end in the same matching, without a walk over a group.
     """
-    times = pairs.select("asset", "protocol", F.least("dep_ts", "wd_ts").alias("lo"), F.greatest("dep_ts", "wd_ts").alias("hi"), "dep_id", "wd_id", "ratio")
-    by = Window.partitionBy("asset", "protocol").orderBy("lo", "dep_id", "wd_id")
-    reach = F.max("hi").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    cut = F.when(reach.isNull() | (F.col("lo") > reach), 1).otherwise(0)
-    grouped = times.withColumn("cut", cut).withColumn("island", F.sum("cut").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-
-    def take(rows: pd.DataFrame) -> pd.DataFrame:
-        deposits, withdrawals, kept = set(), set(), []
-        for r in rows.sort_values(["ratio", "dep_id", "wd_id"], ascending=[False, True, True]).itertuples():
-            if r.dep_id not in deposits and r.wd_id not in withdrawals:
-                deposits.add(r.dep_id)
-                withdrawals.add(r.wd_id)
-                kept.append((r.dep_id, r.wd_id, r.ratio))
-        return pd.DataFrame(kept, columns=["dep_id", "wd_id", "ratio"])
-
-    return grouped.groupBy("asset", "protocol", "island").applyInPandas(take, "dep_id long, wd_id long, ratio double")
+    left, kept = saved(pairs.select("dep_id", "wd_id", "ratio")), None
+    for _ in range(rounds):
+        best = saved(mutual_best(left))
+        if not best.limit(1).count():
+            return left.limit(0) if kept is None else kept
+        kept = best if kept is None else kept.unionByName(best)
+        left = saved(left.join(best.select("dep_id"), "dep_id", "left_anti").join(best.select("wd_id"), "wd_id", "left_anti").select("dep_id", "wd_id", "ratio"))
+    raise RuntimeError(f"pairs were left after {rounds} rounds")
 
 
 def rotations(exits: DataFrame, transfers: DataFrame, buys: DataFrame, min_profit: float = 500.0, hours: int = 24, low: float = 80.0, high: float = 105.0, buy_minutes: int = 60, mcap_max: float = 5000000.0) -> DataFrame:
@@ -111,19 +109,69 @@ def band(confidence: Column) -> Column:
     return F.when(confidence <= 30, "weak").when(confidence <= 60, "possible").when(confidence <= 80, "probable").otherwise("strong")
 
 
-def link_evidence(edges: DataFrame, registry: DataFrame) -> DataFrame:
-    """a, b, and the evidence a pair of wallets has from its transfers and shared earliest funders."""
+# The limits that evidence is judged by.
+BRIDGE_HOURS, BRIDGE_RATIO, SIMILAR, DUST_USD, BUY_MINUTES = 2, 0.9, 0.9, 10, 60
+EVIDENCE = ("direct_transfer", "repeated_transfers", "same_funding", "bridge_match", "amount_similar", "dest_buys_60m", "fresh_wallet", "cex_or_mixer", "router_only", "weak_amount", "dust_only")
+
+
+def bridge_pairs(edges: DataFrame, hours: int = BRIDGE_HOURS, ratio: float = BRIDGE_RATIO) -> DataFrame:
+    """a, b, ratio: depositors and receivers (a < b) whose legs are near in time and alike in value, with their first legs' ratio.
+
+    An equi-join on buckets of time and of the logarithm of the value, so that legs far apart in either never meet.
+    """
+    step = -math.log(ratio)
+    size = F.floor(F.log(F.col("usd").cast("double")) / step).cast("long")
+    paid = edges.where("usd > 0")
+    dep = paid.where("action = 'bridge_deposit'").select(F.col("edge_id").alias("d_id"), F.col("src").alias("d_w"), F.col("usd").cast("double").alias("d_usd"), F.col("ts").alias("d_ts"), F.explode(F.array(size - 1, size, size + 1)).alias("size"))
+    wd = paid.where("action = 'bridge_withdrawal'").select(F.col("edge_id").alias("w_id"), F.col("dst").alias("w_w"), F.col("usd").cast("double").alias("w_usd"), F.col("ts").alias("w_ts"), size.alias("size"))
+    both = within(dep, wd, ["size"], "d_ts", "w_ts", hours * 3600).unionByName(within(wd, dep, ["size"], "w_ts", "d_ts", hours * 3600)).where("d_w <> w_w")
+    r = F.least("d_usd", "w_usd") / F.greatest("d_usd", "w_usd")
+    both = both.withColumn("ratio", r).where(F.col("ratio") >= ratio).select(F.least("d_w", "w_w").alias("a"), F.greatest("d_w", "w_w").alias("b"), F.struct("d_ts", "d_id", "w_ts", "w_id", "ratio").alias("leg"))
+    return both.groupBy("a", "b").agg(F.min("leg").alias("m")).select("a", "b", F.col("m.ratio").alias("ratio"))
+
+
+def link_evidence(edges: DataFrame, registry: DataFrame, trades: DataFrame) -> DataFrame:
+    """a, b, and the eleven kinds of evidence, for pairs of wallets with transfers or bridge legs between them.
+
+    What holds for a wallet (fresh, buys soon) or a class of wallets (one funder, one service) is looked up for these pairs
+    instead of being expanded into pairs: all of it together stays below the threshold, so no link is lost.
+    """
     t = edges.where("action = 'transfer' and src <> dst")
-    pairs = t.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count("*").alias("n"), F.max("usd").alias("most"))
-    by = Window.partitionBy("dst").orderBy("ts", "edge_id")
-    funded = t.withColumn("n", F.row_number().over(by)).where("n = 1").select(F.col("dst").alias("w"), F.col("src").alias("f"))
-    # A funder's wallets are linked in a chain by id, which connects them as all pairs would.
-    chain = funded.withColumn("next", F.lead("w").over(Window.partitionBy("f").orderBy("w"))).where("next is not null").select(F.col("w").alias("a"), F.col("next").alias("b")).withColumn("co", F.lit(True))
-    out = pairs.join(chain, ["a", "b"], "full")
-    service = registry.where("category in ('CEX', 'MIXER')").select("address").distinct()
-    out = out.join(service.select(F.col("address").alias("a"), F.lit(True).alias("sa")), "a", "left").join(service.select(F.col("address").alias("b"), F.lit(True).alias("sb")), "b", "left")
-    n = F.coalesce("n", F.lit(0))
-    return out.select("a", "b", (n > 0).alias("direct_transfer"), (n >= 2).alias("repeated_transfers"), F.coalesce("co", F.lit(False)).alias("same_funding"), F.coalesce(F.col("sa") | F.col("sb"), F.col("sa"), F.col("sb"), F.lit(False)).alias("cex_or_mixer"), F.coalesce(F.col("most") < 10, F.lit(False)).alias("dust_only"))
+    direct = t.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count("*").alias("n"), F.min("usd").cast("double").alias("least"), F.max("usd").cast("double").alias("most"))
+    pairs = saved(direct.join(bridge_pairs(edges), ["a", "b"], "full"))
+
+    first = edges.groupBy("dst").agg(F.min(F.struct("ts", "edge_id", "src")).alias("m"))
+    began = trades.groupBy("wallet_id").agg(F.min("ts").alias("began"))
+    own = first.join(began, F.col("dst") == F.col("wallet_id"), "left").select(F.col("dst").alias("w"), F.col("m.src").alias("funder"), F.col("m.ts").alias("t"), "began")
+    soon = F.coalesce((F.col("began") >= F.col("t")) & (F.col("began") <= F.col("t") + F.expr(f"INTERVAL {BUY_MINUTES} MINUTES")), F.lit(False))
+    own = own.select("w", "funder", (F.col("began").isNull() | (F.col("began") > F.col("t"))).alias("fresh"), soon.alias("soon"))
+
+    ends = edges.select(F.explode(F.array(F.struct(F.col("dst").alias("address"), F.col("src").alias("w")), F.struct(F.col("src").alias("address"), F.col("dst").alias("w")))).alias("x")).select("x.*").distinct()
+    touch = ends.join(registry.where("category in ('CEX', 'MIXER', 'ROUTER')").select("address", (F.col("category") == "ROUTER").alias("router")).distinct(), "address")
+    met = pairs.select("a", "b").join(touch.withColumnRenamed("w", "a"), "a").join(touch.select(F.col("w").alias("b"), "address"), ["b", "address"])
+    met = met.groupBy("a", "b").agg(F.bool_or(~F.col("router")).alias("service"), F.bool_or("router").alias("router"))
+
+    out = pairs.join(met, ["a", "b"], "left")
+    for end in ("a", "b"):
+        out = out.join(own.select(F.col("w").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("funder", "fresh", "soon")]), end, "left")
+    n, no = F.coalesce("n", F.lit(0)), F.lit(False)
+    alike = F.when(n >= 2, F.when(F.col("most") > 0, F.col("least") / F.col("most"))).otherwise(F.col("ratio"))
+    either = lambda c: F.coalesce(f"{c}_a", no) | F.coalesce(f"{c}_b", no)
+    return out.select(
+        "a",
+        "b",
+        (n >= 1).alias("direct_transfer"),
+        (n >= 2).alias("repeated_transfers"),
+        F.coalesce(F.col("funder_a") == F.col("funder_b"), no).alias("same_funding"),
+        F.col("ratio").isNotNull().alias("bridge_match"),
+        F.coalesce(alike >= SIMILAR, no).alias("amount_similar"),
+        either("soon").alias("dest_buys_60m"),
+        either("fresh").alias("fresh_wallet"),
+        F.coalesce("service", no).alias("cex_or_mixer"),
+        (F.coalesce("router", no) & (n == 0)).alias("router_only"),
+        F.coalesce(alike < SIMILAR, no).alias("weak_amount"),
+        F.coalesce(F.col("most") < DUST_USD, no).alias("dust_only"),
+    )
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:

@@ -57,17 +57,29 @@ def bridge_mutual_best(spark: SparkSession, d: str) -> DataFrame:
     return fl.mutual_best(_bridge(spark, d)).select("dep_id", "wd_id", "ratio")
 
 
-@query()
+# The oracle walks the pairs one by one.
+_GREEDY = _BRIDGE + """, pq AS (SELECT *, row_number() OVER (ORDER BY ratio DESC, dep_id, wd_id) AS rn FROM bc),
+gm AS (SELECT unnest(ds) AS dep_id, unnest(ws) AS wd_id FROM (WITH RECURSIVE g AS (SELECT CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS ds, CAST([] AS BIGINT[]) AS ws
+  UNION ALL SELECT pq.rn, CASE WHEN list_contains(ds, dep_id) OR list_contains(ws, wd_id) THEN ds ELSE list_append(ds, dep_id) END, CASE WHEN list_contains(ds, dep_id) OR list_contains(ws, wd_id) THEN ws ELSE list_append(ws, wd_id) END FROM g JOIN pq ON pq.rn = g.rn + 1) SELECT ds, ws FROM g ORDER BY rn DESC LIMIT 1))
+"""
+
+
+@query(_GREEDY + "SELECT dep_id, wd_id, ratio FROM gm JOIN bc USING (dep_id, wd_id)")
 def jn_bridge_greedy(spark: SparkSession, d: str) -> DataFrame:
     return fl.greedy_match(_bridge(spark, d))
 
 
-@query()
+@query(_GREEDY + ", sv AS (SELECT DISTINCT address FROM registry WHERE category IN ('CEX', 'MIXER')), mt AS (SELECT dep_id AS edge_id FROM gm UNION SELECT wd_id FROM gm) SELECT edge_id, CASE WHEN edge_id IN (FROM mt) THEN 95 ELSE 35 END AS confidence, CASE WHEN edge_id IN (FROM mt) THEN 'matched' WHEN src IN (FROM sv) OR dst IN (FROM sv) THEN 'exchange or mixer' ELSE 'no match' END AS reason FROM edges WHERE action LIKE 'bridge%'")
 def bridge_pass(spark: SparkSession, d: str) -> DataFrame:
     """Each bridge leg with its confidence and reason."""
-    legs = p.edges(spark, d).where("action in ('bridge_deposit', 'bridge_withdrawal')").select("edge_id")
+    legs = p.edges(spark, d).where("action in ('bridge_deposit', 'bridge_withdrawal')").select("edge_id", "src", "dst")
     got = fl.greedy_match(_bridge(spark, d)).select(F.explode(F.array("dep_id", "wd_id")).alias("edge_id")).withColumn("hit", F.lit(True))
-    return legs.join(got, "edge_id", "left").select("edge_id", F.when(F.col("hit"), 95).otherwise(35).alias("confidence"), F.when(F.col("hit"), "matched").otherwise("no match").alias("reason"))
+    service = p.registry(spark, d).where("category in ('CEX', 'MIXER')").select("address").distinct().withColumn("service", F.lit(True))
+    legs = legs.join(got, "edge_id", "left")
+    for end in ("src", "dst"):
+        legs = legs.join(service.withColumnsRenamed({"address": end, "service": f"{end}_service"}), end, "left")
+    why = F.when(F.col("hit"), "matched").when(F.col("src_service") | F.col("dst_service"), "exchange or mixer").when(F.coalesce("src_service", "dst_service"), "exchange or mixer").otherwise("no match")
+    return legs.select("edge_id", F.when(F.col("hit"), 95).otherwise(35).alias("confidence"), why.alias("reason"))
 
 
 @query(_BRIDGE + "SELECT DISTINCT least(a.src, b.dst) AS a, greatest(a.src, b.dst) AS b FROM bc JOIN edges a ON a.edge_id = dep_id JOIN edges b ON b.edge_id = wd_id WHERE a.src <> b.dst AND ratio >= 0.9")
@@ -119,18 +131,18 @@ def funding_events(spark: SparkSession, d: str) -> DataFrame:
     return fl.funding_events(p.edges(spark, d), p.trades(spark, d), p.wallets(spark, d)).select("edge_id", "src", "dst", "fresh")
 
 
-@query("""SELECT DISTINCT b.token_id, true AS fired FROM edges e JOIN wallets s ON s.wallet_id = e.src AND (s.is_watched OR s.meets_profitable) JOIN (SELECT wallet_id, min(ts) AS first_ts FROM trades GROUP BY 1) f ON f.wallet_id = e.dst
+@query("""SELECT b.token_id, bool_or(epoch_us(b.ts) - epoch_us(e.ts) <= 7200000000) AS fired, true AS within_a_day FROM edges e JOIN wallets s ON s.wallet_id = e.src AND (s.is_watched OR s.meets_profitable) JOIN (SELECT wallet_id, min(ts) AS first_ts FROM trades GROUP BY 1) f ON f.wallet_id = e.dst
   JOIN (SELECT wallet_id, token_id, usd, ts, mcap FROM trades WHERE action = 'BUY' QUALIFY row_number() OVER (PARTITION BY wallet_id, token_id ORDER BY ts, trade_id) = 1) b ON b.wallet_id = e.dst
-  WHERE e.action = 'transfer' AND e.src <> e.dst AND f.first_ts > e.ts AND epoch_us(b.ts) - epoch_us(e.ts) BETWEEN 300000000 AND 86400000000 AND b.mcap <= 5000000 AND CAST(b.usd AS DOUBLE) / CAST(e.usd AS DOUBLE) * 100 BETWEEN 30 AND 110 AND e.usd > 0""")
+  WHERE e.action = 'transfer' AND e.src <> e.dst AND f.first_ts > e.ts AND epoch_us(b.ts) - epoch_us(e.ts) BETWEEN 300000000 AND 86400000000 AND b.mcap <= 5000000 AND CAST(b.usd AS DOUBLE) / CAST(e.usd AS DOUBLE) * 100 BETWEEN 30 AND 110 AND e.usd > 0 GROUP BY 1""")
 def rule_e(spark: SparkSession, d: str) -> DataFrame:
-    """Tokens that a freshly funded wallet buys first within a day of the funding."""
+    """Tokens that a freshly funded wallet buys first for 30 to 110 percent of it: 5 to 120 minutes after, and up to a day after."""
     t = p.trades(spark, d)
     buys = t.where("action = 'BUY'").groupBy("wallet_id", "token_id").agg(F.min(F.struct("ts", "trade_id", "usd", "mcap")).alias("m"))
     buys = buys.select(F.col("wallet_id").alias("dst"), "token_id", F.col("m.ts").alias("buy_ts"), F.col("m.usd").alias("buy_usd"), "m.mcap")
     f = fl.funding_events(p.edges(spark, d), t, p.wallets(spark, d)).where("fresh and usd > 0").withColumnRenamed("ts", "fund_ts")
     gap = F.unix_micros(F.col("buy_ts").cast("timestamp")) - F.unix_micros(F.col("fund_ts").cast("timestamp"))
     out = tm.within(f, buys, ["dst"], "fund_ts", "buy_ts", 86400).where((gap >= 300_000_000) & (F.col("mcap") <= 5000000) & (F.col("buy_usd").cast("double") / F.col("usd").cast("double") * 100).between(30, 110))
-    return out.select("token_id", F.lit(True).alias("fired")).distinct()
+    return out.groupBy("token_id").agg(F.bool_or(gap <= 7_200_000_000).alias("fired"), F.lit(True).alias("within_a_day"))
 
 
 @query(_ROT + "SELECT DISTINCT b.token_id, true AS fired FROM rt JOIN trades b ON b.trade_id = rt.buy_id")
@@ -138,25 +150,29 @@ def rule_f(spark: SparkSession, d: str) -> DataFrame:
     return rotation_rows(spark, d).select(F.col("to_token").alias("token_id"), F.lit(True).alias("fired")).distinct()
 
 
+_KINDS = fl.EVIDENCE
 _LINKS = """,
-tr AS (SELECT * FROM edges WHERE action = 'transfer' AND src <> dst),
-pr AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS n, max(usd) AS most FROM tr GROUP BY ALL),
-fu AS (SELECT dst AS w, src AS f FROM tr QUALIFY row_number() OVER (PARTITION BY dst ORDER BY ts, edge_id) = 1),
-ch AS (SELECT w AS a, nx AS b FROM (SELECT w, lead(w) OVER (PARTITION BY f ORDER BY w) AS nx FROM fu) WHERE nx IS NOT NULL),
-sv AS (SELECT DISTINCT address FROM registry WHERE category IN ('CEX', 'MIXER')),
-le AS (SELECT a, b, coalesce(n, 0) > 0 AS direct_transfer, coalesce(n, 0) >= 2 AS repeated_transfers, ch.a IS NOT NULL AS same_funding, a IN (FROM sv) OR b IN (FROM sv) AS cex_or_mixer, coalesce(most < 10, false) AS dust_only FROM pr FULL JOIN ch USING (a, b)),
-lc AS (SELECT a, b, CAST(least(greatest(CASE WHEN direct_transfer THEN 35 ELSE 0 END + CASE WHEN repeated_transfers THEN 20 ELSE 0 END + CASE WHEN same_funding THEN 25 ELSE 0 END - CASE WHEN cex_or_mixer THEN 30 ELSE 0 END - CASE WHEN dust_only THEN 25 ELSE 0 END, 0), 100) AS INTEGER) AS confidence FROM le)
+dr AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS n, CAST(min(usd) AS DOUBLE) AS lo, CAST(max(usd) AS DOUBLE) AS most FROM edges WHERE action = 'transfer' AND src <> dst GROUP BY ALL),
+bl AS (SELECT least(x.src, y.dst) AS a, greatest(x.src, y.dst) AS b, x.ts AS dt, x.edge_id AS d_id, y.ts AS wt, y.edge_id AS w_id, CAST(least(x.usd, y.usd) AS DOUBLE) / CAST(greatest(x.usd, y.usd) AS DOUBLE) AS ratio FROM edges x JOIN edges y ON x.action = 'bridge_deposit' AND y.action = 'bridge_withdrawal' AND x.src <> y.dst AND x.usd > 0 AND y.usd > 0
+  AND abs(epoch_us(x.ts) - epoch_us(y.ts)) <= 7200000000 AND CAST(least(x.usd, y.usd) AS DOUBLE) / CAST(greatest(x.usd, y.usd) AS DOUBLE) >= 0.9::DOUBLE),
+bp AS (SELECT a, b, arg_min(ratio, (dt, d_id, wt, w_id)) AS ratio FROM bl GROUP BY 1, 2),
+pp AS (SELECT a, b, coalesce(n, 0) AS n, lo, most, ratio FROM dr FULL JOIN bp USING (a, b)),
+ow AS (SELECT w, f, began IS NULL OR began > t AS fresh, coalesce(began >= t AND began <= t + INTERVAL 60 MINUTE, false) AS soon FROM (SELECT dst AS w, arg_min(src, (ts, edge_id)) AS f, min(ts) AS t FROM edges GROUP BY 1) LEFT JOIN (SELECT wallet_id AS w, min(ts) AS began FROM trades GROUP BY 1) USING (w)),
+tc AS (SELECT DISTINCT address, category = 'ROUTER' AS router, w FROM (SELECT dst AS address, src AS w FROM edges UNION SELECT src, dst FROM edges) JOIN registry USING (address) WHERE category IN ('CEX', 'MIXER', 'ROUTER')),
+mt AS (SELECT pp.a, pp.b, bool_or(NOT x.router) AS service, bool_or(x.router) AS router FROM pp JOIN tc x ON x.w = pp.a JOIN tc y ON y.w = pp.b AND y.address = x.address GROUP BY 1, 2),
+al AS (SELECT pp.*, CASE WHEN n >= 2 THEN CASE WHEN most > 0 THEN lo / most END ELSE ratio END AS alike, coalesce(x.f = y.f, false) AS same_funding, coalesce(x.soon, false) OR coalesce(y.soon, false) AS soon, coalesce(x.fresh, false) OR coalesce(y.fresh, false) AS fresh, coalesce(service, false) AS service, coalesce(router, false) AS router
+  FROM pp LEFT JOIN mt USING (a, b) LEFT JOIN ow x ON x.w = pp.a LEFT JOIN ow y ON y.w = pp.b),
+le AS (SELECT a, b, n >= 1 AS direct_transfer, n >= 2 AS repeated_transfers, same_funding, ratio IS NOT NULL AS bridge_match, coalesce(alike >= 0.9::DOUBLE, false) AS amount_similar, soon AS dest_buys_60m, fresh AS fresh_wallet, service AS cex_or_mixer, router AND n = 0 AS router_only, coalesce(alike < 0.9::DOUBLE, false) AS weak_amount, coalesce(most < 10, false) AS dust_only FROM al),
+lc AS (SELECT a, b, CAST(least(greatest(35 * direct_transfer::INT + 20 * repeated_transfers::INT + 25 * same_funding::INT + 30 * bridge_match::INT + 15 * amount_similar::INT + 15 * dest_buys_60m::INT + 15 * fresh_wallet::INT - 30 * cex_or_mixer::INT - 20 * router_only::INT - 15 * weak_amount::INT - 25 * dust_only::INT, 0), 100) AS INTEGER) AS confidence FROM le)
 """
-_LINKS = _LINKS.replace("ch.a IS NOT NULL AS same_funding", "same IS NOT NULL AS same_funding").replace("ch AS (SELECT w AS a, nx AS b FROM", "ch AS (SELECT w AS a, nx AS b, 1 AS same FROM")
-_KINDS = ("direct_transfer", "repeated_transfers", "same_funding", "cex_or_mixer", "dust_only")
 
 
 def _links(spark: SparkSession, d: str) -> DataFrame:
-    e = fl.link_evidence(p.edges(spark, d), p.registry(spark, d))
+    e = fl.link_evidence(p.edges(spark, d), p.registry(spark, d), p.trades(spark, d))
     return e.withColumn("confidence", fl.link_confidence({k: F.col(k) for k in _KINDS}))
 
 
-@query(_LINKS + "SELECT a, b, direct_transfer, repeated_transfers, same_funding, cex_or_mixer, dust_only FROM le")
+@query(_LINKS + "SELECT * FROM le")
 def link_evidence(spark: SparkSession, d: str) -> DataFrame:
     return _links(spark, d).select("a", "b", *_KINDS)
 
@@ -179,10 +195,23 @@ def cluster_cc(spark: SparkSession, d: str) -> DataFrame:
     return _clusters(spark, d)
 
 
-@query(_CLUSTERS + "SELECT cluster, count(DISTINCT member) AS wallets, count(DISTINCT token_id) AS tokens, CAST(coalesce(sum(usd), 0) AS DOUBLE) AS volume FROM cc LEFT JOIN trades ON wallet_id = member GROUP BY 1")
+@query(_CLUSTERS + """, ml AS (SELECT a AS member, b AS other, confidence FROM lc UNION ALL SELECT b, a, confidence FROM lc), mx AS (SELECT m.member, x.cluster, max(confidence) AS best FROM ml m JOIN cc x ON x.member = m.member JOIN cc y ON y.member = m.other AND y.cluster = x.cluster GROUP BY ALL),
+  cf AS (SELECT cluster, round(avg(best), 6) AS confidence FROM mx GROUP BY 1), fu AS (SELECT cluster, f, count(*) AS n FROM cc JOIN ow ON w = member GROUP BY ALL), fm AS (SELECT cluster, f AS funder FROM fu QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY n DESC, f) = 1),
+  tv AS (SELECT cluster, count(DISTINCT member) AS wallets, count(DISTINCT token_id) AS tokens, CAST(coalesce(sum(usd), 0) AS DOUBLE) AS volume, CAST(coalesce(sum(CASE WHEN action = 'SELL' THEN usd ELSE -usd END), 0) AS DOUBLE) AS net FROM cc LEFT JOIN trades ON wallet_id = member GROUP BY 1)
+  SELECT * FROM tv LEFT JOIN cf USING (cluster) LEFT JOIN fm USING (cluster)""")
 def agg_cluster_profile(spark: SparkSession, d: str) -> DataFrame:
-    c = _clusters(spark, d).join(p.trades(spark, d), F.col("member") == F.col("wallet_id"), "left")
-    return c.groupBy("cluster").agg(F.count_distinct("member").alias("wallets"), F.count_distinct("token_id").alias("tokens"), F.coalesce(F.sum("usd"), F.lit(0)).cast("double").alias("volume"))
+    """Size, tokens, volume and net result of each cluster, the mean of its members' best confidence, and its commonest funder."""
+    links = fl.saved(_links(spark, d).select("a", "b", "confidence"))
+    c = fl.components(links.where("confidence >= 61").select("a", "b"))
+    t = c.join(p.trades(spark, d), F.col("member") == F.col("wallet_id"), "left")
+    net = F.sum(F.when(F.col("action") == "SELL", F.col("usd")).otherwise(-F.col("usd")))
+    size = t.groupBy("cluster").agg(F.count_distinct("member").alias("wallets"), F.count_distinct("token_id").alias("tokens"), F.coalesce(F.sum("usd"), F.lit(0)).cast("double").alias("volume"), F.coalesce(net, F.lit(0)).cast("double").alias("net"))
+    both = links.select(F.explode(F.array(F.struct(F.col("a").alias("member"), F.col("b").alias("other")), F.struct(F.col("b").alias("member"), F.col("a").alias("other")))).alias("x"), "confidence").select("x.*", "confidence")
+    own = both.join(c, "member").join(c.select(F.col("member").alias("other"), "cluster"), ["other", "cluster"]).groupBy("member", "cluster").agg(F.max("confidence").alias("best"))
+    mean = own.groupBy("cluster").agg(F.round(F.avg("best"), 6).alias("confidence"))
+    first = p.edges(spark, d).groupBy(F.col("dst").alias("member")).agg(F.min(F.struct("ts", "edge_id", "src"))["src"].alias("funder"))
+    modal = c.join(first, "member").groupBy("cluster", "funder").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max(F.struct("n", (-F.col("funder")).alias("f"), "funder"))["funder"].alias("funder"))
+    return size.join(mean, "cluster", "left").join(modal, "cluster", "left")
 
 
 @query(_CLUSTERS + "SELECT cluster, count(DISTINCT token_id) AS tokens, count(*) FILTER (action = 'BUY' AND ts >= TIMESTAMP '2024-01-29') AS buys_24h, count(*) FILTER (action = 'SELL' AND ts >= TIMESTAMP '2024-01-29') AS exits_24h FROM cc JOIN trades ON wallet_id = member GROUP BY 1")
@@ -192,11 +221,14 @@ def agg_cluster_activity(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy("cluster").agg(F.count_distinct("token_id").alias("tokens"), F.count_if(late & (F.col("action") == "BUY")).alias("buys_24h"), F.count_if(late & (F.col("action") == "SELL")).alias("exits_24h"))
 
 
-@query(_LINKS + "SELECT w.a, w.b FROM (SELECT least(x.w, y.w) AS a, greatest(x.w, y.w) AS b FROM fu x JOIN fu y ON x.f = y.f AND x.w < y.w) w")
-def jn_self_cofunded(spark: SparkSession, d: str) -> DataFrame:
-    funded = tm.nth_by(p.edges(spark, d).where("action = 'transfer' and src <> dst"), ["dst"], ["ts", "edge_id"])
-    x, y = funded.select("src", F.col("dst").alias("a")), funded.select("src", F.col("dst").alias("b"))
-    return x.join(y, "src").where("a < b").select("a", "b")
+@query(", fu AS (SELECT dst AS w, src AS f FROM edges WHERE action = 'transfer' AND src <> dst QUALIFY row_number() OVER (PARTITION BY dst ORDER BY ts, edge_id) = 1), fn AS (SELECT f, count(*) AS n FROM fu GROUP BY 1) SELECT least(x.w, y.w) AS a, greatest(x.w, y.w) AS b, NULL AS funder FROM fu x JOIN fu y ON x.f = y.f AND x.w < y.w JOIN fn ON fn.f = x.f WHERE n <= 50 UNION ALL SELECT w, NULL, f FROM fu JOIN fn USING (f) WHERE n > 50")
+def jn_self_cofunded(spark: SparkSession, d: str, most: int = 50) -> DataFrame:
+    """Pairs of wallets with one earliest funder; a funder of more wallets keeps them as members (b null) instead of pairs."""
+    funded = tm.nth_by(p.edges(spark, d).where("action = 'transfer' and src <> dst"), ["dst"], ["ts", "edge_id"]).select("src", "dst")
+    funded = funded.join(funded.groupBy("src").agg(F.count("*").alias("n")), "src")
+    few = funded.where(F.col("n") <= most)
+    pairs = few.select("src", F.col("dst").alias("a")).join(few.select("src", F.col("dst").alias("b")), "src").where("a < b").select("a", "b", F.lit(None).cast("long").alias("funder"))
+    return pairs.unionByName(funded.where(F.col("n") > most).select(F.col("dst").alias("a"), F.lit(None).cast("long").alias("b"), F.col("src").alias("funder")))
 
 
 _PATHS = _AGG + """, e AS (SELECT src AS s, dst AS d, first_ts AS t, CAST(usd AS DOUBLE) AS v FROM ae WHERE usd >= 100),
@@ -266,7 +298,14 @@ def srt_connected_wallets(spark: SparkSession, d: str) -> DataFrame:
     return flow.orderBy(F.desc("net_flow"), "wallet_id").limit(500)
 
 
-@query(_ROT + "SELECT exit_id, concat_ws('>', exit_id, edge_id, buy_id) AS nodes FROM rt")
+@query(_ROT + """, n AS (SELECT rt.exit_id, rt.edge_id, 'Token ' || x.token_id AS n1, 'Wallet ' || x.wallet_id AS n2, 'Transfer' AS n3, 'Wallet ' || e.dst AS n4, 'Token ' || b.token_id AS n5, CAST(x.usd AS DOUBLE) AS sold, CAST(e.usd AS DOUBLE) AS moved, CAST(b.usd AS DOUBLE) AS bought FROM rt JOIN trades x ON x.trade_id = rt.exit_id JOIN edges e USING (edge_id) JOIN trades b ON b.trade_id = rt.buy_id)
+SELECT exit_id, edge_id, u.k AS link, CASE u.k WHEN 1 THEN n1 WHEN 2 THEN n2 WHEN 3 THEN n3 ELSE n4 END AS source, CASE u.k WHEN 1 THEN n2 WHEN 2 THEN n3 WHEN 3 THEN n4 ELSE n5 END AS target, CASE u.k WHEN 1 THEN sold WHEN 4 THEN bought ELSE moved END AS value FROM n, (VALUES (1), (2), (3), (4)) u(k)""")
 def sankey(spark: SparkSession, d: str) -> DataFrame:
-    """One chain of nodes a rotation."""
-    return rotation_match(spark, d).select("exit_id", F.concat_ws(">", *[F.col(c).cast("string") for c in ("exit_id", "edge_id", "buy_id")]).alias("nodes"))
+    """Five nodes and four links a rotation: token, wallet, transfer, wallet, token, weighed by the value at each hop."""
+    t = p.trades(spark, d)
+    r = rotation_rows(spark, d).select("exit_id", "edge_id", "buy_id", "from_token", "wallet_id", "dst", "to_token", F.col("exit_usd").cast("double").alias("sold"), F.col("move_usd").cast("double").alias("moved"))
+    r = r.join(t.select(F.col("trade_id").alias("buy_id"), F.col("usd").cast("double").alias("bought")), "buy_id")
+    name = lambda kind, c: F.concat(F.lit(f"{kind} "), F.col(c).cast("string"))
+    nodes = [name("Token", "from_token"), name("Wallet", "wallet_id"), F.lit("Transfer"), name("Wallet", "dst"), name("Token", "to_token")]
+    links = [F.struct(F.lit(k + 1).alias("link"), nodes[k].alias("source"), nodes[k + 1].alias("target"), F.col(v).alias("value")) for k, v in enumerate(("sold", "moved", "moved", "bought"))]
+    return r.select("exit_id", "edge_id", F.explode(F.array(*links)).alias("l")).select("exit_id", "edge_id", "l.*")
