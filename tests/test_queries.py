@@ -44,6 +44,25 @@ def test_query_matches_its_oracle(spark: SparkSession, duck: duckdb.DuckDBPyConn
     assert got == sorted([plain(r[i]) for i in at] for r in cursor.fetchall())
 
 
+def test_budgeted_frontier_against_a_walk(spark: SparkSession, duck: duckdb.DuckDBPyConnection) -> None:
+    """The query that SQL can't express: nodes level by level, the largest inflows first, as long as the budget lasts."""
+    views = plans.ORACLE_SQL["agg_edges"].split("ae AS (")[0].rstrip().rstrip(",")
+    single = duck.execute(f"{views} SELECT src, dst, CAST(sum(usd) AS DOUBLE) FROM edges WHERE usd >= 100 GROUP BY ALL").fetchall()
+    stops = {r[0] for r in duck.execute(f"{views} SELECT address FROM registry").fetchall()}
+    depth, front, left = {3: 0}, {3}, 39
+    for level in range(1, 4):
+        inflow: dict[int, float] = {}
+        for s, t, usd in single:
+            if s in front and s not in stops and t not in depth:
+                inflow[t] = inflow.get(t, 0) + usd
+        new = sorted(inflow, key=lambda t: (-inflow[t], t))[:left]
+        left -= len(new)
+        depth |= dict.fromkeys(new, level)
+        front = set(new)
+    got = {r["node"]: r["depth"] for r in plans.QUERIES["graph_bfs_budget"](spark, DATA).collect()}
+    assert got == depth
+
+
 def test_entry_without_the_training_data_operators() -> None:
     code = """
 import sys

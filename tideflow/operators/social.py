@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: The address alphabet and the hosts whose links hold an address.
 ADDRESS = "[1-9A-HJ-NP-Za-km-z]{32,44}"
-LINKS = r"(?i:https?://(?:www\.)?(?:dexscreener\.com/solana/|birdeye\.so/token/|solscan\.io/token/|pump\.fun/(?:coin/)?))"
+LINKS = r"(?i:https?://(?:www\.)?(?:dexscreener\.com/solana/|birdeye\.so/token/|solscan\.io/token/|jup\.ag/(?:tokens|swap)/(?:[A-Za-z0-9]+-)?|pump\.fun/(?:coin/)?))"
 CASHTAG = r"\$([A-Za-z][A-Za-z0-9]{1,9})\b"
 CONFIDENCE = {"address": 90, "url": 85, "ticker": 40}
 VELOCITY_MINUTES = (60, 360, 1440)
@@ -75,4 +75,5 @@ def liquidity_risk(rows: DataFrame, position: float = 1000.0) -> DataFrame:
         F.when(liquid.isNull(), "unknown").when(liquid < 10_000, "critical").when(liquid < 50_000, "low").when(liquid < 250_000, "medium").otherwise("high").alias("liquidity_band"),
         F.when(r.isNull(), "unknown").when(r < 0.02, "critical").when(r < 0.05, "fragile").when(r < 0.15, "moderate").otherwise("healthy").alias("ratio_band"),
         F.when(r.isNull(), "low").otherwise("medium").alias("confidence"),
+        F.concat_ws("; ", F.when(liquid.isNull(), "no liquidity"), F.when(cap.isNull(), "no market cap"), F.when(r > 1, "liquidity above market cap")).alias("caveats"),
     )

@@ -407,3 +407,17 @@ def token_detail(spark: SparkSession, d: str) -> DataFrame:
     return points.unionByName(marks).unionByName(buyers)
 
 
+
+
+@query("SELECT 'node' AS part, node AS a, CAST(NULL AS BIGINT) AS b FROM (SELECT node, min(depth) FROM (WITH RECURSIVE r AS (SELECT CAST(3 AS BIGINT) AS node, 0 AS depth UNION SELECT e.dst, depth + 1 FROM r JOIN (SELECT DISTINCT src, dst FROM (SELECT src, dst, sum(usd) AS usd FROM edges GROUP BY ALL) WHERE usd >= 100) e ON e.src = r.node WHERE depth < 2) SELECT * FROM r) GROUP BY 1) UNION ALL SELECT 'edge', src, dst FROM (SELECT src, dst, sum(usd) AS usd FROM edges GROUP BY ALL) WHERE usd >= 100 AND src IN (SELECT node FROM (WITH RECURSIVE r AS (SELECT CAST(3 AS BIGINT) AS node, 0 AS depth UNION SELECT e.dst, depth + 1 FROM r JOIN (SELECT DISTINCT src, dst FROM (SELECT src, dst, sum(usd) AS usd FROM edges GROUP BY ALL) WHERE usd >= 100) e ON e.src = r.node WHERE depth < 1) SELECT * FROM r))")
+def graph_search(spark: SparkSession, d: str) -> DataFrame:
+    """A search of two hops with its nodes and the edges of expanded nodes, written as the search's rows and read again."""
+    from tideflow.sources.shared import shared_path
+
+    e = fl.saved(p.edges(spark, d).groupBy("src", "dst").agg(F.sum("usd").alias("usd")).where("usd >= 100"))
+    nodes = fl.frontier(e, 3, 2, 100.0)
+    inner = nodes.where("depth < 2").select(F.col("node").alias("src"))
+    rows = nodes.select(F.lit("node").alias("part"), F.col("node").alias("a"), F.lit(None).cast("long").alias("b")).unionByName(e.join(inner, "src").select(F.lit("edge").alias("part"), F.col("src").alias("a"), F.col("dst").alias("b")))
+    path = shared_path(spark, "search")
+    rows.write.partitionBy("part").parquet(path)
+    return spark.read.parquet(path).select("part", "a", "b")

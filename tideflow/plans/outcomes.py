@@ -109,10 +109,26 @@ def srt_win_fail(spark: SparkSession, d: str) -> DataFrame:
     return best.unionByName(e.orderBy("roi_pct", "signal_id").limit(6).withColumn("side", F.lit("worst")))
 
 
-@query(_S + "SELECT signal_id, label, CASE WHEN label IN ('major_win', 'good_win', 'small_win') THEN 'good' WHEN label IN ('failure', 'hard_failure') THEN 'bad' WHEN roi_pct IS NULL THEN 'unknown' ELSE 'pending' END AS status FROM ev2")
+_SHADOW_NOW = "2024-01-28 00:00:00"
+
+
+@query(_HZ + f""", st AS (SELECT s.signal_id, h.horizon, hz.signal_id IS NOT NULL AS told, epoch_us(TIMESTAMP '{_SHADOW_NOW}') - epoch_us(fired_at) AS age, lim, label FROM signals s CROSS JOIN (VALUES ('M15', 15), ('H1', 60), ('H6', 360), ('H24', 1440), ('D3', 4320), ('D7', 10080)) h(horizon, lim) LEFT JOIN hz USING (signal_id, horizon) LEFT JOIN lb USING (signal_id)),
+  sx AS (SELECT signal_id, horizon, CASE WHEN NOT told THEN 'unknown' WHEN age < CAST(lim AS BIGINT) * 60000000 THEN 'pending' WHEN label IN ('small_win', 'good_win', 'major_win') THEN 'good' WHEN label IN ('failure', 'hard_failure') THEN 'bad' WHEN age < 604800000000 THEN 'pending' ELSE 'unknown' END AS status FROM st)
+  SELECT signal_id, max(status) FILTER (horizon = 'M15') AS m15, max(status) FILTER (horizon = 'D7') AS d7, CASE WHEN bool_or(status = 'bad') THEN 'bad' WHEN bool_or(status = 'good') THEN 'good' WHEN bool_or(status = 'pending') THEN 'pending' ELSE 'unknown' END AS overall FROM sx GROUP BY 1""")
 def bt_shadow(spark: SparkSession, d: str) -> DataFrame:
+    """Each signal's status at its first and last horizon and overall: the worst that any horizon tells; after seven days nothing is pending."""
+    pts = _points(spark, d)
+    s = p.signals(spark, d).join(oc.judged(pts).select("signal_id", "label"), "signal_id", "left")
+    told = oc.horizon_slices(pts).select("signal_id", "horizon", F.lit(True).alias("told"))
+    age = F.unix_micros(F.lit(_SHADOW_NOW).cast("timestamp_ntz").cast("timestamp")) - F.unix_micros(F.col("fired_at").cast("timestamp"))
+    h = F.explode(F.array(*[F.struct(F.lit(k).alias("horizon"), F.lit(v).cast("long").alias("lim")) for k, v in oc.HORIZONS.items()]))
+    x = s.select("signal_id", "label", age.alias("age"), h.alias("h")).select("signal_id", "label", "age", "h.*").join(told, ["signal_id", "horizon"], "left")
     lab = F.col("label")
-    return _evaluated(spark, d).select("signal_id", "label", F.when(lab.isin("major_win", "good_win", "small_win"), "good").when(lab.isin("failure", "hard_failure"), "bad").when(F.col("roi_pct").isNull(), "unknown").otherwise("pending").alias("status"))
+    status = F.when(F.col("told").isNull(), "unknown").when(F.col("age") < F.col("lim") * 60_000_000, "pending").when(lab.isin("major_win", "good_win", "small_win"), "good").when(lab.isin("failure", "hard_failure"), "bad").when(F.col("age") < 604_800_000_000, "pending").otherwise("unknown")
+    x = x.withColumn("status", status)
+    any_ = lambda v: F.bool_or(F.col("status") == v)
+    at = lambda k: F.max(F.when(F.col("horizon") == k, F.col("status")))
+    return x.groupBy("signal_id").agg(at("M15").alias("m15"), at("D7").alias("d7"), F.when(any_("bad"), "bad").when(any_("good"), "good").when(any_("pending"), "pending").otherwise("unknown").alias("overall"))
 
 
 @query(_S + "SELECT synthetic, count(*) AS n FROM ev2 GROUP BY 1")
@@ -126,17 +142,37 @@ def flt_eligible_backtest(spark: SparkSession, d: str) -> DataFrame:
     return p.signals(spark, d).join(n, "signal_id", "left").where(F.coalesce("count", F.lit(0)) < 6).select("signal_id")
 
 
+#: Settings that the replay tries: smart buyers that a fire takes.
+TRIED = (2, 4, 6, 8, 10)
 _REPLAY = """,
-sp AS (SELECT * FROM generate_series(TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-25', INTERVAL 2 DAY) x(t)),
-rp AS (SELECT token_id, t, count(DISTINCT wallet_id) FILTER (action = 'BUY') AS buyers, CAST(coalesce(sum(usd) FILTER (action = 'BUY'), 0) AS DOUBLE) AS buy_usd FROM trades JOIN sp ON ts <= t AND ts >= t - INTERVAL 24 HOUR GROUP BY ALL)
+sp AS (SELECT * FROM generate_series(TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-25', INTERVAL 12 HOUR) x(t)),
+rp AS (SELECT token_id, t, count(DISTINCT wallet_id) FILTER (action = 'BUY' AND (is_watched OR meets_profitable)) AS smart, CAST(coalesce(sum(usd) FILTER (action = 'BUY'), 0) AS DOUBLE) AS buy_usd FROM trades JOIN wallets USING (wallet_id) JOIN sp ON ts <= t AND ts >= t - INTERVAL 24 HOUR GROUP BY ALL),
+mk AS (SELECT token_id, ts, arg_max(price, point_id) AS price FROM market GROUP BY ALL), en AS (SELECT rp.*, mk.price AS entry FROM rp ASOF LEFT JOIN mk ON mk.token_id = rp.token_id AND mk.ts <= rp.t),
+ho AS (SELECT en.token_id, t, smart, buy_usd, coalesce(max(price) FILTER (entry > 0) / any_value(entry) >= 2, false) AS hit FROM en LEFT JOIN market m ON m.token_id = en.token_id AND m.ts >= t AND epoch_us(m.ts) - epoch_us(t) <= 604800000000 GROUP BY en.token_id, t, smart, buy_usd),
+cd AS (SELECT v.n AS min_smart, token_id, t FROM ho, (VALUES (2), (4), (6), (8), (10)) v(n) WHERE smart >= v.n),
+fr AS (SELECT min_smart, token_id, t FROM (WITH RECURSIVE f AS (SELECT min_smart, token_id, min(t) AS t FROM cd GROUP BY ALL UNION ALL SELECT f.min_smart, f.token_id, (SELECT min(t) FROM cd c WHERE c.min_smart = f.min_smart AND c.token_id = f.token_id AND c.t >= f.t + INTERVAL 24 HOUR) FROM f WHERE f.t IS NOT NULL) SELECT * FROM f) WHERE t IS NOT NULL),
+fh AS (SELECT fr.*, hit FROM fr JOIN ho USING (token_id, t))
 """
 
 
 def _replay(spark: SparkSession, d: str) -> DataFrame:
-    """Aggregates of each token at each step: a trade goes to the steps within a day after it, so there's no join."""
-    t = p.trades(spark, d).where("ts >= TIMESTAMP_NTZ '2024-01-04 00:00:00' and ts <= TIMESTAMP_NTZ '2024-01-25 00:00:00'")
-    steps = F.expr("filter(sequence(TIMESTAMP_NTZ '2024-01-05 00:00:00', TIMESTAMP_NTZ '2024-01-25 00:00:00', INTERVAL 2 DAYS), s -> s >= ts and s <= ts + INTERVAL 24 HOURS)")
-    return t.withColumn("t", F.explode(steps)).groupBy("token_id", "t").agg(F.count_distinct(F.when(F.col("action") == "BUY", F.col("wallet_id"))).alias("buyers"), F.coalesce(F.sum(F.when(F.col("action") == "BUY", F.col("usd"))), F.lit(0)).cast("double").alias("buy_usd"))
+    """token_id, t, smart, buy_usd of each token at each step: a trade goes to the steps within a day after it, so there's no join."""
+    w = p.wallets(spark, d).select("wallet_id", (F.col("is_watched") | F.col("meets_profitable")).alias("of_smart"))
+    t = p.trades(spark, d).where("ts >= TIMESTAMP_NTZ '2024-01-04 00:00:00' and ts <= TIMESTAMP_NTZ '2024-01-25 00:00:00'").join(w, "wallet_id")
+    steps = F.expr("filter(sequence(TIMESTAMP_NTZ '2024-01-05 00:00:00', TIMESTAMP_NTZ '2024-01-25 00:00:00', INTERVAL 12 HOURS), s -> s >= ts and s <= ts + INTERVAL 24 HOURS)")
+    buy = F.col("action") == "BUY"
+    return t.withColumn("t", F.explode(steps)).groupBy("token_id", "t").agg(F.count_distinct(F.when(buy & F.col("of_smart"), F.col("wallet_id"))).alias("smart"), F.coalesce(F.sum(F.when(buy, F.col("usd"))), F.lit(0)).cast("double").alias("buy_usd"))
+
+
+def _replayed(spark: SparkSession, d: str) -> DataFrame:
+    """min_smart, token_id, t, hit: fires of each setting after the day's dedupe, and whether the price doubled in seven days."""
+    m = p.market(spark, d)
+    rows = tm.asof(_replay(spark, d), m.withColumn("entry_price", F.col("price")), ["token_id"], "t", "ts", "point_id", ["entry_price"])
+    as_signals = rows.select(F.struct("token_id", "t").alias("signal_id"), "token_id", F.col("t").alias("fired_at"), "entry_price")
+    doubled = oc.series(as_signals, m).groupBy("signal_id").agg((F.max("multiple") >= 2).alias("hit")).select("signal_id.token_id", "signal_id.t", "hit")
+    tried = rows.withColumn("min_smart", F.explode(F.array(*[F.lit(x) for x in TRIED]))).where("smart >= min_smart")
+    fires = tm.kept_fires(tried.select("min_smart", "token_id", F.col("t")), ["min_smart", "token_id"], "t")
+    return fires.join(doubled, ["token_id", "t"], "left").select("min_smart", "token_id", "t", F.coalesce("hit", F.lit(False)).alias("hit"))
 
 
 @query(_REPLAY + "SELECT * FROM rp")
@@ -144,44 +180,66 @@ def bt_replay(spark: SparkSession, d: str) -> DataFrame:
     return _replay(spark, d)
 
 
+@query(_REPLAY + "SELECT * FROM fh")
+def bt_replay_fires(spark: SparkSession, d: str) -> DataFrame:
+    return _replayed(spark, d)
+
+
 @query("SELECT t FROM generate_series(TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-25', INTERVAL 3 DAY) x(t) UNION SELECT TIMESTAMP '2024-01-25'")
 def fn_step_series(spark: SparkSession, d: str) -> DataFrame:
     s = spark.range(1).select(F.explode(F.expr("sequence(TIMESTAMP_NTZ '2024-01-05 00:00:00', TIMESTAMP_NTZ '2024-01-25 00:00:00', INTERVAL 3 DAYS)")).alias("t"))
     return s.union(spark.range(1).select(F.expr("TIMESTAMP_NTZ '2024-01-25 00:00:00'"))).distinct()
 
 
-_TUNE = _REPLAY + ", v AS (SELECT unnest([10, 15, 18, 20, 22]) AS min_buyers), sc AS (SELECT min_buyers, count(*) FILTER (buyers >= min_buyers) AS fires, count(*) FILTER (buyers >= min_buyers AND buy_usd >= 1000) AS hits FROM rp, v GROUP BY 1)"
+_TUNE = _REPLAY + ", sc AS (SELECT v.n AS min_smart, count(token_id) AS fires, count(*) FILTER (hit) AS hits FROM (VALUES (2), (4), (6), (8), (10)) v(n) LEFT JOIN fh ON min_smart = v.n GROUP BY 1), sr AS (SELECT *, round(CASE WHEN fires >= 5 THEN hits / fires ELSE 0.0 END, 6) AS score FROM sc)"
 
 
-def _tuned(rows: DataFrame) -> DataFrame:
-    v = rows.withColumn("min_buyers", F.explode(F.array(*[F.lit(x) for x in (10, 15, 18, 20, 22)])))
-    fire = F.col("buyers") >= F.col("min_buyers")
-    g = v.groupBy("min_buyers").agg(F.count_if(fire).alias("fires"), F.count_if(fire & (F.col("buy_usd") >= 1000)).alias("hits"))
+def _tuned(fires: DataFrame) -> DataFrame:
+    """min_smart, fires, hits, score of each setting, also of those without fires; fewer than five fires score 0."""
+    every = fires.sparkSession.range(len(TRIED)).select(F.array(*[F.lit(x) for x in TRIED])[F.col("id").cast("int")].alias("min_smart"))
+    g = fires.groupBy("min_smart").agg(F.count("*").alias("fires"), F.count_if("hit").alias("hits"))
+    g = every.join(g, "min_smart", "left").na.fill(0, ["fires", "hits"])
     return g.withColumn("score", F.round(F.when(F.col("fires") >= 5, F.col("hits") / F.col("fires")).otherwise(0.0), 6))
 
 
-@query(_TUNE + " SELECT min_buyers, fires, hits, round(CASE WHEN fires >= 5 THEN hits / fires ELSE 0.0 END, 6) AS score FROM sc")
+@query(_TUNE + " SELECT a.*, a.score - b.score AS against_base, a.fires < 5 AS few FROM sr a, (SELECT score FROM sr WHERE min_smart = 10) b")
 def bt_tune(spark: SparkSession, d: str) -> DataFrame:
-    """One setting at a time over the same replayed aggregates; sets with few fires score 0."""
-    return _tuned(_replay(spark, d))
+    """One setting at a time over the same replay, and its score against the base setting's; settings with few fires score 0."""
+    g = _tuned(_replayed(spark, d))
+    base = g.where("min_smart = 10").select(F.col("score").alias("base"))  # one row
+    return g.join(F.broadcast(base)).select("min_smart", "fires", "hits", "score", (F.col("score") - F.col("base")).alias("against_base"), (F.col("fires") < 5).alias("few"))
+
 
+_WALK = _REPLAY + """, h2 AS (SELECT late, v.n AS min_smart, count(fh.token_id) AS fires, count(*) FILTER (hit) AS hits FROM (VALUES (true), (false)) l(late) CROSS JOIN (VALUES (2), (4), (6), (8), (10)) v(n) LEFT JOIN fh ON min_smart = v.n AND (fh.t > TIMESTAMP '2024-01-15') = late GROUP BY 1, 2),
+  s2 AS (SELECT *, round(CASE WHEN fires >= 5 THEN hits / fires ELSE 0.0 END, 6) AS score, CASE WHEN fires > 0 THEN hits / fires ELSE 0.0 END AS rate FROM h2), bs AS (SELECT * FROM s2 WHERE NOT late ORDER BY score DESC, min_smart LIMIT 1),
+  wf AS (SELECT a.min_smart, a.fires AS tune_fires, round(a.rate, 6) AS tune_rate, b.fires AS test_fires, round(b.rate, 6) AS test_rate, round(CASE WHEN b.fires = 0 THEN 100.0 WHEN a.rate > 0 THEN (a.rate - b.rate) / a.rate * 100 ELSE 0.0 END, 4) AS degradation_pct FROM bs a JOIN s2 b ON b.late AND b.min_smart = a.min_smart)"""
 
-@query(_REPLAY + """, v AS (SELECT unnest([10, 15, 18, 20, 22]) AS min_buyers), h AS (SELECT t > TIMESTAMP '2024-01-15' AS test, min_buyers, count(*) FILTER (buyers >= min_buyers) AS fires, count(*) FILTER (buyers >= min_buyers AND buy_usd >= 1000) AS hits FROM rp, v GROUP BY ALL),
-  s AS (SELECT *, round(CASE WHEN fires >= 5 THEN hits / fires ELSE 0.0 END, 6) AS score FROM h) SELECT a.min_buyers, a.score AS train_score, b.score AS test_score FROM (SELECT * FROM s WHERE NOT test ORDER BY score DESC, min_buyers LIMIT 1) a JOIN s b ON b.test AND b.min_buyers = a.min_buyers""")
+
+@query(_WALK + " SELECT *, CASE WHEN degradation_pct > 30 THEN 'degrades' ELSE 'holds up' END AS verdict FROM wf")
 def bt_walk_forward(spark: SparkSession, d: str) -> DataFrame:
-    r = _replay(spark, d)
+    """The best setting of the first half, tried on the second: hit rates, how much is lost, and a verdict."""
+    r = _replayed(spark, d)
     late = F.expr("t > TIMESTAMP_NTZ '2024-01-15 00:00:00'")
-    best = _tuned(r.where(~late)).orderBy(F.desc("score"), "min_buyers").limit(1).select("min_buyers", F.col("score").alias("train_score"))
-    return best.join(_tuned(r.where(late)).select("min_buyers", F.col("score").alias("test_score")), "min_buyers")
+    rate = F.when(F.col("fires") > 0, F.col("hits") / F.col("fires")).otherwise(0.0)
+    best = _tuned(r.where(~late)).withColumn("rate", rate).orderBy(F.desc("score"), "min_smart").limit(1).select("min_smart", F.col("fires").alias("tune_fires"), F.col("rate").alias("a"))
+    test = _tuned(r.where(late)).select("min_smart", F.col("fires").alias("test_fires"), rate.alias("b"))
+    lost = F.round(F.when(F.col("test_fires") == 0, 100.0).when(F.col("a") > 0, (F.col("a") - F.col("b")) / F.col("a") * 100).otherwise(0.0), 4)
+    out = best.join(test, "min_smart").withColumn("degradation_pct", lost)
+    return out.select("min_smart", "tune_fires", F.round("a", 6).alias("tune_rate"), "test_fires", F.round("b", 6).alias("test_rate"), "degradation_pct", F.when(F.col("degradation_pct") > 30, "degrades").otherwise("holds up").alias("verdict"))
 
 
-@query(_REPLAY + "SELECT token_id, t FROM rp WHERE buyers >= 18")
-def bt_replay_fires(spark: SparkSession, d: str) -> DataFrame:
-    return _replay(spark, d).where("buyers >= 18").select("token_id", "t")
+@query(_TUNE + " SELECT 'fires' AS part, CAST(min_smart AS VARCHAR) AS name, CAST(fires AS DOUBLE) AS value FROM sr UNION ALL SELECT 'score', CAST(min_smart AS VARCHAR), score FROM sr UNION ALL SELECT 'most active token', CAST(token_id AS VARCHAR), CAST(n AS DOUBLE) FROM (SELECT token_id, count(*) AS n FROM trades GROUP BY 1 ORDER BY n DESC, token_id LIMIT 1)")
+def bt_run(spark: SparkSession, d: str) -> DataFrame:
+    """A whole run as one report: fires and scores of all settings, and the most active token."""
+    g = _tuned(_replayed(spark, d))
+    name = F.col("min_smart").cast("string").alias("name")
+    top = p.trades(spark, d).groupBy("token_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token_id").limit(1)
+    parts = [g.select(F.lit("fires").alias("part"), name, F.col("fires").cast("double").alias("value")), g.select(F.lit("score").alias("part"), name, F.col("score").alias("value")), top.select(F.lit("most active token").alias("part"), F.col("token_id").cast("string").alias("name"), F.col("n").cast("double").alias("value"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query(_TUNE + " (SELECT min_buyers, 'best' AS side FROM sc ORDER BY hits DESC, min_buyers LIMIT 3) UNION ALL (SELECT min_buyers, 'worst' AS side FROM sc ORDER BY hits, min_buyers LIMIT 3)")
+@query(_TUNE + " (SELECT min_smart, 'best' AS side FROM sr ORDER BY score DESC, min_smart LIMIT 3) UNION ALL (SELECT min_smart, 'worst' AS side FROM sr ORDER BY score, min_smart LIMIT 3)")
 def srt_best_worst_sets(spark: SparkSession, d: str) -> DataFrame:
-    s = _tuned(_replay(spark, d)).select("min_buyers", "hits")
-    best = s.orderBy(F.desc("hits"), "min_buyers").limit(3).select("min_buyers", F.lit("best").alias("side"))
-    return best.unionByName(s.orderBy("hits", "min_buyers").limit(3).select("min_buyers", F.lit("worst").alias("side")))
+    s = _tuned(_replayed(spark, d)).select("min_smart", "score")
+    best = s.orderBy(F.desc("score"), "min_smart").limit(3).select("min_smart", F.lit("best").alias("side"))
+    return best.unionByName(s.orderBy("score", "min_smart").limit(3).select("min_smart", F.lit("worst").alias("side")))

@@ -31,20 +31,36 @@ def fn_normalize_snippet(spark: SparkSession, d: str) -> DataFrame:
     return p.posts(spark, d).select("post_id", so.snippet(F.col("content")).alias("snippet"))
 
 
-@query(_M + f", v AS (SELECT token, {_N} FROM mn GROUP BY 1) SELECT *, round(CASE WHEN n_1440 > 0 THEN (n_60 / 60) / (n_1440 / 1440) ELSE 0.0 END, 6) AS accel FROM v")
+# The look-back and the weights are fixed values.
+_SPAM = """,
+spm AS (SELECT p.post_id,
+  CASE WHEN n >= 3 THEN 80 WHEN author IS NOT NULL AND b >= 5 THEN 60 WHEN length(regexp_replace(s, '[^a-z0-9]', '', 'g')) < 12 THEN 50 ELSE 0 END AS spam_score,
+  CASE WHEN n >= 3 THEN 'copypasta' WHEN author IS NOT NULL AND b >= 5 THEN 'repeat_author' WHEN length(regexp_replace(s, '[^a-z0-9]', '', 'g')) < 12 THEN 'low_content' END AS spam_reason
+FROM (SELECT *, count(DISTINCT author) OVER (PARTITION BY s ORDER BY posted_at RANGE BETWEEN INTERVAL 360 MINUTE PRECEDING AND CURRENT ROW) AS n, count(*) OVER (PARTITION BY author ORDER BY posted_at RANGE BETWEEN INTERVAL 360 MINUTE PRECEDING AND CURRENT ROW) AS b
+  FROM (SELECT *, substr(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(content), 'https?://\\S+', ' ', 'g'), '@\\w+', ' ', 'g'), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')), 1, 280) AS s FROM posts)) p)
+"""
+
+
+@query(_M + _SPAM + f", ok AS (SELECT mn.* FROM mn JOIN spm USING (post_id) WHERE spam_score < 70), v AS (SELECT token, {_N} FROM ok GROUP BY 1) SELECT *, round(CASE WHEN n_1440 > 0 THEN (n_60 / 60) / (n_1440 / 1440) ELSE 0.0 END, 6) AS accel FROM v")
 def soc_velocity(spark: SparkSession, d: str) -> DataFrame:
-    return so.velocity(so.mentions(p.posts(spark, d)), _NOW)
+    """Velocity of the mentions in posts that aren't hidden as spam."""
+    posts = p.posts(spark, d)
+    fine = so.spam(posts).where("spam_score < 70").select("post_id")
+    return so.velocity(so.mentions(posts).join(fine, "post_id"), _NOW)
 
 
-@query(_M + "SELECT kind, count(*) AS n, count(DISTINCT token) AS tokens FROM mn GROUP BY 1")
+@query(_M + ", src AS (SELECT unnest([0, 1, 2, 3, 4]) AS source) SELECT source, count(post_id) AS n, count(DISTINCT token) AS tokens FROM src LEFT JOIN mn ON author % 4 = source GROUP BY 1")
 def agg_social_health(spark: SparkSession, d: str) -> DataFrame:
-    return so.mentions(p.posts(spark, d)).groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("token").alias("tokens"))
+    """Mentions of each source, also of those without any."""
+    m = so.mentions(p.posts(spark, d)).select((F.col("author") % 4).alias("source"), "post_id", "token")
+    src = spark.range(5).select(F.col("id").alias("source"))
+    return src.join(m, "source", "left").groupBy("source").agg(F.count("post_id").alias("n"), F.count_distinct("token").alias("tokens"))
 
 
 _RISK = """, lt AS (SELECT token_id, CASE WHEN liquidity > 0 THEN liquidity END AS l, CASE WHEN mcap > 0 THEN mcap END AS c FROM market QUALIFY row_number() OVER (PARTITION BY token_id ORDER BY ts DESC, point_id DESC) = 1), r AS (SELECT *, l / c AS r FROM lt)
 SELECT token_id, round(r, 8) AS ratio, round(r / 2, 8) AS float_fraction, round(2 / r - 1, 6) AS overhang, round(200000 / l, 6) AS slippage_pct, round(0.207::DOUBLE * l, 6) AS dump_to_halve, round(0.01::DOUBLE * l, 6) AS size_for_2pct,
   CASE WHEN l IS NULL THEN 'unknown' WHEN l < 10000 THEN 'critical' WHEN l < 50000 THEN 'low' WHEN l < 250000 THEN 'medium' ELSE 'high' END AS liquidity_band,
-  CASE WHEN r IS NULL THEN 'unknown' WHEN r < 0.02 THEN 'critical' WHEN r < 0.05 THEN 'fragile' WHEN r < 0.15 THEN 'moderate' ELSE 'healthy' END AS ratio_band, CASE WHEN r IS NULL THEN 'low' ELSE 'medium' END AS confidence FROM r"""
+  CASE WHEN r IS NULL THEN 'unknown' WHEN r < 0.02 THEN 'critical' WHEN r < 0.05 THEN 'fragile' WHEN r < 0.15 THEN 'moderate' ELSE 'healthy' END AS ratio_band, CASE WHEN r IS NULL THEN 'low' ELSE 'medium' END AS confidence, array_to_string(list_filter([CASE WHEN l IS NULL THEN 'no liquidity' END, CASE WHEN c IS NULL THEN 'no market cap' END, CASE WHEN r > 1 THEN 'liquidity above market cap' END], lambda x: x IS NOT NULL), '; ') AS caveats FROM r"""
 
 
 @query(_RISK)
@@ -52,10 +68,6 @@ def cf_liquidity_risk(spark: SparkSession, d: str) -> DataFrame:
     return so.liquidity_risk(tm.nth_by(p.market(spark, d), ["token_id"], [F.desc("ts"), F.desc("point_id")]))
 
 
-@query("""SELECT p.post_id,
-  CASE WHEN n >= 3 THEN 80 WHEN author IS NOT NULL AND b >= 5 THEN 60 WHEN length(regexp_replace(s, '[^a-z0-9]', '', 'g')) < 12 THEN 50 ELSE 0 END AS spam_score,
-  CASE WHEN n >= 3 THEN 'copypasta' WHEN author IS NOT NULL AND b >= 5 THEN 'repeat_author' WHEN length(regexp_replace(s, '[^a-z0-9]', '', 'g')) < 12 THEN 'low_content' END AS spam_reason
-FROM (SELECT *, count(DISTINCT author) OVER (PARTITION BY s ORDER BY posted_at RANGE BETWEEN INTERVAL 360 MINUTE PRECEDING AND CURRENT ROW) AS n, count(*) OVER (PARTITION BY author ORDER BY posted_at RANGE BETWEEN INTERVAL 360 MINUTE PRECEDING AND CURRENT ROW) AS b
-  FROM (SELECT *, substr(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(content), 'https?://\\S+', ' ', 'g'), '@\\w+', ' ', 'g'), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')), 1, 280) AS s FROM posts)) p""".replace("SELECT p.post_id", " SELECT p.post_id", 1))
+@query(_SPAM + "SELECT post_id, spam_score, spam_reason FROM spm")
 def soc_spam(spark: SparkSession, d: str) -> DataFrame:
     return so.spam(p.posts(spark, d))
