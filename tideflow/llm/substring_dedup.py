@@ -2,7 +2,7 @@
 
 Seed: each window of `window` words holds `window - SEED + 1` seeds of SEED words, and its anchor is the seed with the
 least hash (winnowing). Equal windows have equal anchors, so only windows whose anchor stands in at least two places can
-repeat. Extend: around such anchors, all windows to both sides that hold the anchor are hashed (128 bits), and windows
+repeat. Extend: around such anchors, all windows to both sides that hold the anchor are hashed (95 bits), and windows
 with equal hashes meet by a shuffle; the union of a document's repeated windows is its set of maximal repeats.
 
 Copies within one batch are settled there, and one of them stands for all in the shuffle, so that a passage found in a
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideflow.llm import textarrays as ta
-from tideflow.llm.common import checkpointed, small_or_shuffled
+from tideflow.llm.common import BROADCAST_ROWS, checkpointed
 
 #: Words of a seed. Longer seeds are rarer by chance; shorter ones give fewer anchors.
 SEED = 11
@@ -49,8 +49,20 @@ def _anchors(chunk: ta.Chunk, window: int) -> Iterator[tuple[int, np.ndarray, np
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, row (a hash of the text), text."""
-    return docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
+    """doc_id, row (a hash of the text, of 32 bits where there is a doc_id), text."""
+    whole = F.xxhash64("text")
+    return docs.select("doc_id", F.when(F.col("doc_id").isNull(), whole).otherwise(whole.bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))).alias("row"), "text")
+
+
+def _of(docs: DataFrame, table: DataFrame) -> DataFrame:
+    """docs with a table's columns, inner, on doc_id = of_id (or both null) and row = of_row. table is checkpointed.
+
+    Where few documents are in the table, only those are shuffled.
+    """
+    same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("row") == F.col("of_row"))
+    if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        docs = docs.join(F.broadcast(table.select("of_id", "of_row")), same, "left_semi")
+    return docs.join(table, same)
 
 
 def _selected(docs: DataFrame, window: int) -> DataFrame:
@@ -114,7 +126,7 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate([k1[one], ta.mix(k1[starts])]).view(np.int64)),
-                        pa.array((np.concatenate([k2[one], k2[starts]]) >> np.uint64(1)).astype(np.int64)),
+                        pa.array((np.concatenate([k2[one], k2[starts]]) >> np.uint64(33)).astype(np.int32)),
                         b.column(0)[c.lo : c.hi].take(pa.array(doc[rows])),
                         b.column(1)[c.lo : c.hi].take(pa.array(doc[rows])),
                         pa.array(first[rows].astype(np.int32)),
@@ -123,7 +135,7 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
                     ["k1", "k2", "doc_id", "row", "first", "n"],
                 )
 
-    return docs.select("doc_id", "row", "text", "anchors").mapInArrow(run, "k1 long, k2 long, doc_id long, row long, first int, n int")
+    return docs.select("doc_id", "row", "text", "anchors").mapInArrow(run, "k1 long, k2 int, doc_id long, row long, first int, n int")
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,9 +168,8 @@ def repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     # What a batch holds twice needs no join, so a frequent anchor sends a row a batch at most.
     single = anchors.where("n = 1").join(shared, "anchor")
     of_doc = anchors.where("n > 1").select("anchor", "doc_id", "row").unionByName(single.select("anchor", "doc_id", "row"))
-    of_doc = of_doc.groupBy(F.col("doc_id").alias("of_id"), F.col("row").alias("of_row")).agg(F.collect_set("anchor").alias("anchors"))
-    same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("row") == F.col("of_row"))
-    rows = _windows(_keyed(docs).join(of_doc, same), window)
+    of_doc = checkpointed(of_doc.groupBy(F.col("doc_id").alias("of_id"), F.col("row").alias("of_row")).agg(F.collect_set("anchor").alias("anchors")))
+    rows = _windows(_of(_keyed(docs), of_doc), window)
     hits = rows.repartition("k1").sortWithinPartitions("k1", "k2").mapInArrow(_repeated, "doc_id long, row long, run long")
     return hits.groupBy("doc_id", "row").agg(F.collect_set("run").alias("runs"))
 
@@ -169,7 +180,7 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     docs has doc_id and text; other columns are ignored.
     """
     runs = checkpointed(repeats(docs, window))
-    runs = small_or_shuffled(runs.select(F.col("doc_id").alias("of_id"), F.col("row").alias("of_row"), "runs"), 20_000)
+    runs = runs.select(F.col("doc_id").alias("of_id"), F.col("row").alias("of_row"), "runs")
     same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("row") == F.col("of_row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,5 +203,11 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
                 kept.append(joined.decode() if gone else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], ["doc_id", "row", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    rows = _keyed(docs).join(runs, same, "left").select("doc_id", "row", "text", "runs")
+    if runs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        # Only texts with runs are shuffled to them.
+        ids = F.broadcast(runs.select("of_id", "of_row"))
+        plain = _keyed(docs).join(ids, same, "left_anti").withColumn("runs", F.lit(None).cast("array<long>"))
+        rows = _of(_keyed(docs), runs).select("doc_id", "row", "text", "runs").unionByName(plain)
+    else:
+        rows = _keyed(docs).join(runs, same, "left").select("doc_id", "row", "text", "runs")
     return rows.mapInArrow(run, "doc_id long, row long, n_words long, n_removed long, kept_sha256 string, kept_text string")
