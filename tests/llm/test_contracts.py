@@ -123,6 +123,27 @@ def test_personal_data(docs: DataFrame, texts: dict) -> None:
     assert not differing(got, want)
 
 
+def test_personal_data_beyond_the_base_patterns(spark: SparkSession) -> None:
+    """Spelled-out addresses and local numbers are learned from the labelers' votes; numbers of orders aren't."""
+    rng = random.Random(12)
+    n = lambda k: "".join(rng.choices("0123456789", k=k))
+    name = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    rows, want = [], {}
+    for i in range(240):
+        kind = i % 4
+        match = [f"{name()} [at] {name()} [dot] com", f"({rng.randrange(201, 989)}) {rng.randrange(201, 989)}-{n(4)}", f"{rng.randrange(100, 665)}-{rng.randrange(10, 99)}-{n(4)}", f"{n(3)}-{n(3)}-{n(4)}"][kind]
+        cue = ["write to ", "please call ", "my ssn is ", "order "][kind]
+        text = f"some words {cue}{match} and more"
+        start = text.index(match)
+        rows.append((i, text))
+        want[i] = None if kind == 3 else f"{('email', 'phone', 'id')[kind]}:{start}:{start + len(match)}"
+    got = by_id(pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")))
+    found = Counter(i % 4 for i, w in want.items() if w is not None and w in got[i]["spans"].split(","))
+    assert all(found[k] >= 57 for k in (0, 1, 2)), found
+    assert sum(bool(got[i]["spans"]) for i, w in want.items() if w is None) <= 6
+    assert all(r["base_sha256"] == sha("") for r in got.values())
+
+
 def test_secrets(docs: DataFrame, texts: dict) -> None:
     assign = r"(?P<k>(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))[\"']?\x20*[:=]\x20*[\"']?(?P<v>[A-Za-z0-9+/_.=-]+)"
     patterns = {"assign": assign, "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+"}

@@ -23,6 +23,8 @@ from tideflow.llm.common import checkpointed
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "id")
 LABELERS = 5
+#: How reliable the labelers are taken to be before any votes are seen; as much as ten votes.
+BELIEF = (0.9, 0.8, 0.9, 0.6, 0.6)
 ROUNDS = 25
 #: Gazetteers.
 TOP_LEVEL = ("com", "org", "net", "edu", "gov", "info", "io", "eu", "de", "fr", "es", "uk", "us", "it", "nl", "at", "ch", "co")
@@ -57,7 +59,7 @@ def _base(text: Column) -> Column:
 def _wide(text: Column) -> Column:
     """Further candidates."""
     email = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:\[at\]|\(at\)|@)\x20?[A-Za-z0-9-]{1,63}+(?:\x20?(?:\[dot\]|\(dot\)|\.)\x20?[A-Za-z0-9-]{2,63}+){1,4}"
-    phone = r"(?<![0-9+)\x20.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])"
+    phone = r"(?<![0-9+)])(?<![0-9)][\x20.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])"
     id_ = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
     return F.concat(
         S.matches(text, email, "email", text.rlike(r"\[at\]|\(at\)|\x20@|@\x20")),
@@ -93,10 +95,24 @@ def base_spans(text: Column) -> Column:
     return S.keep(_base(text), _checked)
 
 
+def _before(s: Column, text: Column) -> Column:
+    """The 40 characters before a span, lower-cased."""
+    return F.lower(F.substring(text, F.greatest(s["start"] - 39, F.lit(1)), F.least(s["start"], F.lit(40))))
+
+
+def _context(s: Column, text: Column) -> Column:
+    """1 after a cue of the span's kind, -1 after one against it, else 0."""
+    before = _before(s, text)
+    cue = F.lit(False)
+    for k, words in CUES.items():
+        cue = cue | ((s["kind"] == k) & before.rlike(words))
+    return F.when(before.rlike(AGAINST), -1).when(cue, 1).otherwise(0)
+
+
 def _votes(s: Column, text: Column) -> Column:
     """The labelers' votes on a candidate: 1 for, -1 against, 0 not at all."""
     kind, match = s["kind"], s["match"]
-    before = F.lower(F.substring(text, F.greatest(s["start"] - 39, F.lit(1)), F.least(s["start"], F.lit(40))))
+    before = _before(s, text)
     after = F.substring(text, s["end"] + 1, F.lit(1))
     number = S.digits(match)
 
@@ -111,10 +127,7 @@ def _votes(s: Column, text: Column) -> Column:
         .when(kind == "phone", vote(match.rlike(COUNTRY), match.rlike(r"^\+")))
         .otherwise(vote(match.rlike("^(?!000|666|9)"), match.rlike("^(?:000|666|9)")))
     )
-    cue = F.lit(False)
-    for k, words in CUES.items():
-        cue = cue | ((kind == k) & before.rlike(words))
-    context = F.when(before.rlike(AGAINST), -1).when(cue, 1).otherwise(0)
+    context = _context(s, text)
     edge = r"^$|^[^0-9A-Za-z_]$"
     edges = vote(F.coalesce(F.substring(before, -1, 1), F.lit("")).rlike(edge) & after.rlike(edge))
     variety = vote(F.size(F.array_distinct(F.split(match, ""))) >= F.when(kind == "ip", 3).otherwise(5))
@@ -133,6 +146,7 @@ def _features(s: Column, text: Column) -> Column:
         F.concat(F.lit("digits="), F.floor(F.length(number) * 5 / F.length(match)).cast("string")),
         F.concat(F.lit("before="), kind),
         F.concat(F.lit("after="), next_),
+        F.concat(F.lit("context="), _context(s, text).cast("string")),
         F.concat(F.lit("shape="), F.when(match.rlike(r"^\+"), "plus").when(match.rlike(r"\x20"), "spaced").when(match.rlike("-"), "dashed").otherwise("plain")),
     ]
     return F.array(*[F.concat_ws(":", s["kind"], v) for v in values])
@@ -141,7 +155,7 @@ def _features(s: Column, text: Column) -> Column:
 def reliabilities(patterns: DataFrame) -> DataFrame:
     """kind, model (prior, hit, miss): EM on (kind, votes, n). hit: P(vote for | personal), miss: P(vote for | not)."""
     packed = patterns.groupBy("kind", "votes").agg(F.sum("n").cast("double").alias("n")).groupBy("kind").agg(F.collect_list(F.struct("votes", "n")).alias("p"))
-    start = F.struct(F.lit(0.5).alias("prior"), F.array(*[F.lit(0.8)] * LABELERS).alias("hit"), F.array(*[F.lit(0.2)] * LABELERS).alias("miss"))
+    start = F.struct(F.lit(0.5).alias("prior"), F.array(*[F.lit(x) for x in BELIEF]).alias("hit"), F.array(*[F.lit(1 - x) for x in BELIEF]).alias("miss"))
 
     def step(m: Column, _: Column) -> Column:
         weighed = F.transform(F.col("p"), lambda x: F.struct(x["votes"].alias("votes"), x["n"].alias("n"), (x["n"] * _posterior(m, x["votes"])).alias("w")))
@@ -156,7 +170,7 @@ def reliabilities(patterns: DataFrame) -> DataFrame:
             return (yes + good) / (any_ + good + bad)
 
         prior = (total(lambda x: x["w"]) + 2) / (total(lambda x: x["n"]) + 4)
-        return F.struct(prior.alias("prior"), F.array(*[rate(j, "hit", 8.0, 2.0) for j in range(LABELERS)]).alias("hit"), F.array(*[rate(j, "miss", 2.0, 8.0) for j in range(LABELERS)]).alias("miss"))
+        return F.struct(prior.alias("prior"), F.array(*[rate(j, "hit", 10 * BELIEF[j], 10 * (1 - BELIEF[j])) for j in range(LABELERS)]).alias("hit"), F.array(*[rate(j, "miss", 10 * (1 - BELIEF[j]), 10 * BELIEF[j]) for j in range(LABELERS)]).alias("miss"))
 
     return packed.select("kind", F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step).alias("model"))
 
