@@ -203,6 +203,23 @@ def paths(edges: DataFrame, source: int, hops: int = 4, top: int = 20) -> DataFr
     return out.orderBy(F.desc("least"), "path", "retention").limit(top).drop("t")
 
 
+# Confidence of an edge by relationship, of any other, its loss by hop, and the least.
+HOP_BASE, HOP_OTHER, HOP_LOSS, HOP_LEAST = {"NATIVE": 80, "STABLE": 80, "TOKEN": 80, "BRIDGE_OUT": 60, "BRIDGE_IN": 60}, 50, 10, 10
+
+
+def hop_confidence(nodes: DataFrame, edges: DataFrame, source: int, depth: int) -> DataFrame:
+    """node, depth, confidence: the best of a node's edges from expanded nodes, less for each hop; the source has 100.
+
+    nodes is a frontier's result (expanded ones marked by `expanded`); edges has src, dst and relationship.
+    """
+    base = F.lit(HOP_OTHER)
+    for k, v in HOP_BASE.items():
+        base = F.when(F.col("relationship") == k, v).otherwise(base)
+    from_ = nodes.where(F.col("expanded") & (F.col("depth") < depth)).select(F.col("node").alias("src"), F.col("depth").alias("d"))
+    best = edges.join(from_, "src").groupBy(F.col("dst").alias("node")).agg(F.max(F.greatest(F.lit(HOP_LEAST), base - HOP_LOSS * F.col("d"))).alias("best"))
+    return nodes.join(best, "node", "left").select("node", "depth", F.when(F.col("node") == source, 100).otherwise(F.coalesce("best", F.lit(HOP_LEAST))).alias("confidence"))
+
+
 def frontier(edges: DataFrame, source: int, depth: int = 3, min_usd: float = 100.0, stop: DataFrame | None = None, max_nodes: int | None = None) -> DataFrame:
     """node, depth: nodes reached level by level over edges of enough value; stop nodes are reached but not expanded.
 

@@ -243,9 +243,14 @@ def graph_paths(spark: SparkSession, d: str) -> DataFrame:
     return fl.paths(fl.aggregate_edges(p.edges(spark, d)).where("usd >= 100"), 3)
 
 
-@query("SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM (WITH RECURSIVE r AS (SELECT CAST(3 AS BIGINT) AS node, 0 AS depth UNION SELECT e.dst, depth + 1 FROM r JOIN (SELECT DISTINCT src, dst FROM edges WHERE usd >= 300) e ON e.src = r.node WHERE depth < 3 AND (r.node NOT IN (SELECT address FROM registry) OR depth = 0)) SELECT * FROM r) GROUP BY 1")
+@query(", nd AS (SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM (WITH RECURSIVE r AS (SELECT CAST(3 AS BIGINT) AS node, 0 AS depth UNION SELECT e.dst, depth + 1 FROM r JOIN (SELECT DISTINCT src, dst FROM edges WHERE usd >= 100) e ON e.src = r.node WHERE depth < 3 AND (r.node NOT IN (SELECT address FROM registry) OR depth = 0)) SELECT * FROM r) GROUP BY 1), cn AS (SELECT e.dst AS node, max(greatest(10, CASE WHEN action LIKE 'bridge%' THEN 60 ELSE 80 END - 10 * depth)) AS best FROM edges e JOIN nd ON nd.node = e.src WHERE usd >= 100 AND depth < 3 AND (e.src NOT IN (SELECT address FROM registry) OR e.src = 3) GROUP BY 1) SELECT node, depth, CAST(CASE WHEN node = 3 THEN 100 ELSE coalesce(best, 10) END AS INTEGER) AS confidence FROM nd LEFT JOIN cn USING (node)")
 def graph_bfs(spark: SparkSession, d: str) -> DataFrame:
-    return fl.frontier(p.edges(spark, d), 3, 3, 300.0, p.registry(spark, d).where("address <> 3"))
+    """Nodes within three hops, services reached but not expanded, and the confidence that their edges give them."""
+    stop = p.registry(spark, d).where("address <> 3").select("address").distinct()
+    e = p.edges(spark, d).where("usd >= 100")
+    nodes = fl.frontier(e, 3, 3, 100.0, stop).join(stop.select(F.col("address").alias("node"), F.lit(False).alias("open")), "node", "left")
+    nodes = fl.saved(nodes.select("node", "depth", F.coalesce("open", F.lit(True)).alias("expanded")))
+    return fl.hop_confidence(nodes, e.withColumn("relationship", fl.relationship(F.col("action"), F.col("asset"))), 3, 3)
 
 
 @query()
