@@ -36,6 +36,8 @@ from tideflow.llm.common import checkpointed, small_or_shuffled
 ORDERS, END = 5, 0xFF
 #: Words, and events, whose values are broadcast: the most frequent ones, this many at most.
 FREQUENT = 1 << 19
+#: Events up to which a predictor's table is broadcast (some 20 MB).
+BROADCAST_EVENTS = 1 << 16
 #: Distinct events that a task adds up before it passes them on.
 HELD = 1 << 20
 #: Events of a shard, about, and of a step of the online pass; passes over a shard.
@@ -190,7 +192,7 @@ def _predicted(counts: DataFrame) -> DataFrame:
     for order in range(1, ORDERS + 1):
         own = _predictor(counts, order)
         # Contexts of one byte are 65,536 at most; longer ones are joined as they are.
-        own = F.broadcast(own) if order == 1 else small_or_shuffled(checkpointed(own))
+        own = F.broadcast(own) if order == 1 else small_or_shuffled(checkpointed(own), BROADCAST_EVENTS)
         out = out.withColumn("k", _masked(order)).join(own.withColumnRenamed("p", f"p{order}"), "k").drop("k")
     return out
 
