@@ -28,6 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,13 +37,15 @@ from tideflow.llm.common import checkpointed, small_or_shuffled
 from tideflow.llm.components import components
 
 #: Log2 of the number of hashed counts, and of the parts in which they are added up.
-LOAD_BITS, PART_BITS = 22, 16
+LOAD_BITS, PART_BITS = 20, 16
 #: Factor between the least and the largest size of a band.
 BAND = 4
 #: 64-bit words of a bitmap.
 BITMAP = 16
 #: Documents of a tile that are compared with one another in one group.
 BLOCK = 1024
+#: Sets up to which a list of them is broadcast.
+BROADCAST_NODES = 100_000
 #: Rows of one set from which it is joined apart from others.
 HOT_ROWS = 100_000
 
@@ -138,12 +141,11 @@ def _loads(docs: DataFrame, n: int) -> np.ndarray:
 _ROW = "token long, salt int, size int, node long, head long, head_size int, keep boolean"
 
 
-def _prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
+def _prefixes(docs: DataFrame, n: int, percent: int, shared: Broadcast) -> DataFrame:
     """A row a set, band and prefix shingle.
 
-    Heads and single sets of a batch have salt 0 and name no head; keep: the batch has others.
+    Heads and single sets of a batch have salt 0 and name no head; keep: the batch has others. shared: the hashed counts.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(_loads(docs, n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -224,10 +226,10 @@ def _overlap_ok(size_a: str, size_b: str, differ: F.Column | str, percent: int)
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose sets pass, by intersecting their sorted arrays."""
-    wanted = small_or_shuffled(checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+    wanted = small_or_shuffled(checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), BROADCAST_NODES)
     rows = checkpointed(classes.join(wanted, "node").select("node", F.col("doc_id").alias("of_id"), F.col("row").alias("of_row")))
     same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("row") == F.col("of_row"))
-    texts = _keyed(docs).join(small_or_shuffled(rows), same).select("node", "text").dropDuplicates(["node"])
+    texts = _keyed(docs).join(small_or_shuffled(rows, BROADCAST_NODES), same).select("node", "text").dropDuplicates(["node"])
 
     def sets_of(text: pa.Array) -> list[np.ndarray]:
         out: list[np.ndarray] = []
@@ -334,7 +336,9 @@ def shingle_components(docs: DataFrame, shingle: int = 5, percent: int = 80) ->
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     classes = some.groupBy("node").agg(F.min(F.struct(*[F.col("doc_id").isNull().alias("none"), "doc_id", "row", "size", "bits"])).alias("m"), F.count("*").alias("rows"))
     classes = checkpointed(classes.select("node", "m.doc_id", "m.row", "m.size", "m.bits", "rows"))
-    tiles = checkpointed(_tiles(_prefixes(docs, shingle, percent)))
+    loads = docs.sparkSession.sparkContext.broadcast(_loads(docs, shingle))
+    tiles = checkpointed(_tiles(_prefixes(docs, shingle, percent, loads)))
+    loads.destroy()
     bits = classes.select("node", "bits")
     unpacked = bits.select("node", *[F.conv(F.hex(F.substring("bits", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"b{i}") for i in range(BITMAP)])
 
