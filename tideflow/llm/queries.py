@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tideflow.llm import decontamination, mixing
+from tideflow.llm import decontamination, filter_audit, mixing, packing, ranked_search
 from tideflow.llm.common import table
 from tideflow.llm.license_scan import license_scan
 from tideflow.llm.lm_mixing import lm_scores
@@ -66,6 +67,21 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text", "row")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item's ten best documents. Nulls, ties, repeats and empty tables: see the operator."""
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each order of five filters removes at each step, by source. Nulls, repeats and empty tables: see the operator."""
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences of 2048 ids. Nulls, ties, repeats and empty tables: see the operator."""
+    return packing.pieces_report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -79,7 +95,10 @@ QUERIES = {
         op8_decontamination,
         op9_ngram_jaccard,
         op10_substring_dedup,
+        op11_ranked_search,
+        op12_filter_audit,
+        op13_packing,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE, "op8_decontamination": decontamination.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE, "op8_decontamination": decontamination.ORACLE, "op11_ranked_search": ranked_search.ORACLE, "op12_filter_audit": filter_audit.ORACLE}
