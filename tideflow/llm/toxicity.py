@@ -253,8 +253,8 @@ def fit(docs: DataFrame, usable: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[N
                 yield pa.RecordBatch.from_arrays([b.column(0)[c.lo : c.hi], pa.array(blobs, pa.binary()), pa.array(own, pa.binary()), b.column(2)[c.lo : c.hi]], ["doc_id", "features", "codes", "toxic"])
 
     rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "toxic").mapInArrow(ids, "doc_id long, features binary, codes binary, toxic int")
-    # At most 2 * fit_rows; of rows that repeat a doc_id the same one in any order.
-    got = sorted({r["doc_id"]: r for r in sorted(rows.collect(), key=lambda r: (r["doc_id"], r["codes"], r["features"]))}.values(), key=lambda r: r["doc_id"])
+    # Of rows that repeat a doc_id the same one in any order, so that 2 * fit_rows at most come to the driver.
+    got = sorted(rows.groupBy("doc_id").agg(F.max(F.struct("codes", "features", "toxic")).alias("r")).select("doc_id", "r.*").collect(), key=lambda r: r["doc_id"])
     y = np.array([r["toxic"] for r in got], np.float64)
     if not 0 < y.sum() < len(y):
         return None, share
