@@ -458,6 +458,27 @@ def test_decontamination(spark: SparkSession, docs: DataFrame, texts: dict, broa
     assert not differing(by_id(decontamination.contamination(docs, bench, broadcast_windows=broadcast)), want)
 
 
+@pytest.mark.parametrize("same", [None, 5])
+def test_mix_of_rows_without_ids_and_with_one_id(spark: SparkSession, same: int | None) -> None:
+    """Rows that no doc_id tells apart are drawn by their texts; empty ones are taken at their source's rate."""
+    rng = random.Random(8)
+    rows = [(same, " ".join(f"w{rng.randrange(99)}" for _ in range(rng.randrange(1, 60))) + f" {k}", "en", s, 0) for s in "abc" for k in range(200)] + [(same, "", "en", "a", 0)] * 20
+    report = mixing.mix_report(spark.createDataFrame(rows, SCHEMA)).collect()
+    for target in {r["target"] for r in report}:
+        assert abs(sum(r["taken"] for r in report if r["target"] == target) - target) <= 0.02 * target
+    assert all(r["taken"] <= 2 * r["size"] and r["copies"] <= 2 for r in report)
+
+
+def test_one_row_of_a_repeated_id_is_fitted(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    """A labelled id on thousands of rows sends one row to the driver."""
+    rows = [(1, f"bad words number {k}", "en", "a", 0) for k in range(3000)] + [(i, f"kind words {i}", "en", "a", 0) for i in range(2, 40)]
+    labels = spark.createDataFrame([(1, 1), *[(i, int(i % 3 == 0)) for i in range(2, 40)]], "doc_id long, toxic int")
+    fitted = []
+    monkeypatch.setattr(toxicity, "train", lambda words, y, share: fitted.append(len(y)))
+    toxicity.fit(spark.createDataFrame(rows, SCHEMA).repartition(6), toxicity.usable_labels(labels))
+    assert fitted == [toxicity.usable_labels(labels).count()]
+
+
 def test_mix_meets_targets_and_repeats(docs: DataFrame, texts: dict) -> None:
     got = by_id(mixing.mix_report(docs))
     taken, target, longest = Counter(), {}, Counter()

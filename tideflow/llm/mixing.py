@@ -28,14 +28,14 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def draw(doc_id: Column, seed: int) -> Column:
-    """A number below 2**DRAW_BITS from the seed and doc_id."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, DRAW_BITS // 4), 16, 10).cast("long")
+def draw(doc_id: Column, text: Column, seed: int) -> Column:
+    """A number below 2**DRAW_BITS from the seed, doc_id and text, so that rows without an id, or with one id, differ."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit("")))), 1, DRAW_BITS // 4), 16, 10).cast("long")
 
 
 def source_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 0) -> DataFrame:
     """source, source_size, target, whole (copies for all), cut (buckets below it get one more): one row a source."""
-    sized = docs.select("source", word_count(F.col("text")).alias("size"), F.shiftright(draw(F.col("doc_id"), seed), DRAW_BITS - BUCKETS_BITS).alias("bucket"))
+    sized = docs.select("source", word_count(F.col("text")).alias("size"), F.shiftright(draw(F.col("doc_id"), F.col("text"), seed), DRAW_BITS - BUCKETS_BITS).alias("bucket"))
     buckets = checkpointed(sized.groupBy("source", "bucket").agg(F.sum("size").alias("size")))
     sources = buckets.groupBy("source").agg(F.sum("size").alias("source_size"))
     # One row a source from here on: the windows over all of them are over that small table.
@@ -55,7 +55,7 @@ def source_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     along = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     filled = buckets.withColumn("before", F.coalesce(F.sum("size").over(along), F.lit(0))).withColumnRenamed("source", "of")
     rated = checkpointed(rated)
-    cut = filled.join(small_or_shuffled(rated), F.col("of").eqNullSafe(F.col("source"))).where(F.col("before") + F.col("size") / 2 <= F.col("missing"))
+    cut = filled.join(small_or_shuffled(rated), F.col("of").eqNullSafe(F.col("source"))).where((F.col("missing") > 0) & (F.col("before") + F.col("size") / 2 <= F.col("missing")))
     cut = cut.groupBy("of").agg((F.max("bucket") + 1).alias("cut"))
     return checkpointed(rated.join(cut, F.col("of").eqNullSafe(F.col("source")), "left").select("source", "source_size", "target", "whole", F.coalesce("cut", F.lit(0)).alias("cut")))
 
@@ -63,7 +63,7 @@ def source_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
 def with_copies(docs: DataFrame, plan: DataFrame, seed: int = 0) -> DataFrame:
     """docs with size, source_size, target and copies."""
     plan = small_or_shuffled(plan).withColumnRenamed("source", "plan_source")
-    bucket = F.shiftright(draw(F.col("doc_id"), seed), DRAW_BITS - BUCKETS_BITS)
+    bucket = F.shiftright(draw(F.col("doc_id"), F.col("text"), seed), DRAW_BITS - BUCKETS_BITS)
     joined = docs.join(plan, F.col("source").eqNullSafe(F.col("plan_source")), "left")
     return joined.withColumn("size", word_count(F.col("text"))).withColumn("copies", F.col("whole") + F.when(bucket < F.col("cut"), 1).otherwise(0)).drop("plan_source", "whole", "cut")
 
@@ -84,7 +84,7 @@ def mix_report(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
 ORACLE = """
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
-         CAST('0x' || substr(md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) >> 40 AS bucket
+         CAST('0x' || substr(md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 13) AS BIGINT) >> 40 AS bucket
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM s),
@@ -97,7 +97,7 @@ q AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size)
 b AS (SELECT source, bucket, sum(size) AS size FROM d GROUP BY source, bucket),
 f AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b),
 k AS (SELECT f.source, max(bucket) + 1 AS cut FROM f JOIN q ON f.source IS NOT DISTINCT FROM q.source
-      WHERE f.before + f.size / 2.0 <= q.target - q.whole * q.source_size GROUP BY f.source)
+      WHERE q.target > q.whole * q.source_size AND f.before + f.size / 2.0 <= q.target - q.whole * q.source_size GROUP BY f.source)
 SELECT d.doc_id, CAST(d.size AS BIGINT) AS size, q.source_size, q.target,
        CAST(d.size * (q.whole + CASE WHEN d.bucket < coalesce(k.cut, 0) THEN 1 ELSE 0 END) AS BIGINT) AS taken,
        CAST(q.whole + CASE WHEN d.bucket < coalesce(k.cut, 0) THEN 1 ELSE 0 END AS BIGINT) AS copies
