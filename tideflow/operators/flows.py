@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideflow.operators.temporal import within
-from tideflow.sources.shared import shared_folder
+from tideflow.sources.shared import saved
 
 # The weight of each kind of evidence for a link between two wallets.
 LINK_WEIGHTS = {
@@ -17,14 +17,6 @@ LINK_WEIGHTS = {
 }
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df from the shared checkpoint folder, its lineage cut."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
-
-
 def relationship(action: Column, asset: Column) -> Column:
     return F.when(action == "bridge_deposit", "BRIDGE_OUT").when(action == "bridge_withdrawal", "BRIDGE_IN").when(asset.isin("SOL", "BNB"), "NATIVE").when(asset.isin("USDC", "USDT"), "STABLE").otherwise("TOKEN")
 

@@ -1,8 +1,8 @@
-"""What became of signals: multiples after the fire, horizons, labels, summaries and buckets."""
+"""What became of signals: the marks they are judged by, summaries and buckets; outcome_index finds the outcomes."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Horizons in minutes, and the multiples that outcomes are judged by.
@@ -11,81 +11,6 @@ PLUS_50, GOOD, MAJOR, TEN, SMALL_DROP, MAJOR_DROP = 1.5, 2.0, 5.0, 10.0, 0.5, 0.
 LEAST_LIQUIDITY, LIQUIDITY_LEFT = 1000.0, 0.1
 
 
-def series(signals: DataFrame, market: DataFrame, days: int = 7) -> DataFrame:
-    """Each signal's market points after its fire: signal_id, n (order), minutes, multiple (null without prices), liquidity.
-
-    Points join by token and by week bucket, so a token's whole history isn't paired with each of its signals.
-    """
-    width = days * 86400
-    bucket = lambda c: F.expr(f"unix_micros(cast({c} as timestamp)) div {width * 1_000_000}")
-    more = [c for c in ("entry_liquidity",) if c in signals.columns]
-    s = signals.select("signal_id", "token_id", "fired_at", "entry_price", *more, F.explode(F.array(bucket("fired_at"), bucket("fired_at") + 1)).alias("b"))
-    m = market.select("token_id", "ts", "point_id", "price", "liquidity", bucket("ts").alias("b"))
-    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("fired_at").cast("timestamp"))
-    j = s.join(m, ["token_id", "b"]).withColumn("gap", gap).where(F.col("gap").between(0, width * 1_000_000))
-    multiple = F.when(F.col("entry_price") > 0, F.col("price") / F.col("entry_price"))
-    return j.select("signal_id", "ts", "point_id", (F.col("gap") / 60_000_000.0).alias("minutes"), multiple.alias("multiple"), "liquidity", *more)
-
-
-def extremes(points: DataFrame, within: float | None = None) -> DataFrame:
-    """Per signal: best and worst move, last return, time of the first peak, first times at 2x, 5x and 10x."""
-    p = points.where("multiple is not null")
-    if within is not None:
-        p = p.where(F.col("minutes") <= within)
-    hit = lambda x: F.min(F.when(F.col("multiple") >= x, F.col("minutes")))
-    g = p.groupBy("signal_id").agg(
-        F.max("multiple").alias("top"),
-        F.min("multiple").alias("low"),
-        F.max(F.struct("ts", "point_id", "multiple")).alias("end"),
-        F.min(F.struct((-F.col("multiple")).alias("m"), "minutes")).alias("peak"),
-        hit(GOOD).alias("to_2x"),
-        hit(MAJOR).alias("to_5x"),
-        hit(TEN).alias("to_10x"),
-    )
-    pct = lambda x: F.round((x - 1) * 100, 6)
-    return g.select("signal_id", pct(F.col("top")).alias("max_upside_pct"), pct(F.col("low")).alias("max_drawdown_pct"), pct(F.col("end.multiple")).alias("roi_pct"), F.round("peak.minutes", 6).alias("to_peak"), F.round("to_2x", 6).alias("to_2x"), F.round("to_5x", 6).alias("to_5x"), F.round("to_10x", 6).alias("to_10x"))
-
-
-def judged(points: DataFrame) -> DataFrame:
-    """The columns of extremes and label, for each signal with points: wins lock unless a deep enough fall came before.
-
-    One pass over a signal's points in order: the first times at which the multiple, or the liquidity, reaches a mark come
-    from aggregates, and a win counts if its first time is before the fall that would spoil it. No frame is scanned anew.
-    points has entry_liquidity, the first point's.
-    """
-    at, m = F.struct("ts", "point_id"), F.col("multiple")
-    first = lambda c: F.min(F.when(c, at))
-    hit = lambda x: F.min(F.when(m >= x, F.col("minutes")))
-    gone = F.coalesce((F.col("entry_liquidity") > 0) & (F.col("liquidity") <= F.col("entry_liquidity") * LIQUIDITY_LEFT), F.lit(False)) | (F.col("liquidity") < LEAST_LIQUIDITY)
-    g = points.groupBy("signal_id").agg(
-        F.max("multiple").alias("top"),
-        F.min("multiple").alias("low"),
-        F.max(F.when(m.isNotNull(), F.struct("ts", "point_id", "multiple"))).alias("end"),
-        F.min(F.when(m.isNotNull(), F.struct((-m).alias("m"), "minutes"))).alias("peak"),
-        *[hit(x).alias(k) for k, x in (("to_2x", GOOD), ("to_5x", MAJOR), ("to_10x", TEN))],
-        first(m >= GOOD).alias("good_at"),
-        first(m >= MAJOR).alias("major_at"),
-        first(m >= PLUS_50).alias("small_at"),
-        first(m <= SMALL_DROP).alias("fall_at"),
-        first(m <= MAJOR_DROP).alias("deep_at"),
-        first(F.col("liquidity").isNotNull() & gone).alias("gone_at"),
-    )
-    # a comes before b, or b doesn't come: equal places are one point, which neither spoils nor is spoiled.
-    free = lambda a, b: F.col(a).isNotNull() & (F.col(b).isNull() | (F.col(a) <= F.col(b)))
-    label = F.when(free("gone_at", "good_at"), "hard_failure").when(free("major_at", "deep_at"), "major_win").when(free("good_at", "fall_at"), "good_win").when(free("small_at", "fall_at"), "small_win").when(free("deep_at", "good_at"), "failure").otherwise("neutral_pending")
-    pct = lambda x: F.round((x - 1) * 100, 6)
-    return g.select("signal_id", label.alias("label"), pct(F.col("top")).alias("max_upside_pct"), pct(F.col("low")).alias("max_drawdown_pct"), pct(F.col("end.multiple")).alias("roi_pct"), F.round("peak.minutes", 6).alias("to_peak"), F.round("to_2x", 6).alias("to_2x"), F.round("to_5x", 6).alias("to_5x"), F.round("to_10x", 6).alias("to_10x"))
-
-
-def horizon_slices(points: DataFrame) -> DataFrame:
-    """signal_id, horizon, max_upside_pct, max_drawdown_pct, roi_pct: the extremes clipped to each horizon, in one pass."""
-    h = F.explode(F.array(*[F.struct(F.lit(k).alias("horizon"), F.lit(float(v)).alias("limit")) for k, v in HORIZONS.items()]))
-    p = points.where("multiple is not null").withColumn("h", h).where(F.col("minutes") <= F.col("h.limit"))
-    g = p.groupBy("signal_id", F.col("h.horizon").alias("horizon")).agg(F.max("multiple").alias("top"), F.min("multiple").alias("low"), F.max(F.struct("ts", "point_id", "multiple")).alias("end"))
-    pct = lambda x: F.round((x - 1) * 100, 6)
-    return g.select("signal_id", "horizon", pct(F.col("top")).alias("max_upside_pct"), pct(F.col("low")).alias("max_drawdown_pct"), pct(F.col("end.multiple")).alias("roi_pct"))
-
-
 def summary_columns() -> list[Column]:
     """Hit rates, exact median and mean return, extremes and failure rates; money-free doubles are rounded exactly."""
     rate = lambda c: F.round(F.count_if(c) / F.count("*"), 6)

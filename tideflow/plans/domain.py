@@ -300,12 +300,7 @@ def bt_pass(spark: SparkSession, d: str) -> DataFrame:
     dim = F.explode(F.array(*[F.struct(F.lit(k).alias("horizon"), F.lit(v).cast("long").alias("lim")) for k, v in oc.HORIZONS.items()]))
     s = p.signals(spark, d).where(age >= 900_000_000).withColumn("h", dim).select("signal_id", "synthetic", "h.horizon", (age < F.col("h.lim") * 60_000_000).alias("early"))
     notes = F.concat_ws(",", F.when(F.col("early"), "window_incomplete"), F.when(F.col("synthetic"), "synthetic_continuation"))
-    return s.join(oc.horizon_slices(oq._points(spark, d)).select("signal_id", "horizon", "roi_pct"), ["signal_id", "horizon"], "left").select("signal_id", "horizon", F.coalesce("roi_pct", F.lit(0.0)).alias("roi_pct"), notes.alias("notes"))
-
-
-@query(oq._S + "SELECT signal_id, rule, synthetic, label FROM ev2 WHERE rule IN ('A', 'F')")
-def bt_replay_eval(spark: SparkSession, d: str) -> DataFrame:
-    return oq._evaluated(spark, d).where("rule in ('A', 'F')").select("signal_id", "rule", "synthetic", "label")
+    return s.join(oq.slices(spark, d).select("signal_id", "horizon", "roi_pct"), ["signal_id", "horizon"], "left").select("signal_id", "horizon", F.coalesce("roi_pct", F.lit(0.0)).alias("roi_pct"), notes.alias("notes"))
 
 
 @query("SELECT x AS request, (y <= 14 AND y >= 0) AS valid FROM (VALUES ('day', 1), ('fortnight', 14), ('month', 31), ('backwards', -1)) v(x, y)", views=False)

@@ -136,13 +136,18 @@ def funding_events(spark: SparkSession, d: str) -> DataFrame:
   WHERE e.action = 'transfer' AND e.src <> e.dst AND f.first_ts > e.ts AND epoch_us(b.ts) - epoch_us(e.ts) BETWEEN 300000000 AND 86400000000 AND b.mcap <= 5000000 AND CAST(b.usd AS DOUBLE) / CAST(e.usd AS DOUBLE) * 100 BETWEEN 30 AND 110 AND e.usd > 0 GROUP BY 1""")
 def rule_e(spark: SparkSession, d: str) -> DataFrame:
     """Tokens that a freshly funded wallet buys first for 30 to 110 percent of it: 5 to 120 minutes after, and up to a day after."""
+    return funded_rows(spark, d).groupBy("token_id").agg(F.bool_or(F.col("gap") <= 7_200_000_000).alias("fired"), F.lit(True).alias("within_a_day"))
+
+
+def funded_rows(spark: SparkSession, d: str) -> DataFrame:
+    """edge_id, token_id, buy_ts, gap (microseconds): first buys of a token, up to a day after the fresh funding that they fit."""
     t = p.trades(spark, d)
     buys = t.where("action = 'BUY'").groupBy("wallet_id", "token_id").agg(F.min(F.struct("ts", "trade_id", "usd", "mcap")).alias("m"))
     buys = buys.select(F.col("wallet_id").alias("dst"), "token_id", F.col("m.ts").alias("buy_ts"), F.col("m.usd").alias("buy_usd"), "m.mcap")
     f = fl.funding_events(p.edges(spark, d), t, p.wallets(spark, d)).where("fresh and usd > 0").withColumnRenamed("ts", "fund_ts")
     gap = F.unix_micros(F.col("buy_ts").cast("timestamp")) - F.unix_micros(F.col("fund_ts").cast("timestamp"))
     out = tm.within(f, buys, ["dst"], "fund_ts", "buy_ts", 86400).where((gap >= 300_000_000) & (F.col("mcap") <= 5000000) & (F.col("buy_usd").cast("double") / F.col("usd").cast("double") * 100).between(30, 110))
-    return out.groupBy("token_id").agg(F.bool_or(gap <= 7_200_000_000).alias("fired"), F.lit(True).alias("within_a_day"))
+    return out.select("edge_id", "token_id", "buy_ts", gap.alias("gap"))
 
 
 @query(_ROT + "SELECT DISTINCT b.token_id, true AS fired FROM rt JOIN trades b ON b.trade_id = rt.buy_id")

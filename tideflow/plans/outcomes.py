@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideflow.operators import outcome_index as ix
 from tideflow.operators import outcomes as oc
 from tideflow.operators import temporal as tm
 from tideflow.plans.registry import query
@@ -27,24 +28,32 @@ _SUM = """count(*) AS signals, round(count(*) FILTER (max_upside_pct >= 50) / co
   round(count(*) FILTER (label = 'failure') / count(*), 6) AS failure_rate, round(count(*) FILTER (label = 'hard_failure') / count(*), 6) AS hard_failure_rate"""
 
 
-def _points(spark: SparkSession, d: str) -> DataFrame:
-    m = p.market(spark, d).withColumn("liquidity", F.col("liquidity") * 10)
-    first = tm.asof(p.signals(spark, d), m.withColumn("entry_liquidity", F.col("liquidity")), ["token_id"], "fired_at", "ts", "point_id", ["entry_liquidity"], forward=True)
-    return oc.series(first, m)
+def _market(spark: SparkSession, d: str) -> DataFrame:
+    return p.market(spark, d).withColumn("liquidity", F.col("liquidity") * 10)
+
+
+def judged(spark: SparkSession, d: str) -> DataFrame:
+    """Label and extremes of each signal with points, from the index over market points."""
+    return ix.judged(p.signals(spark, d), _market(spark, d))
+
+
+def slices(spark: SparkSession, d: str) -> DataFrame:
+    """Extremes of each signal up to each horizon, from the same index."""
+    return ix.horizon_slices(p.signals(spark, d), _market(spark, d))
 
 
 def _evaluated(spark: SparkSession, d: str) -> DataFrame:
-    return p.signals(spark, d).join(oc.judged(_points(spark, d)), "signal_id")
+    return p.signals(spark, d).join(judged(spark, d), "signal_id")
 
 
 @query(_S + "SELECT * FROM ex")
 def win_outcome_extremes(spark: SparkSession, d: str) -> DataFrame:
-    return oc.extremes(_points(spark, d))
+    return judged(spark, d).where("max_upside_pct is not null").drop("label")
 
 
 @query(_S + "SELECT * FROM lb")
 def win_outcome_label(spark: SparkSession, d: str) -> DataFrame:
-    return oc.judged(_points(spark, d)).select("signal_id", "label")
+    return judged(spark, d).select("signal_id", "label")
 
 
 _HZ = _S + """, hz AS (SELECT signal_id, horizon, round((max(multiple) - 1) * 100, 6) AS max_upside_pct, round((min(multiple) - 1) * 100, 6) AS max_drawdown_pct, round((arg_max(multiple, (ts, point_id)) - 1) * 100, 6) AS roi_pct
@@ -54,19 +63,19 @@ _HZ = _S + """, hz AS (SELECT signal_id, horizon, round((max(multiple) - 1) * 10
 
 @query(_HZ + "SELECT * FROM hz")
 def win_horizon_slices(spark: SparkSession, d: str) -> DataFrame:
-    return oc.horizon_slices(_points(spark, d))
+    return slices(spark, d)
 
 
 @query(_HZ + "SELECT signal_id, horizon, roi_pct FROM hz QUALIFY row_number() OVER (PARTITION BY signal_id ORDER BY CASE horizon WHEN 'D7' THEN 6 WHEN 'D3' THEN 5 WHEN 'H24' THEN 4 WHEN 'H6' THEN 3 WHEN 'H1' THEN 2 ELSE 1 END DESC) = 1")
 def win_best_horizon(spark: SparkSession, d: str) -> DataFrame:
     rank = F.element_at(F.create_map(*[x for i, k in enumerate(oc.HORIZONS) for x in (F.lit(k), F.lit(i))]), F.col("horizon"))
-    return tm.nth_by(oc.horizon_slices(_points(spark, d)), ["signal_id"], [rank.desc()]).select("signal_id", "horizon", "roi_pct")
+    return tm.nth_by(slices(spark, d), ["signal_id"], [rank.desc()]).select("signal_id", "horizon", "roi_pct")
 
 
 @query(_HZ + "SELECT signal_id, horizon, roi_pct FROM hz JOIN signals USING (signal_id) JOIN (VALUES ('M15', 15), ('H1', 60), ('H6', 360), ('H24', 1440), ('D3', 4320), ('D7', 10080)) h(horizon, lim) USING (horizon) WHERE epoch_us(TIMESTAMP '2024-01-28') - epoch_us(fired_at) >= CAST(lim AS BIGINT) * 60000000 QUALIFY row_number() OVER (PARTITION BY signal_id ORDER BY lim DESC) = 1")
 def win_latest_elapsed(spark: SparkSession, d: str) -> DataFrame:
     lim = F.element_at(F.create_map(*[x for k, v in oc.HORIZONS.items() for x in (F.lit(k), F.lit(v))]), F.col("horizon"))
-    h = oc.horizon_slices(_points(spark, d)).join(p.signals(spark, d).select("signal_id", "fired_at"), "signal_id").withColumn("lim", lim)
+    h = slices(spark, d).join(p.signals(spark, d).select("signal_id", "fired_at"), "signal_id").withColumn("lim", lim)
     gone = F.expr("unix_micros(cast(TIMESTAMP_NTZ '2024-01-28 00:00:00' as timestamp)) - unix_micros(cast(fired_at as timestamp))")
     return tm.nth_by(h.where(gone >= F.col("lim") * F.lit(60_000_000).cast("long")), ["signal_id"], [F.desc("lim")]).select("signal_id", "horizon", "roi_pct")
 
@@ -117,9 +126,8 @@ _SHADOW_NOW = "2024-01-28 00:00:00"
   SELECT signal_id, max(status) FILTER (horizon = 'M15') AS m15, max(status) FILTER (horizon = 'D7') AS d7, CASE WHEN bool_or(status = 'bad') THEN 'bad' WHEN bool_or(status = 'good') THEN 'good' WHEN bool_or(status = 'pending') THEN 'pending' ELSE 'unknown' END AS overall FROM sx GROUP BY 1""")
 def bt_shadow(spark: SparkSession, d: str) -> DataFrame:
     """Each signal's status at its first and last horizon and overall: the worst that any horizon tells; after seven days nothing is pending."""
-    pts = _points(spark, d)
-    s = p.signals(spark, d).join(oc.judged(pts).select("signal_id", "label"), "signal_id", "left")
-    told = oc.horizon_slices(pts).select("signal_id", "horizon", F.lit(True).alias("told"))
+    s = p.signals(spark, d).join(judged(spark, d).select("signal_id", "label"), "signal_id", "left")
+    told = slices(spark, d).select("signal_id", "horizon", F.lit(True).alias("told"))
     age = F.unix_micros(F.lit(_SHADOW_NOW).cast("timestamp_ntz").cast("timestamp")) - F.unix_micros(F.col("fired_at").cast("timestamp"))
     h = F.explode(F.array(*[F.struct(F.lit(k).alias("horizon"), F.lit(v).cast("long").alias("lim")) for k, v in oc.HORIZONS.items()]))
     x = s.select("signal_id", "label", age.alias("age"), h.alias("h")).select("signal_id", "label", "age", "h.*").join(told, ["signal_id", "horizon"], "left")
@@ -138,7 +146,7 @@ def flt_real_synthetic(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_HZ + "SELECT s.signal_id FROM signals s LEFT JOIN (SELECT signal_id, count(*) AS n FROM hz GROUP BY 1) USING (signal_id) WHERE coalesce(n, 0) < 6")
 def flt_eligible_backtest(spark: SparkSession, d: str) -> DataFrame:
-    n = oc.horizon_slices(_points(spark, d)).groupBy("signal_id").count()
+    n = slices(spark, d).groupBy("signal_id").count()
     return p.signals(spark, d).join(n, "signal_id", "left").where(F.coalesce("count", F.lit(0)) < 6).select("signal_id")
 
 
@@ -169,14 +177,15 @@ def _replayed(spark: SparkSession, d: str) -> DataFrame:
     m = p.market(spark, d)
     rows = tm.asof(_replay(spark, d), m.withColumn("entry_price", F.col("price")), ["token_id"], "t", "ts", "point_id", ["entry_price"])
     as_signals = rows.select(F.struct("token_id", "t").alias("signal_id"), "token_id", F.col("t").alias("fired_at"), "entry_price")
-    doubled = oc.series(as_signals, m).groupBy("signal_id").agg((F.max("multiple") >= 2).alias("hit")).select("signal_id.token_id", "signal_id.t", "hit")
+    doubled = ix.horizon_slices(as_signals, m).where("horizon = 'D7'").select("signal_id.token_id", "signal_id.t", (F.col("max_upside_pct") >= 100).alias("hit"))
     tried = rows.withColumn("min_smart", F.explode(F.array(*[F.lit(x) for x in TRIED]))).where("smart >= min_smart")
     fires = tm.kept_fires(tried.select("min_smart", "token_id", F.col("t")), ["min_smart", "token_id"], "t")
     return fires.join(doubled, ["token_id", "t"], "left").select("min_smart", "token_id", "t", F.coalesce("hit", F.lit(False)).alias("hit"))
 
 
 @query(_REPLAY + "SELECT * FROM rp")
-def bt_replay(spark: SparkSession, d: str) -> DataFrame:
+def bt_replay_smart(spark: SparkSession, d: str) -> DataFrame:
+    """Smart buyers and volume of each token at each step of half a day."""
     return _replay(spark, d)
 
 
@@ -189,57 +198,3 @@ def bt_replay_fires(spark: SparkSession, d: str) -> DataFrame:
 def fn_step_series(spark: SparkSession, d: str) -> DataFrame:
     s = spark.range(1).select(F.explode(F.expr("sequence(TIMESTAMP_NTZ '2024-01-05 00:00:00', TIMESTAMP_NTZ '2024-01-25 00:00:00', INTERVAL 3 DAYS)")).alias("t"))
     return s.union(spark.range(1).select(F.expr("TIMESTAMP_NTZ '2024-01-25 00:00:00'"))).distinct()
-
-
-_TUNE = _REPLAY + ", sc AS (SELECT v.n AS min_smart, count(token_id) AS fires, count(*) FILTER (hit) AS hits FROM (VALUES (2), (4), (6), (8), (10)) v(n) LEFT JOIN fh ON min_smart = v.n GROUP BY 1), sr AS (SELECT *, round(CASE WHEN fires >= 5 THEN hits / fires ELSE 0.0 END, 6) AS score FROM sc)"
-
-
-def _tuned(fires: DataFrame) -> DataFrame:
-    """min_smart, fires, hits, score of each setting, also of those without fires; fewer than five fires score 0."""
-    every = fires.sparkSession.range(len(TRIED)).select(F.array(*[F.lit(x) for x in TRIED])[F.col("id").cast("int")].alias("min_smart"))
-    g = fires.groupBy("min_smart").agg(F.count("*").alias("fires"), F.count_if("hit").alias("hits"))
-    g = every.join(g, "min_smart", "left").na.fill(0, ["fires", "hits"])
-    return g.withColumn("score", F.round(F.when(F.col("fires") >= 5, F.col("hits") / F.col("fires")).otherwise(0.0), 6))
-
-
-@query(_TUNE + " SELECT a.*, a.score - b.score AS against_base, a.fires < 5 AS few FROM sr a, (SELECT score FROM sr WHERE min_smart = 10) b")
-def bt_tune(spark: SparkSession, d: str) -> DataFrame:
-    """One setting at a time over the same replay, and its score against the base setting's; settings with few fires score 0."""
-    g = _tuned(_replayed(spark, d))
-    base = g.where("min_smart = 10").select(F.col("score").alias("base"))  # one row
-    return g.join(F.broadcast(base)).select("min_smart", "fires", "hits", "score", (F.col("score") - F.col("base")).alias("against_base"), (F.col("fires") < 5).alias("few"))
-
-
-_WALK = _REPLAY + """, h2 AS (SELECT late, v.n AS min_smart, count(fh.token_id) AS fires, count(*) FILTER (hit) AS hits FROM (VALUES (true), (false)) l(late) CROSS JOIN (VALUES (2), (4), (6), (8), (10)) v(n) LEFT JOIN fh ON min_smart = v.n AND (fh.t > TIMESTAMP '2024-01-15') = late GROUP BY 1, 2),
-  s2 AS (SELECT *, round(CASE WHEN fires >= 5 THEN hits / fires ELSE 0.0 END, 6) AS score, CASE WHEN fires > 0 THEN hits / fires ELSE 0.0 END AS rate FROM h2), bs AS (SELECT * FROM s2 WHERE NOT late ORDER BY score DESC, min_smart LIMIT 1),
-  wf AS (SELECT a.min_smart, a.fires AS tune_fires, round(a.rate, 6) AS tune_rate, b.fires AS test_fires, round(b.rate, 6) AS test_rate, round(CASE WHEN b.fires = 0 THEN 100.0 WHEN a.rate > 0 THEN (a.rate - b.rate) / a.rate * 100 ELSE 0.0 END, 4) AS degradation_pct FROM bs a JOIN s2 b ON b.late AND b.min_smart = a.min_smart)"""
-
-
-@query(_WALK + " SELECT *, CASE WHEN degradation_pct > 30 THEN 'degrades' ELSE 'holds up' END AS verdict FROM wf")
-def bt_walk_forward(spark: SparkSession, d: str) -> DataFrame:
-    """The best setting of the first half, tried on the second: hit rates, how much is lost, and a verdict."""
-    r = _replayed(spark, d)
-    late = F.expr("t > TIMESTAMP_NTZ '2024-01-15 00:00:00'")
-    rate = F.when(F.col("fires") > 0, F.col("hits") / F.col("fires")).otherwise(0.0)
-    best = _tuned(r.where(~late)).withColumn("rate", rate).orderBy(F.desc("score"), "min_smart").limit(1).select("min_smart", F.col("fires").alias("tune_fires"), F.col("rate").alias("a"))
-    test = _tuned(r.where(late)).select("min_smart", F.col("fires").alias("test_fires"), rate.alias("b"))
-    lost = F.round(F.when(F.col("test_fires") == 0, 100.0).when(F.col("a") > 0, (F.col("a") - F.col("b")) / F.col("a") * 100).otherwise(0.0), 4)
-    out = best.join(test, "min_smart").withColumn("degradation_pct", lost)
-    return out.select("min_smart", "tune_fires", F.round("a", 6).alias("tune_rate"), "test_fires", F.round("b", 6).alias("test_rate"), "degradation_pct", F.when(F.col("degradation_pct") > 30, "degrades").otherwise("holds up").alias("verdict"))
-
-
-@query(_TUNE + " SELECT 'fires' AS part, CAST(min_smart AS VARCHAR) AS name, CAST(fires AS DOUBLE) AS value FROM sr UNION ALL SELECT 'score', CAST(min_smart AS VARCHAR), score FROM sr UNION ALL SELECT 'most active token', CAST(token_id AS VARCHAR), CAST(n AS DOUBLE) FROM (SELECT token_id, count(*) AS n FROM trades GROUP BY 1 ORDER BY n DESC, token_id LIMIT 1)")
-def bt_run(spark: SparkSession, d: str) -> DataFrame:
-    """A whole run as one report: fires and scores of all settings, and the most active token."""
-    g = _tuned(_replayed(spark, d))
-    name = F.col("min_smart").cast("string").alias("name")
-    top = p.trades(spark, d).groupBy("token_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token_id").limit(1)
-    parts = [g.select(F.lit("fires").alias("part"), name, F.col("fires").cast("double").alias("value")), g.select(F.lit("score").alias("part"), name, F.col("score").alias("value")), top.select(F.lit("most active token").alias("part"), F.col("token_id").cast("string").alias("name"), F.col("n").cast("double").alias("value"))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
-
-
-@query(_TUNE + " (SELECT min_smart, 'best' AS side FROM sr ORDER BY score DESC, min_smart LIMIT 3) UNION ALL (SELECT min_smart, 'worst' AS side FROM sr ORDER BY score, min_smart LIMIT 3)")
-def srt_best_worst_sets(spark: SparkSession, d: str) -> DataFrame:
-    s = _tuned(_replayed(spark, d)).select("min_smart", "score")
-    best = s.orderBy(F.desc("score"), "min_smart").limit(3).select("min_smart", F.lit("best").alias("side"))
-    return best.unionByName(s.orderBy("score", "min_smart").limit(3).select("min_smart", F.lit("worst").alias("side")))

@@ -117,14 +117,6 @@ def score_flow(spark: SparkSession, d: str) -> DataFrame:
     return agg.select("token_id", tw.flow_score(agg).alias("flow_score"))
 
 
-_UNPIVOT = "SELECT token_id, rule, fired FROM (SELECT token_id, 'A' AS rule, ra AS fired FROM ruled UNION ALL SELECT token_id, 'B', rb FROM ruled UNION ALL SELECT token_id, 'C', rc FROM ruled UNION ALL SELECT token_id, 'D', rd FROM ruled UNION ALL SELECT token_id, 'G', rg FROM ruled)"
-
-
-@query(_BASE + _UNPIVOT)
-def rules_all(spark: SparkSession, d: str) -> DataFrame:
-    return tw.rules_all(_agg(spark, d), SCALED)
-
-
 def _rule(letter: str) -> None:
     def f(spark: SparkSession, d: str) -> DataFrame:
         return _agg(spark, d).select("token_id", tw.rules(SCALED)[letter].alias("fired"))
@@ -143,22 +135,6 @@ def rule_a(spark: SparkSession, d: str) -> DataFrame:
     return _agg(spark, d).select("token_id", tw.severity_a(SCALED).alias("severity"))
 
 
-@query(_BASE + "SELECT token_id, CASE WHEN rg THEN 'distribution' WHEN ra OR rb OR rc OR rd THEN 'accumulating' WHEN flow_score < 10 AND buyers_30m = 0 THEN 'dead' ELSE 'watching' END AS status FROM ruled")
-def signal_status(spark: SparkSession, d: str) -> DataFrame:
-    agg = _agg(spark, d)
-    return agg.select("token_id", tw.signal_status(tw.rules(SCALED), tw.flow_score(agg), F.col("buyers_30m")).alias("status"))
-
-
-@query(_BASE + ", f AS (" + _UNPIVOT + """) SELECT token_id, rule FROM f JOIN ends USING (token_id) WHERE fired AND NOT EXISTS (
-  SELECT 1 FROM signals s WHERE s.token_id = f.token_id AND s.rule = f.rule AND s.fired_at > ends.to_ts - INTERVAL 24 HOUR AND s.fired_at <= ends.to_ts)""")
-def signal_detect(spark: SparkSession, d: str) -> DataFrame:
-    """Rules that fire now and didn't in the last day."""
-    trades = p.trades(spark, d)
-    ends = tw.anchored(trades, 1440).select("token_id", "to_ts").distinct()
-    recent = p.signals(spark, d).join(ends, "token_id").where((F.col("fired_at") > F.col("to_ts") - F.expr("INTERVAL 24 HOURS")) & (F.col("fired_at") <= F.col("to_ts")))
-    return tw.rules_all(_agg(spark, d), SCALED).where("fired").join(recent.select("token_id", "rule"), ["token_id", "rule"], "left_anti").select("token_id", "rule")
-
-
 @query(_BASE + "SELECT token_id, flow_score, smart, entities, net_usd FROM scored ORDER BY flow_score DESC, token_id LIMIT 200")
 def srt_hot_tokens(spark: SparkSession, d: str) -> DataFrame:
     agg = _agg(spark, d)
