@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideflow.operators import outcomes as oc
-from tideflow.sources.shared import saved
+from tideflow.sources.shared import saved, small_or_shuffled
 
 #: Blocks of a size that make up one of the next, as a power of two.
 FAN_BITS = 4
@@ -57,14 +57,17 @@ def numbered(market: DataFrame, times: DataFrame) -> tuple[DataFrame, DataFrame]
 
 
 def index(points: DataFrame) -> tuple[DataFrame, int]:
-    """(token_id, level, node, hi, lo, last, liquidity) of points and all blocks over them, and the highest level."""
-    price = F.col("price").isNotNull()
-    base = saved(points.select("token_id", F.col("n").alias("node"), F.when(price, F.struct("price", (-F.col("us")).alias("neg_us"))).alias("hi"), F.col("price").alias("lo"), F.when(price, F.struct("n", "price")).alias("last"), "liquidity"))
+    """(token_id, level, node, hi, lo, last, liquidity, us) of points and all blocks over them, and the highest level.
+
+    last: the number of the last point with a price; us: a point's time. All columns are plain numbers, so that sums over
+    blocks are hash aggregates.
+    """
+    base = saved(points.select("token_id", F.col("n").alias("node"), F.col("price").alias("hi"), F.col("price").alias("lo"), F.when(F.col("price").isNotNull(), F.col("n")).alias("last"), "liquidity", "us"))
     most = base.agg(F.max("node")).first()[0] or 0
     top = max(0, -(-int(most).bit_length() // FAN_BITS))
     levels = [base]
     for _ in range(top):
-        up = levels[-1].groupBy("token_id", F.shiftright("node", FAN_BITS).alias("node")).agg(F.max("hi").alias("hi"), F.min("lo").alias("lo"), F.max("last").alias("last"), F.min("liquidity").alias("liquidity"))
+        up = levels[-1].groupBy("token_id", F.shiftright("node", FAN_BITS).alias("node")).agg(F.max("hi").alias("hi"), F.min("lo").alias("lo"), F.max("last").alias("last"), F.min("liquidity").alias("liquidity"), F.lit(None).cast("long").alias("us"))
         levels.append(saved(up))
     out = levels[0].withColumn("level", F.lit(0))
     for h, level in enumerate(levels[1:], 1):
@@ -91,11 +94,22 @@ def _blocks(begin: Column, end: Column, top: int) -> Column:
 def _reached() -> dict[str, Column]:
     """By mark, whether a block or point holds one that reaches it."""
     entry, liquidity = F.when(F.col("entry_price") > 0, F.col("entry_price")), F.col("liquidity")
-    said = {k: F.col("hi.price") / entry >= x for k, x in RISES.items()} | {k: F.col("lo") / entry <= x for k, x in FALLS.items()}
+    said = {k: F.col("hi") / entry >= x for k, x in RISES.items()} | {k: F.col("lo") / entry <= x for k, x in FALLS.items()}
     said["gone"] = ((F.col("entry_liquidity") > 0) & (liquidity <= F.col("entry_liquidity") * oc.LIQUIDITY_LEFT)) | (liquidity < oc.LEAST_LIQUIDITY)
     return {k: F.coalesce(v, F.lit(False)) for k, v in said.items()}
 
 
+def _place() -> Column:
+    """A block's first number and level in one number, which orders blocks by where they start."""
+    return F.expr(f"shiftleft(shiftleft(node, level * {FAN_BITS}), 6) + level")
+
+
+def _block(place: str) -> list[Column]:
+    """The level and node of a place."""
+    level = F.col(place) % 64
+    return [level.cast("int").alias("level"), F.expr(f"shiftright({place}, cast(6 + {place} % 64 * {FAN_BITS} AS int))").alias("node")]
+
+
 def _segments(signals: DataFrame, market: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """(id, seg, token_id, entry_price, entry_liquidity, begin, end): ranges between horizons; and the index with its height."""
     ends = F.array(F.struct(F.lit(-1).alias("seg"), F.lit(0).cast("long").alias("after")), *[F.struct(F.lit(i).alias("seg"), F.lit(v * 60_000_000).cast("long").alias("after")) for i, v in enumerate(oc.HORIZONS.values())])
@@ -103,35 +117,46 @@ def _segments(signals: DataFrame, market: DataFrame) -> tuple[DataFrame, DataFra
     times = s.select("token_id", "signal_id", "fired", "entry_price", F.explode(ends).alias("e")).select("token_id", (F.col("fired") + F.col("e.after")).alias("us"), (F.col("e.seg") < 0).alias("strict"), "signal_id", "fired", "entry_price", "e.seg")
     points, counted = numbered(market, times)
     nodes, top = index(points)
+    nodes = small_or_shuffled(nodes)
     own = Window.partitionBy("signal_id").orderBy("seg")
     ranges = counted.withColumn("begin", F.lag("n").over(own)).withColumn("start", F.first("n").over(own)).where("seg >= 0").withColumnRenamed("n", "end")
     first = nodes.where("level = 0").select("token_id", F.col("node").alias("start"), F.col("liquidity").alias("entry_liquidity"))
     return saved(ranges.join(first, ["token_id", "start"])), nodes, top
 
 
-def _gathered(ranges: DataFrame, nodes: DataFrame, top: int) -> DataFrame:
-    """By signal and segment: extremes, last price, and by mark the first block that reaches it."""
-    looked = ranges.where("begin < end").select("signal_id", "seg", "token_id", "fired", "entry_price", "entry_liquidity", F.explode(_blocks(F.col("begin"), F.col("end"), top)).alias("b")).select("*", "b.level", "b.node").drop("b")
-    met = looked.join(nodes, ["token_id", "level", "node"])
-    place = F.struct(F.expr(f"shiftleft(node, level * {FAN_BITS})").alias("at"), "level", "node")
-    firsts = [F.min(F.when(v, place)).alias(k) for k, v in _reached().items()]
-    return met.groupBy("signal_id", "seg").agg(F.max("hi").alias("hi"), F.min("lo").alias("lo"), F.max("last").alias("last"), *firsts)
+def _looked(ranges: DataFrame, nodes: DataFrame, top: int, *more: str) -> DataFrame:
+    """Rows of ranges, each with the blocks that cover it."""
+    blocks = ranges.where("begin < end").select("signal_id", "seg", "token_id", "entry_price", "entry_liquidity", *more, F.explode(_blocks(F.col("begin"), F.col("end"), top)).alias("b")).select("*", "b.level", "b.node").drop("b")
+    return blocks.join(nodes.drop("us"), ["token_id", "level", "node"])
+
+
+def _gathered(ranges: DataFrame, nodes: DataFrame, top: int, marks: bool = True) -> DataFrame:
+    """By signal and segment: extremes, the last point with a price, and by mark the first block that reaches it."""
+    firsts = [F.min(F.when(v, _place())).alias(k) for k, v in _reached().items()] if marks else []
+    return _looked(ranges, nodes, top).groupBy("signal_id", "seg").agg(F.max("hi").alias("hi"), F.min("lo").alias("lo"), F.max("last").alias("last"), *firsts)
+
+
+def _last_price(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """rows (token_id, last) with the price of the point that last numbers."""
+    price = nodes.where("level = 0").select("token_id", F.col("node").alias("last"), F.col("lo").alias("last_price"))
+    return rows.join(price, ["token_id", "last"], "left")
 
 
 def _found(firsts: DataFrame, nodes: DataFrame, top: int) -> DataFrame:
-    """signal_id, mark, n, us: the first point that reaches each mark, from the block that holds it."""
-    here = saved(firsts)
+    """signal_id, mark, n, us: the first point that reaches each mark, from the place of a block that holds it."""
+    keep = ("signal_id", "mark", "token_id", "entry_price", "entry_liquidity", "best")
+    here = firsts.select(*keep, *_block("place"))
     for level in range(top, 0, -1):
         at, rest = here.where(F.col("level") == level), here.where(F.col("level") < level)
-        parts = at.drop("level").withColumn("child", F.explode(F.sequence(F.shiftleft("node", FAN_BITS), F.shiftleft("node", FAN_BITS) + ((1 << FAN_BITS) - 1)))).drop("node")
+        parts = at.select(*keep, F.explode(F.sequence(F.shiftleft("node", FAN_BITS), F.shiftleft("node", FAN_BITS) + ((1 << FAN_BITS) - 1))).alias("child"))
         below = nodes.where(F.col("level") == level - 1).select("token_id", F.col("node").alias("child"), "hi", "lo", "liquidity")
-        holds = F.lit(False)
+        holds = (F.col("mark") == "peak") & (F.col("hi") == F.col("best"))
         for k, v in _reached().items():
             holds = holds | ((F.col("mark") == k) & v)
-        down = parts.join(below, ["token_id", "child"]).where(holds).groupBy("signal_id", "mark").agg(F.min("child").alias("node"), *[F.first(c).alias(c) for c in ("token_id", "fired", "entry_price", "entry_liquidity")])
-        here = saved(rest.unionByName(down.withColumn("level", F.lit(level - 1))))
-    base = nodes.where("level = 0").select("token_id", "node", (-F.col("hi.neg_us")).alias("us"))
-    return here.join(base, ["token_id", "node"]).select("signal_id", "mark", F.col("node").alias("n"), "us", "fired")
+        down = parts.join(below, ["token_id", "child"]).where(holds).groupBy("signal_id", "mark").agg(F.min("child").alias("node"), *[F.first(c).alias(c) for c in keep[2:]])
+        here = rest.unionByName(down.withColumn("level", F.lit(level - 1)))
+    base = nodes.where("level = 0").select("token_id", "node", "us")
+    return here.join(base, ["token_id", "node"]).select("signal_id", "mark", F.col("node").alias("n"), "us")
 
 
 def judged(signals: DataFrame, market: DataFrame) -> DataFrame:
@@ -141,13 +166,17 @@ def judged(signals: DataFrame, market: DataFrame) -> DataFrame:
     fire. market: token_id, ts, point_id, price, liquidity.
     """
     ranges, nodes, top = _segments(signals, market)
-    g = saved(_gathered(ranges, nodes, top).groupBy("signal_id").agg(F.max("hi").alias("hi"), F.min("lo").alias("lo"), F.max("last").alias("last"), *[F.min(k).alias(k) for k in MARKS]))
+    by_range = saved(_gathered(ranges, nodes, top))
     of = ranges.groupBy("signal_id").agg(*[F.first(c).alias(c) for c in ("token_id", "fired", "entry_price", "entry_liquidity")])
-    marks = F.explode(F.array_compact(F.array(*[F.when(F.col(k).isNotNull(), F.struct(F.lit(k).alias("mark"), F.col(f"{k}.level").alias("level"), F.col(f"{k}.node").alias("node"))) for k in MARKS]))).alias("m")
-    firsts = g.select("signal_id", marks).select("signal_id", "m.*").join(of, "signal_id")
+    g = saved(by_range.groupBy("signal_id").agg(F.max("hi").alias("best"), F.min("lo").alias("lo"), F.max("last").alias("last"), *[F.min(k).alias(k) for k in MARKS]).join(of, "signal_id"))
+    # The first block that holds the best price, in the first range that does.
+    peak = by_range.join(g.select("signal_id", "best"), "signal_id").where("hi = best").groupBy("signal_id", "best").agg(F.min("seg").alias("seg"))
+    peak = _looked(ranges.join(peak, ["signal_id", "seg"]), nodes, top, "best").where("hi = best").groupBy("signal_id").agg(F.min(_place()).alias("peak"))
+    places = F.explode(F.array_compact(F.array(*[F.when(F.col(k).isNotNull(), F.struct(F.lit(k).alias("mark"), F.col(k).alias("place"))) for k in (*MARKS, "peak")]))).alias("m")
+    firsts = g.join(peak, "signal_id", "left").select("signal_id", "token_id", "entry_price", "entry_liquidity", "best", places).select("*", "m.*")
     at = lambda k, c: F.min(F.when(F.col("mark") == k, F.col(c)))
-    found = _found(firsts, nodes, top).groupBy("signal_id").agg(*[at(k, "n").alias(f"{k}_at") for k in MARKS], *[at(k, "us").alias(f"{k}_us") for k in ("good", "major", "ten")])
-    out = g.join(of.select("signal_id", "fired", "entry_price"), "signal_id").join(found, "signal_id", "left")
+    found = _found(firsts, nodes, top).groupBy("signal_id").agg(*[at(k, "n").alias(f"{k}_at") for k in MARKS], *[at(k, "us").alias(f"{k}_us") for k in ("good", "major", "ten", "peak")])
+    out = _last_price(g, nodes).join(found, "signal_id", "left")
     # a comes before b, or b doesn't come: equal places are one point, which neither spoils nor is spoiled.
     free = lambda a, b: F.col(f"{a}_at").isNotNull() & (F.col(f"{b}_at").isNull() | (F.col(f"{a}_at") <= F.col(f"{b}_at")))
     label = F.when(free("gone", "good"), "hard_failure").when(free("major", "deep"), "major_win").when(free("good", "fall"), "good_win").when(free("small", "fall"), "small_win").when(free("deep", "good"), "failure").otherwise("neutral_pending")
@@ -155,19 +184,18 @@ def judged(signals: DataFrame, market: DataFrame) -> DataFrame:
     minutes = lambda us: F.round((us - F.col("fired")) / 60_000_000.0, 6)
     pct = lambda x: F.round((x / entry - 1) * 100, 6)
     return out.select(
-        "signal_id", label.alias("label"), pct(F.col("hi.price")).alias("max_upside_pct"), pct(F.col("lo")).alias("max_drawdown_pct"), pct(F.col("last.price")).alias("roi_pct"),
-        F.when(entry.isNotNull(), minutes(-F.col("hi.neg_us"))).alias("to_peak"), *[minutes(F.col(f"{k}_us")).alias(name) for k, name in (("good", "to_2x"), ("major", "to_5x"), ("ten", "to_10x"))],
+        "signal_id", label.alias("label"), pct(F.col("best")).alias("max_upside_pct"), pct(F.col("lo")).alias("max_drawdown_pct"), pct(F.col("last_price")).alias("roi_pct"),
+        F.when(entry.isNotNull(), minutes(F.col("peak_us"))).alias("to_peak"), *[minutes(F.col(f"{k}_us")).alias(name) for k, name in (("good", "to_2x"), ("major", "to_5x"), ("ten", "to_10x"))],
     )
 
 
 def horizon_slices(signals: DataFrame, market: DataFrame) -> DataFrame:
     """signal_id, horizon, max_upside_pct, max_drawdown_pct, roi_pct, for each horizon up to which a signal has a multiple."""
     ranges, nodes, top = _segments(signals, market)
-    entry = ranges.groupBy("signal_id").agg(F.first("entry_price").alias("entry_price")).where("entry_price > 0")
-    g = _gathered(ranges, nodes, top).select("signal_id", "seg", "hi", "lo", "last")
-    # A horizon holds the segments up to its own: at most six rows a signal.
+    of = ranges.groupBy("signal_id").agg(*[F.first(c).alias(c) for c in ("token_id", "entry_price")]).where("entry_price > 0")
+    # A horizon holds the ranges up to its own: at most six rows a signal.
     upto = F.explode(F.sequence("seg", F.lit(len(oc.HORIZONS) - 1))).alias("h")
-    g = g.select("signal_id", "hi", "lo", "last", upto).groupBy("signal_id", "h").agg(F.max("hi").alias("hi"), F.min("lo").alias("lo"), F.max("last").alias("last")).where("hi is not null")
+    g = _gathered(ranges, nodes, top, marks=False).select("signal_id", "hi", "lo", "last", upto).groupBy("signal_id", "h").agg(F.max("hi").alias("hi"), F.min("lo").alias("lo"), F.max("last").alias("last")).where("hi is not null")
     pct = lambda x: F.round((x / F.col("entry_price") - 1) * 100, 6)
     name = F.element_at(F.array(*[F.lit(k) for k in oc.HORIZONS]), F.col("h") + 1)
-    return g.join(entry, "signal_id").select("signal_id", name.alias("horizon"), pct(F.col("hi.price")).alias("max_upside_pct"), pct(F.col("lo")).alias("max_drawdown_pct"), pct(F.col("last.price")).alias("roi_pct"))
+    return _last_price(g.join(of, "signal_id"), nodes).select("signal_id", name.alias("horizon"), pct(F.col("hi")).alias("max_upside_pct"), pct(F.col("lo")).alias("max_drawdown_pct"), pct(F.col("last_price")).alias("roi_pct"))
