@@ -42,6 +42,8 @@ LOAD_BITS, PART_BITS = 20, 16
 BAND = 4
 #: 64-bit words of a bitmap.
 BITMAP = 16
+#: Bytes of text handled at once: less than elsewhere, as several arrays a word are held beside each other.
+CHUNK_BYTES = 1 << 19
 #: Documents of a tile that are compared with one another in one group.
 BLOCK = 1024
 #: Sets up to which a list of them is broadcast.
@@ -94,7 +96,7 @@ def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for c in ta.chunks(b.column(2), ta.PLAIN, lower=True):
+            for c in ta.chunks(b.column(2), ta.PLAIN, True, CHUNK_BYTES):
                 doc, shingle, at = _flat(c, n)
                 node = ta.mix(_sums(ta.mix(shingle), at)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([b.column(0)[c.lo : c.hi], b.column(1)[c.lo : c.hi], pa.array(np.diff(at)), pa.array(node), _blob(_bitmaps(doc, shingle, c.n))], ["doc_id", "row", "size", "node", "bits"])
@@ -112,7 +114,7 @@ def _loads(docs: DataFrame, n: int) -> np.ndarray:
 
         counts, some = np.zeros(1 << LOAD_BITS, np.uint8), False
         for b in batches:
-            for c in ta.chunks(b.column(0), ta.PLAIN, lower=True):
+            for c in ta.chunks(b.column(0), ta.PLAIN, True, CHUNK_BYTES):
                 at, more = np.unique(_flat(c, n)[1] >> np.uint64(64 - LOAD_BITS), return_counts=True)
                 at = at.astype(np.int64)
                 counts[at] = np.minimum(counts[at] + more, 255)
@@ -149,7 +151,7 @@ def _prefixes(docs: DataFrame, n: int, percent: int, shared: Broadcast) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for c in ta.chunks(b.column(0), ta.PLAIN, lower=True):
+            for c in ta.chunks(b.column(0), ta.PLAIN, True, CHUNK_BYTES):
                 doc, shingle, at = _flat(c, n)
                 size, node = np.diff(at), ta.mix(_sums(ta.mix(shingle), at))
                 # One document of each set.
@@ -233,7 +235,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, per
 
     def sets_of(text: pa.Array) -> list[np.ndarray]:
         out: list[np.ndarray] = []
-        for c in ta.chunks(text, ta.PLAIN, lower=True):
+        for c in ta.chunks(text, ta.PLAIN, True, CHUNK_BYTES):
             _, shingle, at = _flat(c, n)
             out.extend(np.split(shingle, at[1:-1]))
         return out
