@@ -224,3 +224,10 @@ def entity_bucket(x: Column) -> Column:
 
 def concentration_band(x: Column) -> Column:
     return F.when(x.isNull(), "unknown").when(x >= CONCENTRATION_HIGH, "high").when(x >= CONCENTRATION_MEDIUM, "medium").otherwise("low")
+
+
+def merged_leaves(base: Column, over: Column) -> Column:
+    """Two maps of leaves by path: over's stand for base's; a null map is an empty one."""
+    none = F.from_json(F.lit("{}"), "map<string,string>")
+    base, over = F.coalesce(base, none), F.coalesce(over, none)
+    return F.map_concat(F.map_filter(base, lambda k, _: ~F.map_contains_key(over, k)), over)

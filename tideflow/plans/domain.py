@@ -303,12 +303,21 @@ def bt_pass(spark: SparkSession, d: str) -> DataFrame:
     return s.join(oq.slices(spark, d).select("signal_id", "horizon", "roi_pct"), ["signal_id", "horizon"], "left").select("signal_id", "horizon", F.coalesce("roi_pct", F.lit(0.0)).alias("roi_pct"), notes.alias("notes"))
 
 
-@query("SELECT x AS request, (y <= 14 AND y >= 0) AS valid FROM (VALUES ('day', 1), ('fortnight', 14), ('month', 31), ('backwards', -1)) v(x, y)", views=False)
+@query("""SELECT signal_id, coalesce(to_ts, TIMESTAMP '2024-01-28') AS to_ts, coalesce(from_ts, coalesce(to_ts, TIMESTAMP '2024-01-28') - INTERVAL 14 DAY) AS from_ts, coalesce(step, 30) AS step,
+  CASE WHEN step <= 0 THEN 'step' WHEN coalesce(to_ts, TIMESTAMP '2024-01-28') < coalesce(from_ts, coalesce(to_ts, TIMESTAMP '2024-01-28') - INTERVAL 14 DAY) THEN 'backwards' WHEN epoch_us(coalesce(to_ts, TIMESTAMP '2024-01-28')) - epoch_us(coalesce(from_ts, coalesce(to_ts, TIMESTAMP '2024-01-28') - INTERVAL 14 DAY)) > 1209600000000 THEN 'too long' ELSE 'valid' END AS verdict
+  FROM (SELECT signal_id, CASE WHEN signal_id % 3 <> 0 THEN fired_at END AS from_ts, CASE WHEN signal_id % 4 <> 0 THEN fired_at + to_hours(48 * (signal_id % 11) - 48) END AS to_ts, CASE WHEN signal_id % 5 <> 0 THEN signal_id % 7 * 15 END AS step FROM signals)""")
 def bt_request(spark: SparkSession, d: str) -> DataFrame:
-    """Requests to replay: a window of 14 days at most, not backwards."""
-    span = F.datediff("to", "from")
-    rows = [("day", "2024-01-01", "2024-01-02"), ("fortnight", "2024-01-01", "2024-01-15"), ("month", "2024-01-01", "2024-02-01"), ("backwards", "2024-01-02", "2024-01-01")]
-    return spark.createDataFrame(rows, "request string, from string, to string").select("request", span.between(0, 14).alias("valid"))
+    """Requests to replay around each signal, some without an end, a start or a step: defaults filled in, and whether they hold.
+
+    A window ends now and starts 14 days before its end unless told otherwise, isn't longer than that and not backwards;
+    a step is above zero.
+    """
+    i = F.col("signal_id")
+    raw = p.signals(spark, d).select("signal_id", F.when(i % 3 != 0, F.col("fired_at")).alias("a"), F.when(i % 4 != 0, F.col("fired_at") + F.make_dt_interval(hours=48 * (i % 11).cast("int") - 48)).alias("b"), F.when(i % 5 != 0, i % 7 * 15).alias("s"))
+    to = F.coalesce("b", F.lit("2024-01-28 00:00:00").cast("timestamp_ntz"))
+    full = raw.withColumn("to_ts", to).withColumn("from_ts", F.coalesce("a", F.col("to_ts") - F.expr("INTERVAL 14 DAYS"))).withColumn("step", F.coalesce("s", F.lit(30)))
+    late = F.col("to_ts") > F.col("from_ts") + F.expr("INTERVAL 14 DAYS")
+    return full.select("signal_id", "to_ts", "from_ts", "step", F.when(F.col("step") <= 0, "step").when(F.col("to_ts") < F.col("from_ts"), "backwards").when(late, "too long").otherwise("valid").alias("verdict"))
 
 
 # ---- social, confluence, risks, alerts

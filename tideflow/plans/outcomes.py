@@ -93,24 +93,6 @@ def agg_rule_perf(spark: SparkSession, d: str) -> DataFrame:
     return dim.join(g, ["rule", "synthetic"], "left").select("rule", "synthetic", F.coalesce("signals", F.lit(0)).alias("signals"), "hit_50", "hit_2x", "median_return", "avg_return", "failure_rate")
 
 
-@query(_S + f", c AS (SELECT 'A' AS combo, * FROM ev2 WHERE rule = 'A' UNION ALL SELECT 'F', * FROM ev2 WHERE rule = 'F' UNION ALL SELECT 'A/B/F', * FROM ev2 WHERE rule IN ('A', 'B', 'F') UNION ALL SELECT 'A high', * FROM ev2 WHERE rule = 'A' AND severity IN ('HIGH', 'CRITICAL')) SELECT combo, {_SUM} FROM c GROUP BY 1")
-def agg_combo_perf(spark: SparkSession, d: str) -> DataFrame:
-    r, s = F.col("rule"), F.col("severity")
-    named = {"A": r == "A", "F": r == "F", "A/B/F": r.isin("A", "B", "F"), "A high": (r == "A") & s.isin("HIGH", "CRITICAL")}
-    combo = F.explode(F.array_compact(F.array(*[F.when(v, k) for k, v in named.items()])))
-    return _evaluated(spark, d).withColumn("combo", combo).groupBy("combo").agg(*oc.summary_columns())
-
-
-_BUCKETS = ", bk AS (SELECT e.*, CASE WHEN m.mcap IS NULL THEN 'unknown' WHEN m.mcap < 100000 THEN '<100k' WHEN m.mcap < 1000000 THEN '100k-1M' WHEN m.mcap < 5000000 THEN '1M-5M' ELSE '>5M' END AS mb, CASE WHEN m.liquidity IS NULL THEN 'unknown' WHEN m.liquidity < 20000 THEN '<20k' WHEN m.liquidity < 100000 THEN '20k-100k' ELSE '>100k' END AS lq FROM ev2 e JOIN market m ON m.point_id = e.signal_id)"
-
-
-@query(_S + _BUCKETS + f" SELECT mb AS mcap_bucket, lq AS liquidity_bucket, {_SUM} FROM bk GROUP BY 1, 2")
-def agg_bucket_perf(spark: SparkSession, d: str) -> DataFrame:
-    m = p.market(spark, d).select(F.col("point_id").alias("signal_id"), "mcap", "liquidity")
-    e = _evaluated(spark, d).join(m, "signal_id")
-    return e.groupBy(oc.mcap_bucket(F.col("mcap")).alias("mcap_bucket"), oc.liquidity_bucket(F.col("liquidity")).alias("liquidity_bucket")).agg(*oc.summary_columns())
-
-
 @query(_S + "(SELECT signal_id, roi_pct, 'best' AS side FROM ev2 WHERE roi_pct IS NOT NULL ORDER BY roi_pct DESC, signal_id LIMIT 6) UNION ALL (SELECT signal_id, roi_pct, 'worst' AS side FROM ev2 WHERE roi_pct IS NOT NULL ORDER BY roi_pct, signal_id LIMIT 6)")
 def srt_win_fail(spark: SparkSession, d: str) -> DataFrame:
     e = _evaluated(spark, d).where("roi_pct is not null").select("signal_id", "roi_pct")
@@ -194,7 +176,9 @@ def bt_replay_fires(spark: SparkSession, d: str) -> DataFrame:
     return _replayed(spark, d)
 
 
-@query("SELECT t FROM generate_series(TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-25', INTERVAL 3 DAY) x(t) UNION SELECT TIMESTAMP '2024-01-25'")
+@query("""SELECT token_id, greatest(lo, least(x.t, hi)) AS t FROM (SELECT token_id, min(ts) AS lo, max(ts) AS hi FROM trades GROUP BY 1) e, unnest(generate_series(lo, hi, INTERVAL 3 DAY)) x(t) UNION SELECT token_id, max(ts) FROM trades GROUP BY 1""")
 def fn_step_series(spark: SparkSession, d: str) -> DataFrame:
-    s = spark.range(1).select(F.explode(F.expr("sequence(TIMESTAMP_NTZ '2024-01-05 00:00:00', TIMESTAMP_NTZ '2024-01-25 00:00:00', INTERVAL 3 DAYS)")).alias("t"))
-    return s.union(spark.range(1).select(F.expr("TIMESTAMP_NTZ '2024-01-25 00:00:00'"))).distinct()
+    """Steps of three days from each token's first trade to its last, which is always one."""
+    e = p.trades(spark, d).groupBy("token_id").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    steps = F.array_union(F.expr("sequence(lo, hi, INTERVAL 3 DAYS)"), F.array("hi"))
+    return e.select("token_id", F.explode(steps).alias("t"))

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tideflow.functions import scalar as sc
 from tideflow.operators import outcome_index as ix
+from tideflow.operators import outcomes as oc
 from tideflow.operators import replay as rp
 from tideflow.operators import temporal as tm
 from tideflow.operators import token_window as tw
 from tideflow.plans import flows
+from tideflow.plans import outcomes as oq
 from tideflow.plans.registry import query
 from tideflow.settings import validated
 from tideflow.sources import projection as p
@@ -178,7 +183,7 @@ def _hits(fires: DataFrame, market: DataFrame) -> DataFrame:
     at = saved(fires.select("token_id", "t").distinct())
     told = at.withColumn("signal_id", F.struct("token_id", "t")).withColumn("fired_at", F.col("t"))
     priced = tm.asof(told, market.withColumn("entry_price", F.col("price")), ["token_id"], "fired_at", "ts", "point_id", ["entry_price"])
-    got = ix.judged(priced, market).select("signal_id.token_id", "signal_id.t", "label", "roi_pct", (F.coalesce(F.col("max_upside_pct"), F.lit(0.0)) >= 100).alias("hit"))
+    got = ix.judged(priced, market).select("signal_id.token_id", "signal_id.t", "label", "roi_pct", "max_upside_pct", "max_drawdown_pct", (F.coalesce(F.col("max_upside_pct"), F.lit(0.0)) >= 100).alias("hit"))
     return fires.join(got, ["token_id", "t"], "left").na.fill("neutral_pending", ["label"]).na.fill(False, ["hit"])
 
 
@@ -187,7 +192,8 @@ def _hit_sql(fires: str, points: str) -> str:
     return f""",
 fa AS (SELECT x.token_id, x.t, (SELECT arg_max(price, (ts, point_id)) FROM {points} m WHERE m.token_id = x.token_id AND m.ts <= x.t) AS entry FROM (SELECT DISTINCT token_id, t FROM {fires}) x),
 hp AS (SELECT a.token_id, a.t, m.ts, m.point_id, CASE WHEN entry > 0 THEN price / entry END AS multiple, m.liquidity FROM fa a JOIN {points} m ON m.token_id = a.token_id AND m.ts >= a.t AND epoch_us(m.ts) - epoch_us(a.t) <= 604800000000),
-ht AS (SELECT token_id, t, coalesce(round((max(multiple) - 1) * 100, 6) >= 100, false) AS hit, round((arg_max(multiple, (ts, point_id)) FILTER (multiple IS NOT NULL) - 1) * 100, 6) AS roi_pct FROM hp GROUP BY 1, 2)"""
+ht AS (SELECT token_id, t, coalesce(round((max(multiple) - 1) * 100, 6) >= 100, false) AS hit, round((arg_max(multiple, (ts, point_id)) FILTER (multiple IS NOT NULL) - 1) * 100, 6) AS roi_pct,
+  round((max(multiple) - 1) * 100, 6) AS max_upside_pct, round((min(multiple) - 1) * 100, 6) AS max_drawdown_pct FROM hp GROUP BY 1, 2)"""
 
 
 _EVAL = _FIRES + _hit_sql("fr", "market") + """,
@@ -204,6 +210,75 @@ def bt_replay_eval(spark: SparkSession, d: str) -> DataFrame:
     return _hits(fires, p.market(spark, d)).select("token_id", "rule", "t", "label", "roi_pct", "hit")
 
 
+_METRICS = _EVAL + f""",
+em AS (SELECT fr.rule, fr.token_id, fr.t, coalesce(label, 'neutral_pending') AS label, roi_pct, max_upside_pct, max_drawdown_pct, g.entities, g.sold_pct, g.current_mcap, g.liquidity, CASE WHEN g.smart > 0 THEN g.largest_cluster / g.smart END AS share
+  FROM fr LEFT JOIN lb USING (token_id, t) LEFT JOIN ht USING (token_id, t) LEFT JOIN agg g ON g.token_id = fr.token_id AND g.t = fr.t AND g.minutes = CASE WHEN rule IN ('B', 'F', 'G') THEN 1440 ELSE 30 END)"""
+
+
+def _measured(spark: SparkSession, d: str) -> DataFrame:
+    """Replayed fires with what became of them and what their rule's window held."""
+    w = saved(_windows(spark, d, GRID))
+    fires = _hits(rp.replayed_fires(_rules(spark, d, w)), p.market(spark, d))
+    share = F.when(F.col("smart") > 0, F.col("largest_cluster") / F.col("smart")).alias("share")
+    of = w.select("token_id", "t", "minutes", "entities", "sold_pct", "current_mcap", "liquidity", share)
+    return fires.withColumn("minutes", F.when(F.col("rule").isin("B", "F", "G"), 1440).otherwise(30)).join(of, ["token_id", "t", "minutes"], "left")
+
+
+_SUM = oq._SUM
+_COMBOS = ("A", "A+B", "A+C", "A+entityAdjusted", "A+lowSellPressure", "F", "F+clusterConf", "A/B/F")
+_PAIRED = "EXISTS (SELECT 1 FROM em o WHERE o.rule = '{}' AND o.token_id = em.token_id AND abs(epoch_us(o.t) - epoch_us(em.t)) <= 86400000000)"
+
+
+@query(_METRICS + f""", cb AS (SELECT * FROM (SELECT em.*, unnest(list_filter([CASE WHEN rule = 'A' THEN 'A' END, CASE WHEN rule = 'A' AND {_PAIRED.format("B")} THEN 'A+B' END, CASE WHEN rule = 'A' AND {_PAIRED.format("C")} THEN 'A+C' END, CASE WHEN rule = 'A' AND entities >= 1 THEN 'A+entityAdjusted' END,
+  CASE WHEN rule = 'A' AND sold_pct < 30 THEN 'A+lowSellPressure' END, CASE WHEN rule = 'F' THEN 'F' END, CASE WHEN rule IN ('A', 'B', 'F') THEN 'A/B/F' END], lambda x: x IS NOT NULL)) AS combo FROM em)),
+sm AS (SELECT combo, {_SUM} FROM cb GROUP BY 1)
+SELECT n.combo, coalesce(signals, 0) AS signals, hit_50, hit_2x, hit_5x, median_return, avg_return, max_upside, max_drawdown, failure_rate, hard_failure_rate FROM (SELECT unnest([{", ".join(repr(c) for c in _COMBOS)}]) AS combo) n LEFT JOIN sm USING (combo)""")
+def agg_combo_perf(spark: SparkSession, d: str) -> DataFrame:
+    """Outcomes of eight combinations of replayed fires, those without any too.
+
+    A fire of rule A is paired with another rule's of its token within a day to either side. Replayed fires carry no
+    confidence of a rotation, so F+clusterConf has none.
+    """
+    e = saved(_measured(spark, d))
+    day, gap = 86_400_000_000, F.abs(F.unix_micros(F.col("t").cast("timestamp")) - F.unix_micros(F.col("other_t").cast("timestamp")))
+    bucket = F.floor(F.unix_micros(F.col("t").cast("timestamp")) / day)
+    near = F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("b")
+    others = e.where("rule in ('B', 'C')").select("token_id", F.col("rule").alias("other"), F.col("t").alias("other_t"), bucket.alias("b"))
+    paired = e.where("rule = 'A'").select("token_id", "t", near).join(others, ["token_id", "b"]).where(gap <= day).groupBy("token_id", "t").agg(F.collect_set("other").alias("others"))
+    a, cfg = F.col("rule") == "A", SCALED["rules"]["A"]
+    said = {
+        "A": a,
+        "A+B": a & F.array_contains("others", "B"),
+        "A+C": a & F.array_contains("others", "C"),
+        "A+entityAdjusted": a & (F.col("entities") >= math.ceil(cfg["watch_min_wallets"] / 2)),
+        "A+lowSellPressure": a & (F.col("sold_pct") < cfg["max_sold_pct"] / 2),
+        "F": F.col("rule") == "F",
+        "A/B/F": F.col("rule").isin("A", "B", "F"),
+    }
+    named = F.explode(F.array_compact(F.array(*[F.when(v, k) for k, v in said.items()]))).alias("combo")
+    g = e.join(paired, ["token_id", "t"], "left").select("*", named).groupBy("combo").agg(*oc.summary_columns())
+    every = spark.createDataFrame([(c,) for c in _COMBOS], "combo string")
+    return F.broadcast(every).join(g, "combo", "left").withColumn("signals", F.coalesce("signals", F.lit(0)))
+
+
+_BUCKETS = {"mcapAtTrigger": ("<100k", "100k-1M", "1M-5M", ">5M", "unknown"), "liquidity": ("<20k", "20k-100k", ">100k", "unknown"), "uniqueEntityCount": ("1-4", "5-14", "15+"), "clusterConcentration": ("low", "medium", "high", "unknown")}
+_BUCKET_ROWS = [(k, b) for k, bs in _BUCKETS.items() for b in bs]
+
+
+@query(_METRICS + f""", bb AS (SELECT em.*, unnest([struct_pack(d := 'mcapAtTrigger', b := CASE WHEN current_mcap IS NULL THEN 'unknown' WHEN current_mcap < 100000 THEN '<100k' WHEN current_mcap < 1000000 THEN '100k-1M' WHEN current_mcap < 5000000 THEN '1M-5M' ELSE '>5M' END),
+  struct_pack(d := 'liquidity', b := CASE WHEN liquidity IS NULL THEN 'unknown' WHEN liquidity < 20000 THEN '<20k' WHEN liquidity < 100000 THEN '20k-100k' ELSE '>100k' END), struct_pack(d := 'uniqueEntityCount', b := CASE WHEN entities < 1 THEN NULL WHEN entities <= 4 THEN '1-4' WHEN entities <= 14 THEN '5-14' ELSE '15+' END),
+  struct_pack(d := 'clusterConcentration', b := CASE WHEN share IS NULL THEN 'unknown' WHEN share >= 0.66::DOUBLE THEN 'high' WHEN share >= 0.33::DOUBLE THEN 'medium' ELSE 'low' END)]) AS x FROM em),
+sm AS (SELECT x.d AS dimension, x.b AS bucket, {_SUM} FROM bb GROUP BY 1, 2)
+SELECT dimension, bucket, coalesce(signals, 0) AS signals, hit_50, hit_2x, hit_5x, median_return, avg_return, max_upside, max_drawdown, failure_rate, hard_failure_rate FROM (VALUES {", ".join(str(r) for r in _BUCKET_ROWS)}) n(dimension, bucket) LEFT JOIN sm USING (dimension, bucket)""")
+def agg_bucket_perf(spark: SparkSession, d: str) -> DataFrame:
+    """Outcomes of replayed fires by market value, liquidity, entities and the largest cluster's share, empty buckets too."""
+    of = {"mcapAtTrigger": oc.mcap_bucket(F.col("current_mcap")), "liquidity": oc.liquidity_bucket(F.col("liquidity")), "uniqueEntityCount": sc.entity_bucket(F.col("entities")), "clusterConcentration": sc.concentration_band(F.col("share"))}
+    named = F.explode(F.array(*[F.struct(F.lit(k).alias("dimension"), v.alias("bucket")) for k, v in of.items()])).alias("x")
+    g = _measured(spark, d).select("*", named).groupBy("x.dimension", "x.bucket").agg(*oc.summary_columns())
+    every = spark.createDataFrame(_BUCKET_ROWS, "dimension string, bucket string")
+    return F.broadcast(every).join(g, ["dimension", "bucket"], "left").withColumn("signals", F.coalesce("signals", F.lit(0)))
+
+
 def _tune_sql(points: str) -> str:
     rows = ", ".join(f"({i}, '{d}', CAST({v} AS DOUBLE))" for i, (d, v) in enumerate([("base", 0.0)] + [(d, v) for d, (values, _) in TUNED.items() for v in values]))
     return f""", sg AS (SELECT * FROM (VALUES {rows}) v(i, dimension, value)),

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tideflow.functions import scalar as sc
 from tideflow.operators import social
 from tideflow.plans.registry import query
-from tideflow.settings import deep_merge
 from tideflow.sources import projection as p
 
 NOW = "2024-02-01 00:00:00"
@@ -305,22 +304,16 @@ def fn_type_guard(spark: SparkSession, d: str) -> DataFrame:
     return _each(spark, d, kind=sc.json_kind(_metric(), "$.x"))
 
 
-_BASE, _OVER = {"rules": {"A": {"n": 20, "on": True}, "B": {"n": 4}}, "windows": [60, 360], "name": "x"}, {"rules": {"A": {"n": 25}}, "windows": [15]}
 
 
-@query("""WITH m AS (SELECT json_merge_patch('{"rules": {"A": {"n": 20, "on": true}, "B": {"n": 4}}, "windows": [60, 360], "name": "x"}', '{"rules": {"A": {"n": 25}}, "windows": [15]}') AS j)
-SELECT path, json_extract_string(j, '$.' || path) AS value FROM m, (SELECT unnest(['rules.A.n', 'rules.A.on', 'rules.B.n', 'windows', 'name']) AS path)""", views=False)
+@query(_E + """, m AS (SELECT event_id, json_merge_patch('{"rules": {"A": {"n": 20, "on": true}, "B": {"n": 4}}, "name": "x"}', '{"rules": {"' || CASE WHEN k % 2 = 0 THEN 'A' ELSE 'C' END || '": {"n": ' || k || '}}}') AS j FROM e)
+SELECT event_id, path, json_extract_string(j, '$.' || path) AS value FROM m, (SELECT unnest(['rules.A.n', 'rules.A.on', 'rules.B.n', 'rules.C.n', 'name']) AS path) WHERE json_extract_string(j, '$.' || path) IS NOT NULL""")
 def fn_deep_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Settings are merged on the driver; the result as a small table."""
-    import json
-
-    def flat(x: dict, at: str = "") -> list[tuple[str, str]]:
-        out = []
-        for k, v in x.items():
-            out += flat(v, f"{at}{k}.") if isinstance(v, dict) else [(f"{at}{k}", v if isinstance(v, str) else json.dumps(v, separators=(",", ":")))]
-        return out
-
-    return spark.createDataFrame(flat(deep_merge(_BASE, _OVER)), "path string, value string")
+    """Each event's overrides merged into the base settings, by leaf: a leaf of the override stands for the base's."""
+    base = F.from_json(F.lit('{"rules.A.n": "20", "rules.A.on": "true", "rules.B.n": "4", "name": "x"}'), "map<string,string>")
+    name = F.concat(F.lit("rules."), F.when(F.col("k") % 2 == 0, "A").otherwise("C"), F.lit(".n"))
+    merged = sc.merged_leaves(base, F.create_map(name, F.col("k").cast("string")))
+    return _each(spark, d, m=merged).select("event_id", F.explode("m").alias("path", "value"))
 
 
 # ---- bands
