@@ -190,9 +190,3 @@ def signal_status(fired: dict[str, Column], score: Column, volume_30m: Column) -
     """Exit signs come before rotation, rotation before accumulation; then dead or watching."""
     any_ = reduce(lambda a, b: a | b, [fired[k] for k in "ABCDE" if k in fired])
     return F.when(fired["G"], "distribution").when(fired.get("F", F.lit(False)), "rotation").when(any_, "accumulating").when((score < 10) & (volume_30m == 0), "dead").otherwise("watching")
-
-
-def rules_all(agg: DataFrame, cfg: dict[str, Any] | None = None) -> DataFrame:
-    """token_id, rule, fired: one row a token and rule."""
-    fired = rules(cfg)
-    return agg.select("token_id", F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), v.alias("fired")) for k, v in fired.items()])).alias("r")).select("token_id", "r.rule", "r.fired")

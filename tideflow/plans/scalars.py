@@ -304,8 +304,6 @@ def fn_type_guard(spark: SparkSession, d: str) -> DataFrame:
     return _each(spark, d, kind=sc.json_kind(_metric(), "$.x"))
 
 
-
-
 @query(_E + """, m AS (SELECT event_id, json_merge_patch('{"rules": {"A": {"n": 20, "on": true}, "B": {"n": 4}}, "name": "x"}', '{"rules": {"' || CASE WHEN k % 2 = 0 THEN 'A' ELSE 'C' END || '": {"n": ' || k || '}}}') AS j FROM e)
 SELECT event_id, path, json_extract_string(j, '$.' || path) AS value FROM m, (SELECT unnest(['rules.A.n', 'rules.A.on', 'rules.B.n', 'rules.C.n', 'name']) AS path) WHERE json_extract_string(j, '$.' || path) IS NOT NULL""")
 def fn_deep_merge(spark: SparkSession, d: str) -> DataFrame:
