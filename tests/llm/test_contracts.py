@@ -216,6 +216,26 @@ def test_quality_counts(docs: DataFrame, texts: dict) -> None:
     assert not any(r["kept"] and r["base_failed"] for r in got.values())
 
 
+def test_quality_fences_are_rates_where_nobody_has_any(spark: SparkSession) -> None:
+    """With quantiles of 0, a long text with few symbols, repeated lines and windows stays; short ones full of them go."""
+    plain = lambda i, n: [f"{j:0{9 + i % 9}d}" for j in range(n)]
+    rows = [(i, "en", "web", " ".join(plain(i, 150 + i))) for i in range(100)]
+    rows += [
+        (1000, "en", "web", " ".join(plain(1000, 100_000) + ["%"] * 3 + ["ten % % % % % % %"])),
+        (1001, "en", "web", " ".join(plain(1001, 60) + ["%%%%%"] * 2 + ["&&&&"] * 4)),
+        (1002, "en", "web", "\n".join([" ".join(plain(1002, 120))] + ["one line"] * 21)),
+        (1003, "en", "web", " ".join(plain(1003, 130) + ["again and over"] * 20)),
+        (1004, "en", "web", " ".join(plain(1004, 20_000)) + "\nsame line" * 12),
+    ]
+    docs = spark.createDataFrame([(i, text, lang, source) for i, lang, source, text in rows], "doc_id long, text string, lang string, source string")
+    stats = by_id(quality_rules.measured(docs))
+    assert stats[1000]["n_symbols"] == 10 and stats[1004]["n_dup_lines"] == 11
+    got = by_id(quality_rules.quality(docs))
+    assert not any(got[i]["base_failed"] for i in (1000, 1001, 1002, 1003, 1004))
+    assert all(got[i]["kept"] for i in range(100)) and got[1000]["kept"] and got[1004]["kept"]
+    assert not got[1001]["kept"] and not got[1002]["kept"] and not got[1003]["kept"]
+
+
 def test_quality_cutoffs_follow_the_documents(spark: SparkSession) -> None:
     rng = random.Random(4)
     # Of one source no document has symbols, of the other each has one a four words; long words are common in the other, too.

@@ -3,11 +3,12 @@
 Statistics of each text: words, characters in words, symbols, repeated lines, words in repeated three-word windows. Their
 fences come from mergeable KLL sketches for each language and source, which tasks build and a shuffle of sketches merges;
 no fixed cutoff takes part. Most documents have rates of nothing, so that quartiles tell nothing of them: a rate's fence
-lies FENCE times the distance of median and 0.9 quantile beyond the latter, and a document is beyond it only if its
-count is by more than ERRORS standard errors of a count (one repeated line is no outlier where nobody repeats any). The
-mean word length has a fence on each side, FENCE interquartile ranges beyond the quartile. All fences are shrunk to
-their language's (the same sketches merged), which weighs as much as PRIOR documents. The statistics are joined with the
-fences and filtered.
+lies FENCE times the distance of median and 0.9 quantile beyond the latter. Where these are 0, all they tell is that a
+document of the group's median length has fewer than one, so that one a median length is the least fence: a rate, which
+a long text with few symbols stays below. A document is beyond a fence only if its count is by more than ERRORS standard
+errors of a count (one repeated line is no outlier where nobody repeats any). The mean word length has a fence on each
+side, FENCE interquartile ranges beyond the quartile. All fences are shrunk to their language's (the same sketches
+merged), which weighs as much as PRIOR documents. The statistics are joined with the fences and filtered.
 
 DataFrame functions only; the words of a text are compared inside its row, so no word leaves its task. Windows are
 compared by 64-bit hashes inside one text. Null texts have no words; null languages and sources are groups of their own.
@@ -75,14 +76,15 @@ def with_rates(stats: DataFrame) -> DataFrame:
 
 def fences(stats: DataFrame) -> DataFrame:
     """lang, source, and the fences max_<rate>, min_word_length, max_word_length: one row a language and source."""
-    names = [*RATES, "word_length"]
-    sketched = checkpointed(stats.groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(x, SKETCH_K).alias(x) for x in names]))
+    names = [*RATES, "word_length", "n_words"]
+    sketched = checkpointed(stats.groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(F.col(x).cast("double"), SKETCH_K).alias(x) for x in names]))
 
     def limits() -> list[Column]:
         def quantile(x: str, q: float) -> Column:
             return F.kll_sketch_get_quantile_double(x, F.lit(q))
 
-        upper = [(quantile(x, 0.9) + FENCE * (quantile(x, 0.9) - quantile(x, 0.5))).alias(f"max_{x}") for x in RATES]
+        least = F.lit(1.0) / F.greatest(quantile("n_words", 0.5), F.lit(1.0))
+        upper = [F.greatest(quantile(x, 0.9) + FENCE * (quantile(x, 0.9) - quantile(x, 0.5)), weight * least).alias(f"max_{x}") for x, (_, weight) in RATES.items()]
         lo, hi = quantile("word_length", 0.25), quantile("word_length", 0.75)
         return [*upper, (hi + FENCE * (hi - lo)).alias("max_word_length"), (lo - FENCE * (hi - lo)).alias("min_word_length")]
 
@@ -90,7 +92,7 @@ def fences(stats: DataFrame) -> DataFrame:
     by_lang = small_or_shuffled(checkpointed(by_lang.select(F.col("lang").alias("of"), F.struct(*limits()).alias("wide"))))
     own = sketched.select("lang", "source", (F.col("n") / (F.col("n") + PRIOR)).alias("weight"), F.struct(*limits()).alias("own"))
     both = own.join(by_lang, F.col("lang").eqNullSafe(F.col("of")), "left")
-    fenced = [*[f"max_{x}" for x in names], "min_word_length"]
+    fenced = [*[f"max_{x}" for x in (*RATES, "word_length")], "min_word_length"]
     return checkpointed(both.select("lang", "source", *[(F.col("weight") * F.col(f"own.{x}") + (1 - F.col("weight")) * F.col(f"wide.{x}")).alias(x) for x in fenced]))
 
 
