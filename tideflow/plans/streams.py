@@ -24,7 +24,7 @@ def _trades(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT token_id, count(*) AS n FROM trades WHERE ts >= TIMESTAMP '2024-01-01' GROUP BY 1")
 def st_cursor(spark: SparkSession, d: str) -> DataFrame:
     """Counts that each run adds to: the checkpoint keeps what was read."""
-    t = jobs.Table(spark, "counts")
+    t = jobs.Table(spark, "counts", ["token_id"])
     run = jobs.into(t, jobs.added(["token_id"], ["n"]), of=lambda s: s.select("token_id", F.lit(1).cast("long").alias("n")))
     jobs.drip(spark, _parts(_trades(spark, d), "ts"), run)
     return t.read()
@@ -33,7 +33,7 @@ def st_cursor(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT trade_id, wallet_id, usd::DOUBLE AS usd FROM trades WHERE ts >= TIMESTAMP '2024-01-01'")
 def st_idempotent(spark: SparkSession, d: str) -> DataFrame:
     """Every part comes twice; natural keys leave each row once."""
-    t = jobs.Table(spark, "trades")
+    t = jobs.Table(spark, "trades", ["trade_id"])
     parts = [x for part in _parts(_trades(spark, d).select("trade_id", "wallet_id", "usd", "ts"), "ts") for x in (part, part)]
     jobs.drip(spark, parts, jobs.into(t, jobs.inserted(["trade_id"])))
     return t.read().select("trade_id", "wallet_id", "usd")
@@ -42,7 +42,7 @@ def st_idempotent(spark: SparkSession, d: str) -> DataFrame:
 @query(", l AS (SELECT token_id, max(date_trunc('hour', ts)) AS last FROM trades WHERE ts >= TIMESTAMP '2024-01-01' GROUP BY 1) SELECT token_id, CAST(sum(usd) FILTER (action = 'BUY') AS DOUBLE) AS buy_usd, count(*) AS n FROM trades JOIN l USING (token_id) WHERE ts >= TIMESTAMP '2024-01-01' AND date_trunc('hour', ts) > last - INTERVAL 24 HOUR GROUP BY 1")
 def st_window_anchored(spark: SparkSession, d: str) -> DataFrame:
     """The last 24 whole hours up to each token's latest trade, from hourly sums that the runs keep."""
-    t = jobs.Table(spark, "hours")
+    t = jobs.Table(spark, "hours", ["token_id", "hour"])
     hourly = lambda s: s.select("token_id", F.date_trunc("hour", "ts").alias("hour"), F.when(F.col("action") == "BUY", F.col("usd").cast("decimal(20,4)")).alias("buy_usd"), F.lit(1).cast("long").alias("n"))
     jobs.drip(spark, _parts(_trades(spark, d), "ts"), jobs.into(t, lambda old, new: jobs.added(["token_id", "hour"], ["buy_usd", "n"])(None if old is None else old.withColumn("buy_usd", F.col("buy_usd").cast("decimal(38,4)")), new.withColumn("buy_usd", F.col("buy_usd").cast("decimal(38,4)"))).withColumn("buy_usd", F.col("buy_usd").cast("decimal(38,4)")), of=hourly))
     h = t.read()
@@ -66,7 +66,7 @@ def st_trailing(spark: SparkSession, d: str) -> DataFrame:
 SELECT token_id, rule, ts FROM (WITH RECURSIVE f AS (SELECT token_id, rule, min(fired_at) AS ts FROM e GROUP BY ALL UNION ALL SELECT f.token_id, f.rule, (SELECT min(fired_at) FROM e s WHERE s.token_id = f.token_id AND s.rule = f.rule AND s.fired_at >= f.ts + INTERVAL 24 HOUR) FROM f WHERE f.ts IS NOT NULL) SELECT * FROM f) WHERE ts IS NOT NULL""")
 def st_dedupe_24h(spark: SparkSession, d: str) -> DataFrame:
     """Fires that no kept one of their token and rule precedes by less than a day."""
-    t = jobs.Table(spark, "fires")
+    t = jobs.Table(spark, "fires", ["id"])
     s = p.signals(spark, d).select("token_id", "rule", F.col("signal_id").alias("id"), "fired_at")
     run = jobs.into(t, jobs.inserted(["id"]), of=lambda x: jobs.gated(x, ["token_id", "rule"], "fired_at", 1440, F.lit(-1)).where("passed"))
     jobs.drip(spark, _parts(s, "fired_at"), run)
@@ -77,7 +77,7 @@ def st_dedupe_24h(spark: SparkSession, d: str) -> DataFrame:
 SELECT signal_id, before IS NULL OR epoch_us(fired_at) - epoch_us(before) >= 7200000000 OR (severity = 'CRITICAL' AND was <> 'CRITICAL') AS passed FROM a""")
 def st_cooldown(spark: SparkSession, d: str) -> DataFrame:
     """Alerts after two hours without one of their token and rule, or on the first critical one."""
-    t = jobs.Table(spark, "alerts")
+    t = jobs.Table(spark, "alerts", ["id"])
     s = p.signals(spark, d).select("token_id", "rule", F.col("signal_id").alias("id"), "fired_at", "severity")
     run = jobs.into(t, jobs.inserted(["id"]), of=lambda x: jobs.gated(x, ["token_id", "rule"], "fired_at", 120, (F.col("severity") == "CRITICAL").cast("int")))
     jobs.drip(spark, _parts(s, "fired_at"), run)
@@ -87,7 +87,7 @@ def st_cooldown(spark: SparkSession, d: str) -> DataFrame:
 @query(" SELECT token_id, date_trunc('day', ts) + INTERVAL 1 DAY AS until, count(*) AS n FROM trades WHERE ts >= TIMESTAMP '2024-01-01' AND (ts >= TIMESTAMP '2024-01-05' OR trade_id % 5 <> 0) GROUP BY ALL".replace(" SELECT", "SELECT", 1))
 def st_late(spark: SparkSession, d: str) -> DataFrame:
     """Daily counts; rows that come two days or more after their day has ended are dropped. Here every fifth of the first days comes last."""
-    t = jobs.Table(spark, "daily")
+    t = jobs.Table(spark, "daily", ["token_id", "until"])
     early = (F.col("ts") < F.lit("2024-01-05 00:00:00").cast("timestamp_ntz")) & (F.col("trade_id") % 5 == 0)
     rows = _trades(spark, d)
     parts = [*_parts(rows.where(~early), "ts"), rows.where(early)]
