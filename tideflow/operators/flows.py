@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,12 +36,18 @@ def aggregate_edges(edges: DataFrame, per_node: int = 500) -> DataFrame:
 
 
 def bridge_candidates(edges: DataFrame, minutes: int = 60, ratio: float = 0.95) -> DataFrame:
-    """Deposit and withdrawal pairs of one asset and protocol (null protocols match), near in time either way and alike in value."""
+    """Deposit and withdrawal pairs of one asset and protocol (null protocols match), near in time either way and alike in value.
+
+    Legs meet in buckets of the logarithm of their value, too, so that all legs of a hot asset don't.
+    """
     cols = lambda side: [F.col("asset"), F.coalesce("protocol", F.lit("")).alias("protocol"), F.col("edge_id").alias(f"{side}_id"), F.col("usd").alias(f"{side}_usd"), F.col("ts").alias(f"{side}_ts"), F.col("src").alias(f"{side}_src"), F.col("dst").alias(f"{side}_dst")]
-    dep = edges.where("action = 'bridge_deposit'").select(*cols("dep"))
-    wd = edges.where("action = 'bridge_withdrawal'").select(*cols("wd"))
-    keys = ["asset", "protocol"]
-    both = within(dep, wd, keys, "dep_ts", "wd_ts", minutes * 60).unionByName(within(wd, dep, keys, "wd_ts", "dep_ts", minutes * 60)).dropDuplicates(["dep_id", "wd_id"])
+    # A little wider than the ratio, so that rounding at a bucket's edge loses no pair.
+    size = F.floor(F.log(F.col("usd").cast("double")) / (-math.log(ratio) * (1 + 1e-9))).cast("long")
+    paid = edges.where("usd > 0")
+    dep = paid.where("action = 'bridge_deposit'").select(*cols("dep"), F.explode(F.array(size - 1, size, size + 1)).alias("size"))
+    wd = paid.where("action = 'bridge_withdrawal'").select(*cols("wd"), size.alias("size"))
+    keys = ["asset", "protocol", "size"]
+    both = within(dep, wd, keys, "dep_ts", "wd_ts", minutes * 60).unionByName(within(wd, dep, keys, "wd_ts", "dep_ts", minutes * 60)).drop("size").dropDuplicates(["dep_id", "wd_id"])
     r = F.least("dep_usd", "wd_usd").cast("double") / F.when(F.greatest("dep_usd", "wd_usd") > 0, F.greatest("dep_usd", "wd_usd")).cast("double")
     return both.withColumn("ratio", r).where(F.col("ratio") >= ratio)
 
@@ -52,20 +59,25 @@ def mutual_best(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("x", F.row_number().over(a)).withColumn("y", F.row_number().over(b)).where("x = 1 and y = 1").drop("x", "y")
 
 
-def greedy_match(pairs: DataFrame, rounds: int = 1000) -> DataFrame:
+def greedy_match(pairs: DataFrame) -> DataFrame:
     """dep_id, wd_id, ratio: one-to-one by ratio, then ids.
 
     Each round keeps the pairs that are the best of both ends and takes both ends out. A best pair of both ends is what the
     greedy walk would take whatever it took before, so the rounds end in the same matching, without a walk over a group.
+    While pairs are left the best of all is one of them, so the rounds end by themselves. Rounds are merged like the digits
+    of a binary number, so that the plan grows with the logarithm of their number.
     """
-    left, kept = saved(pairs.select("dep_id", "wd_id", "ratio")), None
-    for _ in range(rounds):
+    left, kept = saved(pairs.select("dep_id", "wd_id", "ratio")), []
+    while True:
         best = saved(mutual_best(left))
         if not best.limit(1).count():
-            return left.limit(0) if kept is None else kept
-        kept = best if kept is None else kept.unionByName(best)
+            return reduce(DataFrame.unionByName, [df for _, df in kept], left.limit(0))
         left = saved(left.join(best.select("dep_id"), "dep_id", "left_anti").join(best.select("wd_id"), "wd_id", "left_anti").select("dep_id", "wd_id", "ratio"))
-    raise RuntimeError(f"pairs were left after {rounds} rounds")
+        rounds = 1
+        while kept and kept[-1][0] == rounds:
+            best = saved(kept.pop()[1].unionByName(best))
+            rounds *= 2
+        kept.append((rounds, best))
 
 
 def rotations(exits: DataFrame, transfers: DataFrame, buys: DataFrame, min_profit: float = 500.0, hours: int = 24, low: float = 80.0, high: float = 105.0, buy_minutes: int = 60, mcap_max: float = 5000000.0) -> DataFrame:
