@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideflow.operators import flows as fl
+from tideflow.operators import graph_search as gs
 from tideflow.operators import pnl
 from tideflow.operators import temporal as tm
 from tideflow.plans.pnl import _FIFO as FIFO
@@ -263,6 +264,23 @@ def graph_bfs_budget(spark: SparkSession, d: str) -> DataFrame:
     return fl.frontier(p.edges(spark, d), 3, 3, 100.0, p.registry(spark, d), max_nodes=40)
 
 
+def _best_first(spark: SparkSession, d: str) -> gs.Found:
+    return gs.best_first(fl.aggregate_edges(p.edges(spark, d), 10**9), 3, 3, 100, 40, 60, mode="CAPITAL_FLOW", closed=p.registry(spark, d))
+
+
+@query()
+def graph_best_first(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes of a search that takes the most valuable edge of all branches first, within 40 nodes and 60 edges."""
+    f = _best_first(spark, d)
+    return f.nodes.select("node", "depth", "confidence", F.col("sent_usd").cast("double").alias("sent_usd"), F.col("received_usd").cast("double").alias("received_usd"), "txs", F.lit(f.truncated).alias("truncated"))
+
+
+@query()
+def graph_best_first_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The edges of the same search, assets merged."""
+    return _best_first(spark, d).edges.withColumn("usd", F.col("usd").cast("double"))
+
+
 @query(_AGG + "SELECT CAST(count(*) AS BIGINT) AS edges, count(*) FILTER (usd >= 100 AND last_ts >= TIMESTAMP '2024-01-10' AND first_ts <= TIMESTAMP '2024-01-20') AS passed FROM ae")
 def flt_graph_gate1(spark: SparkSession, d: str) -> DataFrame:
     ok = F.expr("usd >= 100 and last_ts >= TIMESTAMP_NTZ '2024-01-10 00:00:00' and first_ts <= TIMESTAMP_NTZ '2024-01-20 00:00:00'")
