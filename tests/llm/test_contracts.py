@@ -202,6 +202,20 @@ def test_redaction_masks_secrets_and_keeps_the_rest(docs: DataFrame, texts: dict
     assert sum(r["n_hex"] + r["n_access"] for r in again.values()) == 0
 
 
+def test_pii_turns_away_look_alikes(spark: SparkSession) -> None:
+    """Planted identity numbers, local phones and spelled-out addresses are found; the same forms after version, order or invoice aren't."""
+    true = [f"my ssn is {100 + i}-{10 + i % 80}-{4000 + i} thanks" for i in range(100)]
+    true += [f"please call {200 + i} {300 + i} {5000 + i} today" for i in range(100)]
+    true += [f"contact ann{i}q [at] mail{i} [dot] org please" for i in range(100)]
+    false = [f"see {w} {100 + i}-{45}-{6000 + i} build" for w in ("version", "order", "invoice") for i in range(34)]
+    false += [f"see {w} {200 + i} {400 + i} {7000 + i} soon" for w in ("version", "order", "invoice") for i in range(34)]
+    docs = spark.createDataFrame(list(enumerate(true + false)), "doc_id long, text string")
+    got = by_id(pii.find_pii(docs))
+    found = [bool(got[i]["spans"]) for i in range(len(true + false))]
+    assert sum(found[: len(true)]) >= 0.95 * len(true)
+    assert sum(found[len(true) :]) <= 0.1 * len(false)
+
+
 def test_quality_counts(docs: DataFrame, texts: dict) -> None:
     want = {}
     for i, t in texts.items():

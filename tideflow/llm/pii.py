@@ -25,6 +25,8 @@ KINDS = (*BASE, "id")
 LABELERS = 5
 #: How reliable the labelers are taken to be before any votes are seen; as much as ten votes.
 BELIEF = (0.9, 0.8, 0.9, 0.6, 0.6)
+#: The labeler of context words, the only one that can tell a look-alike (an order's number) of the same form.
+CONTEXT = 2
 ROUNDS = 25
 #: Gazetteers.
 TOP_LEVEL = ("com", "org", "net", "edu", "gov", "info", "io", "eu", "de", "fr", "es", "uk", "us", "it", "nl", "at", "ch", "co")
@@ -153,7 +155,11 @@ def _features(s: Column, text: Column) -> Column:
 
 
 def reliabilities(patterns: DataFrame) -> DataFrame:
-    """kind, model (prior, hit, miss): EM on (kind, votes, n). hit: P(vote for | personal), miss: P(vote for | not)."""
+    """kind, model (prior, hit, miss): EM on (kind, votes, n). hit: P(vote for | personal), miss: P(vote for | not).
+
+    Context is never taken to be less reliable than believed: where all other labelers see one form, EM would learn from them
+    that its votes against mean nothing.
+    """
     packed = patterns.groupBy("kind", "votes").agg(F.sum("n").cast("double").alias("n")).groupBy("kind").agg(F.collect_list(F.struct("votes", "n")).alias("p"))
     start = F.struct(F.lit(0.5).alias("prior"), F.array(*[F.lit(x) for x in BELIEF]).alias("hit"), F.array(*[F.lit(1 - x) for x in BELIEF]).alias("miss"))
 
@@ -169,8 +175,15 @@ def reliabilities(patterns: DataFrame) -> DataFrame:
             any_ = total(lambda x: F.when(x["votes"][j] != 0, weight(x)).otherwise(0.0))
             return (yes + good) / (any_ + good + bad)
 
+        def anchored(j: int, of: str) -> Column:
+            good, bad = (BELIEF[j], 1 - BELIEF[j]) if of == "hit" else (1 - BELIEF[j], BELIEF[j])
+            learned = rate(j, of, 10 * good, 10 * bad)
+            if j != CONTEXT:
+                return learned
+            return F.greatest(learned, F.lit(good)) if of == "hit" else F.least(learned, F.lit(good))
+
         prior = (total(lambda x: x["w"]) + 2) / (total(lambda x: x["n"]) + 4)
-        return F.struct(prior.alias("prior"), F.array(*[rate(j, "hit", 10 * BELIEF[j], 10 * (1 - BELIEF[j])) for j in range(LABELERS)]).alias("hit"), F.array(*[rate(j, "miss", 10 * (1 - BELIEF[j]), 10 * BELIEF[j]) for j in range(LABELERS)]).alias("miss"))
+        return F.struct(prior.alias("prior"), *[F.array(*[anchored(j, of) for j in range(LABELERS)]).alias(of) for of in ("hit", "miss")])
 
     return packed.select("kind", F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step).alias("model"))
 
