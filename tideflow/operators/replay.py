@@ -246,6 +246,7 @@ def stepped_windows(trades: DataFrame, wallets: DataFrame, market: DataFrame, gr
     for part in (_most(counted("of_block"), "of_block", steps, last, "block_buyers"), _most(clusters, "of_cluster", steps, last, "largest_cluster"), _top_exits(s.where(holder), steps, last)):
         dense = dense.join(part, ["token_id", "minutes", "k"], "left")
 
+    dense = saved(dense)
     end = tm.asof(dense, market.withColumns({"current_mcap": F.col("mcap"), "end_liquidity": F.col("liquidity")}), ["token_id"], "to_ts", "ts", "point_id", ["current_mcap", "end_liquidity"])
     both = tm.asof(end, market.withColumn("start_liquidity", F.col("liquidity")), ["token_id"], "from_ts", "ts", "point_id", ["start_liquidity"])
     began = market.groupBy("token_id").agg(F.min(_us("ts")).alias("began"))
