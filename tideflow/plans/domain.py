@@ -86,83 +86,15 @@ def jn_bridge_protocol_lookup(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("edge_id").agg(F.min(F.struct("pref", "gap", "b_id", "protocol")).alias("m")).select("edge_id", "m.protocol")
 
 
-_MENTIONED = ", pm AS (SELECT post_id % 11 AS token_id, count(*) AS mentions FROM posts WHERE post_id % 3 = 0 GROUP BY 1), sg AS (SELECT token_id, count(*) AS signals FROM signals WHERE token_id > 2 GROUP BY 1)"
-
-
-@query(_MENTIONED + ", tk AS (SELECT token_id FROM pm UNION SELECT token_id FROM sg) SELECT token_id, coalesce(mentions, 0) AS mentions, coalesce(signals, 0) AS signals, score FROM tk LEFT JOIN pm USING (token_id) LEFT JOIN sg USING (token_id) LEFT JOIN (SELECT token_id, arg_max(price, (ts, point_id)) AS score FROM market WHERE token_id < 6 GROUP BY 1) USING (token_id)")
+@query(sq._INGEST + wq._BASE + """, lm AS (SELECT token_id, count(*) AS mentions, count(DISTINCT source) AS sources FROM sm WHERE token_id IS NOT NULL AND spam_score < 70 GROUP BY 1), sg AS (SELECT token_id, count(*) AS signals FROM signals GROUP BY 1)
+SELECT token_id, coalesce(mentions, 0) AS mentions, coalesce(sources, 0) AS sources, coalesce(signals, 0) AS signals, flow_score FROM (SELECT token_id FROM lm UNION SELECT token_id FROM sg) LEFT JOIN lm USING (token_id) LEFT JOIN sg USING (token_id) LEFT JOIN scored USING (token_id)""")
 def jn_social_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """Tokens with mentions or signals, and the latest score (a price stands for it)."""
-    m = p.posts(spark, d).where("post_id % 3 = 0").groupBy((F.col("post_id") % 11).alias("token_id")).agg(F.count("*").alias("mentions"))
-    s = p.signals(spark, d).where("token_id > 2").groupBy("token_id").agg(F.count("*").alias("signals"))
-    score = tm.latest(p.market(spark, d).where("token_id < 6"), ["token_id"], "ts", "point_id").select("token_id", F.col("price").alias("score"))
-    return m.join(s, "token_id", "full").join(score, "token_id", "left").select("token_id", F.coalesce("mentions", F.lit(0)).alias("mentions"), F.coalesce("signals", F.lit(0)).alias("signals"), "score")
-
-
-@query(vq._L + ", cs AS (SELECT trade_id, wallet_id, CASE WHEN trade_id % 3 = 0 THEN 'local' ELSE 'warehouse' END AS source, CASE trade_id % 4 WHEN 0 THEN 'promoted' WHEN 1 THEN 'rejected' ELSE 'pending' END AS status FROM trades WHERE trade_id % 7 = 0) SELECT ol.wallet_id, status FROM ol LEFT JOIN (SELECT * FROM cs QUALIFY row_number() OVER (PARTITION BY wallet_id ORDER BY source = 'warehouse' DESC, trade_id) = 1) c USING (wallet_id)")
-def jn_candidate_status(spark: SparkSession, d: str) -> DataFrame:
-    """Each overlap wallet's status as a candidate, one source before the other."""
-    i = F.col("trade_id")
-    c = p.trades(spark, d).where("trade_id % 7 = 0").select("wallet_id", (i % 3 == 0).alias("local"), i, F.when(i % 4 == 0, "promoted").when(i % 4 == 1, "rejected").otherwise("pending").alias("status"))
-    best = c.groupBy("wallet_id").agg(F.min(F.struct("local", "trade_id", "status")).alias("m")).select("wallet_id", "m.status")
-    return vq._local(spark, d).select("wallet_id").join(best, "wallet_id", "left")
-
-
-@query(fq._CLUSTERS + "SELECT a, b, x.cluster FROM lc JOIN cc x ON x.member = a JOIN cc y ON y.member = b AND y.cluster = x.cluster")
-def set_intersect_members(spark: SparkSession, d: str) -> DataFrame:
-    """Evidence pairs with both ends in one cluster."""
-    c = fq._clusters(spark, d)
-    x, y = c.select(F.col("member").alias("a"), "cluster"), c.select(F.col("member").alias("b"), "cluster")
-    return fq._links(spark, d).select("a", "b").join(x, "a").join(y, ["b", "cluster"]).select("a", "b", "cluster")
-
-
-# ---- aggregates and lists
-
-_STATUS = "CASE trade_id % 4 WHEN 0 THEN 'promoted' WHEN 1 THEN 'rejected' ELSE 'pending' END"
-
-
-@query(f"SELECT wallet_id % 5 AS source, count(*) FILTER ({_STATUS} = 'pending') AS pending, count(*) FILTER ({_STATUS} = 'promoted') AS promoted, count(*) FILTER ({_STATUS} = 'rejected') AS rejected, count(*) AS total FROM trades GROUP BY 1")
-def agg_source_health(spark: SparkSession, d: str) -> DataFrame:
-    i = F.col("trade_id") % 4
-    t = p.trades(spark, d).select((F.col("wallet_id") % 5).alias("source"), F.when(i == 0, "promoted").when(i == 1, "rejected").otherwise("pending").alias("status"))
-    g = t.groupBy("source").pivot("status", ["pending", "promoted", "rejected"]).count().na.fill(0)
-    return g.withColumn("total", F.col("pending") + F.col("promoted") + F.col("rejected"))
-
-
-@query("SELECT token_id, round(max(h) / sum(h), 9) AS top1, round(sum(h) FILTER (n <= 5) / sum(h), 9) AS top5 FROM (SELECT token_id, h, row_number() OVER (PARTITION BY token_id ORDER BY h DESC, wallet_id) AS n FROM (SELECT token_id, wallet_id, CAST(sum(qty) AS DOUBLE) AS h FROM trades WHERE action = 'BUY' GROUP BY ALL)) GROUP BY 1")
-def agg_holder_concentration(spark: SparkSession, d: str) -> DataFrame:
-    """The largest holder's and the five largest's share of what was bought."""
-    h = p.trades(spark, d).where("action = 'BUY'").groupBy("token_id", "wallet_id").agg(F.sum("qty").cast("double").alias("h"))
-    ranked = h.withColumn("n", F.row_number().over(Window.partitionBy("token_id").orderBy(F.desc("h"), "wallet_id")))
-    return ranked.groupBy("token_id").agg(F.round(F.max("h") / F.sum("h"), 9).alias("top1"), F.round(F.sum(F.when(F.col("n") <= 5, F.col("h"))) / F.sum("h"), 9).alias("top5"))
-
-
-@query(", m AS (SELECT token_id, ts, point_id, mcap FROM market WHERE mcap IS NOT NULL), l AS (SELECT token_id, max(ts) AS last, arg_max(mcap, (ts, point_id)) AS now FROM m GROUP BY 1), b AS (SELECT token_id, arg_max(mcap, (ts, point_id)) AS before FROM m JOIN l USING (token_id) WHERE ts <= last - INTERVAL 24 HOUR GROUP BY 1) SELECT token_id, round(now / before, 6) AS expansion, now / before >= 2 AS expanded FROM l JOIN b USING (token_id) WHERE before > 0")
-def agg_lookback_expansion(spark: SparkSession, d: str) -> DataFrame:
-    """The latest value by the one a day before: two maxima by time, one pass."""
-    m = p.market(spark, d).where("mcap is not null")
-    last = m.groupBy("token_id").agg(F.max("ts").alias("last"))  # one row a token
-    point = F.struct("ts", "point_id", "mcap")
-    g = m.join(last, "token_id").groupBy("token_id").agg(F.max(point)["mcap"].alias("now"), F.max(F.when(F.col("ts") <= F.col("last") - F.expr("INTERVAL 24 HOURS"), point))["mcap"].alias("before"))
-    return g.where("before > 0").select("token_id", F.round(F.col("now") / F.col("before"), 6).alias("expansion"), (F.col("now") / F.col("before") >= 2).alias("expanded"))
-
-
-@query("SELECT rule, signal_id FROM signals QUALIFY row_number() OVER (PARTITION BY rule ORDER BY fired_at DESC, signal_id DESC) <= 6 ORDER BY rule")
-def srt_feed_caps(spark: SparkSession, d: str) -> DataFrame:
-    """The six newest of each section."""
-    by = Window.partitionBy("rule").orderBy(F.desc("fired_at"), F.desc("signal_id"))
-    return p.signals(spark, d).withColumn("n", F.row_number().over(by)).where("n <= 6").select("rule", "signal_id")
-
-
-@query("(SELECT 'bridge' AS list, edge_id AS id FROM edges WHERE action LIKE 'bridge%' ORDER BY usd DESC, edge_id LIMIT 100) UNION ALL (SELECT 'timeline', trade_id FROM trades WHERE token_id = 1 ORDER BY ts DESC, trade_id DESC LIMIT 50)")
-def srt_flow_tables(spark: SparkSession, d: str) -> DataFrame:
-    b = p.edges(spark, d).where("action like 'bridge%'").orderBy(F.desc("usd"), "edge_id").limit(100).select(F.lit("bridge").alias("list"), F.col("edge_id").alias("id"))
-    t = p.trades(spark, d).where("token_id = 1").orderBy(F.desc("ts"), F.desc("trade_id")).limit(50).select(F.lit("timeline").alias("list"), F.col("trade_id").alias("id"))
-    return b.unionByName(t)
-
-
-@query(fq._PATHS + "SELECT path, least FROM pp ORDER BY least DESC, path, retention LIMIT 5")
-def srt_paths(spark: SparkSession, d: str) -> DataFrame:
-    return fl.paths(fl.aggregate_edges(p.edges(spark, d)).where("usd >= 100"), 3, top=5).select("path", "least")
+    """Tokens with linked mentions that aren't hidden as spam, or with signals, and their score."""
+    m = sq.ingested(spark, d).where("token_id is not null and spam_score < 70").groupBy("token_id").agg(F.count("*").alias("mentions"), F.count_distinct("source").alias("sources"))
+    s = p.signals(spark, d).groupBy("token_id").agg(F.count("*").alias("signals"))
+    a = wq._agg(spark, d)
+    none = [F.coalesce(c, F.lit(0)).alias(c) for c in ("mentions", "sources", "signals")]
+    return m.join(s, "token_id", "full").join(a.select("token_id", tw.flow_score(a).alias("flow_score")), "token_id", "left").select("token_id", *none, "flow_score")
 
 
 @query("SELECT trade_id, wallet_id FROM trades WHERE trade_id % 4 > 1 ORDER BY ts, trade_id LIMIT 25")
@@ -333,14 +265,6 @@ def soc_token(spark: SparkSession, d: str) -> DataFrame:
     return social.mentions(p.posts(spark, d)).where("token = 'ABC'").select("post_id", "kind", "confidence")
 
 
-@query(sq._M + "SELECT DISTINCT post_id || '::' || token AS dedupe_key, confidence FROM mn QUALIFY row_number() OVER (PARTITION BY post_id, token ORDER BY confidence DESC) = 1")
-def soc_ingest(spark: SparkSession, d: str) -> DataFrame:
-    """Mentions by their natural key; posts that come twice leave one row."""
-    posts = p.posts(spark, d)
-    m = social.mentions(posts.unionByName(posts))
-    return m.groupBy("post_id", "token").agg(F.max("confidence").alias("confidence")).select(F.concat_ws("::", F.col("post_id").cast("string"), "token").alias("dedupe_key"), "confidence")
-
-
 _SNAP = "SELECT token_id, ts, point_id, year(ts) || '-' || month(ts) || '-' || day(ts) || '-' || hour(ts) AS hour, round(CASE WHEN liquidity > 0 AND mcap > 0 THEN liquidity / mcap END, 8) AS ratio FROM market"
 
 

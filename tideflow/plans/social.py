@@ -31,16 +31,20 @@ def fn_normalize_snippet(spark: SparkSession, d: str) -> DataFrame:
     return p.posts(spark, d).select("post_id", so.snippet(F.col("content")).alias("snippet"))
 
 
-# The look-back and the weights are fixed values.
-_SPAM = """,
+def _spam_sql(posts: str = "posts") -> str:
+    """The look-back and the weights are fixed values."""
+    return f""",
 spm AS (SELECT p.post_id,
   CASE WHEN n >= 3 THEN 80 WHEN author IS NOT NULL AND b >= 5 THEN 60 WHEN length(regexp_replace(s, '[^a-z0-9]', '', 'g')) < 12 THEN 50 ELSE 0 END AS spam_score,
   CASE WHEN n >= 3 THEN 'copypasta' WHEN author IS NOT NULL AND b >= 5 THEN 'repeat_author' WHEN length(regexp_replace(s, '[^a-z0-9]', '', 'g')) < 12 THEN 'low_content' END AS spam_reason
 FROM (SELECT *, count(DISTINCT author) OVER (PARTITION BY s ORDER BY posted_at RANGE BETWEEN INTERVAL 360 MINUTE PRECEDING AND CURRENT ROW) AS n, count(*) OVER (PARTITION BY author ORDER BY posted_at RANGE BETWEEN INTERVAL 360 MINUTE PRECEDING AND CURRENT ROW) AS b
-  FROM (SELECT *, substr(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(content), 'https?://\\S+', ' ', 'g'), '@\\w+', ' ', 'g'), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')), 1, 280) AS s FROM posts)) p)
+  FROM (SELECT *, substr(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(content), 'https?://\\S+', ' ', 'g'), '@\\w+', ' ', 'g'), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')), 1, 280) AS s FROM {posts})) p)
 """
 
 
+_SPAM = _spam_sql()
+
+
 @query(_M + _SPAM + f", ok AS (SELECT mn.* FROM mn JOIN spm USING (post_id) WHERE spam_score < 70), v AS (SELECT token, {_N} FROM ok GROUP BY 1) SELECT *, round(CASE WHEN n_1440 > 0 THEN (n_60 / 60) / (n_1440 / 1440) ELSE 0.0 END, 6) AS accel FROM v")
 def soc_velocity(spark: SparkSession, d: str) -> DataFrame:
     """Velocity of the mentions in posts that aren't hidden as spam."""
@@ -71,3 +75,29 @@ def cf_liquidity_risk(spark: SparkSession, d: str) -> DataFrame:
 @query(_SPAM + "SELECT post_id, spam_score, spam_reason FROM spm")
 def soc_spam(spark: SparkSession, d: str) -> DataFrame:
     return so.spam(p.posts(spark, d))
+
+
+_INGEST = _M + ", told AS (SELECT * FROM posts WHERE post_id IN (SELECT post_id FROM mn))" + _spam_sql("told") + """,
+ta AS (SELECT DISTINCT token_id, 'So1anaToken' || repeat(CAST(token_id + 1 AS VARCHAR), 24) AS address FROM trades),
+sm AS (SELECT author % 4 AS source, post_id || '::' || CASE WHEN kind = 'ticker' THEN '$' ELSE '' END || token AS dedupe_key, post_id, kind, token, token_id, confidence, spam_score, spam_reason FROM mn JOIN spm USING (post_id) LEFT JOIN ta ON address = token)
+"""
+
+
+def ingested(spark: SparkSession, d: str) -> DataFrame:
+    """All posts, each fetched twice, as mentions; an author's remainder stands for the source, a digit for a token's address."""
+    posts = p.posts(spark, d).withColumn("source", F.col("author") % 4)
+    tokens = p.trades(spark, d).select("token_id").distinct()
+    tokens = tokens.select("token_id", F.concat(F.lit("So1anaToken"), F.repeat((F.col("token_id") + 1).cast("string"), 24)).alias("address"))
+    return so.ingest(posts.unionByName(posts), tokens)
+
+
+@query(_INGEST + "SELECT source, dedupe_key, kind, token_id, confidence, spam_score, spam_reason FROM sm")
+def soc_ingest(spark: SparkSession, d: str) -> DataFrame:
+    return ingested(spark, d).select("source", "dedupe_key", "kind", "token_id", "confidence", "spam_score", "spam_reason")
+
+
+@query(_INGEST + "SELECT token_id IS NOT NULL AS linked, coalesce(spam_reason, 'none') AS reason, count(*) AS mentions, count(DISTINCT post_id) AS posts FROM sm GROUP BY 1, 2")
+def agg_social_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """What an ingest pass stored: mentions and posts by link and reason."""
+    m = ingested(spark, d).groupBy(F.col("token_id").isNotNull().alias("linked"), F.coalesce("spam_reason", F.lit("none")).alias("reason"))
+    return m.agg(F.count("*").alias("mentions"), F.count_distinct("post_id").alias("posts"))
