@@ -194,17 +194,28 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def paths(edges: DataFrame, source: int, hops: int = 4, top: int = 20) -> DataFrame:
-    """Simple paths from a wallet with times that don't decrease: hops, least and last value, retention in percent; the top ones."""
-    e = edges.select(F.col("src").alias("s"), F.col("dst").alias("d"), F.col("first_ts").alias("t"), F.col("usd").cast("double").alias("v"))
-    step = e.where(F.col("s") == source).where("s <> d").select(F.array("s", "d").alias("nodes"), "t", F.col("v").alias("least"), F.col("v").alias("first"), F.col("v").alias("last"))
-    found = step
-    for _ in range(hops - 1):
-        step = step.join(e.withColumnRenamed("t", "t2"), (F.element_at("nodes", -1) == F.col("s")) & (F.col("t2") >= F.col("t"))).where(~F.array_contains("nodes", F.col("d")))
-        step = step.select(F.concat("nodes", F.array("d")).alias("nodes"), F.col("t2").alias("t"), F.least("least", "v").alias("least"), "first", F.col("v").alias("last"))
-        found = found.unionByName(step)
-    out = found.select(F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">").alias("path"), (F.size("nodes") - 1).alias("hops"), "least", F.round(F.least(F.greatest(F.col("last") / F.col("first") * 100, F.lit(0.0)), F.lit(999.0)), 4).alias("retention"), "t")
-    out = out.groupBy("path", "hops", "least", "retention").agg(F.min("t").alias("t"))
-    return out.orderBy(F.desc("least"), "path", "retention").limit(top).drop("t")
+    """Simple paths from a wallet with times that don't decrease: hops, least and last value, retention in percent; the top ones.
+
+    Branch and bound: a path's least value only falls as it grows, so once there are `top` paths the last one's least value
+    bounds what is worth growing, and edges below it are never met. Paths equal to the bound stay, so the result is exact.
+    """
+    e = saved(edges.where("src <> dst").select(F.col("src").alias("s"), F.col("dst").alias("d"), F.col("first_ts").alias("t"), F.col("usd").cast("double").alias("v")))
+    v = F.col("v")
+    step = e.where(F.col("s") == source).select(F.array("s", "d").alias("nodes"), "t", v.alias("least"), v.alias("first"), v.alias("last"))
+    best = None
+    for hop in range(1, hops + 1):
+        step = saved(step)
+        retention = F.round(F.least(F.greatest(F.col("last") / F.col("first") * 100, F.lit(0.0)), F.lit(999.0)), 4)
+        found = step.select(F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">").alias("path"), F.lit(hop).alias("hops"), "least", retention.alias("retention")).distinct()
+        both = found if best is None else best.unionByName(found)
+        best = saved(both.orderBy(F.desc("least"), "path", "retention").limit(top))
+        held = best.agg(F.count("*").alias("n"), F.min("least").alias("least")).first()
+        bound = F.lit(held["least"] if held["n"] == top else None).cast("double")
+        worth = lambda c: bound.isNull() | (F.col(c) >= bound)  # noqa: B023, E731
+        near = (F.element_at("nodes", -1) == F.col("s")) & (F.col("t2") >= F.col("t"))
+        grown = step.where(worth("least")).join(e.where(worth("v")).withColumnRenamed("t", "t2"), near).where(~F.array_contains("nodes", F.col("d")))
+        step = grown.select(F.concat("nodes", F.array("d")).alias("nodes"), F.col("t2").alias("t"), F.least("least", "v").alias("least"), "first", F.col("v").alias("last"))
+    return best
 
 
 # Confidence of an edge by relationship, of any other, its loss by hop, and the least.
