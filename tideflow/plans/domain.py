@@ -115,29 +115,6 @@ def flow_pass(spark: SparkSession, d: str) -> DataFrame:
     return a.select("token_id", tw.flow_score(a).alias("flow_score")).join(F.broadcast(at))
 
 
-@query(pq._FIFO + ", ex AS (SELECT trade_id AS exit_id, wallet_id, token_id, ts, round(CAST(sum(CAST(round(realized, 7) AS DECIMAL(28,7))) OVER (PARTITION BY wallet_id, token_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS DOUBLE), 6) AS profit FROM sells) SELECT 'exit' AS kind, exit_id AS id, wallet_id, profit FROM ex WHERE ts >= TIMESTAMP '2024-01-10' UNION ALL SELECT 'transfer', edge_id, src, CAST(usd AS DOUBLE) FROM edges WHERE action = 'transfer' AND ts >= TIMESTAMP '2024-01-10' UNION ALL SELECT 'buy', trade_id, wallet_id, CAST(usd AS DOUBLE) FROM trades WHERE action = 'BUY' AND mcap IS NOT NULL AND ts >= TIMESTAMP '2024-01-10'")
-def rotation_inputs(spark: SparkSession, d: str) -> DataFrame:
-    """What a rotation pass reads in its window: exits with the profit up to them, transfers and buys."""
-    t, since = p.trades(spark, d), F.col("ts") >= _ntz("2024-01-10 00:00:00")
-    exits = pnl.profit_at_exit(pnl.fifo_sells(t)).where(since).select(F.lit("exit").alias("kind"), F.col("trade_id").alias("id"), "wallet_id", F.round("profit", 6).alias("profit"))
-    moves = p.edges(spark, d).where((F.col("action") == "transfer") & since).select(F.lit("transfer").alias("kind"), F.col("edge_id").alias("id"), F.col("src").alias("wallet_id"), F.col("usd").cast("double").alias("profit"))
-    buys = t.where((F.col("action") == "BUY") & F.col("mcap").isNotNull() & since).select(F.lit("buy").alias("kind"), F.col("trade_id").alias("id"), "wallet_id", F.col("usd").cast("double").alias("profit"))
-    return exits.unionByName(moves).unionByName(buys)
-
-
-@query(fq._ROT + """, c AS (SELECT rt.exit_id, rt.edge_id, rt.buy_id, x.wallet_id AS source, e.dst AS dest, b.token_id, b.ts, CAST(b.mcap AS DOUBLE) AS mcap FROM rt JOIN trades x ON x.trade_id = rt.exit_id JOIN edges e USING (edge_id) JOIN trades b ON b.trade_id = rt.buy_id),
-u AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY source, dest, token_id, date_trunc('day', ts) ORDER BY ts, exit_id, edge_id) = 1), l AS (SELECT token_id, mcap AS now FROM market WHERE mcap IS NOT NULL QUALIFY row_number() OVER (PARTITION BY token_id ORDER BY ts DESC, point_id DESC) = 1)
-SELECT exit_id, edge_id, round(CASE WHEN u.mcap > 0 AND now IS NOT NULL THEN (now / u.mcap - 1) * 100 ELSE 0 END, 4) AS perf_pct, 50 AS confidence FROM u LEFT JOIN l USING (token_id)""")
-def rotation_persist(spark: SparkSession, d: str) -> DataFrame:
-    """Rotations to keep: one a source, destination, token and day, with the bought token's change since."""
-    m = fq.rotation_rows(spark, d).select("exit_id", "edge_id", F.col("wallet_id").alias("source"), F.col("dst").alias("dest"), F.col("to_token").alias("token_id"), F.col("buy_ts").alias("ts"), "buy_id")
-    b = p.trades(spark, d).select(F.col("trade_id").alias("buy_id"), F.col("mcap").cast("double").alias("bought"))
-    once = wr.once(m.withColumn("day", F.date_trunc("day", "ts")), ["source", "dest", "token_id", "day"], "ts", "exit_id", "edge_id").join(b, "buy_id")
-    now = tm.latest(p.market(spark, d).where("mcap is not null"), ["token_id"], "ts", "point_id").select("token_id", F.col("mcap").alias("now"))
-    perf = F.when((F.col("bought") > 0) & F.col("now").isNotNull(), (F.col("now") / F.col("bought") - 1) * 100).otherwise(0.0)
-    return once.join(now, "token_id", "left").select("exit_id", "edge_id", F.round(perf, 4).alias("perf_pct"), F.lit(50).alias("confidence"))
-
-
 @query(fq._CLUSTERS + "SELECT trade_id, cluster FROM trades LEFT JOIN cc ON member = wallet_id")
 def cluster_persist(spark: SparkSession, d: str) -> DataFrame:
     """Every trade stamped anew with its wallet's cluster."""

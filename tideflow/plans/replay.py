@@ -99,12 +99,12 @@ ru AS (SELECT token_id, k, t, rule, fired, CASE WHEN fired THEN severity ELSE 'I
 """
 
 
-def _kept(source: str, keys: str, name: str) -> str:
+def _kept(source: str, keys: str, name: str, free: str = ">=") -> str:
     """SQL of the fires that the last kept one of their keys doesn't suppress for a day."""
     on = " AND ".join(f"c.{k} = f.{k}" for k in keys.split(", "))
     mine = ", ".join(f"f.{k}" for k in keys.split(", "))
     return f""",
-{name} AS (SELECT {keys}, t FROM (WITH RECURSIVE f AS (SELECT {keys}, min(t) AS t FROM {source} GROUP BY ALL UNION ALL SELECT {mine}, (SELECT min(t) FROM {source} c WHERE {on} AND c.t >= f.t + INTERVAL 24 HOUR) FROM f WHERE f.t IS NOT NULL) SELECT * FROM f) WHERE t IS NOT NULL)"""
+{name} AS (SELECT {keys}, t FROM (WITH RECURSIVE f AS (SELECT {keys}, min(t) AS t FROM {source} GROUP BY ALL UNION ALL SELECT {mine}, (SELECT min(t) FROM {source} c WHERE {on} AND c.t {free} f.t + INTERVAL 24 HOUR) FROM f WHERE f.t IS NOT NULL) SELECT * FROM f) WHERE t IS NOT NULL)"""
 
 
 def _windows(spark: SparkSession, d: str, grid: rp.Grid, within: bool = False) -> DataFrame:
