@@ -291,17 +291,6 @@ def alert_dispatch(spark: SparkSession, d: str) -> DataFrame:
     return s.select("signal_id", F.when(F.col("token_id") % 11 == 0, "skipped_no_token").when(go, "sent").otherwise("skipped_cooldown").alias("status"))
 
 
-@query("""SELECT signal_id, CASE WHEN rule = 'G' THEN '$T' || token_id || ': exit warning (' || lower(severity) || ')' ELSE '$T' || token_id || ': ' || lower(severity) || ' signal (rule ' || rule || ')' END AS headline,
-  CASE WHEN rule = 'G' THEN 'exit' WHEN rule = 'F' THEN 'unclear' WHEN entry_price < 150 THEN 'accumulation' WHEN entry_price > 200 THEN 'late' ELSE 'between' END AS conclusion FROM signals WHERE entry_price IS NOT NULL""")
-def explain(spark: SparkSession, d: str) -> DataFrame:
-    """A headline and a conclusion for each signal; the entry price by a hundred stands for the multiple of value."""
-    s, r = p.signals(spark, d).where("entry_price is not null"), F.col("rule")
-    name, multiple = F.concat(F.lit("$T"), F.col("token_id").cast("string")), F.col("entry_price") / 100
-    head = F.when(r == "G", F.concat(name, F.lit(": exit warning ("), F.lower("severity"), F.lit(")"))).otherwise(F.concat(name, F.lit(": "), F.lower("severity"), F.lit(" signal (rule "), r, F.lit(")")))
-    end = F.when(r == "G", "exit").when(r == "F", "unclear").when(multiple < 1.5, "accumulation").when(multiple > 2, "late").otherwise("between")
-    return s.select("signal_id", head.alias("headline"), end.alias("conclusion"))
-
-
 @query("SELECT 'point' AS part, point_id AS id, price AS value FROM market WHERE token_id = 1 UNION ALL SELECT 'marker', signal_id, entry_price FROM signals WHERE token_id = 1 UNION ALL SELECT 'buyer', wallet_id, CAST(sum(usd) AS DOUBLE) FROM trades WHERE token_id = 1 AND action = 'BUY' GROUP BY wallet_id")
 def token_detail(spark: SparkSession, d: str) -> DataFrame:
     """One token's series, markers and buyers."""
