@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideflow.functions import scalar as sc
-from tideflow.operators import outcome_index as ix
+from tideflow.operators import outcome_panes as ix
 from tideflow.operators import outcomes as oc
 from tideflow.operators import replay as rp
 from tideflow.operators import temporal as tm
