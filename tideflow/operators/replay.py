@@ -35,6 +35,8 @@ RULES_OF = {30: ("A", "C", "D"), 1440: ("B", "G")}
 SEVERITY = {"B": "WATCH", "C": "WATCH", "D": "HIGH", "E": "HIGH", "F": "HIGH", "G": "CRITICAL"}
 _BY_WALLET = ["token_id", "wallet_id", "minutes"]
 _MONEY = "decimal(28,4)"
+#: Sums over trades.
+AMOUNTS = ("buy_sum", "sell_sum", "weight_sum", "mcap_sum", "trailing_sum")
 
 
 def _us(ts: str | Column) -> Column:
@@ -80,8 +82,8 @@ def anchors(trades: DataFrame, grid: Grid, last: int) -> DataFrame:
     return own.select("token_id", carried.alias("ends"), F.reverse(F.slice(back, 1, last + 1)).alias("changes"))
 
 
-def panes(trades: DataFrame, ends: DataFrame, grid: Grid, last: int, windows: tuple[int, ...], whale_usd: float) -> DataFrame:
-    """Trades of a wallet added up by the steps at which they enter, pass the middle of, leave and have left a window."""
+def placed(trades: DataFrame, ends: DataFrame, grid: Grid, last: int, windows: tuple[int, ...]) -> DataFrame:
+    """Trades with the steps at which they enter, pass the middle of, leave and have left each window."""
     t = trades.where("wallet_id is not null and ts is not null").withColumn("us", _us("ts")).join(small_or_shuffled(ends, 4_000_000 // (last + 1)), "token_id")
     t = t.withColumn("enter", grid.reaching(F.col("us"), last)).where(F.col("enter") <= last)
 
@@ -92,17 +94,41 @@ def panes(trades: DataFrame, ends: DataFrame, grid: Grid, last: int, windows: tu
 
     us, minute = F.col("us"), 60_000_000
     window = F.explode(F.array(*[F.struct(F.lit(m).alias("minutes"), past(us + m * minute // 2).alias("half"), past(us + m * minute).alias("leave"), past(us + 2 * m * minute).alias("gone")) for m in windows]))
-    t = t.select("token_id", "wallet_id", "us", "trade_id", "block", "action", "usd", "mcap", "enter", window.alias("w")).select("*", "w.*")
-    buy, usd = F.col("action") == "BUY", F.coalesce("usd", F.lit(0)).cast("decimal(20,4)")
-    known = buy & F.col("mcap").isNotNull()
-    money = lambda c, x: F.coalesce(F.sum(F.when(c, x)), F.lit(0)).cast(_MONEY)
-    return t.groupBy(*_BY_WALLET, "enter", "half", "leave", "gone").agg(
-        money(buy, usd).alias("buy"),
-        money(~buy, usd).alias("sell"),
+    t = t.select("token_id", "wallet_id", "us", "trade_id", "block", "action", F.coalesce("usd", F.lit(0)).cast("decimal(20,4)").alias("usd"), "mcap", "enter", window.alias("w"))
+    return t.select("*", "w.*").drop("w")
+
+
+def _money(c: Column, x: str | Column) -> Column:
+    return F.coalesce(F.sum(F.when(c, F.col(x) if isinstance(x, str) else x)), F.lit(0)).cast(_MONEY)
+
+
+def amounts(rows: DataFrame, wallets: DataFrame, last: int) -> DataFrame:
+    """By token, window and step, what the wallets that are known have traded in the window, and bought in the one before.
+
+    These are sums over trades, so they need no wallet's state: a trade adds to them at one step and is taken off at another.
+    """
+    known = wallets.where("is_watched is not null").select("wallet_id")
+    buy, priced = F.col("action") == "BUY", (F.col("action") == "BUY") & F.col("mcap").isNotNull()
+    weight = F.sum(F.when(priced, F.col("usd").cast("decimal(14,4)") * F.col("mcap").cast("decimal(18,4)")))
+    sums = [_money(buy, "usd").alias("buy_sum"), _money(~buy, "usd").alias("sell_sum"), F.coalesce(weight, F.lit(0)).cast("decimal(38,8)").alias("weight_sum"), _money(priced, "usd").alias("mcap_sum")]
+    added = rows.join(known, "wallet_id", "left_semi").groupBy("token_id", "minutes", "enter", "leave", "gone").agg(*sums)
+    inside, kinds = ("buy_sum", "sell_sum", "weight_sum", "mcap_sum"), dict(added.dtypes)
+
+    def event(k: str, sign: int, trailing: int) -> Column:
+        return F.struct(F.col(k).alias("k"), *[(F.col(c) * sign).cast(kinds[c]).alias(c) for c in inside], (F.col("buy_sum") * trailing).cast(_MONEY).alias("trailing_sum"))
+
+    events = added.select("token_id", "minutes", F.explode(F.array(event("enter", 1, 0), event("leave", -1, 1), event("gone", 0, -1))).alias("e"))
+    return _running(events.select("token_id", "minutes", "e.*").where(F.col("k") <= last), ["token_id", "minutes"], list(AMOUNTS))
+
+
+def panes(rows: DataFrame, whale_usd: float) -> DataFrame:
+    """Placed trades of a wallet added up by the steps at which they change its state."""
+    buy = F.col("action") == "BUY"
+    return rows.groupBy(*_BY_WALLET, "enter", "half", "leave", "gone").agg(
+        _money(buy, "usd").alias("buy"),
+        _money(~buy, "usd").alias("sell"),
         F.count_if(buy).alias("n_buy"),
-        F.count_if(buy & (usd >= F.lit(whale_usd).cast("decimal(20,4)"))).alias("n_whale"),
-        F.coalesce(F.sum(F.when(known, usd.cast("decimal(14,4)") * F.col("mcap").cast("decimal(18,4)"))), F.lit(0)).cast("decimal(38,8)").alias("mcap_weight"),
-        money(known, usd).alias("mcap_usd"),
+        F.count_if(buy & (F.col("usd") >= F.lit(whale_usd).cast("decimal(20,4)"))).alias("n_whale"),
         F.min(F.when(buy, F.struct("us", "trade_id", "block", "half"))).alias("first"),
         F.min("us").alias("begun"),
     )
@@ -112,25 +138,25 @@ def states(rows: DataFrame, last: int) -> DataFrame:
     """What each wallet has in and before each window, from each step k at which that changes on."""
     order = Window.partitionBy(*_BY_WALLET).orderBy(F.col("first").asc_nulls_last())
     rows = rows.withColumn("next", F.lead("first").over(order))
-    sums = ("buy", "sell", "n_buy", "n_whale", "mcap_weight", "mcap_usd")
+    sums = ("buy", "sell", "n_buy", "n_whale")
     none = {c: F.lit(0).cast(dict(rows.dtypes)[c]) for c in sums}
     first_type = rows.schema["first"].dataType
 
-    def event(k: str, sign: int, held: Column, trailing: Column, first: Column, follow: Column, begun: Column) -> Column:
+    def event(k: str, sign: int, held: Column, first: Column, follow: Column, begun: Column) -> Column:
         own = [(F.col(c) * sign).cast(dict(rows.dtypes)[c]).alias(c) if sign else none[c].alias(c) for c in sums]
-        return F.struct(F.col(k).alias("k"), *own, held.cast(_MONEY).alias("held"), trailing.cast(_MONEY).alias("trailing"), first.alias("first"), follow.alias("follow"), begun.cast("long").alias("begun"))
+        return F.struct(F.col(k).alias("k"), *own, held.cast(_MONEY).alias("held"), first.alias("first"), follow.alias("follow"), begun.cast("long").alias("begun"))
 
     zero, null, of_first = F.lit(0), F.lit(None), F.lit(None).cast(first_type)
     events = F.array(
-        event("enter", 1, zero, zero, F.col("first"), of_first, F.col("begun")),
-        event("half", 0, zero, zero, of_first, of_first, null),
-        event("leave", -1, F.col("buy") - F.col("sell"), F.col("buy"), of_first, F.col("next"), null),
-        event("gone", 0, zero, -F.col("buy"), of_first, of_first, null),
+        event("enter", 1, zero, F.col("first"), of_first, F.col("begun")),
+        # The middle of a window matters to first buys alone.
+        F.when(F.col("first").isNotNull(), event("half", 0, zero, of_first, of_first, null)),
+        event("leave", -1, F.col("buy") - F.col("sell"), of_first, F.col("next"), null),
     )
-    e = rows.select(*_BY_WALLET, F.explode(events).alias("e")).select(*_BY_WALLET, "e.*").where(F.col("k") <= last)
-    e = e.groupBy(*_BY_WALLET, "k").agg(*[F.sum(c).alias(c) for c in (*sums, "held", "trailing")], F.min("first").alias("first"), F.max("follow").alias("follow"), F.min("begun").alias("begun"))
+    e = rows.select(*_BY_WALLET, F.explode(F.array_compact(events)).alias("e")).select(*_BY_WALLET, "e.*").where(F.col("k") <= last)
+    e = e.groupBy(*_BY_WALLET, "k").agg(*[F.sum(c).alias(c) for c in (*sums, "held")], F.min("first").alias("first"), F.max("follow").alias("follow"), F.min("begun").alias("begun"))
     along = Window.partitionBy(*_BY_WALLET).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    run = [F.sum(c).over(along).alias(c) for c in (*sums, "held", "trailing")]
+    run = [F.sum(c).over(along).alias(c) for c in (*sums, "held")]
     # Panes enter and leave in order, so the first buy in the window is the one after the last that left.
     first = F.coalesce(F.max("follow").over(along), F.min("first").over(along))
     return e.select(*_BY_WALLET, "k", *run, first.alias("first"), F.min("begun").over(along).alias("begun"))
@@ -143,18 +169,23 @@ def _running(deltas: DataFrame, keys: list[str], values: list[str]) -> DataFrame
     return summed.select(*keys, "k", *[F.sum(v).over(along).alias(v) for v in values])
 
 
+def _node(h: int, i: Column) -> Column:
+    """Place i on level h as one number, which is cheap to sort and group by."""
+    return i.cast("long") + F.lit(h << 40)
+
+
 def _nodes(begin: Column, end: Column, last: int) -> Column:
-    """The nodes (h, i) of a binary tree over steps that cover begin..end - 1: at most two a level."""
+    """The nodes of a binary tree over steps that cover begin..end - 1: at most two a level."""
     parts = []
     for h in range((last + 1).bit_length() + 1):
         lo, hi = F.shiftright(begin + ((1 << h) - 1), h), F.shiftright(end, h)
         for odd, i in ((lo, lo), (hi, hi - 1)):
-            parts.append(F.when((lo < hi) & (odd % 2 == 1), F.struct(F.lit(h).alias("h"), i.alias("i"))))
+            parts.append(F.when((lo < hi) & (odd % 2 == 1), _node(h, i)))
     return F.array_compact(F.array(*parts))
 
 
 def _above(last: int) -> Column:
-    return F.array(*[F.struct(F.lit(h).alias("h"), F.shiftright("k", h).alias("i")) for h in range((last + 1).bit_length() + 1)])
+    return F.array(*[_node(h, F.shiftright("k", h)) for h in range((last + 1).bit_length() + 1)])
 
 
 def _intervals(states_: DataFrame, keys: list[str], last: int) -> DataFrame:
@@ -171,7 +202,8 @@ def _most(counts: DataFrame, key: str, steps: DataFrame, last: int, name: str) -
 
 def _top_exits(holders: DataFrame, steps: DataFrame, last: int, top: int = tw.TOP_HOLDERS) -> DataFrame:
     """token_id, minutes, k, top_exits: of the largest holders before the window those that sold out in it."""
-    order = [F.desc("held"), "wallet_id"]
+    # Doubles keep the order of decimals and are cheaper to compare; where they are equal, decimals decide.
+    order = [F.col("held").cast("double").desc(), F.desc("held"), "wallet_id"]
     nodes = holders.select("token_id", "minutes", "wallet_id", "held", "out", F.explode(_nodes(F.col("k"), F.col("until"), last)).alias("at"))
     nodes = nodes.withColumn("r", F.row_number().over(Window.partitionBy("token_id", "minutes", "at").orderBy(*order))).where(F.col("r") <= top).drop("r")
     met = steps.select("token_id", "minutes", "k", F.explode(_above(last)).alias("at")).join(nodes, ["token_id", "minutes", "at"])
@@ -188,29 +220,24 @@ def stepped_windows(trades: DataFrame, wallets: DataFrame, market: DataFrame, gr
     spark = trades.sparkSession
     last = grid.steps(spark)
     ends = saved(anchors(trades, grid, last))
-    s = states(panes(trades, ends, grid, last, windows, whale_usd), last)
-    s = s.join(small_or_shuffled(saved(wallets.select("wallet_id", "is_watched", "meets_profitable", "score", "labels", "cluster_id"))), "wallet_id", "left")
-    tracked, smart = F.col("is_watched").isNotNull(), F.coalesce(F.col("is_watched") | F.col("meets_profitable"), F.lit(False))
+    rows = placed(trades, ends, grid, last, windows)
+    people = small_or_shuffled(saved(wallets.select("wallet_id", "is_watched", "meets_profitable", "score", "labels", "cluster_id")))
+    s = states(panes(rows, whale_usd), last).join(people, "wallet_id", "left")
+    smart = F.coalesce(F.col("is_watched") | F.col("meets_profitable"), F.lit(False))
     label = lambda *names: F.coalesce(F.arrays_overlap("labels", F.array(*[F.lit(x) for x in names])), F.lit(False))
     buyer, holder = F.col("n_buy") > 0, F.col("held") > 0
     share = lambda of: F.coalesce(F.col("sell").cast("double") / F.when(F.col(of) > 0, F.col(of).cast("double")) * 100 >= tw.EXITED, F.lit(False))
     s = s.withColumns({"smart_wallet": smart, "buyer": buyer, "out": share("held"), "of_block": F.when(buyer, F.col("first.block")), "of_cluster": F.when(buyer & smart, F.col("cluster_id"))})
     one = lambda c: F.when(c, 1).otherwise(0).cast("long")
-    amount = lambda c, x: F.when(c, F.col(x)).otherwise(0).cast(_MONEY if x != "mcap_weight" else "decimal(38,8)")
     adds = {
         "buyers": one(buyer),
         "sold_buyers": one(buyer & (F.col("sell") > 0)),
-        "buy_sum": amount(tracked, "buy"),
-        "sell_sum": amount(tracked, "sell"),
         "smart": one(buyer & smart),
         "human": one(buyer & label("human_like")),
         "human_or_smart": one(buyer & label("human_like", "smart_money")),
         "bots": one(buyer & label("possible_bot")),
         "whales": one(F.col("n_whale") > 0),
         "unclustered": one(buyer & smart & F.col("cluster_id").isNull()),
-        "weight_sum": amount(tracked, "mcap_weight"),
-        "mcap_sum": amount(tracked, "mcap_usd"),
-        "trailing_sum": amount(tracked, "trailing"),
         "smart_holders": one(smart & holder),
         "smart_holders_out": one(smart & holder & F.col("out")),
         "smart_new": one(smart & buyer & ~holder),
@@ -240,9 +267,9 @@ def stepped_windows(trades: DataFrame, wallets: DataFrame, market: DataFrame, gr
     there = F.when(F.col("n") > 0, 1).otherwise(0)
     by_cluster = Window.partitionBy("token_id", "minutes", "of_cluster").orderBy("k")
     distinct = _running(clusters.select("token_id", "minutes", "k", (there - F.coalesce(F.lag(there).over(by_cluster), F.lit(0))).alias("clusters")), ["token_id", "minutes"], ["clusters"])
-    dense = steps.join(totals, ["token_id", "minutes", "k"], "left").join(distinct, ["token_id", "minutes", "k"], "left")
+    dense = steps.join(totals, ["token_id", "minutes", "k"], "left").join(amounts(rows, people, last), ["token_id", "minutes", "k"], "left").join(distinct, ["token_id", "minutes", "k"], "left")
     along = Window.partitionBy("token_id", "minutes").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    dense = dense.select("token_id", "minutes", "k", "to_ts", "from_ts", *[F.coalesce(F.last(c, ignorenulls=True).over(along), F.lit(0)).alias(c) for c in (*adds, "clusters")])
+    dense = dense.select("token_id", "minutes", "k", "to_ts", "from_ts", *[F.coalesce(F.last(c, ignorenulls=True).over(along), F.lit(0)).alias(c) for c in (*adds, *AMOUNTS, "clusters")])
     for part in (_most(counted("of_block"), "of_block", steps, last, "block_buyers"), _most(clusters, "of_cluster", steps, last, "largest_cluster"), _top_exits(s.where(holder), steps, last)):
         dense = dense.join(part, ["token_id", "minutes", "k"], "left")
 
