@@ -218,8 +218,7 @@ def src_normalize_solana(spark: SparkSession, d: str) -> DataFrame:
   UNION ALL SELECT 'edge', tx, CASE WHEN kind LIKE 'bridge%' THEN kind ELSE 'transfer' END AS action, CAST(amount AS DOUBLE) FROM il WHERE kind NOT IN ('swap_leg', 'contract_interaction') QUALIFY row_number() OVER (PARTITION BY tx, src, dst, action ORDER BY i) = 1""")
 def src_tx_ingest(spark: SparkSession, d: str) -> DataFrame:
     """What a batch of transactions leaves, given twice: natural keys make the second time harmless."""
-    legs = _solana(spark, d)
-    legs = legs.unionByName(legs)
+    legs = _solana(spark, d).withColumn("given", F.explode(F.array(F.lit(1), F.lit(2)))).drop("given")
     return chains.trades_of(legs).select(F.lit("trade").alias("part"), "tx", "action", "amount").unionByName(chains.edges_of(legs).select(F.lit("edge").alias("part"), "tx", "action", "amount"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideflow.functions import scalar as sc
@@ -62,19 +62,26 @@ def evm_legs(calls: DataFrame, transfers: DataFrame) -> DataFrame:
     return a.where("kind is not null").unionByName(b)
 
 
+def _first(rows: DataFrame, keys: list[str], *more: str) -> DataFrame:
+    """Of each natural key the first leg's amount, ts and more: an aggregate, so that legs given again go before the shuffle.
+
+    Amounts are numbers before they are compared, so that rows are combined in a hash table instead of being sorted.
+    """
+    of = lambda c: F.min_by(c, "i").alias(c)
+    return rows.withColumn("amount", F.col("amount").cast("double")).groupBy(*keys).agg(*[of(c) for c in ("amount", "ts", *more)])
+
+
 def trades_of(legs: DataFrame) -> DataFrame:
     """tx, wallet, asset, action, amount, ts: swaps and token transfers that touch the wallet, one row a natural key."""
     into, out = F.col("dest") == F.col("wallet"), F.col("source") == F.col("wallet")
     swap = F.col("kind") == "swap_leg"
     action = F.when(swap & into, "BUY").when(swap & out, "SELL").when((F.col("kind") == "token_transfer") & into, "TRANSFER_IN").when((F.col("kind") == "token_transfer") & out, "TRANSFER_OUT")
     rows = legs.where("asset is not null").withColumn("action", action).where("action is not null")
-    first = Window.partitionBy("tx", "wallet", "asset", "action").orderBy("i")
-    return rows.withColumn("n", F.row_number().over(first)).where("n = 1").select("tx", "wallet", "asset", "action", F.col("amount").cast("double").alias("amount"), "ts")
+    return _first(rows, ["tx", "wallet", "asset", "action"]).select("tx", "wallet", "asset", "action", "amount", "ts")
 
 
 def edges_of(legs: DataFrame) -> DataFrame:
     """tx, source, dest, action, symbol, amount, ts: transfers and bridge legs, one a transaction, ends and family."""
     action = F.when(F.col("kind").isin("native_transfer", "token_transfer"), "transfer").when(F.col("kind").isin("bridge_deposit", "bridge_withdrawal"), F.col("kind"))
     rows = legs.withColumn("action", action).where("action is not null")
-    first = Window.partitionBy("tx", "source", "dest", "action").orderBy("i")
-    return rows.withColumn("n", F.row_number().over(first)).where("n = 1").select("tx", "source", "dest", "action", "symbol", F.col("amount").cast("double").alias("amount"), "ts")
+    return _first(rows, ["tx", "source", "dest", "action"], "symbol").select("tx", "source", "dest", "action", "symbol", "amount", "ts")
