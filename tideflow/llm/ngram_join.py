@@ -40,6 +40,8 @@ from tideflow.llm.components import components
 LOAD_BITS, PART_BITS = 20, 16
 #: Factor between the least and the largest size of a band.
 BAND = 4
+#: Bits of a token. Two that agree by chance put sets into one tile that needn't be; no pair is lost or linked by it.
+TOKEN_BITS = 40
 #: 64-bit words of a bitmap.
 BITMAP = 16
 #: Bytes of text handled at once: less than elsewhere, as several arrays a word are held beside each other.
@@ -171,7 +173,7 @@ def _prefixes(docs: DataFrame, n: int, percent: int, shared: Broadcast) -> DataF
                 # A set whose partners may be of the next band is a guest there.
                 guest = np.flatnonzero((most > level)[doc])
                 doc, shingle, band = np.concatenate([doc, doc[guest]]), np.concatenate([shingle, shingle[guest]]), np.concatenate([level[doc], level[doc[guest]] + 1])
-                token = ta.mix(shingle ^ (band.astype(np.uint64) * _MIX_BAND))
+                token = ta.mix(shingle ^ (band.astype(np.uint64) * _MIX_BAND)) >> np.uint64(64 - TOKEN_BITS)
                 own, many = node[doc].view(np.int64), size[doc]
                 order = np.lexsort((own, many, token))
                 token, own, many = token[order], own[order], many[order]
@@ -260,14 +262,23 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, per
     return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(settle, "a long, b long")
 
 
+def _open(named: DataFrame) -> DataFrame:
+    """token, g (its number of sets): tiles whose sets (token, node, component, distinct) lie in different components.
+
+    Documents that share a passage meet in a tile for each of its shingles; of tiles with the same sets, by 128 bits of
+    their names and their number, one is kept, as all have the same pairs.
+    """
+    tiles = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("g"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y"))
+    return tiles.where("lo < hi").groupBy("g", "x", "y").agg(F.min("token").alias("token")).select("token", "g")
+
+
 def _across(tiles: DataFrame, label: DataFrame, bits: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """Pairs (a, b) of a token's sets in different components that their bitmaps allow.
 
     nearest: of each two components, only the pair whose bitmaps differ least.
     """
     named = tiles.select("token", "node", "size").distinct().join(label, "node", "left").select("token", "node", "size", F.coalesce("component", "node").alias("component"))
-    split = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("g")).where("lo < hi").select("token", "g")
-    open_ = named.join(split, "token").join(bits, "node")
+    open_ = named.join(_open(named), "token").join(bits, "node")
     blocks = F.ceil(F.col("g") / BLOCK).cast("int")
     dealt = open_.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "size", "component", "bits")
