@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideflow.operators.temporal import within
-from tideflow.sources.shared import saved
+from tideflow.sources.shared import saved, small_or_shuffled
 
 # The weight of each kind of evidence for a link between two wallets.
 LINK_WEIGHTS = {
@@ -152,12 +152,15 @@ def link_evidence(edges: DataFrame, registry: DataFrame, trades: DataFrame) -> D
 
     ends = edges.select(F.explode(F.array(F.struct(F.col("dst").alias("address"), F.col("src").alias("w")), F.struct(F.col("src").alias("address"), F.col("dst").alias("w")))).alias("x")).select("x.*").distinct()
     touch = ends.join(registry.where("category in ('CEX', 'MIXER', 'ROUTER')").select("address", (F.col("category") == "ROUTER").alias("router")).distinct(), "address")
-    met = pairs.select("a", "b").join(touch.withColumnRenamed("w", "a"), "a").join(touch.select(F.col("w").alias("b"), "address"), ["b", "address"])
-    met = met.groupBy("a", "b").agg(F.bool_or(~F.col("router")).alias("service"), F.bool_or("router").alias("router"))
+    some = lambda c, name: F.collect_set(F.when(c, F.col("address"))).alias(name)
+    touch = touch.groupBy("w").agg(some(~F.col("router"), "services"), some(F.col("router"), "routers"), F.collect_set("address").alias("touched"))
 
-    out = pairs.join(met, ["a", "b"], "left")
+    # One row a wallet; pairs, which may be many more, are shuffled only if that is too much to broadcast.
+    own = small_or_shuffled(saved(own.join(touch, "w", "full")))
+    out = pairs
     for end in ("a", "b"):
-        out = out.join(own.select(F.col("w").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("funder", "fresh", "soon")]), end, "left")
+        out = out.join(own.select(F.col("w").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("funder", "fresh", "soon", "services", "routers", "touched")]), end, "left")
+    met = lambda c: F.coalesce(F.arrays_overlap(f"{c}_a", "touched_b"), F.lit(False))
     n, no = F.coalesce("n", F.lit(0)), F.lit(False)
     alike = F.when(n >= 2, F.when(F.col("most") > 0, F.col("least") / F.col("most"))).otherwise(F.col("ratio"))
     either = lambda c: F.coalesce(f"{c}_a", no) | F.coalesce(f"{c}_b", no)
@@ -171,8 +174,8 @@ def link_evidence(edges: DataFrame, registry: DataFrame, trades: DataFrame) -> D
         F.coalesce(alike >= SIMILAR, no).alias("amount_similar"),
         either("soon").alias("dest_buys_60m"),
         either("fresh").alias("fresh_wallet"),
-        F.coalesce("service", no).alias("cex_or_mixer"),
-        (F.coalesce("router", no) & (n == 0)).alias("router_only"),
+        met("services").alias("cex_or_mixer"),
+        (met("routers") & (n == 0)).alias("router_only"),
         F.coalesce(alike < SIMILAR, no).alias("weak_amount"),
         F.coalesce(F.col("most") < DUST_USD, no).alias("dust_only"),
     )
@@ -180,10 +183,12 @@ def link_evidence(edges: DataFrame, registry: DataFrame, trades: DataFrame) -> D
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """member, cluster (the least member) for each end of links (a, b): labels spread and jump until none changes."""
-    both = saved(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    links = saved(links.select("a", "b"))
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     label = saved(both.groupBy(F.col("a").alias("member")).agg(F.least(F.min("b"), F.first("a")).alias("cluster")))
     for _ in range(rounds):
-        near = both.join(label, F.col("b") == F.col("member")).groupBy("a").agg(F.min("cluster").alias("m"))
+        # A label a wallet: links stay where they are while labels fit a broadcast.
+        near = both.join(small_or_shuffled(label), F.col("b") == F.col("member")).groupBy("a").agg(F.min("cluster").alias("m"))
         step = label.join(near, F.col("member") == F.col("a")).select("member", F.least("cluster", "m").alias("c"), F.col("cluster").alias("was"))
         jump = step.alias("x").join(step.select(F.col("member").alias("of"), F.col("c").alias("cc")), F.col("x.c") == F.col("of")).select("member", F.least("c", "cc").alias("cluster"), "was")
         jump = saved(jump)
