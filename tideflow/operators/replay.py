@@ -87,15 +87,18 @@ def placed(trades: DataFrame, ends: DataFrame, grid: Grid, last: int, windows: t
     t = trades.where("wallet_id is not null and ts is not null").withColumn("us", _us("ts")).join(small_or_shuffled(ends, 4_000_000 // (last + 1)), "token_id")
     t = t.withColumn("enter", grid.reaching(F.col("us"), last)).where(F.col("enter") <= last)
 
-    def past(x: Column) -> Column:
-        """The first step whose window ends later than x."""
-        k = F.when(x >= grid._at(grid.end), last + 1).otherwise(grid.reaching(x + 1, last)).cast("int")
-        return F.when(k > last, last + 1).when(F.get("ends", k) > x, k).otherwise(F.get("changes", k)).cast("int")
+    # Each end has columns of its own for its time and step, so that no expression is told and computed twice.
+    half_minutes = {"half": 1, "leave": 2, "gone": 4}
+    t = t.select("token_id", "wallet_id", "us", "trade_id", "block", "action", "usd", "mcap", "enter", "ends", "changes", F.explode(F.array(*[F.lit(m) for m in windows])).alias("minutes"))
+    t = t.withColumns({f"{c}_us": F.col("us") + F.col("minutes").cast("long") * (n * 30_000_000) for c, n in half_minutes.items()})
+    t = t.withColumns({f"{c}_k": grid.reaching(F.col(f"{c}_us") + 1, last) for c in half_minutes})
 
-    us, minute = F.col("us"), 60_000_000
-    window = F.explode(F.array(*[F.struct(F.lit(m).alias("minutes"), past(us + m * minute // 2).alias("half"), past(us + m * minute).alias("leave"), past(us + 2 * m * minute).alias("gone")) for m in windows]))
-    t = t.select("token_id", "wallet_id", "us", "trade_id", "block", "action", F.coalesce("usd", F.lit(0)).cast("decimal(20,4)").alias("usd"), "mcap", "enter", window.alias("w"))
-    return t.select("*", "w.*").drop("w")
+    def past(c: str) -> Column:
+        """The first step whose window ends later than the time."""
+        k = F.col(f"{c}_k")
+        return F.when(k > last, last + 1).when(F.get("ends", k) > F.col(f"{c}_us"), k).otherwise(F.get("changes", k)).cast("int").alias(c)
+
+    return t.select("token_id", "wallet_id", "us", "trade_id", "block", "action", F.coalesce("usd", F.lit(0)).cast("decimal(20,4)").alias("usd"), "mcap", "enter", "minutes", *[past(c) for c in half_minutes])
 
 
 def _money(c: Column, x: str | Column) -> Column:
@@ -111,6 +114,8 @@ def amounts(rows: DataFrame, wallets: DataFrame, last: int) -> DataFrame:
     buy, priced = F.col("action") == "BUY", (F.col("action") == "BUY") & F.col("mcap").isNotNull()
     weight = F.sum(F.when(priced, F.col("usd").cast("decimal(14,4)") * F.col("mcap").cast("decimal(18,4)")))
     sums = [_money(buy, "usd").alias("buy_sum"), _money(~buy, "usd").alias("sell_sum"), F.coalesce(weight, F.lit(0)).cast("decimal(38,8)").alias("weight_sum"), _money(priced, "usd").alias("mcap_sum")]
+    # What enters and is gone at one step adds nothing.
+    rows = rows.where(F.col("enter") < F.col("gone"))
     added = rows.join(known, "wallet_id", "left_semi").groupBy("token_id", "minutes", "enter", "leave", "gone").agg(*sums)
     inside, kinds = ("buy_sum", "sell_sum", "weight_sum", "mcap_sum"), dict(added.dtypes)
 
@@ -124,42 +129,50 @@ def amounts(rows: DataFrame, wallets: DataFrame, last: int) -> DataFrame:
 def panes(rows: DataFrame, whale_usd: float) -> DataFrame:
     """Placed trades of a wallet added up by the steps at which they change its state."""
     buy = F.col("action") == "BUY"
-    return rows.groupBy(*_BY_WALLET, "enter", "half", "leave", "gone").agg(
+    # A trade that is in no window has no middle to pass.
+    rows = rows.withColumn("half", F.when(F.col("enter") < F.col("leave"), F.col("half")).otherwise(F.col("leave")))
+    return rows.groupBy(*_BY_WALLET, "enter", "half", "leave").agg(
         _money(buy, "usd").alias("buy"),
         _money(~buy, "usd").alias("sell"),
         F.count_if(buy).alias("n_buy"),
         F.count_if(buy & (F.col("usd") >= F.lit(whale_usd).cast("decimal(20,4)"))).alias("n_whale"),
-        F.min(F.when(buy, F.struct("us", "trade_id", "block", "half"))).alias("first"),
+        F.min(F.when(buy, F.struct("us", "trade_id", "block"))).alias("first"),
         F.min("us").alias("begun"),
     )
 
 
 def states(rows: DataFrame, last: int) -> DataFrame:
-    """What each wallet has in and before each window, from each step k at which that changes on."""
-    order = Window.partitionBy(*_BY_WALLET).orderBy(F.col("first").asc_nulls_last())
-    rows = rows.withColumn("next", F.lead("first").over(order))
-    sums = ("buy", "sell", "n_buy", "n_whale")
-    none = {c: F.lit(0).cast(dict(rows.dtypes)[c]) for c in sums}
-    first_type = rows.schema["first"].dataType
-
-    def event(k: str, sign: int, held: Column, first: Column, follow: Column, begun: Column) -> Column:
-        own = [(F.col(c) * sign).cast(dict(rows.dtypes)[c]).alias(c) if sign else none[c].alias(c) for c in sums]
-        return F.struct(F.col(k).alias("k"), *own, held.cast(_MONEY).alias("held"), first.alias("first"), follow.alias("follow"), begun.cast("long").alias("begun"))
-
-    zero, null, of_first = F.lit(0), F.lit(None), F.lit(None).cast(first_type)
+    """What each wallet has in and before each window, from each step k at which that changes on, up to the step until.
+
+    first: of the first buy in the window the block, the step at which it passes the middle, and whether the wallet had not
+    traded the token before. Panes enter, pass the middle and leave in one order, so a pane's buy is the first from the step
+    on at which it has entered and all buys before it have left.
+    """
+    order = Window.partitionBy(*_BY_WALLET).orderBy("enter", "half", "leave")
+    bought, inside = F.col("n_buy") > 0, F.col("enter") < F.col("leave")
+    left = F.max(F.when(bought, F.col("leave"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begun = F.min("begun").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    first = F.when(bought & inside, F.struct(F.col("first.block").alias("block"), "half", (F.col("first.us") == begun).alias("new")))
+    rows = rows.select(*_BY_WALLET, "enter", "leave", "buy", "sell", "n_buy", "n_whale", F.greatest("enter", F.coalesce(left, F.lit(0))).alias("since"), first.alias("first"))
+    sums, kinds = ("buy", "sell", "n_buy", "n_whale"), dict(rows.dtypes)
+    zero = {c: F.lit(0).cast(kinds[c]) for c in sums}
+
+    def event(k: str, own: dict[str, Column], held: Column, first: Column) -> Column:
+        return F.struct(F.col(k).alias("k"), *[own[c].alias(c) for c in sums], held.cast(_MONEY).alias("held"), first.alias("first"))
+
+    none, starts = F.lit(None).cast(kinds["first"]), F.col("since") == F.col("enter")
     events = F.array(
-        event("enter", 1, zero, F.col("first"), of_first, F.col("begun")),
-        # The middle of a window matters to first buys alone.
-        F.when(F.col("first").isNotNull(), event("half", 0, zero, of_first, of_first, null)),
-        event("leave", -1, F.col("buy") - F.col("sell"), of_first, F.col("next"), null),
+        F.when(inside, event("enter", {c: F.col(c) for c in sums}, F.lit(0), F.when(starts, F.col("first")))),
+        F.when(F.col("first").isNotNull() & ~starts & (F.col("since") < F.col("leave")), event("since", zero, F.lit(0), F.col("first"))),
+        event("leave", {c: F.when(inside, -F.col(c)).otherwise(zero[c]) for c in sums}, F.col("buy") - F.col("sell"), none),
     )
     e = rows.select(*_BY_WALLET, F.explode(F.array_compact(events)).alias("e")).select(*_BY_WALLET, "e.*").where(F.col("k") <= last)
-    e = e.groupBy(*_BY_WALLET, "k").agg(*[F.sum(c).alias(c) for c in (*sums, "held")], F.min("first").alias("first"), F.max("follow").alias("follow"), F.min("begun").alias("begun"))
-    along = Window.partitionBy(*_BY_WALLET).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    by_step = Window.partitionBy(*_BY_WALLET).orderBy("k")
+    along = by_step.rowsBetween(Window.unboundedPreceding, 0)
+    until = F.coalesce(F.lead("k").over(by_step), F.lit(last + 1)).alias("until")
     run = [F.sum(c).over(along).alias(c) for c in (*sums, "held")]
-    # Panes enter and leave in order, so the first buy in the window is the one after the last that left.
-    first = F.coalesce(F.max("follow").over(along), F.min("first").over(along))
-    return e.select(*_BY_WALLET, "k", *run, first.alias("first"), F.min("begun").over(along).alias("begun"))
+    # Of several changes at one step the last has them all.
+    return e.select(*_BY_WALLET, "k", until, *run, F.last("first", ignorenulls=True).over(along).alias("first")).where(F.col("k") < F.col("until"))
 
 
 def _running(deltas: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
@@ -194,21 +207,37 @@ def _intervals(states_: DataFrame, keys: list[str], last: int) -> DataFrame:
 
 
 def _most(counts: DataFrame, key: str, steps: DataFrame, last: int, name: str) -> DataFrame:
-    """token_id, minutes, k and the largest of the keys' counts n at each step."""
-    held = _intervals(counts, ["token_id", "minutes", key], last).where("n > 0")
+    """token_id, minutes, k and the largest of the keys' counts n at each step; counts of one are left out."""
+    held = _intervals(counts, ["token_id", "minutes", key], last).where("n > 1")
     nodes = held.select("token_id", "minutes", "n", F.explode(_nodes(F.col("k"), F.col("until"), last)).alias("at")).groupBy("token_id", "minutes", "at").agg(F.max("n").alias("n"))
     return steps.select("token_id", "minutes", "k", F.explode(_above(last)).alias("at")).join(nodes, ["token_id", "minutes", "at"]).groupBy("token_id", "minutes", "k").agg(F.max("n").alias(name))
 
 
-def _top_exits(holders: DataFrame, steps: DataFrame, last: int, top: int = tw.TOP_HOLDERS) -> DataFrame:
-    """token_id, minutes, k, top_exits: of the largest holders before the window those that sold out in it."""
+def _largest(holders: DataFrame, steps: DataFrame, last: int, top: int) -> DataFrame:
+    """The largest holders at each step, with their place r."""
     # Doubles keep the order of decimals and are cheaper to compare; where they are equal, decimals decide.
-    order = [F.col("held").cast("double").desc(), F.desc("held"), "wallet_id"]
-    nodes = holders.select("token_id", "minutes", "wallet_id", "held", "out", F.explode(_nodes(F.col("k"), F.col("until"), last)).alias("at"))
+    order = [F.desc("size"), F.desc("held"), "wallet_id"]
+    nodes = holders.select("token_id", "minutes", "wallet_id", "size", "held", "out", F.explode(_nodes(F.col("k"), F.col("until"), last)).alias("at"))
     nodes = nodes.withColumn("r", F.row_number().over(Window.partitionBy("token_id", "minutes", "at").orderBy(*order))).where(F.col("r") <= top).drop("r")
     met = steps.select("token_id", "minutes", "k", F.explode(_above(last)).alias("at")).join(nodes, ["token_id", "minutes", "at"])
-    ranked = met.withColumn("r", F.row_number().over(Window.partitionBy("token_id", "minutes", "k").orderBy(*order))).where(F.col("r") <= top)
-    return ranked.groupBy("token_id", "minutes", "k").agg(F.count_if("out").alias("top_exits"))
+    return met.withColumn("r", F.row_number().over(Window.partitionBy("token_id", "minutes", "k").orderBy(*order))).where(F.col("r") <= top)
+
+
+def _top_exits(holders: DataFrame, steps: DataFrame, last: int, top: int = tw.TOP_HOLDERS) -> DataFrame:
+    """token_id, minutes, k, top_exits: of the largest holders before the window those that sold out in it.
+
+    The largest of those that begin at each step are found first. At any step the last place among them is a floor, and who
+    is below the floors of all its steps is among the largest at none, so few holders are laid on the tree.
+    """
+    holders = holders.withColumn("size", F.col("held").cast("double"))
+    begin = Window.partitionBy("token_id", "minutes", "k").orderBy(F.desc("size"))
+    some = holders.withColumn("r", F.row_number().over(begin)).where(F.col("r") <= top).drop("r")
+    floors = _largest(some, steps, last, top).where(F.col("r") == top).groupBy("token_id", "minutes").agg(F.map_from_entries(F.collect_list(F.struct("k", "size"))).alias("m"))
+    floor = F.transform(F.sequence(F.lit(0), F.lit(last)), lambda k: F.coalesce(F.element_at("m", k), F.lit(float("-inf"))))
+    floors = small_or_shuffled(saved(floors.select("token_id", "minutes", floor.alias("floors"))), 4_000_000 // (last + 1))
+    lowest = F.array_min(F.slice("floors", F.col("k") + 1, F.col("until") - F.col("k")))
+    left = saved(holders.join(floors, ["token_id", "minutes"], "left").where(F.col("floors").isNull() | (F.col("size") >= lowest)).drop("floors"))
+    return _largest(left, steps, last, top).groupBy("token_id", "minutes", "k").agg(F.count_if("out").alias("top_exits"))
 
 
 def stepped_windows(trades: DataFrame, wallets: DataFrame, market: DataFrame, grid: Grid, windows: tuple[int, ...] = (30, 1440), whale_usd: float = 10000.0, spike_mult: float = 3.0) -> DataFrame:
@@ -221,47 +250,59 @@ def stepped_windows(trades: DataFrame, wallets: DataFrame, market: DataFrame, gr
     last = grid.steps(spark)
     ends = saved(anchors(trades, grid, last))
     rows = placed(trades, ends, grid, last, windows)
-    people = small_or_shuffled(saved(wallets.select("wallet_id", "is_watched", "meets_profitable", "score", "labels", "cluster_id")))
-    s = states(panes(rows, whale_usd), last).join(people, "wallet_id", "left")
-    smart = F.coalesce(F.col("is_watched") | F.col("meets_profitable"), F.lit(False))
     label = lambda *names: F.coalesce(F.arrays_overlap("labels", F.array(*[F.lit(x) for x in names])), F.lit(False))
+    smart = F.coalesce(F.col("is_watched") | F.col("meets_profitable"), F.lit(False))
+    told = {"is_smart": smart, "is_human": label("human_like"), "is_human_or_smart": label("human_like", "smart_money"), "is_bot": label("possible_bot")}
+    people = small_or_shuffled(saved(wallets.select("wallet_id", "is_watched", F.coalesce("score", F.lit(0.0)).cast("decimal(20,6)").alias("score"), "cluster_id", *[v.alias(c) for c, v in told.items()])))
     buyer, holder = F.col("n_buy") > 0, F.col("held") > 0
     share = lambda of: F.coalesce(F.col("sell").cast("double") / F.when(F.col(of) > 0, F.col(of).cast("double")) * 100 >= tw.EXITED, F.lit(False))
-    s = s.withColumns({"smart_wallet": smart, "buyer": buyer, "out": share("held"), "of_block": F.when(buyer, F.col("first.block")), "of_cluster": F.when(buyer & smart, F.col("cluster_id"))})
-    one = lambda c: F.when(c, 1).otherwise(0).cast("long")
+    s = states(panes(rows, whale_usd), last).where(buyer | holder).join(people.drop("is_watched"), "wallet_id", "left")
+    # Of a buyer, first holds; of others it is left over from an earlier buy.
+    s = s.select(
+        *_BY_WALLET, "k", "until", "held", F.when(buyer, F.col("first")).alias("first"), buyer.alias("buyer"), holder.alias("holder"), share("held").alias("out"), (buyer & (F.col("sell") > 0)).alias("sold"), (F.col("n_whale") > 0).alias("whale"),
+        (buyer & ~holder & share("buy")).alias("new_out"), *[F.coalesce(c, F.lit(False)).alias(c) for c in told], F.when(buyer, F.col("score")).alias("score"), F.when(buyer & F.col("is_smart"), F.col("cluster_id")).alias("of_cluster"),
+    )
+    s = saved(s.withColumn("of_block", F.col("first.block")))
+    buyer, holder, smart, out = F.col("buyer"), F.col("holder"), F.col("is_smart"), F.col("out")
     adds = {
-        "buyers": one(buyer),
-        "sold_buyers": one(buyer & (F.col("sell") > 0)),
-        "smart": one(buyer & smart),
-        "human": one(buyer & label("human_like")),
-        "human_or_smart": one(buyer & label("human_like", "smart_money")),
-        "bots": one(buyer & label("possible_bot")),
-        "whales": one(F.col("n_whale") > 0),
-        "unclustered": one(buyer & smart & F.col("cluster_id").isNull()),
-        "smart_holders": one(smart & holder),
-        "smart_holders_out": one(smart & holder & F.col("out")),
-        "smart_new": one(smart & buyer & ~holder),
-        "smart_new_out": one(smart & buyer & ~holder & share("buy")),
-        "new_smart": one(buyer & smart & (F.col("begun") == F.col("first.us"))),
-        "early_buyers": one(buyer & (F.col("k") >= F.col("first.half"))),
-        "score_sum": F.when(buyer, F.coalesce("score", F.lit(0.0))).otherwise(0.0).cast("decimal(20,6)"),
+        "buyers": buyer,
+        "sold_buyers": F.col("sold"),
+        "smart": buyer & smart,
+        "human": buyer & F.col("is_human"),
+        "human_or_smart": buyer & F.col("is_human_or_smart"),
+        "bots": buyer & F.col("is_bot"),
+        "whales": F.col("whale"),
+        "unclustered": buyer & smart & F.col("of_cluster").isNull(),
+        "smart_holders": smart & holder,
+        "smart_holders_out": smart & holder & out,
+        "smart_new": smart & buyer & ~holder,
+        "smart_new_out": smart & F.col("new_out"),
+        "new_smart": buyer & smart & F.col("first.new"),
+        "in_blocks": F.col("of_block").isNotNull(),
     }
-    before = Window.partitionBy(*_BY_WALLET).orderBy("k")
-    s = s.withColumns(adds)
-    held = s.withColumn("until", F.coalesce(F.lead("k").over(before), F.lit(last + 1)))
-    was = {f"was_{c}": F.lag(c).over(before) for c in ("of_block", "of_cluster")}
-    s = saved(held.withColumns({f"d_{c}": F.col(c) - F.coalesce(F.lag(c).over(before), F.lit(0)) for c in adds} | was))
 
     steps = ends.select("token_id", F.posexplode("ends").alias("k", "to_us")).where("to_us is not null")
     steps = steps.select("*", F.explode(F.array(*[F.lit(m) for m in windows])).alias("minutes"))
     steps = saved(steps.withColumn("to_ts", F.timestamp_micros("to_us").cast("timestamp_ntz")).withColumn("from_ts", F.timestamp_micros(F.col("to_us") - F.col("minutes") * F.lit(60_000_000).cast("long")).cast("timestamp_ntz")))
-    totals = _running(s.select("token_id", "minutes", "k", *[F.col(f"d_{c}").alias(c) for c in adds]), ["token_id", "minutes"], list(adds))
+    half = F.col("first.half")
+
+    def changes(at: str, sign: int) -> DataFrame:
+        """What states add at the step at which they begin, or take off (sign -1) where they end."""
+        early = half <= F.col(at) if sign > 0 else half < F.col(at)
+        told = {c: F.count_if(v) for c, v in adds.items()} | {"early_buyers": F.count_if(early), "score_sum": F.sum("score")}
+        of = s.where(buyer | smart).where(F.col(at) <= last).groupBy("token_id", "minutes", F.col(at).alias("k"))
+        return of.agg(*[(v if sign > 0 else -v).alias(c) for c, v in told.items()])
+
+    middle = s.where((half > F.col("k")) & (half < F.col("until"))).groupBy("token_id", "minutes", half.alias("k")).agg(F.count("*").alias("early_buyers"))
+    totals = changes("k", 1).unionByName(changes("until", -1)).unionByName(middle, allowMissingColumns=True)
+    adds = (*adds, "early_buyers", "score_sum")
+    totals = _running(totals, ["token_id", "minutes"], list(adds))
 
     def counted(key: str) -> DataFrame:
         """How many wallets have each value of a column, from each step at which that changes on."""
-        both = F.array(F.struct(F.col(f"was_{key}").alias(key), F.lit(-1).alias("n")), F.struct(F.col(key).alias(key), F.lit(1).alias("n")))
-        moved = s.where(~F.col(key).eqNullSafe(F.col(f"was_{key}"))).select("token_id", "minutes", "k", F.explode(both).alias("e"))
-        return _running(moved.select("token_id", "minutes", "k", "e.*").where(F.col(key).isNotNull()), ["token_id", "minutes", key], ["n"])
+        both = F.array(F.struct("k", F.lit(1).alias("n")), F.struct(F.col("until").alias("k"), F.lit(-1).alias("n")))
+        moved = s.where(F.col(key).isNotNull()).select("token_id", "minutes", key, F.explode(both).alias("e"))
+        return _running(moved.select("token_id", "minutes", key, "e.*").where(F.col("k") <= last), ["token_id", "minutes", key], ["n"])
 
     clusters = counted("of_cluster")
     there = F.when(F.col("n") > 0, 1).otherwise(0)
@@ -270,7 +311,7 @@ def stepped_windows(trades: DataFrame, wallets: DataFrame, market: DataFrame, gr
     dense = steps.join(totals, ["token_id", "minutes", "k"], "left").join(amounts(rows, people, last), ["token_id", "minutes", "k"], "left").join(distinct, ["token_id", "minutes", "k"], "left")
     along = Window.partitionBy("token_id", "minutes").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     dense = dense.select("token_id", "minutes", "k", "to_ts", "from_ts", *[F.coalesce(F.last(c, ignorenulls=True).over(along), F.lit(0)).alias(c) for c in (*adds, *AMOUNTS, "clusters")])
-    for part in (_most(counted("of_block"), "of_block", steps, last, "block_buyers"), _most(clusters, "of_cluster", steps, last, "largest_cluster"), _top_exits(s.where(holder), steps, last)):
+    for part in (_most(counted("of_block"), "of_block", steps, last, "block_buyers"), _most(clusters, "of_cluster", steps, last, "largest_cluster"), _top_exits(s.where(holder).select(*_BY_WALLET, "k", "until", "held", "out"), steps, last)):
         dense = dense.join(part, ["token_id", "minutes", "k"], "left")
 
     dense = saved(dense)
@@ -284,18 +325,19 @@ def stepped_windows(trades: DataFrame, wallets: DataFrame, market: DataFrame, gr
     start, liquidity = F.col("start_liquidity"), F.col("end_liquidity")
     pct = lambda n: F.round(F.when(buyers > 0, n * 100.0 / buyers).otherwise(0.0), 6)
     trailing = F.col("trailing_sum")
+    at_least = lambda c, there: F.greatest(F.coalesce(c, F.lit(0)), F.when(there > 0, 1).otherwise(0))
     return out.select(
         "token_id", "minutes", "k", F.timestamp_micros("t_us").cast("timestamp_ntz").alias("t"), "to_ts", "buyers", b.alias("buy_usd"), sold.alias("sell_usd"), (F.col("buy_sum") - F.col("sell_sum")).cast("double").alias("net_usd"),
         F.round(F.when(sold > 0, b / sold).when(b > 0, 999.0).otherwise(0.0), 6).alias("buy_sell_ratio"),
         "smart", "human", "human_or_smart", "bots", "whales",
-        (F.col("clusters") + F.col("unclustered")).alias("entities"), F.coalesce("largest_cluster", F.lit(0)).alias("largest_cluster"),
+        (F.col("clusters") + F.col("unclustered")).alias("entities"), at_least("largest_cluster", F.col("clusters")).alias("largest_cluster"),
         entry.alias("avg_entry_mcap"), "current_mcap", F.round(F.when(entry > 0, F.col("current_mcap") / entry - 1), 6).alias("expansion"),
         liquidity.alias("liquidity"), F.round(F.when(start > 0, (liquidity - start) / start * 100), 6).alias("liquidity_change_pct"),
         F.when(F.col("began") <= F.col("t_us"), F.round((_us("to_ts") - F.col("began")) / 86_400_000_000.0, 6)).alias("age_days"),
         trailing.cast("double").alias("trailing_usd"), ((trailing > 0) & (b >= spike_mult * trailing.cast("double"))).alias("spike"),
         F.round(F.when(exited > 0, (F.col("smart_holders_out") + F.col("smart_new_out")) * 100.0 / exited).otherwise(0.0), 6).alias("exited_smart_pct"),
         F.coalesce("top_exits", F.lit(0)).alias("top_exits"), "new_smart", "early_buyers",
-        pct(F.col("sold_buyers")).alias("sold_pct"), pct(F.coalesce("block_buyers", F.lit(0))).alias("block_pct"),
+        pct(F.col("sold_buyers")).alias("sold_pct"), pct(at_least("block_buyers", F.col("in_blocks"))).alias("block_pct"),
         F.round(F.when(buyers > 0, F.col("score_sum").cast("double") / buyers).otherwise(0.0), 6).alias("avg_score"),
     )
 
