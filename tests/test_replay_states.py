@@ -43,3 +43,11 @@ def test_largest_holders_against_a_walk(spark: SparkSession) -> None:
             if met:
                 want[t, k] = sum(r[6] for r in met)
     assert {(r["token_id"], r["k"]): r["top_exits"] for r in rp._top_exits(holders, steps, last).collect()} == want
+
+
+def test_fires_are_told_from_one_reading_of_the_rules(spark: SparkSession, tmp_path) -> None:
+    rows = [(0, "A", START + timedelta(hours=h), h != 30, "HIGH") for h in (0, 2, 24, 30, 50)]
+    spark.createDataFrame(rows, "token_id int, rule string, t timestamp_ntz, fired boolean, severity string").write.parquet(f"{tmp_path}/rules")
+    fires = rp.replayed_fires(spark.read.parquet(f"{tmp_path}/rules"))
+    assert not fires.inputFiles()
+    assert sorted(r["t"] for r in fires.collect()) == [START + timedelta(hours=h) for h in (0, 24, 50)]

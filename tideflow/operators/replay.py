@@ -363,7 +363,7 @@ def stepped_rules(windows: DataFrame, funded: DataFrame, rotated: DataFrame, cfg
 
 def replayed_fires(rules: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """token_id, rule, t, severity (and keys) of fires that no kept fire of the last day suppresses."""
-    fired = rules.where("fired")
+    fired = saved(rules.where("fired"))  # read twice
     kept = tm.kept_fires(fired.select(*keys, "token_id", "rule", "t"), [*keys, "token_id", "rule"], "t")
     return kept.join(fired, [*keys, "token_id", "rule", "t"]).select(*keys, "token_id", "rule", "t", "severity")
 

@@ -172,7 +172,7 @@ def bt_replay_windows(spark: SparkSession, d: str) -> DataFrame:
 @query(_FIRES + " SELECT token_id, rule, t, severity FROM fr JOIN ru USING (token_id, rule, t)")
 def bt_replay(spark: SparkSession, d: str) -> DataFrame:
     """The seven rules' fires over the grid, each seeing nothing later than its step, after the day's dedupe."""
-    return rp.replayed_fires(_rules(spark, d, _windows(spark, d, GRID)))
+    return rp.replayed_fires(_rules(spark, d, saved(_windows(spark, d, GRID))))
 
 
 def _hits(fires: DataFrame, market: DataFrame) -> DataFrame:
@@ -206,7 +206,7 @@ lb AS (SELECT token_id, t, CASE WHEN coalesce(bool_or(liquidity IS NOT NULL AND
 @query(_EVAL + " SELECT token_id, rule, t, coalesce(label, 'neutral_pending') AS label, roi_pct, coalesce(hit, false) AS hit FROM fr LEFT JOIN lb USING (token_id, t) LEFT JOIN ht USING (token_id, t)")
 def bt_replay_eval(spark: SparkSession, d: str) -> DataFrame:
     """What became of each replayed fire."""
-    fires = rp.replayed_fires(_rules(spark, d, _windows(spark, d, GRID)))
+    fires = rp.replayed_fires(_rules(spark, d, saved(_windows(spark, d, GRID))))
     return _hits(fires, p.market(spark, d)).select("token_id", "rule", "t", "label", "roi_pct", "hit")
 
 
