@@ -3,8 +3,8 @@
 At step T a token's window ends at its last trade up to T and reaches back `minutes`. As T moves on, a trade enters the
 window at one step, leaves it at a later one and then leaves the window before it, so a wallet's state only changes at
 those steps. Trades that change state at the same steps are added up first (a pane), which bounds a wallet's rows by the
-number of steps, however often it trades. Running sums over a wallet's changes give its states; differences of what a
-state adds to the token's totals are summed by token and step, and running sums over steps are the totals. The work
+number of steps, however often it trades. Running sums over a wallet's changes give its states as intervals of steps; what
+a state adds to the token's totals is counted at the step at which it begins and taken off where it ends. The work
 grows with trades plus tokens by steps, not with trades by steps.
 
 What isn't a sum over wallets (the fullest block, the largest cluster, the largest holders) comes from intervals of steps
