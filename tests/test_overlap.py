@@ -41,3 +41,37 @@ def test_cotraders_against_all_pairs(spark: SparkSession, monkeypatch: pytest.Mo
         plan = got._jdf.queryExecution().sparkPlan().toString()
         assert "Join" not in plan and "Aggregate" not in plan
     assert ov.cotraders(trades.limit(0)).collect() == []
+
+
+def _shuffled(spark: SparkSession) -> dict[int, int]:
+    """Rows that each stage so far has written to shuffles."""
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    stages = store.stageList(None, False, False, jvm.new_array(jvm.jvm.double, 0), None)
+    return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+
+@pytest.mark.parametrize("least", [1, 2])
+def test_trades_are_not_written_once_for_each_group(spark: SparkSession, monkeypatch: pytest.MonkeyPatch, least: int) -> None:
+    monkeypatch.setattr(ov, "BLOCK_PAIRS", 100)
+    trades = spark.createDataFrame(_trades(), "trade_id long, token_id int, wallet_id long, ts timestamp_ntz")
+    before = _shuffled(spark)
+    got = ov.cotraders(trades, least=least)
+    assert sorted(map(tuple, got.collect())) == _expected(least)
+    # Two rows of each trade at most (its stretch, its group), beside a row a task and an hour and one a group.
+    assert sum(n for i, n in _shuffled(spark).items() if i not in before) < 5 * len(_trades())
+
+
+@pytest.mark.parametrize("dense", [1 << 25, 0])
+def test_a_busy_wallet_keeps_two_trades_a_stretch(spark: SparkSession, monkeypatch: pytest.MonkeyPatch, dense: int) -> None:
+    """Trades before 1970, too, at the edges of stretches, in more tokens than a byte counts; tokens may be texts."""
+    kept = []
+    monkeypatch.setattr(ov, "DENSE", dense)
+    monkeypatch.setattr(ov, "saved", lambda df, real=ov.saved: kept.append(real(df)) or kept[-1], raising=False)
+    start, hour, tick = datetime(1969, 12, 31, 23), timedelta(hours=1), timedelta(microseconds=1)
+    rows = [("k", 1, start + i * timedelta(seconds=7)) for i in range(1500)]
+    end = rows[-1][2]
+    rows += [("k", 2, start - hour), ("k", 3, start - hour - tick), ("k", 4, end + hour), ("k", 5, end + hour + tick), ("k", 6, start + hour), ("other", 3, start), ("K", 1, end + 9 * hour), ("K", 5, end + 9 * hour)]
+    rows += [(f"t{i}", w, start + i * hour) for i in range(300) for w in (7, 8)]
+    got = ov.cotraders(spark.createDataFrame(rows, "token_id string, wallet_id long, ts timestamp_ntz"), least=1)
+    assert sorted(map(tuple, got.collect())) == [(1, 2, 1), (1, 4, 1), (1, 5, 1), (1, 6, 1), (2, 3, 1), (4, 5, 1), (7, 8, 300)]
+    assert sum(len(r["us"]) // 8 for p in kept for r in p.collect()) == 2 * 3 + 8 + 600
