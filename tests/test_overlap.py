@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import SparkSession
 
+from tideflow import plans
 from tideflow.operators import overlap as ov
 
 START = datetime(2024, 1, 1)
@@ -75,3 +76,13 @@ def test_a_busy_wallet_keeps_two_trades_a_stretch(spark: SparkSession, monkeypat
     got = ov.cotraders(spark.createDataFrame(rows, "token_id string, wallet_id long, ts timestamp_ntz"), least=1)
     assert sorted(map(tuple, got.collect())) == [(1, 2, 1), (1, 4, 1), (1, 5, 1), (1, 6, 1), (2, 3, 1), (4, 5, 1), (7, 8, 300)]
     assert sum(len(r["us"]) // 8 for p in kept for r in p.collect()) == 2 * 3 + 8 + 600
+
+
+def test_recurring_pairs_write_as_many_rows_as_trades(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    """The query in one block and in many groups: the same pairs, and trades aren't written once for each group."""
+    data = "/root/testdata/sf0.001"
+    whole = sorted(map(tuple, plans.QUERIES["agg_recurring_pairs"](spark, data).collect()))
+    monkeypatch.setattr(ov, "BLOCK_PAIRS", 30)
+    before = _shuffled(spark)
+    assert sorted(map(tuple, plans.QUERIES["agg_recurring_pairs"](spark, data).collect())) == whole
+    assert sum(n for i, n in _shuffled(spark).items() if i not in before) < 5 * spark.read.parquet(f"{data}/events.parquet").count()
